@@ -27,6 +27,7 @@ from pyspark.sql import types as ST
 from seamfix import constants as K
 from seamfix.functions import text as T
 from seamfix.plans.joins import sized_broadcast
+from seamfix.session import cut_lineage
 
 _PREF = {d: i for i, d in enumerate(K.DELIMITER_PREFERENCE)}
 
@@ -329,13 +330,19 @@ def classify(struct_df: DataFrame, garbled: DataFrame, hdr: DataFrame, disagree:
 
 
 def detect(lines: DataFrame, file_bound: int | None = None, encoding: DataFrame | None = None,
-           bom_files: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All detection frames for a set of files."""
+           bom_files: DataFrame | None = None, cut: bool = True) -> dict[str, DataFrame]:
+    """All detection frames for a set of files.
+
+    The per-file frames (one row per file) feed several line-level
+    branches; with ``cut`` they are checkpointed once so the shape
+    aggregate is not recomputed per branch.
+    """
+    keep = cut_lineage if cut else (lambda x: x)
     groups = shape_groups(lines)
-    st = structure(lines, groups)
-    garbled = garbled_header(lines, st, file_bound)
-    hdr = header_checks(lines, st, file_bound, bom_files)
-    disagree = disagreeing_rows(lines, st, file_bound)
-    classes = classify(st, garbled, hdr, disagree, encoding)
+    st = keep(structure(lines, groups))
+    garbled = keep(garbled_header(lines, st, file_bound))
+    hdr = keep(header_checks(lines, st, file_bound, bom_files))
+    disagree = keep(disagreeing_rows(lines, st, file_bound))
+    classes = keep(classify(st, garbled, hdr, disagree, encoding))
     return {"groups": groups, "structure": st, "garbled": garbled, "header": hdr,
             "disagree": disagree, "classes": classes}

@@ -64,3 +64,229 @@ lines AS (
 
 def with_lines(body: str) -> str:
     return "WITH " + LINES.strip() + ",\n" + body.strip()
+
+# Stray-delimiter character class and Python float grammar (RE2 flavour).
+CLS = r"""([^\p{L}\p{N}\-_.''"@ ])"""  # quote doubled for a SQL literal
+FLOAT = (
+    r"(?i)^\s*[+-]?(?:(?:\d+(?:_\d+)*)(?:\.(?:\d+(?:_\d+)*)?)?(?:e[+-]?\d+(?:_\d+)*)?"
+    r"|\.\d+(?:_\d+)*(?:e[+-]?\d+(?:_\d+)*)?|inf(?:inity)?|nan)\s*$"
+)
+INVIS = r"[\x{FEFF}\x{200B}\x{200C}\x{200D}\x{2060}]"
+
+
+def _csvjoin(lst: str, d: str) -> str:
+    return (f"array_to_string(list_transform({lst}, lambda f: CASE WHEN contains(f, '\"') OR contains(f, {d}) "
+            f"OR contains(f, chr(13)) OR contains(f, chr(10)) THEN '\"' || replace(f, '\"', '\"\"') || '\"' "
+            f"ELSE f END), chr(31)).replace(chr(31), {d})")
+
+
+# Detection chain over ``lines`` (independent SQL formulation of D3-D20).
+DETECT = rf"""
+shape AS (
+  SELECT file_id, line_no, n_lines, raw, cand,
+         length(raw) - length(replace(raw, cand, '')) AS occ,
+         line_no > n_lines - 5 AS is_tail
+  FROM (SELECT *, unnest([',', chr(9), ';', ':', '|']) AS cand FROM lines)
+),
+prefs AS (SELECT cand, pref FROM (VALUES (',', 0), (chr(9), 1), (';', 2), (':', 3), ('|', 4)) t(cand, pref)),
+hist AS (
+  SELECT file_id, cand, occ, count(*) AS cnt, count(*) FILTER (WHERE is_tail) AS cnt_tail
+  FROM shape GROUP BY file_id, cand, occ
+),
+wmode AS (
+  SELECT file_id, cand, occ AS mocc, cnt AS m, sum(cnt) OVER (PARTITION BY file_id, cand) AS n,
+         row_number() OVER (PARTITION BY file_id, cand ORDER BY cnt DESC, occ DESC) AS rk
+  FROM hist
+),
+tmode AS (
+  SELECT file_id, cand, occ AS mocc, cnt_tail AS m, sum(cnt_tail) OVER (PARTITION BY file_id, cand) AS n,
+         row_number() OVER (PARTITION BY file_id, cand ORDER BY cnt_tail DESC, occ DESC) AS rk
+  FROM hist WHERE cnt_tail > 0
+),
+wpick AS (
+  SELECT file_id, cand AS whole_delim FROM (
+    SELECT w.file_id, w.cand, row_number() OVER (PARTITION BY w.file_id
+             ORDER BY floor((2 * m - n) * 100.0 / n) DESC, p.pref) AS r2
+    FROM wmode w JOIN prefs p USING (cand)
+    WHERE rk = 1 AND mocc > 0 AND (2 * m - n) * 10 >= 9 * n) WHERE r2 = 1
+),
+tpick AS (
+  SELECT file_id, cand AS tail_delim FROM (
+    SELECT t.file_id, t.cand, row_number() OVER (PARTITION BY t.file_id
+             ORDER BY floor((2 * m - n) * 100.0 / n) DESC, p.pref) AS r2
+    FROM tmode t JOIN prefs p USING (cand)
+    WHERE rk = 1 AND mocc > 0 AND (2 * m - n) * 10 >= 9 * n) WHERE r2 = 1
+),
+vote AS (
+  SELECT f.file_id, f.n_lines, w.whole_delim, t.tail_delim,
+         coalesce(w.whole_delim, t.tail_delim, ',') AS delimiter
+  FROM (SELECT DISTINCT file_id, n_lines FROM lines) f
+  LEFT JOIN wpick w USING (file_id) LEFT JOIN tpick t USING (file_id)
+),
+fcs AS (
+  SELECT s.file_id, s.line_no, s.raw, s.occ + 1 AS fc
+  FROM shape s JOIN vote v ON s.file_id = v.file_id AND s.cand = v.delimiter
+),
+fstat AS (SELECT file_id, max(fc) AS max_fc, arg_min(fc, line_no) AS w1 FROM fcs GROUP BY file_id),
+nn AS (
+  SELECT file_id, unnest(range(0, least(10, n_lines - 2) + 1)) AS nn FROM vote WHERE n_lines >= 2
+),
+chk AS (
+  SELECT nn.file_id, nn.nn,
+         count(DISTINCT f.fc) FILTER (WHERE f.line_no > nn.nn) AS k,
+         min(f.fc) FILTER (WHERE f.line_no > nn.nn) AS w,
+         count(*) FILTER (WHERE f.line_no > nn.nn) AS tail_len
+  FROM nn JOIN fcs f USING (file_id) GROUP BY nn.file_id, nn.nn
+),
+chk2 AS (
+  SELECT c.*, (SELECT count(*) FROM fcs f WHERE f.file_id = c.file_id AND f.line_no <= c.nn AND f.fc = c.w) AS pre_hits
+  FROM chk c
+),
+offs AS (
+  SELECT file_id, min(nn) AS off, arg_min(w, nn) AS width
+  FROM chk2 WHERE k = 1 AND tail_len >= 2 AND pre_hits = 0 GROUP BY file_id
+),
+struct AS (
+  SELECT v.*, fs.max_fc = 1 AS single_column, fs.w1, o.off, o.width
+  FROM vote v JOIN fstat fs USING (file_id) LEFT JOIN offs o USING (file_id)
+),
+gcand AS (
+  SELECT s.file_id, f.line_no, f.raw, s.delimiter, s.width,
+         list_sort(list_filter(list_distinct(regexp_extract_all(f.raw, '{CLS}', 1)), lambda c: c <> s.delimiter)) AS cands
+  FROM struct s JOIN fcs f ON f.file_id = s.file_id AND f.line_no = s.off
+  WHERE s.off > 0 AND NOT s.single_column
+),
+gnorm AS (SELECT *, translate(raw, array_to_string(cands, ''), repeat(delimiter, len(cands))) AS normalized FROM gcand),
+garbled AS (
+  SELECT file_id, line_no, array_to_string(cands, '/') AS observed_delimiter, normalized AS repaired_text,
+         width AS expected_field_count
+  FROM gnorm
+  WHERE len(cands) > 0 AND length(normalized) - length(replace(normalized, delimiter, '')) + 1 = width
+),
+cons AS (SELECT file_id, delimiter FROM struct WHERE off = 0 AND NOT single_column),
+dvals AS (
+  SELECT l.file_id, unnest(range(len(string_split(l.raw, c.delimiter)))) AS pos,
+         unnest(string_split(l.raw, c.delimiter)) AS v
+  FROM lines l JOIN cons c USING (file_id) WHERE l.line_no >= 2
+),
+numcols AS (
+  SELECT file_id, pos FROM dvals GROUP BY file_id, pos HAVING bool_and(regexp_matches(v, '{FLOAT}'))
+),
+hvals AS (
+  SELECT l.file_id, unnest(range(len(string_split(l.raw, c.delimiter)))) AS pos,
+         unnest(string_split(l.raw, c.delimiter)) AS v
+  FROM lines l JOIN cons c USING (file_id) WHERE l.line_no = 1
+),
+hnum AS (
+  SELECT n.file_id, bool_and(coalesce(regexp_matches(h.v, '{FLOAT}'), false)) AS all_numeric
+  FROM numcols n LEFT JOIN hvals h ON h.file_id = n.file_id AND h.pos = n.pos GROUP BY n.file_id
+),
+hdr AS (
+  SELECT c.file_id, coalesce(hn.all_numeric, false) AS looks_headerless,
+         regexp_matches(l.raw, '{INVIS}') AS invisible
+  FROM cons c JOIN lines l ON l.file_id = c.file_id AND l.line_no = 1
+  LEFT JOIN hnum hn ON hn.file_id = c.file_id
+),
+incons AS (SELECT file_id, delimiter, w1 FROM struct WHERE off IS NULL AND NOT single_column AND n_lines >= 2),
+bad AS (
+  SELECT f.file_id, f.line_no, f.raw, i.delimiter AS d, i.w1 AS expected, f.fc AS actual,
+         string_split(f.raw, i.delimiter) AS fields
+  FROM fcs f JOIN incons i USING (file_id) WHERE f.line_no > 1 AND f.fc <> i.w1
+),
+res AS (
+  SELECT *,
+    list_filter(list_sort(list_filter(list_distinct(regexp_extract_all(raw, '{CLS}', 1)), lambda c: c <> d)),
+                lambda c: len(string_split(raw, c)) = expected) AS t1,
+    flatten(list_transform(range(len(fields)), lambda i:
+      list_transform(
+        list_filter(list_sort(list_filter(list_distinct(regexp_extract_all(fields[i + 1], '{CLS}', 1)), lambda c: c <> d)),
+                    lambda c: len(string_split(fields[i + 1], c)) - 1 = expected - actual),
+        lambda c: {{'i': i, 'c': c}}))) AS t2
+  FROM bad
+),
+resolved AS (
+  SELECT file_id, line_no AS row_number, expected AS expected_field_count, actual AS actual_field_count,
+    CASE WHEN len(t1) = 1 THEN t1[1] WHEN actual < expected AND len(t2) = 1 THEN t2[1].c END AS observed_delimiter,
+    raw AS original_text,
+    CASE WHEN len(t1) = 1 THEN {_csvjoin("string_split(raw, t1[1])", "d")}
+         WHEN actual < expected AND len(t2) = 1 THEN
+           {_csvjoin("fields[1:t2[1].i] || string_split(fields[t2[1].i + 1], t2[1].c) || fields[t2[1].i + 2:]", "d")}
+    END AS repaired_text
+  FROM res
+),
+mixed AS (
+  SELECT file_id, count(*) AS n_disagree, bool_and(observed_delimiter IS NOT NULL) AS all_resolved
+  FROM resolved GROUP BY file_id
+),
+flags AS (
+  SELECT s.file_id, s.n_lines, s.delimiter, s.off,
+    s.n_lines >= 2 AND s.delimiter <> ',' AS f_delim,
+    s.n_lines >= 2 AND s.single_column AS f_single,
+    s.n_lines >= 2 AND NOT s.single_column AND s.off IS NOT NULL AND (s.off - (g.file_id IS NOT NULL)::INT > 0 OR g.file_id IS NOT NULL) AS f_header,
+    s.n_lines >= 2 AND NOT s.single_column AND s.off = 0 AND coalesce(h.looks_headerless, false) AS f_nohdr,
+    s.n_lines >= 2 AND NOT s.single_column AND s.off = 0 AND coalesce(h.invisible, false) AS f_invis,
+    s.n_lines >= 2 AND NOT s.single_column AND s.off IS NULL AND coalesce(m.all_resolved, false) AND coalesce(m.n_disagree, 0) > 0 AS f_mixed,
+    s.n_lines >= 2 AND NOT s.single_column AND s.off IS NULL AND NOT (coalesce(m.all_resolved, false) AND coalesce(m.n_disagree, 0) > 0) AS f_engine,
+    CASE WHEN s.off IS NOT NULL AND NOT s.single_column AND s.n_lines >= 2 THEN s.off - (g.file_id IS NOT NULL)::INT END AS effective_offset
+  FROM struct s LEFT JOIN garbled g USING (file_id) LEFT JOIN hdr h USING (file_id) LEFT JOIN mixed m USING (file_id)
+),
+classes AS (
+  SELECT file_id, n_lines, delimiter, off, effective_offset,
+    list_sort(list_filter([
+      CASE WHEN f_delim THEN 'wrong_delimiter' END, CASE WHEN f_header THEN 'header_detection' END,
+      CASE WHEN f_nohdr THEN 'no_header' END, CASE WHEN f_invis THEN 'invisible_characters' END,
+      CASE WHEN f_mixed THEN 'mixed_delimiter' END, CASE WHEN f_engine THEN 'engine_selection' END,
+      CASE WHEN f_single THEN 'single_column_malformation' END], lambda x: x IS NOT NULL)) AS cls,
+    CASE WHEN f_delim THEN 'wrong_delimiter' WHEN f_header THEN 'header_detection'
+         WHEN f_nohdr THEN 'no_header' WHEN f_invis THEN 'invisible_characters'
+         WHEN f_mixed THEN 'mixed_delimiter' WHEN f_engine THEN 'engine_selection'
+         WHEN f_single THEN 'single_column_malformation' END AS primary_class
+  FROM flags
+)
+"""
+
+
+def with_detect(body: str) -> str:
+    return "WITH " + LINES.strip() + ",\n" + DETECT.strip() + ",\n" + body.strip()
+
+
+def detection_oracles() -> dict[str, str]:
+    q = {}
+    q["scan_numbered_lines"] = with_lines("SELECT file_id, line_no, raw, n_lines FROM lines")
+    q["sample_head"] = with_lines(
+        "SELECT file_id, string_agg(raw, chr(10) ORDER BY line_no) AS sample FROM lines "
+        "WHERE line_no <= 5 GROUP BY file_id")
+    q["delimiter_vote"] = with_detect(
+        "SELECT file_id, n_lines, whole_delim, tail_delim, delimiter FROM vote")
+    q["field_count_histogram"] = with_detect(
+        "SELECT file_id, CAST(fc AS BIGINT) AS field_count, count(*) AS n_rows FROM fcs GROUP BY file_id, fc")
+    q["detect_wrong_delimiter"] = with_detect(
+        "SELECT file_id, delimiter FROM struct WHERE n_lines >= 2 AND delimiter <> ','")
+    q["detect_single_column"] = with_detect(
+        "SELECT file_id, n_lines FROM struct WHERE n_lines >= 2 AND single_column")
+    q["header_offset"] = with_detect(
+        "SELECT file_id, CAST(off AS BIGINT) AS header_offset, CAST(effective_offset AS BIGINT) AS effective_offset, "
+        "f_header AS header_detection FROM flags WHERE effective_offset IS NOT NULL")
+    q["garbled_header"] = with_detect(
+        "SELECT file_id, CAST(line_no AS BIGINT) AS line_no, observed_delimiter, repaired_text FROM garbled")
+    q["numeric_columns"] = with_detect("SELECT file_id, CAST(pos AS BIGINT) AS pos FROM numcols")
+    q["detect_no_header"] = with_detect("SELECT file_id FROM flags WHERE f_nohdr")
+    q["detect_invisible"] = with_detect("SELECT file_id FROM flags WHERE f_invis")
+    q["mixed_rows"] = with_detect(
+        "SELECT r.file_id, CAST(r.row_number AS BIGINT) AS row_number, CAST(r.expected_field_count AS BIGINT) AS expected_field_count, "
+        "CAST(r.actual_field_count AS BIGINT) AS actual_field_count, r.observed_delimiter, r.original_text, r.repaired_text "
+        "FROM resolved r JOIN flags f USING (file_id) WHERE f.f_mixed")
+    q["failure_classes"] = with_detect(
+        "SELECT file_id, array_to_string(cls, ',') AS failure_classes, CAST(len(cls) AS BIGINT) AS n_classes FROM classes")
+    q["primary_class"] = with_detect(
+        "SELECT file_id, primary_class FROM classes WHERE primary_class IS NOT NULL")
+    return q
+
+
+def all_oracles() -> dict[str, str]:
+    """Every oracle, keyed like the catalogue."""
+    q = {}
+    for name, fn in list(globals().items()):
+        if name.endswith("_oracles") and name != "all_oracles" and callable(fn):
+            q.update(fn())
+    return q

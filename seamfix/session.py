@@ -49,3 +49,12 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-path of the shared folder for a written table."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def cut_lineage(df):
+    """Reliable checkpoint into the shared folder (survives executor loss).
+
+    Used on small per-file decision frames that several branches reuse, and
+    on derived test inputs; never ``localCheckpoint``."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
