@@ -131,3 +131,171 @@ def q_failure_classes(spark, sf_dir):
 def q_primary_class(spark, sf_dir):
     c = detected(spark, sf_dir)["classes"]
     return c.filter(F.col("primary_class").isNotNull()).select("file_id", "primary_class")
+
+
+# ------------------------------------------------- proposal, gate, repair
+def repair_run(spark: SparkSession, sf_dir: str, with_defaults: bool = False,
+               lines: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Detect -> propose -> validate -> approve -> apply, over all files.
+
+    Approvals are data: the reviewer approves the reviewed prescription
+    (by its hash) of every file except those with ``file_id % 8 = 7``.
+    """
+    from seamfix.operators import propose as P
+    from seamfix.operators import repair as R
+    lines = lines if lines is not None else rendered(spark, sf_dir)
+    d = D.detect(lines, N_FILES)
+    repairs = D.row_repairs(d["disagree"], d["classes"])
+    p10 = P.single_column_delimiter(lines, d["structure"], N_FILES)
+    supplied = None
+    if with_defaults:
+        supplied = d["classes"].select("file_id", "primary_class").join(
+            P.default_prescriptions(spark).withColumnRenamed("failure_class", "primary_class"), "primary_class") \
+            .select("file_id", "delimiter", "encoding", "header_row", "engine")
+    params = P.propose(d["classes"], d["garbled"], repairs, p10, proposals=supplied)
+    hashed = P.prescription_hash(P.validate(params, P.known_codecs(spark)))
+    approvals = hashed.select("file_id", "prescription_hash", (F.col("file_id") % 8 != 7).alias("approved"))
+    gated = cut_lineage(P.executor_path(P.gate(hashed, approvals)))
+    fixes = P.row_repair_table(repairs, d["garbled"])
+    res = R.apply_repairs(lines, gated, fixes, N_FILES)
+    return {**d, "lines": lines, "p10": p10, "params": params, "gated": gated, "fixes": fixes, **res}
+
+
+def _params_cols(df):
+    return df.select("file_id", "delimiter", "encoding", "header_row", "engine", "n_row_repairs")
+
+
+@query("propose_params")
+def q_propose_params(spark, sf_dir):
+    return _params_cols(repair_run(spark, sf_dir)["params"])
+
+
+@query("merge_proposals")
+def q_merge_proposals(spark, sf_dir):
+    return _params_cols(repair_run(spark, sf_dir, with_defaults=True)["params"])
+
+
+@query("propose_single_column")
+def q_propose_single_column(spark, sf_dir):
+    return repair_run(spark, sf_dir)["p10"]
+
+
+@query("validate_params")
+def q_validate_params(spark, sf_dir):
+    g = repair_run(spark, sf_dir)["gated"]
+    return g.select("file_id", "valid", F.array_join("errors", "; ").alias("errors"))
+
+
+@query("review_report")
+def q_review_report(spark, sf_dir):
+    g = repair_run(spark, sf_dir)["gated"]
+    summary = F.concat(
+        F.lit("classes="), F.array_join("failure_classes", ","),
+        F.lit("; delimiter="), F.coalesce("delimiter", F.lit("?")),
+        F.lit("; header_row="), F.coalesce(F.col("header_row").cast("string"), F.lit("none")),
+        F.lit("; row_repairs="), F.col("n_row_repairs").cast("string"))
+    return g.select("file_id", "primary_class", summary.alias("summary"))
+
+
+@query("approval_gate")
+def q_approval_gate(spark, sf_dir):
+    return repair_run(spark, sf_dir)["gated"].select("file_id", "valid", "approved", "executor")
+
+
+@query("route_tier")
+def q_route_tier(spark, sf_dir):
+    from seamfix.operators.propose import route_tier
+    c = detected(spark, sf_dir)["classes"]
+    tables = c.select("file_id", F.when(F.col("file_id") % 2 == 0, F.lit("orders")).alias("table_name"))
+    return route_tier(c, tables)
+
+
+def _out_for(spark, sf_dir, cond):
+    r = repair_run(spark, sf_dir)
+    files = r["gated"].filter(cond).select("file_id")
+    return r["out"].join(files, "file_id", "left_semi").select("file_id", "line_no", "text")
+
+
+@query("repair_rows")
+def q_repair_rows(spark, sf_dir):
+    return _out_for(spark, sf_dir, F.col("executor") == "row_level")
+
+
+@query("repair_preamble")
+def q_repair_preamble(spark, sf_dir):
+    return _out_for(spark, sf_dir, F.col("header_row") > 0)
+
+
+@query("repair_whole_file")
+def q_repair_whole_file(spark, sf_dir):
+    return _out_for(spark, sf_dir, F.col("executor") == "whole_file")
+
+
+@query("repair_errors")
+def q_repair_errors(spark, sf_dir):
+    return repair_run(spark, sf_dir)["errors"]
+
+
+@query("parse_repaired")
+def q_parse_repaired(spark, sf_dir):
+    out = repair_run(spark, sf_dir)["out"]
+    parsed = out.withColumn("fields", F.split("text", ",", -1))
+    return parsed.groupBy("file_id").agg(
+        (F.count(F.lit(1)) - 1).alias("n_rows"),
+        F.min_by(F.size("fields"), "line_no").cast("long").alias("n_cols"))
+
+
+def _written_and_verified(spark, sf_dir):
+    from seamfix.operators import repair as R
+    from seamfix.session import scratch_path
+    from seamfix.sources import sinks as S
+    r = repair_run(spark, sf_dir)
+    root = scratch_path(spark, "repaired")
+    S.write_canonical(r["out"], root)
+    back = S.read_canonical(spark, root)
+    return r, back, R.verify_output(back)
+
+
+@query("verify_widths")
+def q_verify_widths(spark, sf_dir):
+    _, _, v = _written_and_verified(spark, sf_dir)
+    return v.select("file_id", "n_lines", "header_width", "verified")
+
+
+@query("verify_missing_output")
+def q_verify_missing_output(spark, sf_dir):
+    from seamfix.operators import repair as R
+    r, _, v = _written_and_verified(spark, sf_dir)
+    return R.missing_output(r["files"].select("file_id"), v)
+
+
+@query("file_status")
+def q_file_status(spark, sf_dir):
+    from seamfix.operators import repair as R
+    r, _, v = _written_and_verified(spark, sf_dir)
+    return R.file_status(r["classes"], r["gated"], r["files"], v).select("file_id", "status", "success")
+
+
+@query("write_canonical")
+def q_write_canonical(spark, sf_dir):
+    _, back, _ = _written_and_verified(spark, sf_dir)
+    return back.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@query("source_unchanged")
+def q_source_unchanged(spark, sf_dir):
+    """Render the sources to files, hash them, run the repair from the
+    files, hash again; returns the differences (expected: none)."""
+    from seamfix.session import scratch_path
+    from seamfix.sources import sinks as S
+    from seamfix.sources.lines import scan_bytes
+    src_root = scratch_path(spark, "sources")
+    S.write_canonical(rendered(spark, sf_dir).select("file_id", "line_no", F.col("raw").alias("text")), src_root)
+    before = cut_lineage(scan_bytes(spark, src_root + "/*/*.txt"))
+    lines = S.read_canonical(spark, src_root).select("file_id", "line_no", F.col("text").alias("raw"), "n_lines")
+    out_root = scratch_path(spark, "repaired")
+    S.refuse_collision(out_root, [src_root])
+    S.write_canonical(repair_run(spark, sf_dir, lines=lines)["out"], out_root)
+    after = scan_bytes(spark, src_root + "/*/*.txt")
+    from seamfix.operators.repair import source_unchanged
+    return source_unchanged(before, after)

@@ -290,3 +290,171 @@ def all_oracles() -> dict[str, str]:
         if name.endswith("_oracles") and name != "all_oracles" and callable(fn):
             q.update(fn())
     return q
+
+
+def _codec_values() -> str:
+    """Known codec names (same stdlib alias rule as the Spark side)."""
+    import encodings.aliases
+    names = set(encodings.aliases.aliases) | set(encodings.aliases.aliases.values())
+    rows = sorted({n.lower().replace("-", "_").replace(" ", "_") for n in names})
+    return ", ".join(f"('{r}')" for r in rows)
+
+
+def _prop(supplied: bool) -> str:
+    d = "d." if supplied else "NULL::VARCHAR AS "
+    join = ("LEFT JOIN (VALUES ('wrong_delimiter', ';', 'utf-8', 0, 'python'), ('wrong_encoding', ',', 'latin-1', 0, 'python'),"
+            " ('header_detection', ',', 'utf-8', 1, 'python'), ('engine_selection', ',', 'utf-8', 0, 'pyarrow'),"
+            " ('single_column_malformation', ';', 'utf-8', 0, 'python')) d(cls_name, delimiter, encoding, header_row, engine)"
+            " ON d.cls_name = c.primary_class") if supplied else ""
+    sup = (lambda col, dflt: f"coalesce(d.{col}, {dflt})") if supplied else (lambda col, dflt: dflt)
+    return f"""
+prop AS (
+  SELECT c.file_id, c.primary_class, c.cls,
+    CASE WHEN (list_contains(c.cls, 'mixed_delimiter') AND coalesce(nm.n, 0) > 0) OR g.file_id IS NOT NULL THEN c.delimiter
+         ELSE {sup('delimiter', "CASE WHEN list_contains(c.cls, 'single_column_malformation') THEN p10.c ELSE c.delimiter END")} END AS delimiter,
+    {sup('encoding', "'utf-8'")} AS encoding,
+    CAST(CASE WHEN list_contains(c.cls, 'no_header') THEN NULL
+              WHEN list_contains(c.cls, 'header_detection') THEN c.effective_offset
+              ELSE {sup('header_row', '0')} END AS BIGINT) AS header_row,
+    {sup('engine', "'python'")} AS engine,
+    CAST(CASE WHEN g.file_id IS NOT NULL THEN 1
+              WHEN list_contains(c.cls, 'mixed_delimiter') AND coalesce(nm.n, 0) > 0 THEN nm.n ELSE 0 END AS BIGINT) AS n_row_repairs
+  FROM classes c LEFT JOIN garbled g USING (file_id) LEFT JOIN nmix nm USING (file_id) LEFT JOIN p10 USING (file_id)
+  {join}
+  WHERE len(c.cls) > 0
+)"""
+
+
+REPAIR_BASE = r"""
+p10c AS (
+  SELECT l.file_id, unnest(list_distinct(regexp_extract_all(l.raw, '([^\p{L}\p{N}])', 1))) AS c
+  FROM lines l JOIN struct s USING (file_id) WHERE l.line_no = 1 AND s.single_column AND s.n_lines >= 2
+),
+p10w AS (
+  SELECT p.file_id, p.c, min(length(l.raw) - length(replace(l.raw, p.c, '')) + 1) AS lo,
+         max(length(l.raw) - length(replace(l.raw, p.c, '')) + 1) AS hi
+  FROM p10c p JOIN lines l USING (file_id) WHERE p.c NOT IN (',', ';', chr(9), '|', ':') GROUP BY p.file_id, p.c
+),
+p10 AS (SELECT file_id, max(c) AS c FROM p10w WHERE lo = hi AND lo >= 2 GROUP BY file_id HAVING count(*) = 1),
+nmix AS (SELECT r.file_id, count(*) AS n FROM resolved r JOIN flags f USING (file_id) WHERE f.f_mixed GROUP BY r.file_id)
+"""
+
+
+def repair_chain(supplied: bool = False) -> str:
+    inv = INVIS
+    return REPAIR_BASE.strip() + ",\n" + _prop(supplied).strip() + ",\n" + rf"""
+codecs(codec) AS (VALUES {_codec_values()}),
+val AS (
+  SELECT p.*, list_filter([
+      CASE WHEN delimiter IS NULL THEN 'delimiter: missing' END,
+      CASE WHEN length(delimiter) <> 1 THEN 'delimiter: must be exactly one character' END,
+      CASE WHEN encoding IS NULL OR trim(encoding) = '' THEN 'encoding: missing'
+           WHEN NOT EXISTS (SELECT 1 FROM codecs k WHERE k.codec = regexp_replace(lower(trim(p.encoding)), '[-\s]', '_', 'g'))
+           THEN 'encoding: unknown encoding ' || trim(encoding) END,
+      CASE WHEN header_row < 0 THEN 'header_row: must be >= 0 or null' END,
+      CASE WHEN engine NOT IN ('python', 'c', 'pyarrow') THEN 'engine: must be one of python, c, pyarrow' END
+    ], lambda x: x IS NOT NULL) AS errs
+  FROM prop p
+),
+gatedq AS (
+  SELECT *, len(errs) = 0 AS valid, len(errs) = 0 AND file_id % 8 <> 7 AS approved,
+         CASE WHEN n_row_repairs > 0 THEN 'row_level' ELSE 'whole_file' END AS executor
+  FROM val
+),
+plan AS (SELECT file_id, delimiter, header_row, executor FROM gatedq WHERE approved),
+fix AS (
+  SELECT r.file_id, r.row_number AS line_no, r.repaired_text FROM resolved r JOIN flags f USING (file_id) WHERE f.f_mixed
+  UNION ALL SELECT file_id, line_no, repaired_text FROM garbled
+),
+kept AS (
+  SELECT l.file_id, l.line_no, p.delimiter, p.header_row, p.executor,
+         CASE WHEN p.executor = 'row_level' THEN coalesce(fx.repaired_text, l.raw) ELSE l.raw END AS text
+  FROM lines l JOIN plan p USING (file_id)
+  LEFT JOIN fix fx ON fx.file_id = l.file_id AND fx.line_no = l.line_no
+  WHERE l.line_no > coalesce(p.header_row, 0)
+),
+kw AS (SELECT *, string_split(text, delimiter) AS fields, len(string_split(text, delimiter)) AS width FROM kept),
+kper AS (SELECT file_id, arg_min(width, line_no) AS expected, min(line_no) AS first_line, count(*) AS n_kept FROM kw GROUP BY file_id),
+rerr AS (
+  SELECT k.file_id, k.line_no AS row_number,
+         printf('row %d: expected %d fields, found %d', k.line_no, p.expected, k.width) AS error
+  FROM kw k JOIN kper p USING (file_id)
+  WHERE (k.header_row IS NULL OR k.line_no > p.first_line) AND k.width <> p.expected
+),
+rfiles AS (
+  SELECT p.file_id, p.executor, p.header_row, coalesce(k.n_kept, 0) AS n_kept, k.expected,
+         coalesce(e.n_errors, 0) AS n_errors,
+         coalesce(k.n_kept, 0) > 0 AND NOT (p.executor = 'whole_file' AND k.expected < 2) AND coalesce(e.n_errors, 0) = 0 AS applied
+  FROM plan p LEFT JOIN kper k USING (file_id)
+  LEFT JOIN (SELECT file_id, count(*) AS n_errors FROM rerr GROUP BY file_id) e USING (file_id)
+),
+rout AS (
+  SELECT k.file_id,
+    CAST(CASE WHEN k.header_row IS NULL THEN k.line_no + 1 ELSE k.line_no - k.header_row END AS BIGINT) AS line_no,
+    CASE WHEN k.executor = 'row_level' THEN k.text
+         WHEN k.header_row IS NOT NULL AND k.line_no = p.first_line
+           THEN {_csvjoin(f"list_transform(fields, lambda x: regexp_replace(x, '{inv}', '', 'g'))", "','")}
+         ELSE {_csvjoin("fields", "','")} END AS text
+  FROM kw k JOIN kper p USING (file_id) JOIN rfiles r USING (file_id) WHERE r.applied
+  UNION ALL
+  SELECT file_id, CAST(1 AS BIGINT), array_to_string(list_transform(range(expected), lambda i: CAST(i AS VARCHAR)), ',')
+  FROM rfiles WHERE applied AND header_row IS NULL
+),
+vout AS (
+  SELECT file_id, count(*) AS n_lines,
+         CAST(arg_min(length(text) - length(replace(text, ',', '')) + 1, line_no) AS BIGINT) AS header_width,
+         arg_min(text, line_no) AS header_text,
+         min(length(text) - length(replace(text, ',', '')) + 1) AS min_w,
+         max(length(text) - length(replace(text, ',', '')) + 1) AS max_w
+  FROM rout GROUP BY file_id
+),
+verified AS (
+  SELECT file_id, n_lines, header_width,
+         header_width >= 2 AND NOT regexp_matches(header_text, '{inv}') AND min_w = max_w AS verified
+  FROM vout
+)
+"""
+
+
+def with_repair(body: str, supplied: bool = False) -> str:
+    return "WITH " + LINES.strip() + ",\n" + DETECT.strip() + ",\n" + repair_chain(supplied).strip() + ",\n" + body.strip()
+
+
+def repair_oracles() -> dict[str, str]:
+    q = {}
+    cols = "SELECT file_id, delimiter, encoding, header_row, engine, n_row_repairs FROM prop"
+    q["propose_params"] = with_repair(cols)
+    q["merge_proposals"] = with_repair(cols, supplied=True)
+    q["propose_single_column"] = with_repair("SELECT file_id, c AS single_column_delimiter FROM p10")
+    q["validate_params"] = with_repair("SELECT file_id, valid, array_to_string(errs, '; ') AS errors FROM gatedq")
+    q["review_report"] = with_repair(
+        "SELECT file_id, primary_class, 'classes=' || array_to_string(cls, ',') || '; delimiter=' || coalesce(delimiter, '?')"
+        " || '; header_row=' || coalesce(CAST(header_row AS VARCHAR), 'none') || '; row_repairs=' || CAST(n_row_repairs AS VARCHAR)"
+        " AS summary FROM gatedq")
+    q["approval_gate"] = with_repair("SELECT file_id, valid, approved, executor FROM gatedq")
+    q["route_tier"] = with_detect(
+        "SELECT file_id, CASE WHEN primary_class IS NOT NULL THEN 'csv' WHEN file_id % 2 = 0 THEN 'drift'"
+        " ELSE 'healthy' END AS tier FROM classes")
+    q["repair_rows"] = with_repair(
+        "SELECT o.file_id, o.line_no, o.text FROM rout o JOIN gatedq g USING (file_id) WHERE g.executor = 'row_level'")
+    q["repair_preamble"] = with_repair(
+        "SELECT o.file_id, o.line_no, o.text FROM rout o JOIN gatedq g USING (file_id) WHERE g.header_row > 0")
+    q["repair_whole_file"] = with_repair(
+        "SELECT o.file_id, o.line_no, o.text FROM rout o JOIN gatedq g USING (file_id) WHERE g.executor = 'whole_file'")
+    q["repair_errors"] = with_repair("SELECT file_id, CAST(row_number AS BIGINT) AS row_number, error FROM rerr")
+    q["parse_repaired"] = with_repair(
+        "SELECT file_id, count(*) - 1 AS n_rows, CAST(arg_min(len(string_split(text, ',')), line_no) AS BIGINT) AS n_cols"
+        " FROM rout GROUP BY file_id")
+    q["verify_widths"] = with_repair("SELECT file_id, n_lines, header_width, verified FROM verified")
+    q["verify_missing_output"] = with_repair(
+        "SELECT file_id, 'no_repaired_output_to_verify' AS error FROM rfiles WHERE file_id NOT IN (SELECT file_id FROM verified)")
+    q["file_status"] = with_repair(
+        "SELECT c.file_id, s.status, s.status = 'succeeded' AS success FROM classes c, LATERAL (SELECT CASE"
+        " WHEN len(c.cls) = 0 THEN 'healthy'"
+        " WHEN NOT g.valid THEN 'failed' WHEN NOT g.approved THEN 'rejected'"
+        " WHEN NOT coalesce(r.applied, false) THEN 'failed' WHEN NOT coalesce(v.verified, false) THEN 'failed'"
+        " ELSE 'succeeded' END AS status"
+        " FROM (SELECT 1) one LEFT JOIN gatedq g ON g.file_id = c.file_id LEFT JOIN rfiles r ON r.file_id = c.file_id"
+        " LEFT JOIN verified v ON v.file_id = c.file_id) s")
+    q["write_canonical"] = with_repair("SELECT file_id, count(*) AS n_lines FROM rout GROUP BY file_id")
+    return q
