@@ -299,3 +299,211 @@ def q_source_unchanged(spark, sf_dir):
     after = scan_bytes(spark, src_root + "/*/*.txt")
     from seamfix.operators.repair import source_unchanged
     return source_unchanged(before, after)
+
+
+# ------------------------------------------------------------- schema drift
+def drift_run(spark: SparkSession, sf_dir: str, apply: bool = False) -> dict:
+    """Inspect -> diff -> hints -> confirm -> operations -> gate -> apply.
+
+    Decisions as data: the confirmer confirms a hint when similarity >= 0.6
+    and the types agree (confidence 0.9); the episode history rejected any
+    earlier ``drop`` of a column named like ``extra``; the approver approves
+    every table whose prescription is valid and not escalated.
+    """
+    from seamfix.operators import drift as C
+    from seamfix.sources.render import baselines, current_tables
+    tables = current_tables(spark, sf_dir)
+    current = cut_lineage(C.inspect_schema(tables))
+    base = cut_lineage(C.latest_baselines(baselines(spark)))
+    diff = cut_lineage(C.column_diff(current, base))
+    names = current.select("table").distinct()
+    sets = C.diff_sets(diff, names)
+    hints = cut_lineage(C.rename_hints(C.rename_candidates(diff)))
+    types = diff.select("table", "column", F.coalesce("from_type", "to_type").alias("t"))
+    conf = hints.join(types.withColumnRenamed("column", "removed_column").withColumnRenamed("t", "rt"),
+                      ["table", "removed_column"]) \
+        .join(types.withColumnRenamed("column", "added_column").withColumnRenamed("t", "at"), ["table", "added_column"]) \
+        .select("table", "removed_column", "added_column",
+                ((F.col("similarity") >= 0.6) & (F.col("rt") == F.col("at"))).alias("confirmed"),
+                F.lit(0.9).alias("llm_confidence"))
+    renames = C.confirm_renames(hints, conf)
+    ops = cut_lineage(C.operations(diff, renames))
+    rejected = ops.filter((F.col("op") == "drop") & F.col("column").contains("extra"))
+    kept = C.drop_rejected(ops, rejected)
+    ordered = cut_lineage(C.order_operations(C.op_errors(kept)))
+    drifted = sets.filter("has_changes").select("table")
+    presc = cut_lineage(C.prescriptions(kept, drifted).withColumn("approved", F.col("valid") & ~F.col("escalated")))
+    out = {"tables": tables, "current": current, "base": base, "diff": diff, "sets": sets, "hints": hints,
+           "renames": renames, "ops": ops, "kept": kept, "ordered": ordered, "presc": presc}
+    if apply:
+        out.update(_apply_drift(spark, tables, ordered, presc))
+    return out
+
+
+def _apply_drift(spark, tables, ordered, presc):
+    """Apply the approved prescriptions table by table; the projection of
+    each table is built from its few operation rows, the data work runs on
+    Spark, and the output is written and re-read for verification."""
+    from seamfix.operators import drift as C
+    from seamfix.session import scratch_path
+    approved = [r["table"] for r in presc.filter("approved").select("table").collect()]
+    op_rows = [r.asDict() for r in ordered.filter(F.col("table").isin(approved or ["-"])).orderBy("table", "exec_order").collect()]
+    schemas, checks, results = [], [], []
+    for t in approved:
+        ops = [o for o in op_rows if o["table"] == t]
+        bad = C.cast_failures(tables[t], ops)
+        for col, n in bad.items():
+            target = next(o["target_type"] for o in ops if o["op"] == "cast" and o["column"] == col)
+            checks.append((t, col, target, n))
+        new, errors, _ = C.apply_operations(tables[t], ops)
+        errors += [f"cast {c}: {n} values not parseable" for c, n in bad.items() if n > 0]
+        if errors:
+            results.append((t, False, "; ".join(errors)))
+            continue
+        path = scratch_path(spark, f"drift-{t}")
+        new.write.mode("overwrite").parquet(path)
+        back = spark.read.parquet(path)
+        for i, f in enumerate(back.schema.fields):
+            schemas.append((t, i + 1, f.name, C.spark_type_to_logical(f.dataType)))
+        results.append((t, True, None))
+    schema_df = spark.createDataFrame(
+        schemas, "table string, ordinal long, name string, type string")
+    check_df = spark.createDataFrame(checks, "table string, column string, target_type string, n_unparseable long")
+    res_df = spark.createDataFrame(results, "table string, applied boolean, apply_error string")
+    verify = C.verify_operations(schema_df, ordered.join(res_df.filter("applied").select("table"), "table", "left_semi"))
+    return {"out_schema": schema_df, "cast_checks": check_df, "applied": res_df, "verify": verify}
+
+
+@query("schema_inspect")
+def q_schema_inspect(spark, sf_dir):
+    return drift_run(spark, sf_dir)["current"].select("table", "ordinal", "name", "type", "nullable")
+
+
+@query("schema_baseline")
+def q_schema_baseline(spark, sf_dir):
+    return drift_run(spark, sf_dir)["base"].select("table", F.col("version").cast("long").alias("version"),
+                                                   "ordinal", "name", "type")
+
+
+@query("schema_diff")
+def q_schema_diff(spark, sf_dir):
+    return drift_run(spark, sf_dir)["diff"]
+
+
+@query("schema_sets")
+def q_schema_sets(spark, sf_dir):
+    s = drift_run(spark, sf_dir)["sets"]
+    return s.select("table", *[F.col(c).cast("long").alias(c) for c in ["n_added", "n_removed", "n_type_changed"]],
+                    "has_changes")
+
+
+@query("rename_hints")
+def q_rename_hints(spark, sf_dir):
+    h = drift_run(spark, sf_dir)["hints"]
+    return h.select("table", "removed_column", "added_column", F.round("similarity", 4).alias("similarity"))
+
+
+@query("rename_blend")
+def q_rename_blend(spark, sf_dir):
+    r = drift_run(spark, sf_dir)["renames"]
+    return r.select("table", "removed_column", "added_column", F.round("confidence", 4).alias("confidence"))
+
+
+def _ops_cols(df):
+    return df.select("table", "seq", "op", "column", "target_column", "target_type", "default",
+                     F.round("confidence", 4).alias("confidence"))
+
+
+@query("operations")
+def q_operations(spark, sf_dir):
+    return _ops_cols(drift_run(spark, sf_dir)["ops"])
+
+
+@query("operations_kept")
+def q_operations_kept(spark, sf_dir):
+    return _ops_cols(drift_run(spark, sf_dir)["kept"])
+
+
+@query("operations_ordered")
+def q_operations_ordered(spark, sf_dir):
+    o = drift_run(spark, sf_dir)["ordered"]
+    return o.select("table", "exec_order", "op", "column", "in_order",
+                    F.array_join("errors", "; ").alias("errors"))
+
+
+@query("escalation")
+def q_escalation(spark, sf_dir):
+    p = drift_run(spark, sf_dir)["presc"]
+    return p.select("table", "n_ops", F.round("confidence", 4).alias("confidence"), "valid", "escalated", "approved")
+
+
+@query("drift_review")
+def q_drift_review(spark, sf_dir):
+    """Review text per drifted table, one line per difference."""
+    d = drift_run(spark, sf_dir)["diff"]
+    line = F.when(F.col("kind") == "type_changed",
+                  F.concat(F.lit("~ "), F.col("column"), F.lit(": "), F.col("from_type"), F.lit(" -> "), F.col("to_type"))) \
+        .when(F.col("kind") == "added", F.concat(F.lit("+ "), F.col("column"), F.lit(": "), F.col("to_type"))) \
+        .otherwise(F.concat(F.lit("- "), F.col("column")))
+    return d.groupBy("table").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("kind", "column", line.alias("l")))), lambda x: x["l"]), "\n").alias("review"))
+
+
+@query("apply_operations")
+def q_apply_operations(spark, sf_dir):
+    return drift_run(spark, sf_dir, apply=True)["out_schema"]
+
+
+@query("cast_check")
+def q_cast_check(spark, sf_dir):
+    return drift_run(spark, sf_dir, apply=True)["cast_checks"]
+
+
+@query("verify_operations")
+def q_verify_operations(spark, sf_dir):
+    return drift_run(spark, sf_dir, apply=True)["verify"]
+
+
+@query("drift_status")
+def q_drift_status(spark, sf_dir):
+    """Healthy (no drift), invalid, rejected, failed, succeeded."""
+    r = drift_run(spark, sf_dir, apply=True)
+    v = r["verify"].groupBy("table").agg(F.count_if(F.col("error").isNotNull()).alias("n_verify_errors"))
+    df = r["sets"].select("table", "has_changes").join(r["presc"], "table", "left") \
+        .join(r["applied"], "table", "left").join(v, "table", "left")
+    status = F.when(~F.col("has_changes"), "healthy").when(~F.col("valid"), "invalid") \
+        .when(~F.col("approved"), "rejected").when(~F.coalesce("applied", F.lit(False)), "failed") \
+        .when(F.coalesce("n_verify_errors", F.lit(0)) > 0, "failed").otherwise("succeeded")
+    return df.select("table", status.alias("status"),
+                     F.coalesce("applied", F.lit(False)).alias("applied"),
+                     status.isin("healthy", "succeeded").alias("success"))
+
+
+def _headerless(spark, sf_dir):
+    from seamfix.operators import drift as C
+    from seamfix.sources.render import baselines
+    lines = rendered(spark, sf_dir)
+    first = lines.filter(F.col("line_no") == 1).select("file_id", F.posexplode(F.split("raw", ",", -1)).alias("pos", "value"))
+    hf = first.select("file_id", F.lit("orders").alias("table"), (F.col("pos") + 1).cast("long").alias("ordinal"), "value")
+    base = C.latest_baselines(baselines(spark))
+    return lines, base, C.looks_headerless(hf, base)
+
+
+@query("headerless_check")
+def q_headerless_check(spark, sf_dir):
+    _, _, h = _headerless(spark, sf_dir)
+    return h.select("file_id", "headerless")
+
+
+@query("assign_header")
+def q_assign_header(spark, sf_dir):
+    """C17: headerless files get the baseline names by position; the first
+    row stays data (confidence 1.0)."""
+    lines, base, h = _headerless(spark, sf_dir)
+    names = base.filter(F.col("table") == "orders").groupBy("table").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "name"))), lambda x: x["name"]), ",")
+        .alias("header"))
+    files = h.filter("headerless").select("file_id")
+    counts = lines.join(files, "file_id", "left_semi").groupBy("file_id").agg(F.count(F.lit(1)).alias("n_rows")) \
+        .withColumn("table", F.lit("orders"))
+    return counts.join(F.broadcast(names), "table").select("file_id", "header", "n_rows", F.lit(1.0).alias("confidence"))

@@ -458,3 +458,260 @@ def repair_oracles() -> dict[str, str]:
         " LEFT JOIN verified v ON v.file_id = c.file_id) s")
     q["write_canonical"] = with_repair("SELECT file_id, count(*) AS n_lines FROM rout GROUP BY file_id")
     return q
+
+
+# Drift inputs and chain (S6, S7, C1-C23, D21), written directly in SQL.
+INT = r"^\s*[+-]?\d+(?:_\d+)*\s*$"
+
+DRIFT = rf"""
+cells AS (
+  SELECT 'customer' AS tbl, 1 AS ordinal, 'c_custkey' AS name, CAST(c_custkey AS VARCHAR) AS v FROM customer
+  UNION ALL SELECT 'customer', 2, 'c_full_name', c_name FROM customer
+  UNION ALL SELECT 'customer', 3, 'c_nationkey', 'N' || CAST(c_nationkey AS VARCHAR) FROM customer
+  UNION ALL SELECT 'customer', 4, 'c_acctbal', CAST(c_acctbal AS VARCHAR) FROM customer
+  UNION ALL SELECT 'customer', 5, 'c_extra', 'x' || CAST(c_custkey % 7 AS VARCHAR) FROM customer
+  UNION ALL SELECT 'orders', 1, 'o_orderstatus', o_orderstatus FROM orders
+  UNION ALL SELECT 'orders', 2, 'o_orderkey', CAST(o_orderkey AS VARCHAR) FROM orders
+  UNION ALL SELECT 'orders', 3, 'o_custkey', CAST(o_custkey AS VARCHAR) FROM orders
+  UNION ALL SELECT 'orders', 4, 'o_orderpriority', o_orderpriority FROM orders
+  UNION ALL SELECT 'part', 1, 'p_partkey', CAST(p_partkey AS VARCHAR) FROM part
+  UNION ALL SELECT 'part', 2, 'p_name', p_name FROM part
+  UNION ALL SELECT 'part', 3, 'p_size', CAST(CAST(p_size AS DOUBLE) AS VARCHAR) FROM part
+  UNION ALL SELECT 'part', 4, 'p_brand', p_brand FROM part
+),
+cur AS (
+  SELECT tbl, CAST(ordinal AS BIGINT) AS ordinal, name,
+    CASE WHEN count(nullif(v, '')) = 0 THEN 'string'
+         WHEN bool_and(nullif(v, '') IS NULL OR regexp_matches(v, '{INT}')) THEN 'int64'
+         WHEN bool_and(nullif(v, '') IS NULL OR regexp_matches(v, '{FLOAT}')) THEN 'float64'
+         WHEN bool_and(nullif(v, '') IS NULL OR lower(trim(v)) IN ('true', 'false')) THEN 'bool'
+         ELSE 'string' END AS type,
+    bool_or(nullif(v, '') IS NULL) AS nullable
+  FROM cells GROUP BY tbl, ordinal, name
+),
+ball(tbl, version, ordinal, name, type) AS (VALUES
+  ('customer', 1, 1, 'c_custkey', 'int64'), ('customer', 1, 2, 'c_name', 'string'),
+  ('customer', 1, 3, 'c_nationkey', 'int64'), ('customer', 1, 4, 'c_acctbal', 'float64'),
+  ('customer', 1, 5, 'c_mktsegment', 'string'),
+  ('orders', 1, 1, 'o_orderkey', 'int64'), ('orders', 1, 2, 'o_custkey', 'int64'),
+  ('orders', 1, 3, 'o_orderstatus', 'string'), ('orders', 1, 4, 'o_clerk', 'string'),
+  ('orders', 2, 1, 'o_orderstatus', 'string'), ('orders', 2, 2, 'o_orderkey', 'int64'),
+  ('orders', 2, 3, 'o_custkey', 'int64'), ('orders', 2, 4, 'o_orderpriority', 'string'),
+  ('part', 1, 1, 'p_partkey', 'int64'), ('part', 1, 2, 'p_name', 'string'),
+  ('part', 1, 3, 'p_size', 'int64'), ('part', 1, 4, 'p_brand', 'string')
+),
+base AS (
+  SELECT b.tbl, CAST(b.version AS BIGINT) AS version, CAST(b.ordinal AS BIGINT) AS ordinal, b.name, lower(trim(b.type)) AS type
+  FROM ball b WHERE b.version = (SELECT max(version) FROM ball x WHERE x.tbl = b.tbl)
+),
+diff AS (
+  SELECT coalesce(c.tbl, b.tbl) AS tbl,
+    CASE WHEN b.name IS NULL THEN 'added' WHEN c.name IS NULL THEN 'removed' ELSE 'type_changed' END AS kind,
+    coalesce(c.name, b.name) AS col, b.type AS from_type, c.type AS to_type
+  FROM cur c FULL OUTER JOIN base b ON c.tbl = b.tbl AND c.name = b.name
+  WHERE b.name IS NULL OR c.name IS NULL OR b.type <> c.type
+),
+sets AS (
+  SELECT t.tbl, count(d.kind) FILTER (WHERE d.kind = 'added') AS n_added,
+    count(d.kind) FILTER (WHERE d.kind = 'removed') AS n_removed,
+    count(d.kind) FILTER (WHERE d.kind = 'type_changed') AS n_type_changed,
+    count(d.kind) > 0 AS has_changes
+  FROM (SELECT DISTINCT tbl FROM cur) t LEFT JOIN diff d USING (tbl) GROUP BY t.tbl
+),
+pairs AS (
+  SELECT row_number() OVER () AS pid, r.tbl, r.col AS a, a.col AS b
+  FROM diff r JOIN diff a ON r.tbl = a.tbl AND r.kind = 'removed' AND a.kind = 'added'
+),
+m(pid, alo, ahi, blo, bhi, best) AS (
+  SELECT pid, 0, len(a), 0, len(b),
+    list_max(flatten(list_transform(range(0, len(a)), lambda i: list_transform(range(0, len(b)), lambda j:
+      len(list_filter(range(1, least(len(a) - i, len(b) - j) + 1), lambda k: substr(a, i + 1, k) = substr(b, j + 1, k))) * 1000000
+      + (999 - i) * 1000 + (999 - j)))))
+  FROM pairs
+  UNION ALL
+  SELECT c.pid, c.s.alo, c.s.ahi, c.s.blo, c.s.bhi,
+    list_max(flatten(list_transform(range(c.s.alo, c.s.ahi), lambda i: list_transform(range(c.s.blo, c.s.bhi), lambda j:
+      len(list_filter(range(1, least(c.s.ahi - i, c.s.bhi - j) + 1), lambda k: substr(p.a, i + 1, k) = substr(p.b, j + 1, k))) * 1000000
+      + (999 - i) * 1000 + (999 - j)))))
+  FROM (
+    SELECT pid, unnest([
+      {{'alo': alo, 'ahi': 999 - (best // 1000) % 1000, 'blo': blo, 'bhi': 999 - best % 1000}},
+      {{'alo': 999 - (best // 1000) % 1000 + best // 1000000, 'ahi': ahi,
+       'blo': 999 - best % 1000 + best // 1000000, 'bhi': bhi}}]) AS s
+    FROM m WHERE best // 1000000 > 0
+  ) c JOIN pairs p USING (pid)
+  WHERE c.s.alo < c.s.ahi AND c.s.blo < c.s.bhi
+),
+sims AS (
+  SELECT p.pid, p.tbl, p.a AS removed_column, p.b AS added_column,
+         2.0 * coalesce(sum(m.best // 1000000), 0) / (len(p.a) + len(p.b)) AS similarity
+  FROM pairs p LEFT JOIN m USING (pid) GROUP BY p.pid, p.tbl, p.a, p.b
+),
+cand AS (SELECT * FROM sims WHERE similarity >= 0.4),
+hints(tbl, removed_column, added_column, similarity, used_r, used_a, n) AS (
+  SELECT * FROM (SELECT tbl, removed_column, added_column, similarity, [removed_column], [added_column], 1 AS n
+    FROM cand QUALIFY row_number() OVER (PARTITION BY tbl ORDER BY similarity DESC, removed_column, added_column) = 1)
+  UNION ALL
+  SELECT * FROM (
+    SELECT c.tbl, c.removed_column, c.added_column, c.similarity,
+           list_append(h.used_r, c.removed_column), list_append(h.used_a, c.added_column), h.n + 1
+    FROM (SELECT tbl, max(n) AS n FROM hints GROUP BY tbl) last JOIN hints h USING (tbl, n)
+    JOIN cand c ON c.tbl = h.tbl
+    WHERE NOT list_contains(h.used_r, c.removed_column) AND NOT list_contains(h.used_a, c.added_column)
+    QUALIFY row_number() OVER (PARTITION BY c.tbl ORDER BY c.similarity DESC, c.removed_column, c.added_column) = 1)
+),
+conf AS (
+  SELECT h.tbl, h.removed_column, h.added_column, h.similarity,
+         h.similarity >= 0.6 AND r.from_type = a.to_type AS confirmed, 0.9 AS llm_confidence
+  FROM hints h JOIN diff r ON r.tbl = h.tbl AND r.col = h.removed_column
+  JOIN diff a ON a.tbl = h.tbl AND a.col = h.added_column
+),
+renames AS (
+  SELECT tbl, removed_column, added_column, similarity,
+         least(1.0, greatest(0.0, 0.4 * similarity + 0.6 * llm_confidence)) AS confidence
+  FROM conf WHERE confirmed
+),
+ops0 AS (
+  SELECT tbl, 0 AS grp, 'rename' AS op, added_column AS col, removed_column AS target_column,
+         NULL::VARCHAR AS target_type, NULL::VARCHAR AS dflt, confidence FROM renames
+  UNION ALL SELECT tbl, 1, 'cast', col, NULL, from_type, NULL, 1.0 FROM diff WHERE kind = 'type_changed'
+  UNION ALL SELECT tbl, 2, 'add_default', col, NULL, from_type,
+         CASE lower(trim(from_type)) WHEN 'string' THEN 'UNKNOWN' WHEN 'str' THEN 'UNKNOWN' WHEN 'object' THEN 'UNKNOWN'
+              WHEN 'text' THEN 'UNKNOWN' WHEN 'int64' THEN '0' WHEN 'int' THEN '0' WHEN 'integer' THEN '0'
+              WHEN 'float64' THEN '0.0' WHEN 'float' THEN '0.0' WHEN 'double' THEN '0.0'
+              WHEN 'bool' THEN 'False' WHEN 'boolean' THEN 'False' END, 1.0
+    FROM diff d WHERE kind = 'removed' AND NOT EXISTS (SELECT 1 FROM renames r WHERE r.tbl = d.tbl AND r.removed_column = d.col)
+  UNION ALL SELECT tbl, 3, 'drop', col, NULL, NULL, NULL, 1.0
+    FROM diff d WHERE kind = 'added' AND NOT EXISTS (SELECT 1 FROM renames r WHERE r.tbl = d.tbl AND r.added_column = d.col)
+),
+ops AS (SELECT *, row_number() OVER (PARTITION BY tbl ORDER BY grp, col) AS seq FROM ops0),
+rejected AS (SELECT * FROM ops WHERE op = 'drop' AND contains(col, 'extra')),
+kept AS (
+  SELECT o.* FROM ops o WHERE NOT EXISTS (SELECT 1 FROM rejected r WHERE r.tbl = o.tbl AND r.op = o.op AND r.col = o.col
+     AND r.target_column IS NOT DISTINCT FROM o.target_column AND r.target_type IS NOT DISTINCT FROM o.target_type)
+),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY tbl ORDER BY
+     CASE op WHEN 'assign_header' THEN -1 WHEN 'rename' THEN 0 WHEN 'cast' THEN 1 WHEN 'drop' THEN 2 ELSE 3 END, seq) AS exec_order
+  FROM kept
+),
+presc AS (
+  SELECT s.tbl, count(k.op) AS n_ops, coalesce(min(k.confidence), 1.0) AS confidence,
+         count(k.op) > 0 AS valid, coalesce(min(k.confidence), 1.0) < 0.7 AS escalated
+  FROM sets s LEFT JOIN kept k USING (tbl) WHERE s.has_changes GROUP BY s.tbl
+)
+"""
+
+
+def with_drift(body: str) -> str:
+    return "WITH RECURSIVE " + DRIFT.strip() + ",\n" + body.strip()
+
+
+def drift_oracles() -> dict[str, str]:
+    q = {}
+    q["schema_inspect"] = with_drift('SELECT tbl AS "table", ordinal, name, type, nullable FROM cur')
+    q["schema_baseline"] = with_drift('SELECT tbl AS "table", version, ordinal, name, type FROM base')
+    q["schema_diff"] = with_drift('SELECT tbl AS "table", kind, col AS "column", from_type, to_type FROM diff')
+    q["schema_sets"] = with_drift('SELECT tbl AS "table", n_added, n_removed, n_type_changed, has_changes FROM sets')
+    q["rename_hints"] = with_drift(
+        'SELECT tbl AS "table", removed_column, added_column, round(similarity, 4) AS similarity FROM hints')
+    q["rename_blend"] = with_drift(
+        'SELECT tbl AS "table", removed_column, added_column, round(confidence, 4) AS confidence FROM renames')
+    cols = ('SELECT tbl AS "table", CAST(seq AS BIGINT) AS seq, op, col AS "column", target_column, target_type, '
+            'dflt AS "default", round(confidence, 4) AS confidence FROM ')
+    q["operations"] = with_drift(cols + "ops")
+    q["operations_kept"] = with_drift(cols + "kept")
+    q["operations_ordered"] = with_drift(
+        'SELECT tbl AS "table", CAST(exec_order AS BIGINT) AS exec_order, op, col AS "column", true AS in_order, '
+        "'' AS errors FROM ordered")
+    q["escalation"] = with_drift(
+        'SELECT tbl AS "table", n_ops, round(confidence, 4) AS confidence, valid, escalated, '
+        "valid AND NOT escalated AS approved FROM presc")
+    q["drift_review"] = with_drift(
+        'SELECT tbl AS "table", string_agg(CASE kind WHEN \'type_changed\' THEN \'~ \' || col || \': \' || from_type || \' -> \' || to_type '
+        "WHEN 'added' THEN '+ ' || col || ': ' || to_type ELSE '- ' || col END, chr(10) ORDER BY kind, col) AS review "
+        "FROM diff GROUP BY tbl")
+    return q
+
+
+DRIFT_APPLY = rf"""
+castchk AS (
+  SELECT o.tbl, o.col AS "column", o.target_type,
+    count(*) FILTER (WHERE c.v IS NOT NULL AND NOT coalesce(regexp_matches(c.v, '{FLOAT}')
+        AND TRY_CAST(replace(trim(c.v), '_', '') AS DOUBLE) = floor(TRY_CAST(replace(trim(c.v), '_', '') AS DOUBLE)), false)) AS n_unparseable
+  FROM ordered o JOIN presc p ON p.tbl = o.tbl AND p.valid AND NOT p.escalated
+  JOIN cells c ON c.tbl = o.tbl AND c.name = o.col
+  WHERE o.op = 'cast' AND o.target_type = 'int64'
+  GROUP BY o.tbl, o.col, o.target_type
+),
+applied AS (
+  SELECT p.tbl FROM presc p WHERE p.valid AND NOT p.escalated
+    AND NOT EXISTS (SELECT 1 FROM castchk c WHERE c.tbl = p.tbl AND c.n_unparseable > 0)
+),
+outcols0 AS (
+  SELECT c.tbl, c.ordinal AS pos, coalesce(r.target_column, c.name) AS name, coalesce(k.target_type, c.type) AS type
+  FROM cur c JOIN applied a USING (tbl)
+  LEFT JOIN ordered r ON r.tbl = c.tbl AND r.op = 'rename' AND r.col = c.name
+  LEFT JOIN ordered k ON k.tbl = c.tbl AND k.op = 'cast' AND k.col = coalesce(r.target_column, c.name)
+  WHERE NOT EXISTS (SELECT 1 FROM ordered d WHERE d.tbl = c.tbl AND d.op = 'drop' AND d.col = coalesce(r.target_column, c.name))
+  UNION ALL
+  SELECT o.tbl, 1000 + o.exec_order, o.col, o.target_type FROM ordered o JOIN applied USING (tbl) WHERE o.op = 'add_default'
+),
+outcols AS (SELECT tbl, CAST(row_number() OVER (PARTITION BY tbl ORDER BY pos) AS BIGINT) AS ordinal, name, type FROM outcols0),
+verify AS (
+  SELECT o.tbl, o.exec_order, o.op, o.col,
+    CASE WHEN o.op IN ('rename', 'assign_header') AND c.name IS NOT NULL THEN 'column ' || o.col || ' still present'
+         WHEN o.op IN ('rename', 'assign_header') AND t.name IS NULL THEN 'column ' || o.target_column || ' missing'
+         WHEN o.op = 'cast' AND c.name IS NULL THEN 'column ' || o.col || ' missing'
+         WHEN o.op = 'cast' AND c.type <> o.target_type THEN 'column ' || o.col || ' has type ' || c.type
+         WHEN o.op = 'drop' AND c.name IS NOT NULL THEN 'column ' || o.col || ' still present'
+         WHEN o.op = 'add_default' AND c.name IS NULL THEN 'column ' || o.col || ' missing' END AS error
+  FROM ordered o JOIN applied a USING (tbl)
+  LEFT JOIN outcols c ON c.tbl = o.tbl AND c.name = o.col
+  LEFT JOIN outcols t ON t.tbl = o.tbl AND t.name = o.target_column
+)
+"""
+
+
+def with_drift_apply(body: str) -> str:
+    return "WITH RECURSIVE " + DRIFT.strip() + ",\n" + DRIFT_APPLY.strip() + ",\n" + body.strip()
+
+
+def drift_apply_oracles() -> dict[str, str]:
+    q = {}
+    q["apply_operations"] = with_drift_apply('SELECT tbl AS "table", ordinal, name, type FROM outcols')
+    q["cast_check"] = with_drift_apply('SELECT tbl AS "table", "column", target_type, n_unparseable FROM castchk')
+    q["verify_operations"] = with_drift_apply(
+        'SELECT tbl AS "table", CAST(exec_order AS BIGINT) AS exec_order, op, col AS "column", error FROM verify')
+    q["drift_status"] = with_drift_apply(
+        'SELECT s.tbl AS "table", CASE WHEN NOT s.has_changes THEN \'healthy\' WHEN NOT p.valid THEN \'invalid\' '
+        "WHEN p.escalated THEN 'rejected' WHEN a.tbl IS NULL THEN 'failed' "
+        "WHEN EXISTS (SELECT 1 FROM verify v WHERE v.tbl = s.tbl AND v.error IS NOT NULL) THEN 'failed' ELSE 'succeeded' END AS status, "
+        "a.tbl IS NOT NULL AS applied, "
+        "NOT s.has_changes OR (a.tbl IS NOT NULL AND NOT EXISTS (SELECT 1 FROM verify v WHERE v.tbl = s.tbl AND v.error IS NOT NULL)) AS success "
+        "FROM sets s LEFT JOIN presc p USING (tbl) LEFT JOIN applied a USING (tbl)")
+    hl = f"""
+hf AS (
+  SELECT file_id, unnest(range(1, len(string_split(raw, ',')) + 1)) AS ordinal, unnest(string_split(raw, ',')) AS value
+  FROM lines WHERE line_no = 1
+),
+hb AS (SELECT ordinal, type FROM base WHERE tbl = 'orders'),
+hchk AS (
+  SELECT h.file_id, count(*) AS hw,
+    bool_and(CASE WHEN b.type = 'int64' THEN regexp_matches(h.value, '{INT}')
+                  WHEN b.type = 'float64' THEN regexp_matches(h.value, '{FLOAT}')
+                  WHEN b.type = 'bool' THEN lower(trim(h.value)) IN ('true', 'false')
+                  WHEN b.type IS NOT NULL THEN true ELSE false END) AS all_parse
+  FROM hf h LEFT JOIN hb b USING (ordinal) GROUP BY h.file_id
+),
+hless AS (
+  SELECT file_id, hw = (SELECT count(*) FROM hb) AND (SELECT bool_or(type <> 'string') FROM hb) AND all_parse AS headerless
+  FROM hchk
+)"""
+    def wl(body):
+        return "WITH RECURSIVE " + LINES.strip() + ",\n" + DRIFT.strip() + ",\n" + hl.strip() + ",\n" + body.strip()
+    q["headerless_check"] = wl("SELECT file_id, headerless FROM hless")
+    q["assign_header"] = wl(
+        "SELECT l.file_id, (SELECT string_agg(name, ',' ORDER BY ordinal) FROM base WHERE tbl = 'orders') AS header, "
+        "count(*) AS n_rows, 1.0 AS confidence FROM lines l JOIN hless h USING (file_id) WHERE h.headerless GROUP BY l.file_id")
+    return q

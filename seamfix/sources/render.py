@@ -113,7 +113,11 @@ BASELINE_ROWS = [
     ("orders", 1, 1, "o_orderkey", "int64", False),
     ("orders", 1, 2, "o_custkey", "int64", False),
     ("orders", 1, 3, "o_orderstatus", "string", True),
-    ("orders", 1, 4, "o_orderpriority", "string", True),
+    ("orders", 1, 4, "o_clerk", "string", True),
+    ("orders", 2, 1, "o_orderstatus", "string", True),
+    ("orders", 2, 2, "o_orderkey", "int64", False),
+    ("orders", 2, 3, "o_custkey", "int64", False),
+    ("orders", 2, 4, "o_orderpriority", "string", True),
     ("part", 1, 1, "p_partkey", "int64", False),
     ("part", 1, 2, "p_name", "string", True),
     ("part", 1, 3, "p_size", "int64", True),
@@ -128,12 +132,13 @@ def baselines(spark: SparkSession) -> DataFrame:
 
 def drifted_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """"Current" customer extract: ``c_name`` renamed to ``c_full_name``,
-    ``c_mktsegment`` dropped, ``c_extra`` added, ``c_nationkey`` as text."""
+    ``c_mktsegment`` dropped, ``c_extra`` added, ``c_nationkey`` as text
+    with a prefix (so casting it back fails, C18)."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     return c.select(
         "c_custkey",
         F.col("c_name").alias("c_full_name"),
-        F.col("c_nationkey").cast("string").alias("c_nationkey"),
+        F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("c_nationkey"),
         "c_acctbal",
         F.concat(F.lit("x"), (F.col("c_custkey") % 7).cast("string")).alias("c_extra"),
     )
@@ -142,7 +147,8 @@ def drifted_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def current_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """One "current" frame per baselined table (customer drifted, others clean)."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(*ORDER_FIELDS)
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_size", "p_brand")
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        "p_partkey", "p_name", F.col("p_size").cast("double").alias("p_size"), "p_brand")
     return {"customer": drifted_customer(spark, sf_dir), "orders": o, "part": p}
 
 
