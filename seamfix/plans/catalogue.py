@@ -507,3 +507,197 @@ def q_assign_header(spark, sf_dir):
     counts = lines.join(files, "file_id", "left_semi").groupBy("file_id").agg(F.count(F.lit(1)).alias("n_rows")) \
         .withColumn("table", F.lit("orders"))
     return counts.join(F.broadcast(names), "table").select("file_id", "header", "n_rows", F.lit(1.0).alias("confidence"))
+
+
+# ------------------------------------------------------- logs and dashboards
+def ingested_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log lines derived from ``events`` written as NDJSON to the shared
+    folder and ingested back (keys to top level, renames, parse errors)."""
+    from seamfix.session import scratch_path
+    from seamfix.sources.logs import read_logs, write_ndjson
+    from seamfix.sources.render import event_logs
+    path = write_ndjson(event_logs(spark, sf_dir), scratch_path(spark, "logs"))
+    return cut_lineage(read_logs(spark, path))
+
+
+@query("log_ingest")
+def q_log_ingest(spark, sf_dir):
+    g = ingested_logs(spark, sf_dir)
+    return g.select("event_id", "trace_id", "node", "app_event", "app_agent", "level", "failure_class", "table",
+                    "latency_ms", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts_text"),
+                    F.date_format("log_date", "yyyy-MM-dd").alias("log_date"), "parse_error")
+
+
+@query("volume_over_time")
+def q_volume_over_time(spark, sf_dir):
+    from seamfix.operators.observe import volume_over_time
+    return volume_over_time(ingested_logs(spark, sf_dir))
+
+
+@query("class_distribution")
+def q_class_distribution(spark, sf_dir):
+    from seamfix.operators.observe import class_distribution
+    return class_distribution(ingested_logs(spark, sf_dir))
+
+
+@query("outcome_breakdown")
+def q_outcome_breakdown(spark, sf_dir):
+    from seamfix.operators.observe import outcome_breakdown
+    return outcome_breakdown(ingested_logs(spark, sf_dir))
+
+
+@query("trace_explorer")
+def q_trace_explorer(spark, sf_dir):
+    from seamfix.operators.observe import trace_explorer
+    return trace_explorer(ingested_logs(spark, sf_dir), "trace-7")
+
+
+@query("latency_summary")
+def q_latency_summary(spark, sf_dir):
+    from seamfix.operators.observe import latency_summary
+    return latency_summary(ingested_logs(spark, sf_dir))
+
+
+# ------------------------------------------------------------ audit tables
+def audit_run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    from seamfix.operators import audit as U
+    from seamfix.sources.render import audit_events
+    ev = cut_lineage(audit_events(spark, sf_dir, N_FILES))
+    eps = cut_lineage(U.episodes(detected(spark, sf_dir)["classes"], ev))
+    return {"events": ev, "episodes": eps}
+
+
+@query("audit_events")
+def q_audit_events(spark, sf_dir):
+    from seamfix.operators.audit import ts_text
+    ev = audit_run(spark, sf_dir)["events"]
+    return ev.select("episode_id", "event_id", "node", "status", "latency_ms", ts_text(F.col("created_ts")).alias("created_at"))
+
+
+@query("audit_payload")
+def q_audit_payload(spark, sf_dir):
+    ev = audit_run(spark, sf_dir)["events"]
+    return ev.select("event_id", F.get_json_object("payload", "$.step").alias("step"),
+                     F.get_json_object("payload", "$.status").alias("status"),
+                     F.get_json_object("payload", "$.k").cast("long").alias("k"))
+
+
+@query("episode_state")
+def q_episode_state(spark, sf_dir):
+    from seamfix.operators.audit import episode_state
+    r = audit_run(spark, sf_dir)
+    return episode_state(r["episodes"], r["events"])
+
+
+@query("episode_history")
+def q_episode_history(spark, sf_dir):
+    from seamfix.operators.audit import ts_text
+    ev = audit_run(spark, sf_dir)["events"]
+    return ev.filter(F.col("episode_id") == "ep-1").orderBy("created_ts", "event_id").select(
+        "episode_id", "event_id", "node", "status", ts_text(F.col("created_ts")).alias("created_at"))
+
+
+@query("recent_episodes")
+def q_recent_episodes(spark, sf_dir):
+    from seamfix.operators.audit import ts_text
+    eps = audit_run(spark, sf_dir)["episodes"]
+    return eps.orderBy(F.desc("started_ts"), F.asc("episode_id")).limit(5).select(
+        "episode_id", "primary_class", ts_text(F.col("started_ts")).alias("started_at"))
+
+
+@query("orphan_events")
+def q_orphan_events(spark, sf_dir):
+    from seamfix.operators.audit import orphan_events
+    r = audit_run(spark, sf_dir)
+    return orphan_events(r["events"], r["episodes"]).select("event_id", "episode_id")
+
+
+def _spans(spark, sf_dir):
+    ev = audit_run(spark, sf_dir)["events"]
+    return ev.select(
+        F.concat(F.lit("trace-"), F.col("user_id").cast("string")).alias("trace_id"),
+        F.when(F.col("node").isin("validate", "human_approval"), "CHAT_MODEL").otherwise("TOOL").alias("span_type"),
+        F.col("k").alias("input_tokens"), F.round("latency_ms").cast("long").alias("output_tokens"),
+        (F.col("k") + F.round("latency_ms").cast("long")).alias("total_tokens"),
+        F.when(F.col("node") == "human_approval", F.col("latency_ms") / 1000).alias("cost"))
+
+
+@query("token_rollup")
+def q_token_rollup(spark, sf_dir):
+    from seamfix.operators.audit import token_rollup
+    t = token_rollup(_spans(spark, sf_dir))
+    return t.withColumn("cost", F.round("cost", 6))
+
+
+@query("run_metrics")
+def q_run_metrics(spark, sf_dir):
+    from seamfix.operators.audit import run_metrics
+    ev = audit_run(spark, sf_dir)["events"]
+    runs = ev.groupBy("episode_id").agg(
+        F.sum("latency_ms").alias("latency_ms"),
+        F.sum(F.when(F.col("node") == "validate", F.col("k"))).alias("token_usage"),
+        F.sum("k").alias("input_tokens"), F.count(F.lit(1)).alias("output_tokens"),
+        (F.sum("k") + F.count(F.lit(1))).alias("total_tokens"),
+        F.sum(F.when(F.col("node") == "human_approval", F.col("latency_ms") / 1000)).alias("cost"))
+    return run_metrics(runs.withColumnRenamed("episode_id", "run_id")).withColumn("value", F.round("value", 6))
+
+
+@query("run_status")
+def q_run_status(spark, sf_dir):
+    from seamfix.operators import repair as R
+    from seamfix.operators.audit import run_status
+    r, _, v = _written_and_verified(spark, sf_dir)
+    st = R.file_status(r["classes"], r["gated"], r["files"], v)
+    return st.select("file_id", "status", run_status(F.col("status")).alias("run_status"))
+
+
+@query("migration_entries")
+def q_migration_entries(spark, sf_dir):
+    """U6 + S8/S9: one entry per non-healthy drift attempt, appended to the
+    authoritative history and (best effort) to the mirror, read back."""
+    from seamfix.session import scratch_path
+    from seamfix.sources.sinks import append_two_sinks
+    r = drift_run(spark, sf_dir)
+    review = q_drift_review(spark, sf_dir)
+    entries = r["presc"].join(r["base"].groupBy("table").agg(F.max("version").alias("baseline_version")), "table", "left") \
+        .join(review, "table", "left").select(
+            "table", F.concat(F.lit("mig-"), F.col("table")).alias("episode_id"),
+            F.coalesce(F.col("baseline_version").cast("long"), F.lit(0).cast("long")).alias("baseline_version"),
+            "n_ops", F.round("confidence", 4).alias("confidence"),
+            F.when(~F.col("valid"), "invalid").when(~F.col("approved"), "rejected").otherwise("proposed").alias("status"),
+            F.coalesce("review", F.lit("")).alias("diff"))
+    primary, mirror = scratch_path(spark, "migrations"), scratch_path(spark, "migrations-mirror")
+    append_two_sinks(entries, primary, mirror)
+    return spark.read.parquet(primary)
+
+
+# --------------------------------------------------------------- publishing
+@query("publish_selection")
+def q_publish_selection(spark, sf_dir):
+    """Healthy -> original, repaired and verified -> output, else none."""
+    from seamfix.operators import repair as R
+    r, _, v = _written_and_verified(spark, sf_dir)
+    st = R.file_status(r["classes"], r["gated"], r["files"], v)
+    path = F.when(F.col("status") == "healthy", F.format_string("source/file_%d.csv", "file_id")) \
+        .when(F.col("status") == "succeeded", F.format_string("repaired/file_%d.csv", "file_id"))
+    return st.filter(path.isNotNull()).select("file_id", path.alias("publish_path"), "status")
+
+
+@query("publish_uri")
+def q_publish_uri(spark, sf_dir):
+    """Credential-free ``wasbs://container@host/name`` per https URL."""
+    from seamfix.functions.text import wasbs_uri
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return p.filter(F.col("url").startswith("https://")).select("page_id", wasbs_uri(F.col("url")).alias("uri"))
+
+
+@query("encoding_evidence")
+def q_encoding_evidence(spark, sf_dir):
+    """D1/D2 on byte renderings of ``documents.text``: UTF-8 for even
+    doc_id, ISO-8859-1 for odd (non-Latin-1 characters become '?')."""
+    from seamfix.operators.encoding import encoding_evidence
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    latin = F.encode(F.regexp_replace("text", "[^\\x{0000}-\\x{00FF}]", "?"), "ISO-8859-1")
+    raw = d.select(F.col("doc_id").alias("file_id"),
+                   F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(latin).alias("content"))
+    return encoding_evidence(raw)

@@ -715,3 +715,145 @@ hless AS (
         "SELECT l.file_id, (SELECT string_agg(name, ',' ORDER BY ordinal) FROM base WHERE tbl = 'orders') AS header, "
         "count(*) AS n_rows, 1.0 AS confidence FROM lines l JOIN hless h USING (file_id) WHERE h.headerless GROUP BY l.file_id")
     return q
+
+
+# Log lines derived from events (S11); every 997th line is unparseable.
+LOGS = r"""
+logs AS (
+  SELECT
+    CASE WHEN bad THEN NULL ELSE event_id END AS event_id,
+    CASE WHEN bad THEN NULL ELSE 'trace-' || CAST(user_id AS VARCHAR) END AS trace_id,
+    CASE WHEN bad THEN NULL ELSE CASE event_type WHEN 'view' THEN 'propose' WHEN 'click' THEN 'validate'
+         WHEN 'signup' THEN 'set_success' WHEN 'purchase' THEN 'set_rejected' WHEN 'error' THEN 'set_failure' END END AS node,
+    CASE WHEN bad THEN NULL WHEN event_type = 'signup' THEN 'repair_completed' ELSE 'node_finished' END AS app_event,
+    CASE WHEN bad THEN NULL ELSE 'csv_repair' END AS app_agent,
+    CASE WHEN bad THEN NULL WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level,
+    CASE WHEN bad THEN NULL ELSE CASE event_type WHEN 'view' THEN 'wrong_delimiter' WHEN 'click' THEN 'header_detection'
+         WHEN 'purchase' THEN 'mixed_delimiter' WHEN 'error' THEN 'engine_selection' END END AS failure_class,
+    CASE WHEN bad THEN NULL ELSE 't' || CAST(user_id % 3 AS VARCHAR) END AS "table",
+    CASE WHEN bad THEN NULL ELSE value END AS latency_ms,
+    CASE WHEN bad THEN NULL ELSE ts END AS ts,
+    bad AS parse_error
+  FROM (SELECT *, event_id % 997 = 0 AS bad FROM events)
+)
+"""
+
+
+def with_logs(body: str) -> str:
+    return "WITH " + LOGS.strip() + ",\n" + body.strip()
+
+
+AUDIT = r"""
+aev AS (
+  SELECT event_id, user_id, 'ep-' || CAST(user_id % 64 AS VARCHAR) AS episode_id,
+    CASE event_type WHEN 'view' THEN 'propose' WHEN 'click' THEN 'validate' WHEN 'purchase' THEN 'human_approval'
+         WHEN 'signup' THEN 'apply' WHEN 'error' THEN 'reverify' END AS node,
+    CAST(json_extract(props, '$.k') AS BIGINT) AS k, value AS latency_ms, ts AS created_ts
+  FROM events
+),
+aev2 AS (
+  SELECT *, CASE node WHEN 'propose' THEN 'proposed'
+      WHEN 'validate' THEN CASE WHEN k % 2 = 0 THEN 'valid' ELSE 'invalid' END
+      WHEN 'human_approval' THEN CASE WHEN k % 3 <> 0 THEN 'approved' ELSE 'rejected' END
+      WHEN 'apply' THEN CASE WHEN k % 5 <> 0 THEN 'applied' ELSE 'apply_failed' END
+      WHEN 'reverify' THEN CASE WHEN k % 7 <> 0 THEN 'verified' ELSE 'verification_failed' END END AS status
+  FROM aev
+),
+eps AS (
+  SELECT 'ep-' || CAST(c.file_id AS VARCHAR) AS episode_id, c.primary_class,
+         (SELECT min(created_ts) FROM aev e WHERE e.episode_id = 'ep-' || CAST(c.file_id AS VARCHAR)) AS started_ts
+  FROM classes c WHERE len(c.cls) > 0
+)
+"""
+
+
+def with_audit(body: str) -> str:
+    return "WITH " + LINES.strip() + ",\n" + DETECT.strip() + ",\n" + AUDIT.strip() + ",\n" + body.strip()
+
+
+TSF = "'%Y-%m-%d %H:%M:%S.%f'"
+
+
+def observe_oracles() -> dict[str, str]:
+    q = {}
+    q["log_ingest"] = with_logs(
+        f"SELECT event_id, trace_id, node, app_event, app_agent, level, failure_class, \"table\", latency_ms, "
+        f"strftime(ts, {TSF}) AS ts_text, strftime(ts, '%Y-%m-%d') AS log_date, parse_error FROM logs")
+    q["volume_over_time"] = with_logs(
+        "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(DISTINCT trace_id) AS n_traces "
+        "FROM logs WHERE app_event = 'repair_completed' GROUP BY 1")
+    q["class_distribution"] = with_logs(
+        "SELECT failure_class, count(*) AS n FROM logs WHERE failure_class IS NOT NULL GROUP BY 1 "
+        "ORDER BY n DESC, failure_class LIMIT 10")
+    q["outcome_breakdown"] = with_logs(
+        "SELECT node, count(*) AS n FROM logs WHERE node IN ('set_success', 'set_failure', 'set_rejected') GROUP BY 1 "
+        "ORDER BY n DESC, node LIMIT 5")
+    q["trace_explorer"] = with_logs(
+        f"SELECT strftime(ts, {TSF}) AS ts_text, app_agent, node, app_event, level, \"table\", failure_class, latency_ms "
+        "FROM logs WHERE trace_id = 'trace-7' ORDER BY ts, event_id")
+    q["latency_summary"] = with_logs(
+        "SELECT node, count(*) AS n, round(avg(latency_ms), 4) AS mean, round(stddev_samp(latency_ms), 4) AS stdev, "
+        "list_sort(list(latency_ms))[CAST(round_even(0.95 * (count(*) - 1), 0) AS BIGINT) + 1] AS p95 "
+        "FROM logs WHERE latency_ms IS NOT NULL AND node IS NOT NULL GROUP BY node")
+    q["audit_events"] = with_audit(
+        f"SELECT episode_id, event_id, node, status, latency_ms, strftime(created_ts, {TSF}) AS created_at FROM aev2")
+    q["audit_payload"] = with_audit("SELECT event_id, node AS step, status, k FROM aev2")
+    q["episode_state"] = with_audit(
+        f"SELECT p.episode_id, coalesce(s.n_events, 0) AS n_events, s.last_node, s.last_status, "
+        f"strftime(p.started_ts, {TSF}) AS started_at, strftime(s.last_ts, {TSF}) AS last_active_at, "
+        "NOT coalesce(s.last_status IN ('verified', 'verification_failed', 'rejected', 'apply_failed', 'invalid'), false) AS is_active "
+        "FROM eps p LEFT JOIN (SELECT episode_id, count(*) AS n_events, arg_max(node, (created_ts, event_id)) AS last_node, "
+        "arg_max(status, (created_ts, event_id)) AS last_status, max(created_ts) AS last_ts FROM aev2 GROUP BY episode_id) s "
+        "USING (episode_id)")
+    q["episode_history"] = with_audit(
+        f"SELECT episode_id, event_id, node, status, strftime(created_ts, {TSF}) AS created_at FROM aev2 "
+        "WHERE episode_id = 'ep-1' ORDER BY created_ts, event_id")
+    q["recent_episodes"] = with_audit(
+        f"SELECT episode_id, primary_class, strftime(started_ts, {TSF}) AS started_at FROM eps "
+        "ORDER BY started_ts DESC NULLS LAST, episode_id LIMIT 5")
+    q["orphan_events"] = with_audit(
+        "SELECT event_id, episode_id FROM aev2 WHERE episode_id NOT IN (SELECT episode_id FROM eps)")
+    q["token_rollup"] = with_audit(
+        "SELECT 'trace-' || CAST(user_id AS VARCHAR) AS trace_id, sum(k) AS input_tokens, "
+        "sum(CAST(round(latency_ms) AS BIGINT)) AS output_tokens, sum(k + CAST(round(latency_ms) AS BIGINT)) AS total_tokens, "
+        "round(sum(CASE WHEN node = 'human_approval' THEN latency_ms / 1000 END), 6) AS cost "
+        "FROM aev2 WHERE node IN ('validate', 'human_approval') GROUP BY user_id")
+    q["run_metrics"] = with_audit(
+        "SELECT run_id, metric, round(value, 6) AS value FROM (SELECT episode_id AS run_id, "
+        "unnest([{'metric': 'latency_ms', 'value': sum(latency_ms)}, "
+        "{'metric': 'token_usage', 'value': CAST(sum(CASE WHEN node = 'validate' THEN k END) AS DOUBLE)}, "
+        "{'metric': 'input_tokens', 'value': CASE WHEN sum(CASE WHEN node = 'validate' THEN k END) IS NULL THEN CAST(sum(k) AS DOUBLE) END}, "
+        "{'metric': 'output_tokens', 'value': CASE WHEN sum(CASE WHEN node = 'validate' THEN k END) IS NULL THEN CAST(count(*) AS DOUBLE) END}, "
+        "{'metric': 'total_tokens', 'value': CASE WHEN sum(CASE WHEN node = 'validate' THEN k END) IS NULL THEN CAST(sum(k) + count(*) AS DOUBLE) END}, "
+        "{'metric': 'cost_usd', 'value': sum(CASE WHEN node = 'human_approval' THEN latency_ms / 1000 END)}], recursive := true) "
+        "FROM aev2 GROUP BY episode_id) WHERE value IS NOT NULL")
+    q["publish_uri"] = (
+        "SELECT page_id, 'wasbs://' || regexp_extract(regexp_extract(url, '^https?://[^/?#]+/([^?#]*)', 1), '^([^/]+)', 1) "
+        "|| '@' || regexp_extract(url, '^https?://([^/?#]+)', 1) || '/' || "
+        "regexp_extract(regexp_extract(url, '^https?://[^/?#]+/([^?#]*)', 1), '^[^/]+/?(.*)$', 1) AS uri "
+        "FROM pages WHERE starts_with(url, 'https://')")
+    return q
+
+
+def status_oracles() -> dict[str, str]:
+    st = ("SELECT c.file_id, CASE WHEN len(c.cls) = 0 THEN 'healthy' WHEN NOT g.valid THEN 'failed' "
+          "WHEN NOT g.approved THEN 'rejected' WHEN NOT coalesce(r.applied, false) THEN 'failed' "
+          "WHEN NOT coalesce(v.verified, false) THEN 'failed' ELSE 'succeeded' END AS status "
+          "FROM classes c LEFT JOIN gatedq g USING (file_id) LEFT JOIN rfiles r USING (file_id) "
+          "LEFT JOIN verified v USING (file_id)")
+    q = {}
+    q["run_status"] = with_repair(
+        f"SELECT file_id, status, CASE status WHEN 'succeeded' THEN 'FINISHED' WHEN 'failed' THEN 'FAILED' "
+        f"ELSE 'FINISHED' END AS run_status FROM ({st})")
+    q["publish_selection"] = with_repair(
+        f"SELECT file_id, CASE status WHEN 'healthy' THEN printf('source/file_%d.csv', file_id) "
+        f"ELSE printf('repaired/file_%d.csv', file_id) END AS publish_path, status FROM ({st}) "
+        "WHERE status IN ('healthy', 'succeeded')")
+    q["migration_entries"] = with_drift(
+        "SELECT p.tbl AS \"table\", 'mig-' || p.tbl AS episode_id, "
+        "coalesce((SELECT max(version) FROM base b WHERE b.tbl = p.tbl), 0) AS baseline_version, p.n_ops, "
+        "round(p.confidence, 4) AS confidence, CASE WHEN NOT p.valid THEN 'invalid' WHEN p.escalated THEN 'rejected' "
+        "ELSE 'proposed' END AS status, coalesce((SELECT string_agg(CASE kind WHEN 'type_changed' THEN '~ ' || col || ': ' "
+        "|| from_type || ' -> ' || to_type WHEN 'added' THEN '+ ' || col || ': ' || to_type ELSE '- ' || col END, chr(10) "
+        "ORDER BY kind, col) FROM diff d WHERE d.tbl = p.tbl), '') AS diff FROM presc p")
+    return q

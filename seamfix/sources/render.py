@@ -189,3 +189,28 @@ def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("latency_ms"),
         "props",
     )
+
+
+# events.event_type -> audited workflow step (audit tables, U1-U11)
+AUDIT_STEP = {
+    "view": "propose",
+    "click": "validate",
+    "purchase": "human_approval",
+    "signup": "apply",
+    "error": "reverify",
+}
+
+
+def audit_events(spark: SparkSession, sf_dir: str, n_files: int = 64) -> DataFrame:
+    """Append-only repair events derived from ``events``: the trace of user
+    u belongs to the episode of rendered file ``u % n_files``."""
+    from seamfix.operators.audit import payload, step_status
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    node = _case(F.col("event_type"), AUDIT_STEP, None)
+    k = F.get_json_object("props", "$.k").cast("long")
+    df = e.select(
+        "event_id", "user_id",
+        F.concat(F.lit("ep-"), (F.col("user_id") % n_files).cast("string")).alias("episode_id"),
+        node.alias("node"), k.alias("k"), F.col("value").alias("latency_ms"), F.col("ts").alias("created_ts"))
+    st = step_status(F.col("node"), F.col("k"))
+    return df.withColumn("status", st).withColumn("payload", payload(F.col("node"), st, F.col("k")))
