@@ -701,3 +701,81 @@ def q_encoding_evidence(spark, sf_dir):
     raw = d.select(F.col("doc_id").alias("file_id"),
                    F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(latin).alias("content"))
     return encoding_evidence(raw)
+
+
+# ---------------------------------------------------------------- streaming
+def _staged(spark, sf_dir, name):
+    from seamfix.session import scratch_path
+    from seamfix.streaming.streams import stage_files
+    return stage_files(rendered(spark, sf_dir), scratch_path(spark, name))
+
+
+@query("stream_detect")
+def q_stream_detect(spark, sf_dir):
+    """Files arriving in an intake folder are classified per micro-batch."""
+    from seamfix.session import scratch_path
+    from seamfix.streaming.streams import for_each_file_batch
+
+    def classify(lines):
+        c = D.detect(lines, N_FILES)["classes"]
+        return c.select("file_id", F.array_join("failure_classes", ",").alias("failure_classes"),
+                        F.size("failure_classes").cast("long").alias("n_classes"))
+    root = _staged(spark, sf_dir, "intake-detect")
+    return for_each_file_batch(spark, root, scratch_path(spark, "sink-detect"), classify, "detect")
+
+
+@query("stream_repair")
+def q_stream_repair(spark, sf_dir):
+    """Arriving files are detected, gated and repaired per micro-batch;
+    repaired lines are appended to the output table."""
+    from seamfix.session import scratch_path
+    from seamfix.streaming.streams import for_each_file_batch
+    root = _staged(spark, sf_dir, "intake-repair")
+    return for_each_file_batch(
+        spark, root, scratch_path(spark, "sink-repair"),
+        lambda lines: repair_run(spark, sf_dir, lines=lines)["out"], "repair")
+
+
+def _ndjson(spark, sf_dir):
+    from seamfix.session import scratch_path
+    from seamfix.sources.logs import write_ndjson
+    from seamfix.sources.render import event_logs
+    return write_ndjson(event_logs(spark, sf_dir), scratch_path(spark, "logs-stream"))
+
+
+@query("stream_logs")
+def q_stream_logs(spark, sf_dir):
+    """Continuous log ingestion (batch equivalent: log_ingest)."""
+    from seamfix.streaming.streams import stream_logs
+    g = stream_logs(spark, _ndjson(spark, sf_dir))
+    return g.select("event_id", "trace_id", "node", "app_event", "app_agent", "level", "failure_class", "table",
+                    "latency_ms", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts_text"),
+                    F.date_format("log_date", "yyyy-MM-dd").alias("log_date"), "parse_error")
+
+
+@query("stream_volume")
+def q_stream_volume(spark, sf_dir):
+    """T4: event-time daily repair volume with a watermark (exact distinct)."""
+    from seamfix.streaming.streams import stream_volume
+    return stream_volume(spark, _ndjson(spark, sf_dir))
+
+
+@query("stream_drift")
+def q_stream_drift(spark, sf_dir):
+    """T5: drift of arriving customer extracts against the static baseline."""
+    from seamfix.operators.drift import latest_baselines
+    from seamfix.session import scratch_path
+    from seamfix.sources.render import baselines, drifted_customer
+    from seamfix.streaming.streams import stream_drift
+    root = scratch_path(spark, "intake-customer")
+    drifted_customer(spark, sf_dir).repartition(4).write.mode("overwrite").parquet(root)
+    return stream_drift(spark, root, latest_baselines(baselines(spark)), "customer")
+
+
+@query("stream_once")
+def q_stream_once(spark, sf_dir):
+    """The same file delivered twice is handled once."""
+    from seamfix.streaming.streams import FILE_ID, stream_once
+    root = _staged(spark, sf_dir, "intake-once")
+    seen = stream_once(spark, root)
+    return seen.groupBy(FILE_ID(F.col("path")).alias("file_id")).agg(F.count(F.lit(1)).alias("n_seen"))

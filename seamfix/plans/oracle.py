@@ -857,3 +857,23 @@ def status_oracles() -> dict[str, str]:
         "|| from_type || ' -> ' || to_type WHEN 'added' THEN '+ ' || col || ': ' || to_type ELSE '- ' || col END, chr(10) "
         "ORDER BY kind, col) FROM diff d WHERE d.tbl = p.tbl), '') AS diff FROM presc p")
     return q
+
+
+def stream_oracles() -> dict[str, str]:
+    """Streams are checked against the SQL of their batch equivalents."""
+    det = detection_oracles()
+    rep = repair_oracles()
+    obs = observe_oracles()
+    dr = drift_oracles()
+    q = {
+        "stream_detect": det["failure_classes"],
+        "stream_repair": with_repair("SELECT file_id, line_no, text FROM rout"),
+        "stream_logs": obs["log_ingest"],
+        "stream_volume": obs["volume_over_time"],
+        "stream_drift": dr["schema_diff"].replace(
+            'SELECT tbl AS "table", kind, col AS "column", from_type, to_type FROM diff',
+            'SELECT tbl AS "table", kind, col AS "column", from_type, to_type FROM diff WHERE tbl = \'customer\''),
+        "stream_once": "SELECT DISTINCT o_custkey % 64 AS file_id, CAST(1 AS BIGINT) AS n_seen FROM orders",
+    }
+    _ = rep
+    return q
