@@ -122,12 +122,14 @@ def head_lines(lines: DataFrame, upto: int = K.MAX_PREAMBLE_LINES + 1) -> DataFr
     return lines.filter(F.col("line_no") <= upto).select("file_id", "line_no", "raw")
 
 
-def garbled_header(lines: DataFrame, struct_df: DataFrame, file_bound: int | None = None) -> DataFrame:
+def garbled_header(lines: DataFrame, struct_df: DataFrame, file_bound: int | None = None,
+                   head: DataFrame | None = None) -> DataFrame:
     """For files with offset > 0: is line ``offset`` the real header, mangled
     by several stray delimiters? (D9). Returns file_id, line_no,
     observed_delimiter, repaired_text for the files where it is."""
     cand = struct_df.filter(F.col("offset") > 0).select("file_id", F.col("offset").alias("line_no"), "delimiter", "width")
-    j = head_lines(lines).join(sized_broadcast(cand, file_bound), ["file_id", "line_no"])
+    head = head if head is not None else head_lines(lines)
+    j = head.join(sized_broadcast(cand, file_bound), ["file_id", "line_no"])
     cands = T.stray_candidates(F.col("raw"), F.col("delimiter"))
     j = j.withColumn("cands", cands)
     pattern = F.array_join(F.transform("cands", T.quote_regex), "|")
@@ -159,11 +161,16 @@ def csv_split_udf(raw: pd.Series, d: pd.Series) -> pd.Series:
 
 
 def with_fields(df: DataFrame, raw: str = "raw", d: str = "delimiter", out: str = "fields") -> DataFrame:
-    """Append ``fields``; unquoted lines split natively, quoted ones via an
-    Arrow UDF applied only to the quoted subset."""
-    plain = df.filter(F.instr(F.col(raw), '"') == 0).withColumn(out, T.split_fields(F.col(raw), F.col(d)))
-    quoted = df.filter(F.instr(F.col(raw), '"') > 0).withColumn(out, csv_split_udf(F.col(raw), F.col(d)))
-    return plain.unionByName(quoted)
+    """Append ``fields``: unquoted lines split literally; lines holding a
+    double quote split natively outside quotes (even number of quotes ahead)
+    and are unquoted. No Python in this path."""
+    line, delim = F.col(raw), F.col(d)
+    outside = F.concat(T.quote_regex(delim), F.lit('(?=(?:[^"]*"[^"]*")*[^"]*$)'))
+    quoted = F.transform(
+        F.split(line, outside, -1),
+        lambda f: F.when(f.rlike('^"(?:[^"]|"")*"$'),
+                         F.regexp_replace(F.regexp_extract(f, '^"(.*)"$', 1), '""', '"')).otherwise(f))
+    return df.withColumn(out, F.when(F.instr(line, '"') > 0, quoted).otherwise(T.split_fields(line, delim)))
 
 
 # --------------------------------------------------------------- D11, D12, D13
@@ -178,11 +185,12 @@ def numeric_columns(lines: DataFrame, struct_df: DataFrame, file_bound: int | No
 
 
 def header_checks(lines: DataFrame, struct_df: DataFrame, file_bound: int | None = None,
-                  bom_files: DataFrame | None = None) -> DataFrame:
+                  bom_files: DataFrame | None = None, head: DataFrame | None = None) -> DataFrame:
     """file_id, looks_headerless (D12), invisible (D13) for files consistent
     from line 1."""
     files = struct_df.filter((F.col("offset") == 0) & ~F.col("single_column")).select("file_id", "delimiter")
-    first = lines.filter(F.col("line_no") == 1).join(sized_broadcast(files, file_bound), "file_id")
+    head = head if head is not None else head_lines(lines)
+    first = head.filter(F.col("line_no") == 1).join(sized_broadcast(files, file_bound), "file_id")
     first = with_fields(first).select("file_id", "fields", "raw")
     num = numeric_columns(lines, struct_df, file_bound)
     hdr = first.select("file_id", F.posexplode("fields").alias("pos", "v"))
@@ -333,15 +341,19 @@ def detect(lines: DataFrame, file_bound: int | None = None, encoding: DataFrame
            bom_files: DataFrame | None = None, cut: bool = True) -> dict[str, DataFrame]:
     """All detection frames for a set of files.
 
-    The per-file frames (one row per file) feed several line-level
-    branches; with ``cut`` they are checkpointed once so the shape
-    aggregate is not recomputed per branch.
+    Full passes over ``lines``: the shape aggregate, the numeric-column
+    check of consistent files and the disagreeing rows of the others. The
+    per-file frames and the head lines (<= 11 per file) are small; with
+    ``cut`` they are written once to the shared folder so no branch
+    recomputes the shape aggregate. When ``lines`` is itself a written
+    table sorted by (file_id, line_no), the head filter prunes row groups.
     """
     keep = cut_lineage if cut else (lambda x: x)
-    groups = shape_groups(lines)
+    groups = keep(shape_groups(lines))  # a few rows per file and candidate
     st = keep(structure(lines, groups))
-    garbled = keep(garbled_header(lines, st, file_bound))
-    hdr = keep(header_checks(lines, st, file_bound, bom_files))
+    head = keep(head_lines(lines))  # at most 11 lines per file
+    garbled = garbled_header(lines, st, file_bound, head)
+    hdr = header_checks(lines, st, file_bound, bom_files, head)
     disagree = keep(disagreeing_rows(lines, st, file_bound))
     classes = keep(classify(st, garbled, hdr, disagree, encoding))
     return {"groups": groups, "structure": st, "garbled": garbled, "header": hdr,

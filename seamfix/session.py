@@ -51,10 +51,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def cut_lineage(df):
-    """Reliable checkpoint into the shared folder (survives executor loss).
+def cut_lineage(df, name: str = "cut"):
+    """Cut lineage with a written Parquet table in the shared folder.
 
-    Used on small per-file decision frames that several branches reuse, and
-    on derived test inputs; never ``localCheckpoint``."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    One job writes it (a reliable ``checkpoint()`` would compute the plan
+    twice: once to count, once to write); the re-read gets column pruning
+    and filter pushdown, and survives executor loss. Used on small per-file
+    decision frames that several branches reuse and on derived inputs;
+    never ``localCheckpoint``."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
