@@ -47,7 +47,7 @@ def text_throughput(spark, sf_dir: str, n_files: int) -> dict:
     fid = lambda p: F.regexp_extract(p, r"part=(\d+)", 1).cast("long")
     t = time.time()
     lines = scan_lines(spark, root + "/*/*.csv", file_expr=fid)
-    d = detect(lines, n_files, cut=False)
+    d = detect(lines, n_files)
     n = d["classes"].count()
     el = time.time() - t
     return {"files": n, "mib": round(size / 2**20, 2), "sec": round(el, 3), "mib_per_sec": round(size / 2**20 / el, 2)}

@@ -100,7 +100,7 @@ def has_invisible(x) -> Column:
 
 def is_blank(x) -> Column:
     """True when the line holds only blanks."""
-    return F.regexp_replace(_c(x), r"^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}]+$", "") == ""
+    return _c(x).rlike(r"^[\s\p{Z}]*$")
 
 
 def parses_float(x) -> Column:

@@ -338,17 +338,21 @@ def classify(struct_df: DataFrame, garbled: DataFrame, hdr: DataFrame, disagree:
 
 
 def detect(lines: DataFrame, file_bound: int | None = None, encoding: DataFrame | None = None,
-           bom_files: DataFrame | None = None, cut: bool = True) -> dict[str, DataFrame]:
+           bom_files: DataFrame | None = None, cut: bool = True,
+           lines_materialized: bool = False) -> dict[str, DataFrame]:
     """All detection frames for a set of files.
 
     Full passes over ``lines``: the shape aggregate, the numeric-column
-    check of consistent files and the disagreeing rows of the others. The
-    per-file frames and the head lines (<= 11 per file) are small; with
-    ``cut`` they are written once to the shared folder so no branch
-    recomputes the shape aggregate. When ``lines`` is itself a written
-    table sorted by (file_id, line_no), the head filter prunes row groups.
+    check of consistent files and the disagreeing rows of the others. With
+    ``cut`` the numbered lines are written once (sorted by file and line, so
+    the head filters prune row groups) unless the caller already did, and
+    the small per-file frames and head lines (<= 11 per file) are written
+    too, so no branch repeats the scan, the numbering or the shape
+    aggregate.
     """
     keep = cut_lineage if cut else (lambda x: x)
+    if cut and not lines_materialized:
+        lines = cut_lineage(lines.sortWithinPartitions("file_id", "line_no"), "lines")
     groups = keep(shape_groups(lines))  # a few rows per file and candidate
     st = keep(structure(lines, groups))
     head = keep(head_lines(lines))  # at most 11 lines per file

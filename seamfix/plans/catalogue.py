@@ -34,7 +34,7 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detected(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return D.detect(rendered(spark, sf_dir), N_FILES)
+    return D.detect(rendered(spark, sf_dir), N_FILES, lines_materialized=True)
 
 
 # ------------------------------------------------------------ detection
@@ -143,8 +143,9 @@ def repair_run(spark: SparkSession, sf_dir: str, with_defaults: bool = False,
     """
     from seamfix.operators import propose as P
     from seamfix.operators import repair as R
-    lines = lines if lines is not None else rendered(spark, sf_dir)
-    d = D.detect(lines, N_FILES)
+    given = lines is not None
+    lines = lines if given else rendered(spark, sf_dir)
+    d = D.detect(lines, N_FILES, lines_materialized=not given)
     repairs = D.row_repairs(d["disagree"], d["classes"])
     p10 = P.single_column_delimiter(lines, d["structure"], N_FILES)
     supplied = None
