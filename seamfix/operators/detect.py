@@ -94,6 +94,10 @@ def structure(lines: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Per file: delimiter, n_lines, single_column, w1 (width of line 1),
     width (w of the consistent tail), offset (D8, null when none)."""
     groups = groups if groups is not None else shape_groups(lines)
+    # One hash partitioning by file: every later aggregate and join below
+    # is keyed by file_id, so none of them needs another exchange.
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = groups.repartition(parts, "file_id")
     vote = delimiter_vote(groups)
     g = groups.join(vote.select("file_id", F.col("delimiter").alias("cand")), ["file_id", "cand"])
     by_fc = g.groupBy("file_id", "fc").agg(F.min("min_ln").alias("min_ln"), F.max("max_ln").alias("max_ln"))
