@@ -99,7 +99,8 @@ def structure(lines: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = groups.repartition(parts, "file_id")
     vote = delimiter_vote(groups)
-    g = groups.join(vote.select("file_id", F.col("delimiter").alias("cand")), ["file_id", "cand"])
+    g = groups.join(vote.select("file_id", F.col("delimiter").alias("chosen")), "file_id") \
+        .filter(F.col("cand") == F.col("chosen"))
     by_fc = g.groupBy("file_id", "fc").agg(F.min("min_ln").alias("min_ln"), F.max("max_ln").alias("max_ln"))
     per = by_fc.groupBy("file_id").agg(
         F.max("fc").alias("max_fc"),
