@@ -54,16 +54,13 @@ def shape_groups(lines: DataFrame) -> DataFrame:
     )
 
 
-def _vote(per_cand: DataFrame, n: str, m: str, occ: str, label: str) -> DataFrame:
-    """Accept a candidate when its most frequent per-line count is > 0 and
-    (2m - n)/n >= 0.9; pick the highest share level, then preference."""
+def _pick(n: str, m: str, occ: str) -> Column:
+    """Vote (A.1) as one conditional ``max_by``: a candidate counts when its
+    most frequent per-line count is > 0 and (2m - n)/n >= 0.9; the highest
+    share level wins, then preference. Null when no candidate qualifies."""
     ok = (F.col(occ) > 0) & ((2 * F.col(m) - F.col(n)) * 10 >= 9 * F.col(n))
     level = F.floor((2 * F.col(m) - F.col(n)) * 100 / F.col(n))
-    return (
-        per_cand.filter(ok)
-        .groupBy("file_id")
-        .agg(F.max_by("cand", F.struct(level, -F.col("pref"))).alias(label))
-    )
+    return F.max_by("cand", F.when(ok, F.struct(level, -F.col("pref"))))
 
 
 def delimiter_vote(groups: DataFrame) -> DataFrame:
@@ -79,14 +76,11 @@ def delimiter_vote(groups: DataFrame) -> DataFrame:
     ).select("file_id", "cand", "pref", "n", "nt",
              F.col("mw.cnt").alias("m"), F.col("mw.occ").alias("mocc"),
              F.col("mt.cnt_tail").alias("mtc"), F.col("mt.occ").alias("mtocc"))
-    files = per.groupBy("file_id").agg(F.max("n").alias("n_lines"))
-    whole = _vote(per, "n", "m", "mocc", "whole_delim")
-    tail = _vote(per, "nt", "mtc", "mtocc", "tail_delim")
-    return (
-        files.join(whole, "file_id", "left")
-        .join(tail, "file_id", "left")
-        .withColumn("delimiter", F.coalesce("whole_delim", "tail_delim", F.lit(K.DEFAULT_DELIMITER)))
-    )
+    return per.groupBy("file_id").agg(
+        F.max("n").alias("n_lines"),
+        _pick("n", "m", "mocc").alias("whole_delim"),
+        _pick("nt", "mtc", "mtocc").alias("tail_delim"),
+    ).withColumn("delimiter", F.coalesce("whole_delim", "tail_delim", F.lit(K.DEFAULT_DELIMITER)))
 
 
 # ------------------------------------------------------- D5, D7, D8 (per file)
@@ -102,6 +96,8 @@ def structure(lines: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     g = groups.join(vote.select("file_id", F.col("delimiter").alias("chosen")), "file_id") \
         .filter(F.col("cand") == F.col("chosen"))
     by_fc = g.groupBy("file_id", "fc").agg(F.min("min_ln").alias("min_ln"), F.max("max_ln").alias("max_ln"))
+    # ends: last line of each width group, sorted; bounded by the number of
+    # distinct widths in a file, not by its lines.
     per = by_fc.groupBy("file_id").agg(
         F.max("fc").alias("max_fc"),
         F.max("max_ln").alias("last_ln"),
@@ -109,10 +105,10 @@ def structure(lines: DataFrame, groups: DataFrame | None = None) -> DataFrame:
         F.max_by("min_ln", "max_ln").alias("gmin"),
         F.min_by("fc", "min_ln").alias("w1"),
         F.count(F.lit(1)).alias("n_widths"),
+        F.array_sort(F.collect_list("max_ln")).alias("ends"),
     )
-    m2 = by_fc.join(per.select("file_id", "last_ln"), "file_id").filter(F.col("max_ln") < F.col("last_ln")) \
-        .groupBy("file_id").agg(F.max("max_ln").alias("m2"))
-    out = vote.join(per, "file_id").join(m2, "file_id", "left").withColumn("m2", F.coalesce("m2", F.lit(0)))
+    m2 = F.when(F.size("ends") >= 2, F.element_at("ends", -2)).otherwise(F.lit(0))
+    out = vote.join(per, "file_id").withColumn("m2", m2)
     offset_ok = (F.col("gmin") == F.col("m2") + 1) & (F.col("m2") <= F.least(F.lit(K.MAX_PREAMBLE_LINES), F.col("n_lines") - 2))
     return out.select(
         "file_id", "n_lines", "whole_delim", "tail_delim", "delimiter",
