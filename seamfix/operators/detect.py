@@ -88,17 +88,21 @@ def structure(lines: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Per file: delimiter, n_lines, single_column, w1 (width of line 1),
     width (w of the consistent tail), offset (D8, null when none)."""
     groups = groups if groups is not None else shape_groups(lines)
-    # One hash partitioning by file: every later aggregate and join below
-    # is keyed by file_id, so none of them needs another exchange.
-    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = groups.repartition(parts, "file_id")
+    # One hash partitioning by file, then nothing but file-local work: the
+    # width statistics are taken for every candidate (at most five per
+    # file), so the chosen one is picked after the vote with an array
+    # filter instead of a join on (file, candidate) that would re-shuffle.
+    # The one join is on file_id alone between two frames already hash
+    # partitioned by it (hinted merge join: AQE would otherwise make it a
+    # broadcast, a job of its own). AQE may coalesce the partitions, as
+    # the frame holds a few rows per file.
+    groups = groups.repartition("file_id")
     vote = delimiter_vote(groups)
-    g = groups.join(vote.select("file_id", F.col("delimiter").alias("chosen")), "file_id") \
-        .filter(F.col("cand") == F.col("chosen"))
-    by_fc = g.groupBy("file_id", "fc").agg(F.min("min_ln").alias("min_ln"), F.max("max_ln").alias("max_ln"))
+    by_fc = groups.groupBy("file_id", "cand", "fc").agg(
+        F.min("min_ln").alias("min_ln"), F.max("max_ln").alias("max_ln"))
     # ends: last line of each width group, sorted; bounded by the number of
     # distinct widths in a file, not by its lines.
-    per = by_fc.groupBy("file_id").agg(
+    per_cand = by_fc.groupBy("file_id", "cand").agg(
         F.max("fc").alias("max_fc"),
         F.max("max_ln").alias("last_ln"),
         F.max_by("fc", "max_ln").alias("width"),
@@ -107,8 +111,13 @@ def structure(lines: DataFrame, groups: DataFrame | None = None) -> DataFrame:
         F.count(F.lit(1)).alias("n_widths"),
         F.array_sort(F.collect_list("max_ln")).alias("ends"),
     )
+    stats = per_cand.groupBy("file_id").agg(F.collect_list(F.struct(
+        "cand", "max_fc", "last_ln", "width", "gmin", "w1", "n_widths", "ends")).alias("_cs"))
+    chosen = F.element_at(F.filter("_cs", lambda x: x["cand"] == F.col("delimiter")), 1)
+    per = vote.join(stats.hint("shuffle_merge"), "file_id").withColumn("_s", chosen)
+    out = per.select("file_id", "n_lines", "whole_delim", "tail_delim", "delimiter", "_s.*").drop("cand")
     m2 = F.when(F.size("ends") >= 2, F.element_at("ends", -2)).otherwise(F.lit(0))
-    out = vote.join(per, "file_id").withColumn("m2", m2)
+    out = out.withColumn("m2", m2)
     offset_ok = (F.col("gmin") == F.col("m2") + 1) & (F.col("m2") <= F.least(F.lit(K.MAX_PREAMBLE_LINES), F.col("n_lines") - 2))
     return out.select(
         "file_id", "n_lines", "whole_delim", "tail_delim", "delimiter",
