@@ -43,7 +43,9 @@ def single_column_delimiter(lines: DataFrame, struct_df: DataFrame, file_bound:
     cands = first.select("file_id", F.explode(F.array_distinct(
         F.regexp_extract_all("raw", F.lit(r"([^\p{L}\p{N}])"), 1))).alias("c"))
     cands = cands.filter(~F.col("c").isin(*K.CANDIDATE_DELIMITERS))
-    per_line = lines.join(sized_broadcast(cands, None if file_bound is None else file_bound * 16), "file_id") \
+    # The candidate characters per file are not bounded by a known number,
+    # so the join is left to the planner and AQE (which see their size).
+    per_line = lines.join(cands, "file_id") \
         .select("file_id", "c", (T.occurrences(F.col("raw"), F.col("c")) + 1).alias("w"))
     widths = per_line.groupBy("file_id", "c").agg(F.min("w").alias("lo"), F.max("w").alias("hi"))
     ok = widths.filter((F.col("lo") == F.col("hi")) & (F.col("lo") >= 2))

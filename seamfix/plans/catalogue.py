@@ -170,7 +170,10 @@ def repair_run(spark: SparkSession, sf_dir: str, with_defaults: bool = False,
     hashed = P.prescription_hash(P.validate(params, P.known_codecs(spark)))
     approvals = hashed.select("file_id", "prescription_hash", (F.col("file_id") % 8 != 7).alias("approved"))
     gated = cut_lineage(P.executor_path(P.gate(hashed, approvals)))
-    fixes = P.row_repair_table(repairs, d["garbled"])
+    # Written, so the planner sees its real size: a small table is joined to
+    # the lines by broadcast (no shuffle of the lines), a large one by a
+    # merge join on (file_id, line_no), which no hot file can skew.
+    fixes = cut_lineage(P.row_repair_table(repairs, d["garbled"]), "fixes")
     res = R.apply_repairs(lines, gated, fixes, N_FILES)
     return {**d, "lines": lines, "p10": p10, "params": params, "gated": gated, "fixes": fixes, **res}
 

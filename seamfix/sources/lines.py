@@ -38,10 +38,13 @@ def scan_lines(spark: SparkSession, paths: list[str] | str, file_col: str = "fil
         F.regexp_replace("raw", "\r$", "").alias("raw"),
         F.concat(F.col("_path"), F.lit("#"), F.lpad(F.col("_block_start").cast("string"), 20, "0")).alias("_block"),
     ).filter(~T.is_blank(F.col("raw")))
-    # split_bound: one statistics row per file split; the listing bounds it.
-    n_files = len(spark.read.text(paths).inputFiles())
-    size_hint = n_files * 64
-    out = number_scanned_lines(df, file_col, "_block", size_hint)
+    # One statistics row per file split. A split is a whole small file or a
+    # piece of a large one; the pieces of a large file fill scan partitions
+    # of their own, so splits <= listed files + scan partitions (both known
+    # from planning the scan, no job runs).
+    scan = spark.read.option("lineSep", "\n").text(paths)
+    split_bound = len(scan.inputFiles()) + scan.rdd.getNumPartitions()
+    out = number_scanned_lines(df, file_col, "_block", split_bound)
     return out.withColumn("valid_utf8", F.is_valid_utf8(F.col("raw")))
 
 
