@@ -34,24 +34,37 @@ _PREF = {d: i for i, d in enumerate(K.DELIMITER_PREFERENCE)}
 
 # ---------------------------------------------------------------- D3, D4, D6
 def shape_groups(lines: DataFrame) -> DataFrame:
-    """(file_id, cand, pref, occ, fc) -> cnt, cnt_tail, min_ln, max_ln."""
+    """(file_id, cand, pref, occ, fc) -> cnt, cnt_tail, min_ln, max_ln.
+
+    Lines are first aggregated by their whole shape (occurrences and field
+    count under all five candidates): the lines of a regular file share a
+    handful of shapes, so the partial aggregate collapses them before any
+    row is multiplied. Only the aggregated shapes are split per candidate
+    and re-aggregated (sum, min, max compose exactly)."""
     tail = F.col("line_no") > F.col("n_lines") - K.SNIFF_TAIL_LINES
-    per_cand = F.array(*[
-        F.struct(
-            F.lit(d).alias("cand"),
-            F.lit(_PREF[d]).alias("pref"),
-            T.occurrences(F.col("raw"), d).cast("long").alias("occ"),
-            T.field_count(F.col("raw"), d).alias("fc"),
-        )
-        for d in K.CANDIDATE_DELIMITERS
-    ])
-    shaped = lines.select("file_id", "line_no", tail.alias("is_tail"), F.inline(per_cand))
-    return shaped.groupBy("file_id", "cand", "pref", "occ", "fc").agg(
+    shape_cols = []
+    for i, d in enumerate(K.CANDIDATE_DELIMITERS):
+        shape_cols += [T.occurrences(F.col("raw"), d).cast("long").alias(f"_o{i}"),
+                       T.field_count(F.col("raw"), d).alias(f"_f{i}")]
+    keys = [c for i in range(len(K.CANDIDATE_DELIMITERS)) for c in (f"_o{i}", f"_f{i}")]
+    shapes = lines.select("file_id", "line_no", tail.alias("is_tail"), *shape_cols).groupBy("file_id", *keys).agg(
         F.count(F.lit(1)).alias("cnt"),
         F.count_if("is_tail").alias("cnt_tail"),
         F.min("line_no").alias("min_ln"),
         F.max("line_no").alias("max_ln"),
     )
+    per_cand = F.array(*[
+        F.struct(F.lit(d).alias("cand"), F.lit(_PREF[d]).alias("pref"),
+                 F.col(f"_o{i}").alias("occ"), F.col(f"_f{i}").alias("fc"))
+        for i, d in enumerate(K.CANDIDATE_DELIMITERS)
+    ])
+    split = shapes.select("file_id", "cnt", "cnt_tail", "min_ln", "max_ln", F.inline(per_cand))
+    return split.groupBy("file_id", "cand", "pref", "occ", "fc").agg(
+        F.sum("cnt").alias("cnt"),
+        F.sum("cnt_tail").alias("cnt_tail"),
+        F.min("min_ln").alias("min_ln"),
+        F.max("max_ln").alias("max_ln"),
+    )
 
 
 def _pick(n: str, m: str, occ: str) -> Column:
