@@ -30,6 +30,22 @@ def query(name: str):
 _RENDERED: dict[tuple, str] = {}
 
 
+class Lazy(dict):
+    """Named steps of a run, each built (and its lineage cut written) on
+    first use, so a query pays only for the steps it reads."""
+
+    def __init__(self):
+        super().__init__()
+        self._steps: dict[str, Callable[[], DataFrame]] = {}
+
+    def add(self, name: str, step: Callable[[], DataFrame]) -> None:
+        self._steps[name] = step
+
+    def __missing__(self, name: str) -> DataFrame:
+        value = self[name] = self._steps[name]()
+        return value
+
+
 def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The damaged files rendered from ``orders``, written once per session
     to the shared folder (test input derived from the driver table, not
@@ -330,30 +346,38 @@ def drift_run(spark: SparkSession, sf_dir: str, apply: bool = False) -> dict:
     from seamfix.operators import drift as C
     from seamfix.sources.render import baselines, current_tables
     tables = current_tables(spark, sf_dir)
-    current = cut_lineage(C.inspect_schema(tables))
-    base = cut_lineage(C.latest_baselines(baselines(spark)))
-    diff = cut_lineage(C.column_diff(current, base))
-    names = current.select("table").distinct()
-    sets = C.diff_sets(diff, names)
-    hints = cut_lineage(C.rename_hints(C.rename_candidates(diff)))
-    types = diff.select("table", "column", F.coalesce("from_type", "to_type").alias("t"))
-    conf = hints.join(types.withColumnRenamed("column", "removed_column").withColumnRenamed("t", "rt"),
-                      ["table", "removed_column"]) \
-        .join(types.withColumnRenamed("column", "added_column").withColumnRenamed("t", "at"), ["table", "added_column"]) \
-        .select("table", "removed_column", "added_column",
-                ((F.col("similarity") >= 0.6) & (F.col("rt") == F.col("at"))).alias("confirmed"),
-                F.lit(0.9).alias("llm_confidence"))
-    renames = C.confirm_renames(hints, conf)
-    ops = cut_lineage(C.operations(diff, renames))
-    rejected = ops.filter((F.col("op") == "drop") & F.col("column").contains("extra"))
-    kept = C.drop_rejected(ops, rejected)
-    ordered = cut_lineage(C.order_operations(C.op_errors(kept)))
-    drifted = sets.filter("has_changes").select("table")
-    presc = cut_lineage(C.prescriptions(kept, drifted).withColumn("approved", F.col("valid") & ~F.col("escalated")))
-    out = {"tables": tables, "current": current, "base": base, "diff": diff, "sets": sets, "hints": hints,
-           "renames": renames, "ops": ops, "kept": kept, "ordered": ordered, "presc": presc}
+    out = Lazy()
+    out.add("tables", lambda: tables)
+    out.add("current", lambda: cut_lineage(C.inspect_schema(tables)))
+    out.add("base", lambda: cut_lineage(C.latest_baselines(baselines(spark))))
+    out.add("diff", lambda: cut_lineage(C.column_diff(out["current"], out["base"])))
+    out.add("sets", lambda: C.diff_sets(out["diff"], out["current"].select("table").distinct()))
+    out.add("hints", lambda: cut_lineage(C.rename_hints(C.rename_candidates(out["diff"]))))
+
+    def renames():
+        hints = out["hints"]
+        types = out["diff"].select("table", "column", F.coalesce("from_type", "to_type").alias("t"))
+        conf = hints.join(types.withColumnRenamed("column", "removed_column").withColumnRenamed("t", "rt"),
+                          ["table", "removed_column"]) \
+            .join(types.withColumnRenamed("column", "added_column").withColumnRenamed("t", "at"), ["table", "added_column"]) \
+            .select("table", "removed_column", "added_column",
+                    ((F.col("similarity") >= 0.6) & (F.col("rt") == F.col("at"))).alias("confirmed"),
+                    F.lit(0.9).alias("llm_confidence"))
+        return C.confirm_renames(hints, conf)
+
+    def kept():
+        ops = out["ops"]
+        rejected = ops.filter((F.col("op") == "drop") & F.col("column").contains("extra"))
+        return C.drop_rejected(ops, rejected)
+
+    out.add("renames", renames)
+    out.add("ops", lambda: cut_lineage(C.operations(out["diff"], out["renames"])))
+    out.add("kept", kept)
+    out.add("ordered", lambda: cut_lineage(C.order_operations(C.op_errors(out["kept"]))))
+    out.add("presc", lambda: cut_lineage(C.prescriptions(out["kept"], out["sets"].filter("has_changes").select("table"))
+                                         .withColumn("approved", F.col("valid") & ~F.col("escalated"))))
     if apply:
-        out.update(_apply_drift(spark, tables, ordered, presc))
+        out.update(_apply_drift(spark, tables, out["ordered"], out["presc"]))
     return out
 
 
