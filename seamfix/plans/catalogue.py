@@ -182,16 +182,25 @@ def repair_run(spark: SparkSession, sf_dir: str, with_defaults: bool = False,
         supplied = d["classes"].select("file_id", "primary_class").join(
             P.default_prescriptions(spark).withColumnRenamed("failure_class", "primary_class"), "primary_class") \
             .select("file_id", "delimiter", "encoding", "header_row", "engine")
-    params = P.propose(d["classes"], d["garbled"], repairs, p10, proposals=supplied)
-    hashed = P.prescription_hash(P.validate(params, P.known_codecs(spark)))
-    approvals = hashed.select("file_id", "prescription_hash", (F.col("file_id") % 8 != 7).alias("approved"))
-    gated = cut_lineage(P.executor_path(P.gate(hashed, approvals)))
+    out = Lazy()
+    out.update(d)
+    out.update({"lines": lines, "p10": p10})
+    out.add("params", lambda: P.propose(d["classes"], d["garbled"], repairs, p10, proposals=supplied))
+
+    def gated():
+        hashed = P.prescription_hash(P.validate(out["params"], P.known_codecs(spark)))
+        approvals = hashed.select("file_id", "prescription_hash", (F.col("file_id") % 8 != 7).alias("approved"))
+        return cut_lineage(P.executor_path(P.gate(hashed, approvals)))
+
+    out.add("gated", gated)
     # Written, so the planner sees its real size: a small table is joined to
     # the lines by broadcast (no shuffle of the lines), a large one by a
     # merge join on (file_id, line_no), which no hot file can skew.
-    fixes = cut_lineage(P.row_repair_table(repairs, d["garbled"]), "fixes")
-    res = R.apply_repairs(lines, gated, fixes, N_FILES)
-    return {**d, "lines": lines, "p10": p10, "params": params, "gated": gated, "fixes": fixes, **res}
+    out.add("fixes", lambda: cut_lineage(P.row_repair_table(repairs, d["garbled"]), "fixes"))
+    out.add("applied", lambda: R.apply_repairs(lines, out["gated"], out["fixes"], N_FILES))
+    for key in ("out", "errors", "files"):
+        out.add(key, lambda key=key: out["applied"][key])
+    return out
 
 
 def _params_cols(df):
