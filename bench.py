@@ -69,6 +69,17 @@ def main() -> None:
     thr = {f"text_{n}_files": text_throughput(spark, sf_dir, n) for n in (1, 64)}
     for k, v in thr.items():
         times[k] = v["sec"]
+    # Marginal throughput: the same one-file detection on the next smaller
+    # driver scale factor; extra bytes over extra seconds excludes the fixed
+    # per-job cost that dominates at these sizes (reported, not summed).
+    small_dir = sf_dir.rstrip("/").rsplit("sf", 1)[0] + "sf" + {"0.1": "0.01", "1": "0.1"}.get(
+        sf_dir.rstrip("/").rsplit("sf", 1)[-1], "")
+    if os.path.isdir(small_dir) and small_dir.rstrip("/") != sf_dir.rstrip("/"):
+        small = text_throughput(spark, small_dir, 1)
+        big = thr["text_1_files"]
+        thr["text_1_files_smaller_sf"] = small
+        if big["sec"] > small["sec"]:
+            thr["marginal_mib_per_sec"] = round((big["mib"] - small["mib"]) / (big["sec"] - small["sec"]), 2)
     sf = sf_dir.rstrip("/").rsplit("sf", 1)[-1]
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "throughput": thr, "sf": sf}))

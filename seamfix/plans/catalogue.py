@@ -612,9 +612,10 @@ def q_latency_summary(spark, sf_dir):
 def audit_run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     from seamfix.operators import audit as U
     from seamfix.sources.render import audit_events
-    ev = cut_lineage(audit_events(spark, sf_dir, N_FILES))
-    eps = cut_lineage(U.episodes(detected(spark, sf_dir)["classes"], ev))
-    return {"events": ev, "episodes": eps}
+    out = Lazy()
+    out.add("events", lambda: cut_lineage(audit_events(spark, sf_dir, N_FILES)))
+    out.add("episodes", lambda: cut_lineage(U.episodes(detected(spark, sf_dir)["classes"], out["events"])))
+    return out
 
 
 @query("audit_events")
