@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from seamfix import constants as K
 from seamfix.functions import text as T
-from seamfix.plans.joins import sized_broadcast
+from seamfix.plans.joins import measured_broadcast, sized_broadcast
 
 PARAMS_SCHEMA = "file_id bigint, delimiter string, encoding string, header_row bigint, engine string"
 
@@ -40,13 +40,15 @@ def single_column_delimiter(lines: DataFrame, struct_df: DataFrame, file_bound:
     such characters -> no proposal."""
     files = struct_df.filter(F.col("single_column") & (F.col("n_lines") >= 2)).select("file_id")
     first = lines.filter(F.col("line_no") == 1).join(sized_broadcast(files, file_bound), "file_id")
-    cands = first.select("file_id", F.explode(F.array_distinct(
-        F.regexp_extract_all("raw", F.lit(r"([^\p{L}\p{N}])"), 1))).alias("c"))
-    cands = cands.filter(~F.col("c").isin(*K.CANDIDATE_DELIMITERS))
-    # The candidate characters per file are not bounded by a known number,
-    # so the join is left to the planner and AQE (which see their size).
-    per_line = lines.join(cands, "file_id") \
-        .select("file_id", "c", (T.occurrences(F.col("raw"), F.col("c")) + 1).alias("w"))
+    # One row per file: the distinct non-alphanumeric characters of its
+    # first line outside the candidate list. Its size is measured before it
+    # is broadcast (the characters of a line have no fixed bound).
+    cands = first.select("file_id", F.array_except(
+        F.array_distinct(F.regexp_extract_all("raw", F.lit(r"([^\p{L}\p{N}])"), 1)),
+        F.array(*[F.lit(c) for c in K.CANDIDATE_DELIMITERS])).alias("cands")).filter(F.size("cands") > 0)
+    per_line = lines.join(measured_broadcast(cands, "cands"), "file_id").select(
+        "file_id", F.explode(F.transform("cands", lambda c: F.struct(
+            c.alias("c"), (T.occurrences(F.col("raw"), c) + 1).alias("w")))).alias("x")).select("file_id", "x.*")
     widths = per_line.groupBy("file_id", "c").agg(F.min("w").alias("lo"), F.max("w").alias("hi"))
     ok = widths.filter((F.col("lo") == F.col("hi")) & (F.col("lo") >= 2))
     return ok.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_ok"), F.max("c").alias("c")) \
