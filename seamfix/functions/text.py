@@ -99,8 +99,12 @@ def has_invisible(x) -> Column:
 
 
 def is_blank(x) -> Column:
-    """True when the line holds only blanks."""
-    return _c(x).rlike(r"^[\s\p{Z}]*$")
+    """True when the line holds only blanks (F11). A line starting with a
+    printable ASCII character is not blank; only the others (empty, or
+    starting with a control, space or non-ASCII character) take the regex."""
+    x = _c(x)
+    first = F.ascii(x)
+    return F.when((first > 32) & (first < 127), F.lit(False)).otherwise(x.rlike(r"^[\s\p{Z}]*$"))
 
 
 def parses_float(x) -> Column:
