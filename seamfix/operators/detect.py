@@ -43,12 +43,20 @@ def shape_groups(lines: DataFrame) -> DataFrame:
     row is multiplied. Only the aggregated shapes are split per candidate
     and re-aggregated (sum, min, max compose exactly)."""
     tail = F.col("line_no") > F.col("n_lines") - K.SNIFF_TAIL_LINES
-    shape_cols = []
-    for i, d in enumerate(K.CANDIDATE_DELIMITERS):
-        shape_cols += [T.occurrences(F.col("raw"), d).cast("long").alias(f"_o{i}"),
-                       T.field_count(F.col("raw"), d).alias(f"_f{i}")]
-    keys = [c for i in range(len(K.CANDIDATE_DELIMITERS)) for c in (f"_o{i}", f"_f{i}")]
-    shapes = lines.select("file_id", "line_no", tail.alias("is_tail"), *shape_cols).groupBy("file_id", *keys).agg(
+    n = len(K.CANDIDATE_DELIMITERS)
+    # Counts first, field counts from them in a second projection: the
+    # optimizer keeps the two apart rather than evaluate every count twice
+    # (once bare, once inside the unquoted branch of the field count).
+    counted = lines.select(
+        "file_id", "line_no", "raw", tail.alias("is_tail"), (F.instr("raw", '"') > 0).alias("_q"),
+        *[T.occurrences(F.col("raw"), d).cast("long").alias(f"_o{i}") for i, d in enumerate(K.CANDIDATE_DELIMITERS)])
+    field_counts = [
+        F.when(F.col("_q"), T.occurrences(T.blank_quoted(F.col("raw"), d), d) + 1)
+        .otherwise(F.col(f"_o{i}") + 1).cast("long").alias(f"_f{i}")
+        for i, d in enumerate(K.CANDIDATE_DELIMITERS)]
+    keys = [c for i in range(n) for c in (f"_o{i}", f"_f{i}")]
+    shaped = counted.select("file_id", "line_no", "is_tail", *[f"_o{i}" for i in range(n)], *field_counts)
+    shapes = shaped.groupBy("file_id", *keys).agg(
         F.count(F.lit(1)).alias("cnt"),
         F.count_if("is_tail").alias("cnt_tail"),
         F.min("line_no").alias("min_ln"),
