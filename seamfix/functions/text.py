@@ -51,10 +51,28 @@ def field_count(raw, d) -> Column:
     return F.when(F.instr(raw, '"') > 0, quoted).otherwise(plain).cast("long")
 
 
+# Regex metacharacters; any other single character splits literally.
+REGEX_META = ".$|()[{^?*+\\"
+
+
+def split_pattern(d) -> Column:
+    """Split pattern matching the literal ``d``. A single character goes as
+    itself, or as backslash + itself when it is a regex metacharacter:
+    both take the JVM's literal fast path of ``String.split`` instead of
+    compiling a pattern for every line, as ``\\Q..\\E`` would."""
+    if isinstance(d, str):
+        if len(d) != 1:
+            return quote_regex(d)
+        return F.lit("\\" + d if d in REGEX_META else d)
+    d = _c(d)
+    return F.when(F.length(d) != 1, quote_regex(d)) \
+        .when(F.instr(F.lit(REGEX_META), d) > 0, F.concat(F.lit("\\"), d)).otherwise(d)
+
+
 def split_fields(raw, d) -> Column:
     """Split an unquoted line on the literal character ``d``, keeping
     trailing empty fields."""
-    return F.split(_c(raw), quote_regex(d), -1)
+    return F.split(_c(raw), split_pattern(d), -1)
 
 
 def stray_candidates(raw, d=None) -> Column:
