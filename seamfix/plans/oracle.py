@@ -877,3 +877,35 @@ def stream_oracles() -> dict[str, str]:
     }
     _ = rep
     return q
+
+
+# Well-formed UTF-8 byte sequences (Unicode standard, table 3-7), written
+# over the code points 0-255 that stand for single bytes.
+_UTF8_WELL_FORMED = (
+    r"(?:[\x{00}-\x{7F}]|[\x{C2}-\x{DF}][\x{80}-\x{BF}]|\x{E0}[\x{A0}-\x{BF}][\x{80}-\x{BF}]"
+    r"|[\x{E1}-\x{EC}\x{EE}\x{EF}][\x{80}-\x{BF}]{2}|\x{ED}[\x{80}-\x{9F}][\x{80}-\x{BF}]"
+    r"|\x{F0}[\x{90}-\x{BF}][\x{80}-\x{BF}]{2}|[\x{F1}-\x{F3}][\x{80}-\x{BF}]{3}|\x{F4}[\x{80}-\x{8F}][\x{80}-\x{BF}]{2})*"
+)
+
+
+def encoding_oracles() -> dict[str, str]:
+    """D1/D2 over the byte renderings of documents.text, computed on their
+    characters: UTF-8 renderings are valid by construction; a Latin-1
+    rendering has one byte per character, so its bytes are its code points."""
+    q = {}
+    q["encoding_evidence"] = (
+        "WITH d AS (SELECT doc_id AS file_id, doc_id % 2 = 0 AS u8, CASE WHEN doc_id % 2 = 0 THEN text "
+        r"ELSE regexp_replace(text, '[^\x{0000}-\x{00FF}]', '?', 'g') END AS t FROM documents), "
+        "e AS (SELECT file_id, "
+        f"CASE WHEN u8 THEN true ELSE regexp_full_match(t, '{_UTF8_WELL_FORMED}') END AS valid, "
+        "CASE WHEN u8 THEN starts_with(t, chr(65279)) ELSE starts_with(t, chr(239) || chr(187) || chr(191)) END AS bom8, "
+        "NOT u8 AND starts_with(t, chr(255) || chr(254)) AS bom_le, NOT u8 AND starts_with(t, chr(254) || chr(255)) AS bom_be, "
+        "contains(t, chr(0)) AS nul, "
+        r"NOT u8 AND regexp_matches(t, '[\x{80}-\x{9F}]') AS c1 FROM d), "
+        "g AS (SELECT file_id, valid, CASE WHEN bom8 THEN 'utf-8-sig' WHEN bom_le THEN 'utf-16-le' "
+        "WHEN bom_be THEN 'utf-16-be' WHEN nul THEN 'utf-16' WHEN valid THEN 'utf-8' WHEN c1 THEN 'cp1252' "
+        "ELSE 'iso-8859-1' END AS encoding FROM e) "
+        "SELECT file_id, encoding, CASE WHEN encoding IN ('utf-8-sig', 'utf-16-le', 'utf-16-be') THEN 1.0 "
+        "WHEN encoding = 'utf-8' THEN 1.0 WHEN encoding = 'cp1252' THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence, "
+        "NOT valid AS wrong_encoding FROM g")
+    return q
