@@ -55,7 +55,7 @@ def test_entry_smoke(spark):
 
 
 @pytest.mark.parametrize("name", ["failure_classes", "mixed_rows", "repair_rows", "schema_diff", "operations_kept",
-                                  "latency_summary", "episode_state", "publish_uri"])
+                                  "latency_summary", "episode_state", "publish_uri", "encoding_evidence"])
 def test_oracle(spark, name):
     r = compare(entry_mod.queries()[name](spark, SF), entry_mod.oracle_sql()[name], duck(SF))
     assert r["rows_spark"] == r["rows_oracle"] and r["cols_match"] and r["hash_match"], r
