@@ -92,3 +92,23 @@ def test_encoding_evidence(spark):
     df = spark.createDataFrame(rows, "file_id long, content binary")
     got = {r["file_id"]: (r["encoding"], r["wrong_encoding"]) for r in encoding_evidence(df).collect()}
     assert got == {1: ("utf-8", False), 2: ("iso-8859-1", True), 3: ("utf-8-sig", False), 4: ("cp1252", True)}
+
+
+def test_split_fields_literal_for_every_delimiter(spark):
+    """splitting on any single character (regex metacharacters included,
+    per-row or literal delimiter) equals a literal split, trailing empty
+    fields kept."""
+    delims = list(T.REGEX_META) + [",", ";", "\t", ":", " ", "#", "]", "}", "-", "a", "7", "é"]
+    rnd = random.Random(11)
+    rows = []
+    for d in delims:
+        for _ in range(20):
+            parts = ["".join(rnd.choice("ab.$|()[{^?*+\\,;:#]}-7 é") for _ in range(rnd.randint(0, 4)))
+                     for _ in range(rnd.randint(1, 5))]
+            rows.append((d, d.join(parts)))
+    df = spark.createDataFrame(rows, "d string, raw string")
+    got = df.select("d", "raw", T.split_fields(F.col("raw"), F.col("d")).alias("f")).collect()
+    assert all(r["f"] == r["raw"].split(r["d"]) for r in got)
+    for d in ("|", ".", "\\", ","):
+        lit = df.filter(F.col("d") == d).select("raw", T.split_fields(F.col("raw"), d).alias("f")).collect()
+        assert all(r["f"] == r["raw"].split(d) for r in lit)
