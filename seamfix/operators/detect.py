@@ -351,16 +351,19 @@ def row_repairs(disagree: DataFrame, classes: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ D17, D19, D20
 def classify(struct_df: DataFrame, garbled: DataFrame, hdr: DataFrame, disagree: DataFrame,
-             encoding: DataFrame | None = None) -> DataFrame:
-    """One row per file: failure_classes (sorted array), primary, offsets."""
+             encoding: DataFrame | None = None, file_bound: int | None = None) -> DataFrame:
+    """One row per file: failure_classes (sorted array), primary, offsets.
+    The frames joined to the structure hold at most one row per file, so
+    they are broadcast behind the file bound (no exchange of the left side)."""
     mixed = disagree.groupBy("file_id").agg(
         F.count(F.lit(1)).alias("n_disagree"),
         F.bool_and(F.col("observed_delimiter").isNotNull()).alias("all_resolved"),
     )
-    df = struct_df.join(garbled.select("file_id", F.lit(True).alias("garbled")), "file_id", "left") \
-        .join(hdr, "file_id", "left").join(mixed, "file_id", "left")
+    per_file = lambda x: sized_broadcast(x, file_bound)
+    df = struct_df.join(per_file(garbled.select("file_id", F.lit(True).alias("garbled"))), "file_id", "left") \
+        .join(per_file(hdr), "file_id", "left").join(per_file(mixed), "file_id", "left")
     if encoding is not None:
-        df = df.join(encoding.select("file_id", "wrong_encoding"), "file_id", "left")
+        df = df.join(per_file(encoding.select("file_id", "wrong_encoding")), "file_id", "left")
     else:
         df = df.withColumn("wrong_encoding", F.lit(False))
     garbled_c = F.coalesce(F.col("garbled"), F.lit(False))
@@ -416,6 +419,6 @@ def detect(lines: DataFrame, file_bound: int | None = None, encoding: DataFrame
     garbled = garbled_header(lines, st, file_bound, head)
     hdr = header_checks(lines, st, file_bound, bom_files, head)
     disagree = keep(disagreeing_rows(lines, st, file_bound))
-    classes = keep(classify(st, garbled, hdr, disagree, encoding))
+    classes = keep(classify(st, garbled, hdr, disagree, encoding, file_bound))
     return {"groups": groups, "structure": st, "garbled": garbled, "header": hdr,
             "disagree": disagree, "classes": classes}
