@@ -26,7 +26,8 @@ def scan_lines(spark: SparkSession, paths: list[str] | str, file_col: str = "fil
     """
     if isinstance(paths, str):
         paths = [paths]
-    df = spark.read.option("lineSep", "\n").text(paths).select(
+    scan = spark.read.option("lineSep", "\n").text(paths)  # listed once, used for both below
+    df = scan.select(
         F.col("value").alias("raw"),
         F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_block_start").alias("_block_start"),
@@ -43,7 +44,6 @@ def scan_lines(spark: SparkSession, paths: list[str] | str, file_col: str = "fil
     # piece of a large one; the pieces of a large file fill scan partitions
     # of their own, so splits <= listed files + scan partitions (both known
     # from planning the scan, no job runs).
-    scan = spark.read.option("lineSep", "\n").text(paths)
     split_bound = len(scan.inputFiles()) + scan.rdd.getNumPartitions()
     out = number_scanned_lines(df, file_col, "_block", split_bound)
     return out.withColumn("valid_utf8", F.is_valid_utf8(F.col("raw")))
