@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamfix.session import scratch_path
@@ -17,7 +16,17 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again (cuts the lineage)."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def release(*kept: DataFrame) -> None:
+    """Remove tables of ``keep`` that no later step reads."""
+    for df in kept:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ids_and_texts(docs: DataFrame) -> DataFrame:
@@ -32,27 +41,37 @@ def list_column(values: np.ndarray, lengths, kind=pa.int64()) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
+def slots(df: DataFrame, column: str):
+    return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << FILTER_BITS)).cast("int")
+
+
+def slot_table(ids: DataFrame, column: str) -> DataFrame:
+    """The hashed slots of ids: at most 2**20 ints whatever the number of ids,
+    so they may be broadcast."""
+    return F.broadcast(ids.select(slots(ids, column).alias("__slot")).distinct())
+
+
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(did, text) of the documents whose id is in ``ids`` (column did, distinct).
 
-    A hashed membership table of 2**20 bits (fixed size, whatever the number of
-    ids) keeps most other texts out of the shuffle; the join is exact."""
-    spark = docs.sparkSession
-    bits = 1 << FILTER_BITS
-    slot = F.pmod(F.xxhash64("did"), F.lit(bits)).cast("int")
-    found = ids.select(slot.alias("s")).distinct().toArrow()["s"].to_numpy()
-    table = np.zeros(bits, dtype=bool)
-    table[found] = True
-    shared = spark.sparkContext.broadcast(np.packbits(table))
-
-    def some(batches):
-        wanted = np.unpackbits(shared.value).astype(bool)
-        for b in batches:
-            yield b.filter(pa.array(wanted[b.column(2).to_numpy()])).select([0, 1])
-
-    near = (ids_and_texts(docs).withColumn("s", slot)
-            .mapInArrow(some, "did long, text binary"))
-    return near.join(ids.select("did"), "did", "left_semi")
+    A broadcast slot table of fixed size keeps most other texts out of the
+    shuffle; the join is exact."""
+    rows = ids_and_texts(docs)
+    near = rows.withColumn("__slot", slots(rows, "did")).join(slot_table(ids, "did"), "__slot", "left_semi")
+    return near.drop("__slot").join(ids.select("did"), "did", "left_semi")
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``ids`` (column doc_id).
+
+    Rows whose slot no id has need no shuffle; the others join exactly."""
+    rows = docs.withColumn("__slot", slots(docs, "doc_id"))
+    table = slot_table(ids, "doc_id")
+    clear = rows.join(table, "__slot", "left_anti")
+    near = rows.join(table, "__slot", "left_semi")
+    gone = ids.select(F.col("doc_id").alias("__gone")).distinct()
+    near = near.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    return clear.unionByName(near).select(*[F.col(c) for c in docs.columns])
 
 
 def components(edges: DataFrame, name: str = "edges") -> DataFrame:

@@ -11,11 +11,12 @@ filtering, AdaptJoin, 2012):
   similar sets share at least ``l`` shingles of their ``l``-prefixes;
 * every set picks its own ``l`` (1 to 8) by estimated cost: postings read plus
   the candidates that could still reach ``l`` matches, times a verification
-  cost. A pair must share ``min(l_x, l_y)`` prefix shingles before it is verified;
-* leader rounds first link each set to one candidate leader per posting list and
-  merge components, so groups of near copies cost rows in proportion to their
-  members. The last round takes every remaining pair of different components,
-  with length and position filters, so no link between components is lost.
+  cost. A pair must share ``min(l_x, l_y)`` prefix shingles before it is verified,
+  and as many as the overlap it needs leaves outside the longer rest of the two;
+* leader rounds first link sets in long posting lists to one leader each and merge
+  components, so groups of near copies cost rows in proportion to their members. The
+  last round takes every remaining pair of different components, with length and
+  position filters, so no link between components is lost.
 
 Sketch, bits and rounds change the work only, never the result.
 
@@ -34,13 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, ids_and_texts, keep, list_column, texts_of
+from .common import components, ids_and_texts, keep, list_column, release, texts_of
 from .words import NON_SPACE, Hasher, as_long, blocks
 
 SKETCH_BITS = 18
 MAX_MATCHES = 8
 VERIFY_COST = 32.0
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
+LONG_LIST = 4
 NO_ID = -(2**63)
 
 
@@ -130,100 +132,99 @@ def prefixes(docs: DataFrame, k: int, threshold: int, load: np.ndarray) -> DataF
                         ["did", "n", "hi", "lo", "ell", "toks"])
 
     each = ids_and_texts(docs).mapInArrow(task, "did long, n long, hi long, lo long, ell long, toks array<long>")
-    return each.groupBy("hi", "lo").agg(F.min("did").alias("did"), F.first("n").cast("int").alias("n"),
-                                        F.first("ell").cast("int").alias("ell"), F.first("toks").alias("toks"))
+    return (each.groupBy("hi", "lo").agg(F.min("did").alias("did"), F.first("n").cast("int").alias("n"),
+                                         F.first("ell").cast("int").alias("ell"), F.first("toks").alias("toks"))
+            .withColumn("c", F.monotonically_increasing_id()))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) of class ids that link, by their whole texts."""
-    nodes = pairs.select(F.col("a").alias("hi")).union(pairs.select("b")).distinct()
-    who = keep(reps.join(nodes, "hi").select("hi", "did"), "jaccard-nodes")
-    texts = texts_of(docs, who.select("did").distinct()).join(who, "did")
-
-    def own(batches):  # drops rows that share a representative's id but not its text
-        hasher = Hasher()
-        for batch in batches:
-            hi, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for a, b in blocks(texts):
-                got = np.array([digest(s)[0] for s in shingle_sets(hasher, texts[a:b], k)], np.int64)
-                yield batch.slice(a, b - a).filter(pa.array(got == hi[a:b]))
-
-    texts = texts.select("hi", "text").mapInArrow(own, "hi long, text binary")
-    texts = keep(texts.groupBy("hi").agg(F.first("text").alias("text")), "jaccard-texts")
+    """(u, v): the pairs (a, b) of classes that link, by their whole texts."""
+    names = reps.select("c", "did", "hi")
+    pairs = (pairs.join(names.toDF("a", "da", "ha"), "a").join(names.toDF("b", "db", "hb"), "b"))
+    pairs = keep(pairs.select("a", "da", "ha", "b", "db", "hb"), "jaccard-pairs")
+    texts = texts_of(docs, pairs.select(F.col("da").alias("did")).union(pairs.select("db")).distinct())
 
     def exact(batches):
         hasher = Hasher()
         for batch in batches:
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            ha, hb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for a, b in blocks([x + y for x, y in zip(left, right)]):
                 xs, ys = shingle_sets(hasher, left[a:b], k), shingle_sets(hasher, right[a:b], k)
                 ok = []
-                for x, y in zip(xs, ys):
+                for x, y, hx, hy in zip(xs, ys, ha[a:b], hb[a:b]):
                     both = np.sort(np.concatenate((x, y)))
                     common = int(np.count_nonzero(both[1:] == both[:-1]))
-                    ok.append(100 * common >= threshold * (len(both) - common))
+                    # A row that only shares its id with a class's smallest row is not of the class.
+                    ok.append(100 * common >= threshold * (len(both) - common) and digest(x)[0] == hx and digest(y)[0] == hy)
                 yield batch.slice(a, b - a).filter(pa.array(ok)).select([0, 1])
 
-    out = (pairs.join(texts.select(F.col("hi").alias("b"), F.col("text").alias("tb")), "b")
-           .join(texts.select(F.col("hi").alias("a"), F.col("text").alias("ta")), "a")
-           .select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long"))
+    out = (pairs.join(texts.select(F.col("did").alias("db"), F.col("text").alias("tb")), "db")
+           .join(texts.select(F.col("did").alias("da"), F.col("text").alias("ta")), "da")
+           .select("a", "b", "ha", "hb", "ta", "tb").mapInArrow(exact, "a long, b long"))
     return keep(out.select(F.col("a").alias("u"), F.col("b").alias("v")), "jaccard-links")
 
 
-def link_components(docs: DataFrame, reps: DataFrame, k: int, threshold: int) -> tuple[DataFrame | None, DataFrame]:
-    """((node, root) of the classes that have links or None, links verified)."""
+def link_components(docs: DataFrame, reps: DataFrame, k: int, threshold: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """((node, root) of the classes that have links or None, links verified or None)."""
     lo, hi = threshold, 100
     tok = Window.partitionBy("tok")
-    p1 = F.col("n") - F.ceil(F.col("n") * lo / 100.0).cast("int") + 1
-    index = (reps.select(F.col("hi").alias("c"), "n", "ell", F.posexplode("toks").alias("pos", "tok"))
-             .withColumn("level", F.greatest(F.lit(1), F.col("pos") - p1 + 2))
-             .withColumn("cnt", F.count(F.lit(1)).over(tok)).filter("cnt > 1").drop("cnt"))
-    index = keep(index, "jaccard-index")
+    rows = (reps.select("c", F.shiftleft("n", 4).bitwiseOR(F.col("ell").cast("long")).alias("meta"), F.posexplode("toks").alias("pos", "tok"))
+            .select("tok", "c", F.shiftleft("meta", 24).bitwiseOR(F.col("pos").cast("long")).alias("meta"))
+            .withColumn("cnt", F.count(F.lit(1)).over(tok)).filter("cnt > 1"))
+    index = rows.select("tok", "c", F.shiftright("meta", 28).cast("int").alias("n"),
+                        F.shiftright("meta", 24).bitwiseAND(F.lit(15)).cast("int").alias("ell"),
+                        F.col("meta").bitwiseAND(F.lit((1 << 24) - 1)).cast("int").alias("pos"))
+    live = keep(index.withColumn("comp", F.col("c")), "jaccard-index")
+
+    def wanted(n, ell, m, ell2):  # shared prefix shingles a pair needs
+        rest = lambda a, l: f"(ceil({a} * {lo} / {hi}.0) - {l})"
+        return (f"greatest(least({ell}, {ell2}), ceil(({n} + {m}) * {lo} / {hi + lo}.0) "
+                f"- greatest({rest(n, ell)}, {rest(m, ell2)}))")
+
+    close = lambda n, m: f"{lo} * greatest({n}, {m}) <= {hi} * least({n}, {m})"
     links, roots = None, None
     for turn in range(LEADER_ROUNDS + 1):
-        if roots is None:
-            live = index.withColumn("comp", F.col("c"))
-        else:
-            live = (index.join(roots.withColumnRenamed("node", "c"), "c", "left")
-                    .withColumn("comp", F.coalesce("root", "c")).drop("root")
-                    .withColumn("x", F.min("comp").over(tok)).withColumn("y", F.max("comp").over(tok))
-                    .filter("x <> y").drop("x", "y"))
-            live = keep(live, "jaccard-live")
-            if live.isEmpty():
-                break
-            index = live.drop("comp")
+        if roots is not None:
+            joined = (live.drop("comp").join(roots.withColumnRenamed("node", "c"), "c", "left")
+                      .withColumn("comp", F.coalesce("root", "c")).drop("root")
+                      .withColumn("x", F.min("comp").over(tok)).withColumn("y", F.max("comp").over(tok))
+                      .filter("x <> y").drop("x", "y"))
+            old, live = live, keep(joined, "jaccard-index")
+            release(old)
         if turn < LEADER_ROUNDS:
-            first = F.struct(*([F.col("n")] if turn == 0 else [F.xxhash64("c", F.lit(turn))]),
-                             F.col("c"), F.col("n").alias("ln"), "ell", "level", "comp")
-            pairs = (live.withColumn("lead", F.min(first).over(tok))
-                     .select("c", "n", "ell", "level", "comp", F.col("lead.c").alias("lc"), F.col("lead.ln").alias("ln"),
-                             F.col("lead.ell").alias("lell"), F.col("lead.level").alias("ll"), F.col("lead.comp").alias("lcomp"))
-                     .filter("comp <> lcomp and level <= lell and ll <= ell")
-                     .filter(f"{lo} * greatest(n, ln) <= {hi} * least(n, ln)")
-                     .groupBy("c", "lc").agg(F.count(F.lit(1)).alias("m"), F.first(F.least("ell", "lell")).alias("need"))
-                     .filter("m >= need").groupBy("c").agg(F.max_by("lc", F.struct("m", "lc")).alias("lc"))
+            first = F.struct(F.col("n") if turn == 0 else F.xxhash64("c", F.lit(turn)), "c", F.col("n").alias("ln"),
+                             F.col("ell").alias("lell"), F.col("comp").alias("lcomp"))
+            led = (live.withColumn("cnt", F.count(F.lit(1)).over(tok)).withColumn("lead", F.min(first).over(tok))
+                   .filter(F.col("cnt") > LONG_LIST)
+                   .select("c", "n", "ell", "comp", F.col("lead.c").alias("lc"), "lead.ln", "lead.lell", "lead.lcomp"))
+            pairs = (led.filter("comp <> lcomp").filter(close("n", "ln")).groupBy("c", "lc")
+                     .agg(F.count(F.lit(1)).alias("m"), *[F.first(x).alias(x) for x in ("n", "ell", "ln", "lell")])
+                     .filter("m >= " + wanted("n", "ell", "ln", "lell"))
+                     .groupBy("c").agg(F.max_by("lc", F.struct("m", "lc")).alias("lc"))
                      .select(F.col("c").alias("b"), F.col("lc").alias("a")))
         else:
-            live = live.withColumn("in_comp", F.count(F.lit(1)).over(Window.partitionBy("tok", "comp")))
-            live = live.withColumn("major", F.max(F.struct("in_comp", "comp")).over(tok)["comp"])
-            cols = ["c", "n", "ell", "level", "comp", "pos"]
-            x = live.filter("comp <> major").select("tok", *[F.col(c).alias("x" + c) for c in cols])
-            y = live.select("tok", "major", *[F.col(c).alias("y" + c) for c in cols])
+            # In each list the rows outside its most frequent component meet all others.
+            each = live.withColumn("in_comp", F.count(F.lit(1)).over(Window.partitionBy("tok", "comp")))
+            each = each.withColumn("major", F.max(F.struct("in_comp", "comp")).over(tok)["comp"])
+            cols = ["c", "n", "ell", "comp", "pos"]
+            x = each.filter("comp <> major").select("tok", *[F.col(c).alias("x" + c) for c in cols])
+            y = each.select("tok", "major", *[F.col(c).alias("y" + c) for c in cols])
             room = "1 + least(xn - xpos - 1, yn - ypos - 1) + least(xpos, ypos)"
-            pairs = (x.join(y, "tok").filter("xcomp <> ycomp and (ycomp = major or xc < yc)")
-                     .filter("xlevel <= yell and ylevel <= xell")
-                     .filter(f"{lo} * greatest(xn, yn) <= {hi} * least(xn, yn)")
+            pairs = (x.join(y, "tok").filter("xcomp <> ycomp and (ycomp = major or xc < yc)").filter(close("xn", "yn"))
                      .filter(f"{hi + lo} * ({room}) >= {lo} * (xn + yn)")
                      .groupBy(F.least("xc", "yc").alias("a"), F.greatest("xc", "yc").alias("b"))
-                     .agg(F.count(F.lit(1)).alias("m"), F.first(F.least("xell", "yell")).alias("need"))
-                     .filter("m >= need").select("a", "b"))
-        pairs = keep(pairs, "jaccard-pairs")
+                     .agg(F.count(F.lit(1)).alias("m"), *[F.first(z).alias(z) for z in ("xn", "xell", "yn", "yell")])
+                     .filter("m >= " + wanted("xn", "xell", "yn", "yell")).select("a", "b"))
+        pairs = keep(pairs, "jaccard-candidates")
         if pairs.isEmpty():
             continue
         found = verified(docs, pairs, reps, k, threshold)
         links = found if links is None else links.unionByName(found)
-        merged = links if roots is None else found.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        roots = components(merged, "jaccard-edges")
+        if roots is not None:
+            found = found.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+        roots = components(found, "jaccard-edges")
+    release(live)
     return roots, links
 
 
@@ -235,10 +236,10 @@ def jaccard_join(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     described = describe(docs, k)
     reps = keep(prefixes(docs, k, threshold, load_of(described)), "jaccard-prefixes")
     roots, _ = link_components(docs, reps, k, threshold)
-    classes = reps.select("hi", "did").withColumn("root", F.col("hi"))
+    classes = reps.select("hi", "did", "c").withColumn("root", F.col("c"))
     if roots is not None:
-        classes = (reps.select("hi", "did").join(roots.withColumnRenamed("node", "hi"), "hi", "left")
-                   .withColumn("root", F.coalesce("root", "hi")))
+        classes = (reps.select("hi", "did", "c").join(roots.withColumnRenamed("node", "c"), "c", "left")
+                   .withColumn("root", F.coalesce("root", "c")))
     small = classes.groupBy("root").agg(F.min("did").alias("component"))
     classes = classes.join(small, "root").select("hi", "component")
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
