@@ -1,24 +1,73 @@
 """Corpus pipeline: documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the result is
-written as Parquet and read again as the next stage's docs."""
+written as Parquet and read again as the next stage's docs. All stages but the last
+return the columns of documents.
+
+1. quality: documents that the quality rules reject go.
+2. near_duplicates: of each component of the Jaccard join the document with the
+   smallest doc_id stays (one row of it); documents without words stay.
+3. decontamination: documents that hold a window of a benchmark item go.
+4. pii: personal data is replaced by surrogates; n_chars follows the new text.
+5. packing: the texts become pieces of packed sequences.
+
+Null doc_ids: such rows are judged like others; where a stage removes by doc_id, a
+null id stands for all rows with a null id."""
 
 from __future__ import annotations
 
 import os
 import sys
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-STAGES: list = []
+from seamfix.llm.common import keep, without  # noqa: E402
+from seamfix.llm.decontaminate import contamination  # noqa: E402
+from seamfix.llm.jaccard import jaccard_join  # noqa: E402
+from seamfix.llm.packing import pack  # noqa: E402
+from seamfix.llm.pii import replace_pii  # noqa: E402
+from seamfix.llm.quality import quality  # noqa: E402
+from seamfix.llm.queries import tokenizer  # noqa: E402
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality(docs).filter("__q.kept").drop("__q")
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    linked = jaccard_join(docs)
+    copies = linked.filter("n_shingles > 0 and not (doc_id <=> component_id)").select("doc_id")
+    return without(docs, copies)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return without(docs, contamination(docs, benchmark).filter("contaminated").select("doc_id"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = replace_pii(docs).drop("__pii")
+    if "n_chars" in out.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*[F.col(c) for c in docs.columns])
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, tokenizer())
+
+
+STAGES = [("quality", quality_stage), ("near_duplicates", near_duplicate_stage),
+          ("decontamination", decontamination_stage), ("pii", pii_stage), ("packing", packing_stage)]
 
 #: Surrogate texts and the packing plan can't be expressed in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    from seamfix.llm.common import keep
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
