@@ -35,7 +35,7 @@ from .common import keep
 
 ORDER = 6
 SHARED = 3
-MAX_PER_CLASS = 4000
+MAX_PER_CLASS = 2000
 WINDOW = 12
 CACHE_ENTRIES = 200_000
 FOLDS = 5
