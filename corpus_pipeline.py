@@ -6,7 +6,7 @@ return the columns of documents.
 
 1. quality: documents that the quality rules reject go.
 2. near_duplicates: of each component of the Jaccard join the document with the
-   smallest doc_id stays (one row of it); documents without words stay.
+   smallest doc_id stays, with all rows of that doc_id; documents without words stay.
 3. decontamination: documents that hold a window of a benchmark item go.
 4. pii: personal data is replaced by surrogates; n_chars follows the new text.
 5. packing: the texts become pieces of packed sequences.

@@ -72,9 +72,9 @@ def grams(rows: DataFrame, sizes: list[int] | None) -> DataFrame:
     def task(batches):
         hasher, uid = Hasher(), TaskContext.get().partitionId() << 33
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            for a, b in blocks(texts):
-                h, first = hasher.words(texts[a:b], ALNUM, lower=True)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for a, b, texts in blocks(batch.column(1)):
+                h, first = hasher.words(texts, ALNUM, lower=True)
                 count = np.diff(first)
                 own = np.arange(uid, uid + b - a)
                 uid += b - a

@@ -13,7 +13,7 @@ filtering, AdaptJoin, 2012):
   the candidates that could still reach ``l`` matches, times a verification
   cost. A pair must share ``min(l_x, l_y)`` prefix shingles before it is verified,
   and as many as the overlap it needs leaves outside the longer rest of the two;
-* leader rounds first link sets in long posting lists to one leader each and merge
+* leader rounds first link each set to the leaders of its posting lists and merge
   components, so groups of near copies cost rows in proportion to their members. The
   last round takes every remaining pair of different components, with length and
   position filters, so no link between components is lost.
@@ -38,11 +38,12 @@ from pyspark.sql import functions as F
 from .common import components, ids_and_texts, keep, list_column, release, texts_of
 from .words import NON_SPACE, Hasher, as_long, blocks
 
-SKETCH_BITS = 18
+SKETCH_BITS = 20
+PARTS = 64
 MAX_MATCHES = 8
 VERIFY_COST = 32.0
 LEADER_ROUNDS = 2
-LONG_LIST = 4
+LEADERS = 2
 NO_ID = -(2**63)
 
 
@@ -64,34 +65,46 @@ def digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def describe(docs: DataFrame, k: int) -> DataFrame:
-    """One row per document (did, n, hi, lo) and, with hi null, the task's
-    count sketch (did: bucket, n: documents' shingles in it)."""
+    """One row per document (did, n, hi, lo) and, with hi null, the parts of the
+    task's count sketch (did: part, part: 32-bit counters)."""
 
     def task(batches):
-        hasher, sketch = Hasher(), np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        hasher, sketch = Hasher(), np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+        names = ["did", "n", "hi", "lo", "part"]
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in blocks(texts):
+            ids = batch.column(0).to_pylist()
+            for a, b, texts in blocks(batch.column(1)):
                 rows = []
-                for did, s in zip(ids[a:b], shingle_sets(hasher, texts[a:b], k)):
+                for did, s in zip(ids[a:b], shingle_sets(hasher, texts, k)):
                     np.add.at(sketch, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
                     rows.append((did, len(s), *digest(s)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)],
-                                                 ["did", "n", "hi", "lo"])
-        used = np.flatnonzero(sketch)
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in zip(*rows)], pa.nulls(b - a, pa.binary())], names)
+        parts = sketch.reshape(PARTS, -1)
+        used = np.flatnonzero(parts.any(axis=1))
         none = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(sketch[used], pa.int64()), none, none],
-                                         ["did", "n", "hi", "lo"])
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), none, none, none,
+                                          pa.array([parts[i].tobytes() for i in used], pa.binary())], names)
 
-    return keep(ids_and_texts(docs).mapInArrow(task, "did long, n long, hi long, lo long"), "jaccard-sets")
+    return keep(ids_and_texts(docs).mapInArrow(task, "did long, n long, hi long, lo long, part binary"), "jaccard-sets")
 
 
 def load_of(described: DataFrame) -> np.ndarray:
-    """The summed sketch: 2**18 counters, whatever the input."""
-    t = (described.filter("hi is null").groupBy("did").agg(F.sum("n").alias("n"))).toArrow()
-    load = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    load[t["did"].to_numpy()] = t["n"].to_numpy()
-    return load
+    """The summed sketch: 2**20 counters, whatever the input."""
+
+    def total(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[i] = sums.get(i, 0) + np.frombuffer(part, np.uint32).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())],
+                                         ["did", "part"])
+
+    t = (described.filter("hi is null").select("did", "part").repartition(PARTS, "did")
+         .mapInArrow(total, "did long, part binary")).toArrow()
+    load = np.zeros((PARTS, (1 << SKETCH_BITS) // PARTS), dtype=np.int64)
+    for i, part in zip(t["did"].to_pylist(), t["part"].to_pylist()):
+        load[i] += np.frombuffer(part, np.int64)
+    return load.reshape(-1)
 
 
 def matches_wanted(others: np.ndarray, p1: int, most: int) -> int:
@@ -103,17 +116,19 @@ def matches_wanted(others: np.ndarray, p1: int, most: int) -> int:
 
 
 def prefixes(docs: DataFrame, k: int, threshold: int, load: np.ndarray) -> DataFrame:
-    """One row per class: hi, lo, did (smallest id), n, ell, toks (prefix)."""
+    """One row per class: hi, lo, did (smallest id), n, ell, toks (prefix), end (where
+    the prefix ends in the order of all shingles), own (share, of 255, of the prefix that
+    the sketch takes for the set's own), c (number of the class)."""
     shared = docs.sparkSession.sparkContext.broadcast(load)
 
     def task(batches):
         hasher, load = Hasher(), shared.value
         base = load.mean() + 2 * np.sqrt(load.mean())
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in blocks(texts):
+            ids = batch.column(0).to_pylist()
+            for a, b, texts in blocks(batch.column(1)):
                 rows, toks = [], []
-                for did, s in zip(ids[a:b], shingle_sets(hasher, texts[a:b], k)):
+                for did, s in zip(ids[a:b], shingle_sets(hasher, texts, k)):
                     n = len(s)
                     if not n:
                         continue
@@ -123,17 +138,21 @@ def prefixes(docs: DataFrame, k: int, threshold: int, load: np.ndarray) -> DataF
                     most = min(MAX_MATCHES, t)
                     order = np.lexsort((s, heavy))[:p1 - 1 + most]
                     ell = matches_wanted(np.maximum(heavy[order] - base, 0.0), p1, most)
-                    toks.append(s[order[:p1 - 1 + ell]])
-                    rows.append((did, n, *digest(s), ell))
+                    order = order[:p1 - 1 + ell]
+                    toks.append(s[order])
+                    end = min(int(heavy[order[-1]]), 2**31 - 1) << 32 | int(s[order[-1]]) >> 32
+                    own = 255 * int(np.count_nonzero(heavy[order] <= base)) // len(order)
+                    rows.append((did, n, *digest(s), ell, end, own))
                 if rows:
                     cols = [pa.array(c, pa.int64()) for c in zip(*rows)]
                     yield pa.RecordBatch.from_arrays(
                         [*cols, list_column(as_long(np.concatenate(toks)), [len(x) for x in toks])],
-                        ["did", "n", "hi", "lo", "ell", "toks"])
+                        ["did", "n", "hi", "lo", "ell", "end", "own", "toks"])
 
-    each = ids_and_texts(docs).mapInArrow(task, "did long, n long, hi long, lo long, ell long, toks array<long>")
+    each = ids_and_texts(docs).mapInArrow(task, "did long, n long, hi long, lo long, ell long, end long, own long, toks array<long>")
     return (each.groupBy("hi", "lo").agg(F.min("did").alias("did"), F.first("n").cast("int").alias("n"),
-                                         F.first("ell").cast("int").alias("ell"), F.first("toks").alias("toks"))
+                                         F.first("ell").cast("int").alias("ell"), F.first("end").alias("end"), F.first("own").alias("own"),
+                                         F.first("toks").alias("toks"))
             .withColumn("c", F.monotonically_increasing_id()))
 
 
@@ -147,10 +166,9 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, thresho
     def exact(batches):
         hasher = Hasher()
         for batch in batches:
-            left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
             ha, hb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for a, b in blocks([x + y for x, y in zip(left, right)]):
-                xs, ys = shingle_sets(hasher, left[a:b], k), shingle_sets(hasher, right[a:b], k)
+            for a, b, left, right in blocks(batch.column(4), batch.column(5)):
+                xs, ys = shingle_sets(hasher, left, k), shingle_sets(hasher, right, k)
                 ok = []
                 for x, y, hx, hy in zip(xs, ys, ha[a:b], hb[a:b]):
                     both = np.sort(np.concatenate((x, y)))
@@ -169,14 +187,13 @@ def link_components(docs: DataFrame, reps: DataFrame, k: int, threshold: int) ->
     """((node, root) of the classes that have links or None, links verified or None)."""
     lo, hi = threshold, 100
     tok = Window.partitionBy("tok")
-    rows = (reps.select("c", F.shiftleft("n", 4).bitwiseOR(F.col("ell").cast("long")).alias("meta"), F.posexplode("toks").alias("pos", "tok"))
-            .select("tok", "c", F.shiftleft("meta", 24).bitwiseOR(F.col("pos").cast("long")).alias("meta"))
+    # n, ell, own and pos in one long keep the shuffle of the postings narrow.
+    meta = F.expr("(((cast(n as bigint) << 4 | ell) << 8 | own) << 24) | pos")
+    rows = (reps.select("c", "n", "ell", "own", F.posexplode("toks").alias("pos", "tok")).select("tok", "c", meta.alias("meta"))
             .withColumn("cnt", F.count(F.lit(1)).over(tok)).filter("cnt > 1"))
-    index = rows.select("tok", "c", F.shiftright("meta", 28).cast("int").alias("n"),
-                        F.shiftright("meta", 24).bitwiseAND(F.lit(15)).cast("int").alias("ell"),
-                        F.col("meta").bitwiseAND(F.lit((1 << 24) - 1)).cast("int").alias("pos"))
+    part = lambda shift, bits: F.shiftright("meta", shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    index = rows.select("tok", "c", part(36, 24).alias("n"), part(32, 4).alias("ell"), part(24, 8).alias("own"), part(0, 24).alias("pos"))
     live = keep(index.withColumn("comp", F.col("c")), "jaccard-index")
-
     def wanted(n, ell, m, ell2):  # shared prefix shingles a pair needs
         rest = lambda a, l: f"(ceil({a} * {lo} / {hi}.0) - {l})"
         return (f"greatest(least({ell}, {ell2}), ceil(({n} + {m}) * {lo} / {hi + lo}.0) "
@@ -193,29 +210,48 @@ def link_components(docs: DataFrame, reps: DataFrame, k: int, threshold: int) ->
             old, live = live, keep(joined, "jaccard-index")
             release(old)
         if turn < LEADER_ROUNDS:
-            first = F.struct(F.col("n") if turn == 0 else F.xxhash64("c", F.lit(turn)), "c", F.col("n").alias("ln"),
-                             F.col("ell").alias("lell"), F.col("comp").alias("lcomp"))
-            led = (live.withColumn("cnt", F.count(F.lit(1)).over(tok)).withColumn("lead", F.min(first).over(tok))
-                   .filter(F.col("cnt") > LONG_LIST)
-                   .select("c", "n", "ell", "comp", F.col("lead.c").alias("lc"), "lead.ln", "lead.lell", "lead.lcomp"))
-            pairs = (led.filter("comp <> lcomp").filter(close("n", "ln")).groupBy("c", "lc")
+            # A list's leader is a set with the fewest shingles of its own, next to which
+            # near copies lie; the order is the same in all lists.
+            seeds = [0] if turn == 0 else [LEADERS * turn + i for i in range(LEADERS)]
+            lead = [F.min(F.struct("own", F.xxhash64("c", F.lit(i)), F.col("c").alias("lc"), F.col("n").alias("ln"),
+                                   F.col("ell").alias("lell"), F.col("comp").alias("lcomp"), F.lit(i).alias("seed"))).over(tok) for i in seeds]
+            led = live.withColumn("leads", F.array(*lead)).withColumn("lead", F.explode("leads")).select(
+                "c", "n", "ell", "comp", *[f"lead.{x}" for x in ("lc", "ln", "lell", "lcomp", "seed")])
+            pairs = (led.filter("comp <> lcomp").filter(close("n", "ln")).groupBy("c", "lc", "seed")
                      .agg(F.count(F.lit(1)).alias("m"), *[F.first(x).alias(x) for x in ("n", "ell", "ln", "lell")])
                      .filter("m >= " + wanted("n", "ell", "ln", "lell"))
-                     .groupBy("c").agg(F.max_by("lc", F.struct("m", "lc")).alias("lc"))
-                     .select(F.col("c").alias("b"), F.col("lc").alias("a")))
+                     .groupBy("c", "seed").agg(F.max_by("lc", F.struct("m", "lc")).alias("lc"))
+                     .select(F.least("c", "lc").alias("a"), F.greatest("c", "lc").alias("b")).distinct())
         else:
             # In each list the rows outside its most frequent component meet all others.
-            each = live.withColumn("in_comp", F.count(F.lit(1)).over(Window.partitionBy("tok", "comp")))
+            # A shared shingle of two components is in their live postings: ``rank`` counts
+            # the postings of a set before this one, ``alone`` its prefix shingles without
+            # one. Of two sets the one whose prefix ends first shares none of the latter.
+            own = Window.partitionBy("c")
+            each = (live.join(reps.select("c", "end"), "c").withColumn("rank", F.row_number().over(own.orderBy("pos")) - 1)
+                    .withColumn("cnt", F.count(F.lit(1)).over(own))
+                    .withColumn("alone", F.expr(f"n - ceil(n * {lo} / {hi}.0) + ell - cnt")))
+            each = each.withColumn("in_comp", F.count(F.lit(1)).over(Window.partitionBy("tok", "comp")))
             each = each.withColumn("major", F.max(F.struct("in_comp", "comp")).over(tok)["comp"])
-            cols = ["c", "n", "ell", "comp", "pos"]
+            cols = ["c", "n", "ell", "comp", "pos", "rank", "cnt", "end", "alone"]
             x = each.filter("comp <> major").select("tok", *[F.col(c).alias("x" + c) for c in cols])
             y = each.select("tok", "major", *[F.col(c).alias("y" + c) for c in cols])
-            room = "1 + least(xn - xpos - 1, yn - ypos - 1) + least(xpos, ypos)"
+            room = "1 + least(xn - xpos - 1, yn - ypos - 1) + least(xrank, yrank)"
+            of_first = lambda a: f"case when xend < yend then x{a} when yend < xend then y{a} else greatest(x{a}, y{a}) end"
+            x, y = (df.withColumn(f"{side}most", F.expr(f"{side}n - {side}alone")).withColumn(
+                f"{side}rest", F.expr(f"ceil({side}n * {lo} / {hi}.0) - {side}ell")) for side, df in (("x", x), ("y", y)))
+            # A pair with ``need`` shared postings has one with need - 1 postings of both
+            # sets after it: such rows find the pairs, the postings' arrays count for them.
+            need = f"greatest(least(xell, yell), ceil((xn + yn) * {lo} / {hi + lo}.0) - ({of_first('rest')}))"
             pairs = (x.join(y, "tok").filter("xcomp <> ycomp and (ycomp = major or xc < yc)").filter(close("xn", "yn"))
+                     .filter(f"{hi + lo} * ({of_first('most')}) >= {lo} * (xn + yn)")
                      .filter(f"{hi + lo} * ({room}) >= {lo} * (xn + yn)")
+                     .filter(f"xrank <= xcnt - ({need}) and yrank <= ycnt - ({need})")
                      .groupBy(F.least("xc", "yc").alias("a"), F.greatest("xc", "yc").alias("b"))
-                     .agg(F.count(F.lit(1)).alias("m"), *[F.first(z).alias(z) for z in ("xn", "xell", "yn", "yell")])
-                     .filter("m >= " + wanted("xn", "xell", "yn", "yell")).select("a", "b"))
+                     .agg(F.first(F.expr(need)).alias("need")))
+            lists = live.groupBy("c").agg(F.collect_list("tok").alias("toks"))
+            pairs = (pairs.join(lists.toDF("a", "ta"), "a").join(lists.toDF("b", "tb"), "b")
+                     .filter("size(array_intersect(ta, tb)) >= need").select("a", "b"))
         pairs = keep(pairs, "jaccard-candidates")
         if pairs.isEmpty():
             continue

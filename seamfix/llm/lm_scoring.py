@@ -54,9 +54,8 @@ def counted(texts: DataFrame) -> DataFrame:
     def task(batches):
         hasher, sums = Hasher(), np.zeros(size, np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in blocks(texts):
-                words, pairs, inside, _ = slots_of(hasher, texts[a:b])
+            for _, _, texts in blocks(batch.column(0)):
+                words, pairs, inside, _ = slots_of(hasher, texts)
                 np.add.at(sums, words, 1)
                 np.add.at(sums, pairs[inside] + (1 << WORD_BITS), 1)
         at = np.flatnonzero(sums)
@@ -104,9 +103,8 @@ def lm_scores(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     def task(batches):
         hasher, models = Hasher(), [Bigrams(s) for s in shared.value]
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in blocks(texts):
-                words, pairs, inside, first = slots_of(hasher, texts[a:b])
+            for a, b, texts in blocks(batch.column(0)):
+                words, pairs, inside, first = slots_of(hasher, texts)
                 count = np.diff(first)
                 losses = []
                 for m in models:

@@ -1,5 +1,104 @@
-"""DuckDB SQL of the queries that SQL can express."""
+"""DuckDB SQL of the queries that SQL can express, written from the contracts and the
+quality rules' definitions, with exact strings where the operators hash."""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from .quality import COMMON, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_REFERENCE, MIN_WORDS
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+_PLAIN = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+OP1 = f"""
+with w as (select doc_id, regexp_extract_all({_LOWER}, {_WORDS}) w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+        else list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) end s from w),
+x as (select doc_id, unnest(s) g from s),
+m as (select a.doc_id a, b.doc_id b, count(*) m from x a join x b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select a, b from m join s p on p.doc_id = a join s q on q.doc_id = b where 100 * m >= 80 * (len(p.s) + len(q.s) - m)),
+e as (select a, b from l union all select b, a from l),
+r as (with recursive r(a, b) as (select doc_id, doc_id from s union select r.a, e.b from r join e on r.b = e.a)
+      select a, min(b) c from r group by a)
+select doc_id, len(s)::bigint n_shingles, c component_id from s join r on a = doc_id
+"""
+
+OP6 = f"""
+with i as (select item_id, regexp_extract_all({_LOWER}, {_PLAIN}) w from benchmark),
+iw as (select distinct item_id::varchar id, least(10, len(w)) t, array_to_string(w[p:p + least(10, len(w)) - 1], ' ') k
+       from (select item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) p from i where len(w) > 0)),
+d as (select doc_id, regexp_extract_all({_LOWER}, {_PLAIN}) w from documents),
+t as (select distinct t from iw),
+dw as (select doc_id, t, p, array_to_string(w[p:p + t - 1], ' ') k
+       from (select doc_id, w, t, unnest(range(1, len(w) - t + 2)) p from d, t)),
+h as (select doc_id, dw.t, p, id from dw join iw on dw.t = iw.t and dw.k = iw.k),
+n as (select doc_id, count(distinct q) n from (select doc_id, unnest(range(p, p + t)) q from (select distinct doc_id, p, t from h)) group by 1),
+s as (select doc_id, count(distinct id) c, string_agg(distinct id, ',' order by id) ids from h group by 1)
+select d.doc_id, len(w)::bigint n_words, coalesce(n, 0)::bigint n_hit, coalesce(c, 0)::bigint n_items,
+       sha256(coalesce(ids, '')) items_sha256, coalesce(n, 0) > 0 contaminated
+from d left join n on n.doc_id = d.doc_id left join s on s.doc_id = d.doc_id
+"""
+
+_CLASSES = ["length(t) - length(r1)", "length(r1) - length(r2)", "length(r2) - length(r3)", "length(r3) - length(r4)",
+            "length(r4) - length(r5)", "length(r5) - length(r6)", "length(r6)"]
+
+
+def _js(p: str, q: str) -> str:
+    half = lambda x: f"(case when {x} > 0 then {x} * log2({x} / (({p} + {q}) / 2)) else 0 end)"
+    return f"({half(p)} + {half(q)}) / 2"
+
+
+OP7 = rf"""
+with d as (select doc_id, coalesce(text, '') t, coalesce(lang, '') lang from documents),
+m as (select *, regexp_extract_all(t, {_WORDS}) w, regexp_replace(t, '[a-z]+', '', 'g') r1, regexp_replace(r1, '[\x20\x09-\x0D]+', '', 'g') r2,
+        regexp_replace(r2, '[^\x00-\x7F]+', '', 'g') r3, regexp_replace(r3, '[A-Z]+', '', 'g') r4,
+        regexp_replace(r4, '[.,;:''"()?\-]+', '', 'g') r5, regexp_replace(r5, '[0-9]+', '', 'g') r6,
+        list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) l from d),
+win as (select doc_id, i, w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2] k
+        from (select doc_id, w, unnest(range(1, len(w) - 1)) i from m where len(w) >= 3)),
+twice as (select doc_id, k from win group by all having count(*) > 1),
+pos as (select distinct doc_id, unnest([i, i + 1, i + 2]) p from win semi join twice using (doc_id, k)),
+rep as (select doc_id, count(*) n from pos group by 1),
+b as (select m.*, len(w) n_words, length(t) - (length(r1) - length(r2)) word_chars,
+        length(r4) - length(regexp_replace(r4, '[#*$%&|<>]+', '', 'g')) n_symbols, len(l) - len(list_distinct(l)) n_dup_lines,
+        coalesce(rep.n, 0) n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed
+      from m left join rep on rep.doc_id = m.doc_id),
+one as (select doc_id, lang, base_failed, lower(unnest(w)) x from b),
+top as (select lang, x, row_number() over (partition by lang order by count(*) desc, x) r from one group by lang, x qualify r <= {COMMON}),
+wc as (select one.doc_id, one.lang, base_failed, coalesce(r, 0) r, count(*) n from one left join top on top.lang = one.lang and top.x = one.x group by all),
+wr as (select lang, r, sum(n) n from wc where not base_failed group by all),
+wt as (select lang, sum(n) n from wr group by all),
+slots as (select distinct lang, unnest(range(0, {COMMON + 1})) r from d),
+wd as (select b.doc_id, sqrt(greatest(sum({_js('p', 'q')}), 0)) dist from (
+         select b.doc_id, coalesce(wc.n, 0) / b.n_words p, coalesce(wr.n, 0) / wt.n q
+         from b join slots s on s.lang = b.lang join wt on wt.lang = b.lang left join wc on wc.doc_id = b.doc_id and wc.r = s.r
+         left join wr on wr.lang = b.lang and wr.r = s.r where b.n_words > 0) b group by all),
+cc as (select doc_id, lang, base_failed, length(t) total, unnest([{', '.join(_CLASSES)}]) n, unnest(range(0, 7)) r from b),
+cr as (select lang, r, sum(n) n from cc where not base_failed group by all),
+ct as (select lang, sum(n) n from cr group by all),
+cd as (select doc_id, sqrt(greatest(sum({_js('p', 'q')}), 0)) dist from (
+         select cc.doc_id, cc.n / total p, cr.n / ct.n q from cc join cr on cr.lang = cc.lang and cr.r = cc.r join ct on ct.lang = cc.lang
+         where total > 0) group by all)
+select b.doc_id, n_words::bigint n_words, word_chars::bigint word_chars, n_symbols::bigint n_symbols, n_dup_lines::bigint n_dup_lines,
+       n_repeat_words::bigint n_repeat_words, base_failed,
+       not base_failed and not (length(t) >= {MIN_CHARS} and n_words >= {MIN_WORDS} and coalesce(wt.n, 0) >= {MIN_REFERENCE}
+         and (coalesce(cd.dist, 0) > {MAX_CHAR_DISTANCE} or coalesce(wd.dist, 0) > {MAX_WORD_DISTANCE})) kept
+from b left join wt on wt.lang = b.lang left join cd on cd.doc_id = b.doc_id left join wd on wd.doc_id = b.doc_id
+"""
+
+OP8 = f"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) w from documents),
+win as (select doc_id, i, array_to_string(w[i:i + 49], ' ') k from (select doc_id, w, unnest(range(1, len(w) - 48)) i from w where len(w) >= 50)),
+low as (select k, min(doc_id) m from win group by k having min(doc_id) < max(doc_id)),
+gone as (select distinct doc_id, p from (select win.doc_id, unnest(range(i, i + 50)) p from win join low on win.k = low.k where m < win.doc_id)),
+one as (select doc_id, unnest(w) x, unnest(range(1, len(w) + 1)) p from w),
+kept as (select doc_id, string_agg(x, ' ' order by p) t, count(*) n from one anti join gone using (doc_id, p) group by 1)
+select w.doc_id, len(w)::bigint n_words, (len(w) - coalesce(n, 0))::bigint n_removed, sha256(coalesce(t, '')) kept_sha256
+from w left join kept on kept.doc_id = w.doc_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": OP1,
+    "op6_benchmark_decontamination": OP6,
+    "op7_quality_rules": OP7,
+    "op8_substring_dedup": OP8,
+}

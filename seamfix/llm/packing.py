@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ids_and_texts, keep
+from .words import blocks
 
 CAPACITY = 2048
 CACHE_ENTRIES = 200_000
@@ -72,14 +73,14 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     def task(batches):
         encode, end = ChunkEncoder(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            rows = []
-            for did, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text or b"") + end
-                for start in range(0, len(ids) // 4, capacity):
-                    part = ids[4 * start:4 * (start + capacity)]
-                    rows.append((did, start // capacity, start, len(part) // 4, crc32(part)))
-            if rows:
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
+            dids, kinds = batch.column(0).to_pylist(), [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
+            for a, b, texts in blocks(batch.column(1)):
+                rows = []
+                for did, text in zip(dids[a:b], texts):
+                    ids = encode(text or b"") + end
+                    for start in range(0, len(ids) // 4, capacity):
+                        part = ids[4 * start:4 * (start + capacity)]
+                        rows.append((did, start // capacity, start, len(part) // 4, crc32(part)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
                                                  ["did", "piece", "start", "length", "crc"])
 

@@ -24,10 +24,13 @@ columns are carried through; an empty table gives an empty result."""
 from __future__ import annotations
 
 import string
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import keep
+
 SPACES = r"[\x20\x09-\x0D]+"
 COMMON = 24
 MIN_CHARS = 100
@@ -74,9 +77,9 @@ def repeat_words(words: Column) -> Column:
 
 
 def firm(df: DataFrame) -> DataFrame:
-    """``df`` with a barrier: filters on computed columns are evaluated above it, not
-    pushed below where each would compute its columns again."""
-    return df.withColumn("__row", F.monotonically_increasing_id())
+    """``df`` behind a metric node. Filters on computed columns stay above it; pushed
+    below, each would compute its columns again."""
+    return df.observe(f"quality-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -131,7 +134,7 @@ def with_common_histogram(df: DataFrame) -> DataFrame:
 def references(docs: DataFrame) -> DataFrame:
     """(__lang, common, ref_words, ref_classes, ref_n): sums over all documents
     of a language that pass the base rules."""
-    common = common_words(docs)
+    common = keep(common_words(docs), "quality-common")
     own = docs.select(language().alias("__lang"), "text").join(common, "__lang")
     df = with_common_histogram(firm(measured(own)).filter(~base_failed()))
     sums = [F.sum(F.get("__h", F.lit(i))).alias(f"h{i}") for i in range(len(_MARKS))]
@@ -159,7 +162,6 @@ def distance(p: Column, q: Column) -> Column:
 def quality(docs: DataFrame) -> DataFrame:
     """``docs`` with a struct ``__q``: the base counts, base_failed, the two
     distances (null where a guard holds them back) and kept."""
-    from .common import keep
     refs = keep(references(docs), "quality-references")
     df = docs.withColumn("__lang", language()).join(refs, "__lang", "left")
     df = with_common_histogram(measured(df))
@@ -170,7 +172,7 @@ def quality(docs: DataFrame) -> DataFrame:
     far = (F.coalesce("__c", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.coalesce("__d", F.lit(0.0)) > MAX_WORD_DISTANCE)
     m = [F.col(f"__m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return firm(df.withColumn("__q", F.struct(*m, base_failed().alias("base_failed"), F.col("__c").alias("class_distance"),
-                                          F.col("__d").alias("word_distance"), (~base_failed() & ~far).alias("kept"))).select(*[F.col(c) for c in docs.columns], "__q")).drop("__row")
+                                          F.col("__d").alias("word_distance"), (~base_failed() & ~far).alias("kept"))).select(*[F.col(c) for c in docs.columns], "__q"))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:

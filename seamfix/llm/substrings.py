@@ -76,9 +76,8 @@ def anchor_lists(docs: DataFrame, t: int, k: int) -> DataFrame:
     def task(batches):
         hasher = Hasher()
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in blocks(texts):
-                _, first, place, g, _ = anchors(hasher, texts[a:b], t, k)
+            for a, b, texts in blocks(batch.column(2)):
+                _, first, place, g, _ = anchors(hasher, texts, t, k)
                 cut = np.searchsorted(place, first)
                 own = np.repeat(np.arange(b - a), np.diff(cut))
                 some = np.diff(cut)
@@ -145,14 +144,14 @@ def settle(docs: DataFrame, runs: DataFrame, t: int, k: int) -> DataFrame:
     def task(batches):
         hasher = Hasher()
         for batch in batches:
-            texts, found = batch.column(2).to_pylist(), batch.column(3)
+            found = batch.column(3)
             dids, sigs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             offs = found.offsets.to_numpy()
             part = found.flatten()
             ri, rj, rl = (part.field(c).to_numpy() for c in range(3))
             offs = offs - offs[0]
-            for a, b in blocks(texts):
-                h, first, place, _, choice = anchors(hasher, texts[a:b], t, k)
+            for a, b, texts in blocks(batch.column(2)):
+                h, first, place, _, choice = anchors(hasher, texts, t, k)
                 whole = hasher.ngrams(h, t)
                 cut = np.searchsorted(place, first)
                 for d in range(b - a):
@@ -196,7 +195,9 @@ def removals(settled: DataFrame, t: int) -> DataFrame:
     """(did, sig, spans): all spans to remove of each document, by start."""
     windows = settled.filter("window is not null").select("did", "sig", "start", "window")
     low = windows.groupBy("window").agg(F.min("did").alias("low"), F.max("did").alias("high")).filter("low < high")
-    more = (windows.join(low.select("window", "low"), "window").filter("low < did")
+    # Written, so that both sides of the join are plain shuffles: a hot window is split.
+    low = keep(low.select("window", "low"), "substring-low")
+    more = (windows.join(low, "window").filter("low < did")
             .select("did", "sig", "start", F.lit(t).alias("length")))
     spans = settled.filter("length is not null").select("did", "sig", "start", "length").unionByName(more)
     return keep(spans.groupBy("did", "sig").agg(

@@ -8,8 +8,9 @@ over word hashes) modulo 2**64, finished by an integer mixer."""
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.compute as pc
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD6E8FEB86659FD93
 
@@ -91,17 +92,17 @@ class Hasher:
         return mix((total[k:] - total[:n]) * down[:n] + np.uint64(k))
 
 
-def blocks(texts: list, limit: int = BLOCK):
-    """Slices (from, to) of consecutive texts of at most ``limit`` bytes together."""
-    a = size = 0
-    for i, t in enumerate(texts):
-        n = len(t or b"")
-        if i > a and size + n > limit:
-            yield a, i
-            a, size = i, 0
-        size += n
-    if a < len(texts):
-        yield a, len(texts)
+def blocks(*columns, limit: int = BLOCK):
+    """(from, to, texts of each column): slices of consecutive rows of binary Arrow
+    columns with at most ``limit`` bytes together (one row at least). Only the
+    slice at hand is copied into Python objects."""
+    sizes = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    ends = np.cumsum(sizes)
+    a, n = 0, len(sizes)
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(ends, limit + (ends[a - 1] if a else 0), side="right")))
+        yield (a, b, *[c.slice(a, b - a).to_pylist() for c in columns])
+        a = b
 
 
 def as_long(x: np.ndarray) -> np.ndarray:
