@@ -12,7 +12,7 @@ _PLAIN = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 OP1 = f"""
 with w as (select doc_id, regexp_extract_all({_LOWER}, {_WORDS}) w from documents),
 s as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
-        else list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) end s from w),
+        else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end s from w),
 x as (select doc_id, unnest(s) g from s),
 m as (select a.doc_id a, b.doc_id b, count(*) m from x a join x b on a.g = b.g and a.doc_id < b.doc_id group by all),
 l as (select a, b from m join s p on p.doc_id = a join s q on q.doc_id = b where 100 * m >= 80 * (len(p.s) + len(q.s) - m)),
@@ -52,7 +52,7 @@ with d as (select doc_id, coalesce(text, '') t, coalesce(lang, '') lang from doc
 m as (select *, regexp_extract_all(t, {_WORDS}) w, regexp_replace(t, '[a-z]+', '', 'g') r1, regexp_replace(r1, '[\x20\x09-\x0D]+', '', 'g') r2,
         regexp_replace(r2, '[^\x00-\x7F]+', '', 'g') r3, regexp_replace(r3, '[A-Z]+', '', 'g') r4,
         regexp_replace(r4, '[.,;:''"()?\-]+', '', 'g') r5, regexp_replace(r5, '[0-9]+', '', 'g') r6,
-        list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) l from d),
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) l from d),
 win as (select doc_id, i, w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2] k
         from (select doc_id, w, unnest(range(1, len(w) - 1)) i from m where len(w) >= 3)),
 twice as (select doc_id, k from win group by all having count(*) > 1),
