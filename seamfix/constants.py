@@ -15,12 +15,9 @@ DELIMITER_PREFERENCE = [",", "\t", ";", ":", "|"]
 DEFAULT_DELIMITER = ","
 # Characters never treated as a stray delimiter inside a value.
 EXCLUDED_FROM_CANDIDACY = "-_.'\"@ "
-# Invisible characters: BOM-as-char, zero-width space, ZWNJ, ZWJ, word joiner.
-INVISIBLE_CHARACTERS = "\ufeff\u200b\u200c\u200d\u2060"
 MAX_PREAMBLE_LINES = 10
 SNIFF_TAIL_LINES = 5
 SAMPLE_LINES = 5
-VOTE_CONSISTENCY = 0.9
 
 # Failure classes, in detection priority order.
 FAILURE_PRIORITY = [
@@ -44,12 +41,6 @@ DEFAULT_PRESCRIPTIONS = [
     ("engine_selection", ",", "utf-8", 0, "pyarrow"),
     ("single_column_malformation", ";", "utf-8", 0, "python"),
 ]
-# Low-confidence Western single-byte guesses that are re-mapped to cp1252.
-LOW_CONFIDENCE_CP1252_CODECS = [
-    "iso88591", "iso88592", "iso88594", "iso88599", "iso885913", "iso885915",
-    "iso885916", "windows1250", "1252", "1254", "1257", "cp1252", "macroman",
-]
-ENCODING_CONFIDENCE_FLOOR = 0.5
 
 # --- fixed values (schema drift) ----------------------------------------
 RENAME_HINT_FLOOR = 0.4
@@ -72,10 +63,8 @@ TYPE_ALIASES = {
 ERR_SINGLE_COLUMN = "single_column_result"
 ERR_OUTPUT_COLLIDES = "output_path_collides_with_source"
 ERR_INVISIBLE_IN_OUTPUT = "invisible_characters_in_output_columns"
-ERR_EMPTY_FILE = "empty_file"
 ERR_HEADER_OUT_OF_RANGE = "header_row_out_of_range"
 ERR_NO_OUTPUT = "no_repaired_output_to_verify"
-ERR_NO_OPERATIONS = "no_operations_to_apply"
 
 # --- fixed values (number grammar, Python float()/int() compatible) -------
 FLOAT_RE = (

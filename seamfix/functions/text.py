@@ -40,6 +40,13 @@ def blank_quoted(raw, d) -> Column:
     return F.regexp_replace(_c(raw), pat, F.lit("$1Q"))
 
 
+def blank_any_quoted(raw) -> Column:
+    """Replace each complete quoted field, whatever candidate delimiter
+    bounds it, by ``Q``: what is left of a delimiter stands outside quotes."""
+    edge = "[,;\\t|:]"
+    return F.regexp_replace(_c(raw), f'(^|{edge})"(?:[^"]|"")*"(?={edge}|$)', "$1Q")
+
+
 def field_count(raw, d) -> Column:
     """Quote-aware number of fields of one line under delimiter ``d``.
 
@@ -141,11 +148,16 @@ def parses_bool(x) -> Column:
 
 
 def parses_iso_datetime(x) -> Column:
-    """ISO-8601 date or datetime."""
+    """ISO-8601 calendar date or datetime in extended or basic form, with
+    clock fields in range and an existing date (F4)."""
     v = F.trim(_c(x))
-    return v.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?)?([+-]\d{2}:\d{2}|Z)?$") & (
-        F.try_to_timestamp(F.substring(v, 1, 10), F.lit("yyyy-MM-dd")).isNotNull()
-    )
+    hour, sixty = r"(?:[01]\d|2[0-3])", r"[0-5]\d"
+    extended = rf"{hour}(?::{sixty}(?::{sixty}(?:[.,]\d+)?)?)?"
+    basic = rf"{hour}(?:{sixty}(?:{sixty}(?:[.,]\d+)?)?)?"
+    zone = rf"(?:Z|[+-]{hour}(?::?{sixty}(?::?{sixty})?)?)?"
+    day = F.regexp_replace(F.regexp_extract(v, r"^(\d{4}-\d{2}-\d{2}|\d{8})", 1), "-", "")
+    return v.rlike(rf"^(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{8}})(?:[T ](?:{extended}|{basic}){zone})?$") \
+        & F.try_to_timestamp(day, F.lit("yyyyMMdd")).isNotNull()
 
 
 def codec_key(x) -> Column:

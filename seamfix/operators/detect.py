@@ -16,13 +16,8 @@ driver tables). Plan shape:
 
 from __future__ import annotations
 
-import csv
-import io
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as ST
 
 from seamfix import constants as K
 from seamfix.functions import text as T
@@ -45,12 +40,16 @@ def shape_groups(lines: DataFrame) -> DataFrame:
     and re-aggregated (sum, min, max compose exactly)."""
     tail = F.col("line_no") > F.col("n_lines") - K.SNIFF_TAIL_LINES
     n = len(K.CANDIDATE_DELIMITERS)
-    # Counts first, field counts from them in a second projection: the
-    # optimizer keeps the two apart rather than evaluate every count twice
-    # (once bare, once inside the unquoted branch of the field count).
+    # Occurrences outside quoted fields (the vote), then field counts from
+    # them in a second projection: the optimizer keeps the two apart rather
+    # than evaluate every count twice.
+    quoted = F.instr("raw", '"') > 0
     counted = lines.select(
-        "file_id", "line_no", "raw", tail.alias("is_tail"), (F.instr("raw", '"') > 0).alias("_q"),
-        *[T.occurrences(F.col("raw"), d).cast("long").alias(f"_o{i}") for i, d in enumerate(K.CANDIDATE_DELIMITERS)])
+        "file_id", "line_no", "raw", tail.alias("is_tail"), quoted.alias("_q"),
+        F.when(quoted, T.blank_any_quoted(F.col("raw"))).otherwise(F.col("raw")).alias("_b"))
+    counted = counted.select(
+        "file_id", "line_no", "raw", "is_tail", "_q",
+        *[T.occurrences(F.col("_b"), d).cast("long").alias(f"_o{i}") for i, d in enumerate(K.CANDIDATE_DELIMITERS)])
     field_counts = [
         F.when(F.col("_q"), T.occurrences(T.blank_quoted(F.col("raw"), d), d) + 1)
         .otherwise(F.col(f"_o{i}") + 1).cast("long").alias(f"_f{i}")
@@ -180,36 +179,27 @@ def garbled_header(lines: DataFrame, struct_df: DataFrame, file_bound: int | Non
 
 
 # ------------------------------------------------------------- field parsing
-def _csv_split(raw: str, d: str) -> list[str]:
-    try:
-        return next(csv.reader([raw], delimiter=d))
-    except (csv.Error, StopIteration):
-        return [raw]
-
-
-@F.pandas_udf(ST.ArrayType(ST.StringType()))
-def csv_split_udf(raw: pd.Series, d: pd.Series) -> pd.Series:
-    """Quote-aware split of a line (only lines holding a double quote)."""
-    return pd.Series([_csv_split(r, x) for r, x in zip(raw, d)])
-
-
-def with_fields(df: DataFrame, raw: str = "raw", d: str = "delimiter", out: str = "fields") -> DataFrame:
-    """Append ``fields``: unquoted lines split literally; lines holding a
-    double quote split natively outside quotes (even number of quotes ahead)
-    and are unquoted. No Python in this path."""
-    line, delim = F.col(raw), F.col(d)
+def quoted_split(line: Column, delim: Column) -> Column:
+    """Fields of a line that may hold quoted fields: split outside quotes
+    (an even number of quotes ahead), then unquoted."""
     outside = F.concat(T.quote_regex(delim), F.lit('(?=(?:[^"]*"[^"]*")*[^"]*$)'))
     # Mark the delimiters outside quotes with a sentinel (regexp_replace
     # keeps its compiled pattern while the delimiter stays the same), then
     # split on the sentinel literally; a line already holding the sentinel
     # is split by the pattern itself (compiled for that line).
-    marked = F.split(F.regexp_replace(line, outside, _SENTINEL), F.lit(_SENTINEL), -1)
+    marked = F.split(F.regexp_replace(line, outside, F.lit(_SENTINEL)), F.lit(_SENTINEL), -1)
     parts = F.when(F.instr(line, _SENTINEL) > 0, F.split(line, outside, -1)).otherwise(marked)
-    quoted = F.transform(
+    return F.transform(
         parts,
         lambda f: F.when(f.rlike('^"(?:[^"]|"")*"$'),
                          F.regexp_replace(F.regexp_extract(f, '^"(.*)"$', 1), '""', '"')).otherwise(f))
-    return df.withColumn(out, F.when(F.instr(line, '"') > 0, quoted).otherwise(T.split_fields(line, delim)))
+
+
+def with_fields(df: DataFrame, raw: str = "raw", d: str = "delimiter", out: str = "fields") -> DataFrame:
+    """Append ``fields``: unquoted lines split literally, lines holding a
+    double quote outside quotes. No Python in this path."""
+    line, delim = F.col(raw), F.col(d)
+    return df.withColumn(out, F.when(F.instr(line, '"') > 0, quoted_split(line, delim)).otherwise(T.split_fields(line, delim)))
 
 
 # --------------------------------------------------------------- D11, D12, D13
@@ -266,46 +256,18 @@ def header_checks(lines: DataFrame, struct_df: DataFrame, file_bound: int | None
 
 
 # --------------------------------------------------------- D14, D15, D16, D18
-def _resolve_quoted(raw: str, d: str, expected: int):
-    """Tier 1 then tier 2 on a quoted line, with the stdlib csv parser."""
-    def cands(s):
-        return sorted({ch for ch in s if not ch.isalnum() and ch not in K.EXCLUDED_FROM_CANDIDACY and ch != d})
-
-    def write(fields):
-        buf = io.StringIO()
-        csv.writer(buf, delimiter=d, lineterminator="").writerow(fields)
-        return buf.getvalue()
-
-    hits = [c for c in cands(raw) if len(_csv_split(raw, c)) == expected]
-    if len(hits) == 1:
-        return hits[0], write(_csv_split(raw, hits[0]))
-    fields = _csv_split(raw, d)
-    if len(fields) < expected:
-        deficit = expected - len(fields)
-        matches = [(i, c, _csv_split(f, c)) for i, f in enumerate(fields) for c in cands(f)
-                   if len(_csv_split(f, c)) - 1 == deficit]
-        if len(matches) == 1:
-            i, c, sub = matches[0]
-            return c, write(fields[:i] + sub + fields[i + 1:])
-    return None, None
-
-
-@F.pandas_udf(ST.StructType([ST.StructField("observed_delimiter", ST.StringType()), ST.StructField("repaired_text", ST.StringType())]))
-def resolve_quoted_udf(raw: pd.Series, d: pd.Series, expected: pd.Series) -> pd.DataFrame:
-    res = [_resolve_quoted(r, x, int(e)) for r, x, e in zip(raw, d, expected)]
-    return pd.DataFrame({"observed_delimiter": [a for a, _ in res], "repaired_text": [b for _, b in res]})
-
-
-def _resolve_plain(raw: Column, d: Column, expected: Column) -> tuple[Column, Column]:
-    """Native tier 1 / tier 2 on an unquoted line."""
+def _resolve(raw: Column, d: Column, expected: Column, split=T.split_fields) -> tuple[Column, Column]:
+    """Tier 1 (one other delimiter splits the whole line to the expected
+    width) and tier 2 (one field holds the missing fields), under ``split``
+    (quote-aware for lines that hold a double quote)."""
     cands = T.stray_candidates(raw, d)
-    tier1 = F.filter(cands, lambda c: F.size(T.split_fields(raw, c)) == expected)
-    fields = T.split_fields(raw, d)
+    tier1 = F.filter(cands, lambda c: F.size(split(raw, c)) == expected)
+    fields = split(raw, d)
     deficit = expected - F.size(fields)
     tier2 = F.flatten(F.transform(
         fields,
         lambda f, i: F.transform(
-            F.filter(T.stray_candidates(f, d), lambda c: F.size(T.split_fields(f, c)) - 1 == deficit),
+            F.filter(T.stray_candidates(f, d), lambda c: F.size(split(f, c)) - 1 == deficit),
             lambda c: F.struct(i.alias("i"), c.alias("c")),
         ),
     ))
@@ -314,10 +276,10 @@ def _resolve_plain(raw: Column, d: Column, expected: Column) -> tuple[Column, Co
     hit2 = F.try_element_at(tier2, F.lit(1))
     one2 = (deficit > 0) & (F.size(tier2) == 1)
     i2 = hit2["i"]
-    sub2 = T.split_fields(F.try_element_at(fields, i2 + 1), hit2["c"])
+    sub2 = split(F.try_element_at(fields, i2 + 1), hit2["c"])
     fields2 = F.concat(F.slice(fields, 1, i2), sub2, F.slice(fields, i2 + 2, F.greatest(F.size(fields) - i2 - 1, F.lit(0))))
     observed = F.when(one1, c1).when(one2, hit2["c"])
-    repaired = F.when(one1, T.csv_join(T.split_fields(raw, c1), d)).when(one2, T.csv_join(fields2, d))
+    repaired = F.when(one1, T.csv_join(split(raw, c1), d)).when(one2, T.csv_join(fields2, d))
     return observed, repaired
 
 
@@ -329,13 +291,11 @@ def disagreeing_rows(lines: DataFrame, struct_df: DataFrame, file_bound: int | N
     j = lines.filter(F.col("line_no") > 1).join(sized_broadcast(files, file_bound), "file_id")
     j = j.withColumn("actual_field_count", T.field_count(F.col("raw"), F.col("delimiter")))
     bad = j.filter(F.col("actual_field_count") != F.col("expected_field_count"))
-    plain = bad.filter(F.instr("raw", '"') == 0)
-    obs, rep = _resolve_plain(F.col("raw"), F.col("delimiter"), F.col("expected_field_count"))
-    plain = plain.withColumn("observed_delimiter", obs).withColumn("repaired_text", rep)
-    quoted = bad.filter(F.instr("raw", '"') > 0) \
-        .withColumn("_r", resolve_quoted_udf(F.col("raw"), F.col("delimiter"), F.col("expected_field_count"))) \
-        .withColumn("observed_delimiter", F.col("_r.observed_delimiter")) \
-        .withColumn("repaired_text", F.col("_r.repaired_text")).drop("_r")
+    def resolved(part: DataFrame, split) -> DataFrame:
+        obs, rep = _resolve(F.col("raw"), F.col("delimiter"), F.col("expected_field_count"), split)
+        return part.withColumn("observed_delimiter", obs).withColumn("repaired_text", rep)
+    plain = resolved(bad.filter(F.instr("raw", '"') == 0), T.split_fields)
+    quoted = resolved(bad.filter(F.instr("raw", '"') > 0), quoted_split)
     return plain.unionByName(quoted).select(
         "file_id", F.col("line_no").alias("row_number"), "expected_field_count", "actual_field_count",
         "observed_delimiter", F.col("raw").alias("original_text"), "repaired_text", "delimiter",

@@ -16,9 +16,7 @@ from pyspark.sql import types as ST
 
 from seamfix import constants as K
 from seamfix.functions import text as T
-
-SCHEMA_COLS = ["table", "ordinal", "name", "type", "nullable"]
-
+from seamfix.session import cut_lineage
 
 # ------------------------------------------------------------------ S6, S7
 def to_long(tables: dict[str, DataFrame]) -> DataFrame:
@@ -84,9 +82,12 @@ def looks_headerless(header_fields: DataFrame, baseline: DataFrame) -> DataFrame
 
 # ------------------------------------------------------------------ C1, C2
 def column_diff(current: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Added / removed / type_changed per table (column order ignored)."""
-    c = current.select("table", "name", F.col("type").alias("to_type"))
-    b = baseline.select("table", "name", F.col("type").alias("from_type"))
+    """Added / removed / type_changed per table (column order ignored),
+    for tables that have both a current extract and a baseline; the others
+    are C22's business and get no operations."""
+    both = current.select("table").distinct().join(baseline.select("table").distinct(), "table")
+    c = current.select("table", "name", F.col("type").alias("to_type")).join(both, "table", "left_semi")
+    b = baseline.select("table", "name", F.col("type").alias("from_type")).join(both, "table", "left_semi")
     j = c.join(b, ["table", "name"], "full_outer")
     kind = F.when(F.col("from_type").isNull(), "added").when(F.col("to_type").isNull(), "removed") \
         .when(F.col("from_type") != F.col("to_type"), "type_changed")
@@ -94,6 +95,11 @@ def column_diff(current: DataFrame, baseline: DataFrame) -> DataFrame:
         .filter(F.col("kind").isNotNull())
 
 
+def without_baseline(current: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Tables of the current extracts that no baseline names."""
+    return current.select("table").distinct().join(baseline.select("table"), "table", "left_anti")
+
+
 def diff_sets(diff: DataFrame, tables: DataFrame) -> DataFrame:
     """Per-table set sizes and whether anything changed (hints ignored)."""
     counts = diff.groupBy("table").agg(
@@ -133,24 +139,25 @@ def rename_candidates(diff: DataFrame, floor: float = K.RENAME_HINT_FLOOR) -> Da
     return sims.filter(F.col("similarity") >= floor).select("table", "removed_column", "added_column", "similarity")
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["similarity", "removed_column", "added_column"], ascending=[False, True, True], kind="stable")
-    used_r, used_a, keep = set(), set(), []
-    for row in pdf.itertuples(index=False):
-        if row.removed_column in used_r or row.added_column in used_a:
-            continue
-        keep.append(row)
-        used_r.add(row.removed_column)
-        used_a.add(row.added_column)
-    return pd.DataFrame(keep, columns=pdf.columns)
-
-
 def rename_hints(candidates: DataFrame) -> DataFrame:
-    """Greedy one-to-one matching per table, similarity descending,
-    ties by removed then added name. Groups are schema-sized (bounded by
-    the column count of one table), never data-sized."""
-    return candidates.groupBy("table").applyInPandas(
-        _greedy, "table string, removed_column string, added_column string, similarity double")
+    """One-to-one matching per table, most similar first, ties by
+    removed then added name.
+
+    Rounds of mutual-best selection: a pair that is the best left for both
+    of its columns can't be displaced by any other, so it is taken, and the
+    pairs of its columns go. Every round takes the best pair of each table
+    at least; rounds stop when no pair is left."""
+    order = [F.desc("similarity"), F.asc("removed_column"), F.asc("added_column")]
+    best = lambda side: F.row_number().over(Window.partitionBy("table", side).orderBy(*order)) == 1
+    left, taken = cut_lineage(candidates, "hints"), None
+    while not left.isEmpty():
+        pairs = cut_lineage(left.withColumn("_r", best("removed_column")).withColumn("_a", best("added_column"))
+                            .filter("_r and _a").drop("_r", "_a"), "hints")
+        taken = pairs if taken is None else taken.unionByName(pairs)
+        for side in ("removed_column", "added_column"):
+            left = left.join(pairs.select("table", side), ["table", side], "left_anti")
+        left = cut_lineage(left.select(*candidates.columns), "hints")
+    return candidates if taken is None else taken
 
 
 # ------------------------------------------------------------------ C6, C7
@@ -174,9 +181,6 @@ def default_for(type_col) -> F.Column:
     return expr.otherwise(F.lit(None).cast("string"))
 
 
-OPS_SCHEMA = "table string, seq long, op string, column string, target_column string, target_type string, default string, confidence double"
-
-
 def operations(diff: DataFrame, renames: DataFrame) -> DataFrame:
     """Rename (current -> baseline name), cast (to the baseline type,
     SURVEY Q1), add_default for unmatched removed, drop for unmatched added.
@@ -262,8 +266,12 @@ def _cast_expr(col: str, target: str) -> F.Column:
     v = F.col(col).cast("string")
     t = K.TYPE_ALIASES.get(target.strip().lower(), "string")
     if t == "int64":
-        d = F.when(T.parses_float(v), F.regexp_replace(F.trim(v), "_", "").try_cast("double"))
-        return F.when(d == F.floor(d), d.try_cast("bigint"))
+        # Integers are cast as such; other numbers only when they are whole,
+        # through a decimal, so no digit is lost to a double.
+        plain = F.regexp_replace(F.trim(v), "_", "")
+        d = F.when(T.parses_float(v), plain.try_cast("double"))
+        return F.when(T.parses_int(v), plain.try_cast("bigint")) \
+            .when(d == F.floor(d), plain.try_cast("decimal(38,18)").try_cast("bigint"))
     if t == "float64":
         return F.when(T.parses_float(v), F.regexp_replace(F.trim(v), "_", "").try_cast("double"))
     if t == "bool":

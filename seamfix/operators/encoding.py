@@ -1,8 +1,15 @@
-"""Encoding evidence per file (D1, D2), all native byte expressions."""
+"""Encoding evidence per file (D1, D2, D13) and decoding (R1), all native.
+
+``text_encoding`` takes its evidence from the splits of a text scan (per-line
+tests, combined per file), so a file of any size spreads over its splits;
+``encoding_evidence`` judges contents that are given whole.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # --- fixed values (confidence per rule) ---------------------------------
@@ -34,3 +41,48 @@ def encoding_evidence(files: DataFrame) -> DataFrame:
     conf = F.when(guess.isin("utf-8-sig", "utf-16-le", "utf-16-be"), CONF_BOM) \
         .when(guess == "utf-8", CONF_UTF8).when(guess == "cp1252", CONF_C1).otherwise(CONF_LATIN1)
     return files.select("file_id", guess.alias("encoding"), conf.alias("confidence"), (~valid).alias("wrong_encoding"))
+
+
+def text_encoding(spark: SparkSession, paths: list[str] | str,
+                  file_expr: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(file_id, encoding, confidence, wrong_encoding, bom_utf8) of text files
+    in an ASCII-compatible encoding, by one aggregate over a text scan.
+
+    The line reader drops a UTF-8 BOM without a word, so it is inferred from
+    sizes: a file is its lines, their line feeds (the last may lack one) and
+    what the reader dropped."""
+    scan = spark.read.option("lineSep", "\n").text(paths)
+    path = F.col("_metadata.file_path")
+    hx, valid = F.hex(F.col("value").cast("binary")), F.is_valid_utf8("value")
+    per_path = scan.select((file_expr(path) if file_expr else path).alias("file_id"), path.alias("_path"),
+                           F.col("_metadata.file_size").alias("_size"), F.octet_length("value").alias("_n"), valid.alias("_valid"),
+                           F.when(valid, F.lit(False)).otherwise(hx.rlike(_ALIGNED + "[89][0-9A-F]")).alias("_c1"),
+                           (F.instr("value", "\0") > 0).alias("_nul")) \
+        .groupBy("file_id", "_path").agg(
+            (F.max("_size") - F.sum("_n") - F.count(F.lit(1)) >= 2).alias("bom"),
+            F.bool_and("_valid").alias("valid"), F.bool_or("_c1").alias("c1"), F.bool_or("_nul").alias("nul"))
+    per = per_path.groupBy("file_id").agg(F.bool_or("bom").alias("bom_utf8"), F.bool_and("valid").alias("valid"),
+                                          F.bool_or("c1").alias("c1"), F.bool_or("nul").alias("nul"))
+    guess = F.when(F.col("bom_utf8"), "utf-8-sig").when(F.col("nul"), "utf-16").when(F.col("valid"), "utf-8") \
+        .when(F.col("c1"), "cp1252").otherwise("iso-8859-1")
+    conf = F.when(F.col("bom_utf8"), CONF_BOM).when(guess == "utf-8", CONF_UTF8).when(guess == "cp1252", CONF_C1) \
+        .otherwise(CONF_LATIN1)
+    return per.select("file_id", guess.alias("encoding"), conf.alias("confidence"),
+                      (~F.col("valid") | F.col("nul")).alias("wrong_encoding"), "bom_utf8")
+
+
+def _cp1252_signs() -> tuple[str, str]:
+    """The C1 controls that cp1252 uses and the characters it gives them."""
+    pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    return "".join(c for c, s in pairs if s), "".join(s for _, s in pairs if s)
+
+
+def decode_lines(lines: DataFrame, encodings: DataFrame) -> DataFrame:
+    """Lines with ``raw`` decoded where the file's encoding is a single-byte one
+    (``encodings``: file_id, encoding, one row per file). UTF-16 files stay as
+    they are; their output fails verification."""
+    latin = F.decode(F.col("raw").cast("binary"), "ISO-8859-1")
+    text = F.when(F.col("_enc") == "iso-8859-1", latin) \
+        .when(F.col("_enc") == "cp1252", F.translate(latin, *_cp1252_signs())).otherwise(F.col("raw"))
+    joined = lines.join(encodings.select("file_id", F.col("encoding").alias("_enc")), "file_id", "left")
+    return joined.withColumn("raw", text).drop("_enc")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seamfix import constants as K
+from seamfix.session import cut_lineage
 
 
 def volume_over_time(logs: DataFrame, approx: bool = False) -> DataFrame:
@@ -43,36 +44,31 @@ def trace_explorer(logs: DataFrame, trace_id: str) -> DataFrame:
     return df.orderBy("ts", "event_id").select(*TRACE_COLUMNS)
 
 
-def kth_values(df: DataFrame, group: str, value: str, rank: DataFrame, chunks: int = 64) -> DataFrame:
+def kth_values(df: DataFrame, group: str, value: str, rank: DataFrame) -> DataFrame:
     """Exact k-th smallest ``value`` per group (0-based rank in ``rank``:
     group, k), skew-safe: duplicates are combined map-side into (group,
-    value, count); cumulative counts come from value-range chunks (a
-    window per (group, chunk) plus prefix sums over the small chunk
-    table), so a hot group spreads over many tasks."""
-    vc = df.groupBy(group, value).agg(F.count(F.lit(1)).alias("cnt"))
-    lo_hi = vc.groupBy(group).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / chunks
-    x = vc.join(F.broadcast(lo_hi), group).withColumn(
-        "chunk", F.when(width > 0, F.least(F.floor((F.col(value) - F.col("lo")) / width), F.lit(chunks - 1)))
-        .otherwise(F.lit(0)).cast("long"))
-    per_chunk = x.groupBy(group, "chunk").agg(F.sum("cnt").alias("ccnt"))
-    before = Window.partitionBy(group).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = per_chunk.withColumn("start", F.coalesce(F.sum("ccnt").over(before), F.lit(0)))
-    within = Window.partitionBy(group, "chunk").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    cum = x.join(F.broadcast(offs.select(group, "chunk", "start")), [group, "chunk"]) \
-        .withColumn("cum_end", F.col("start") + F.sum("cnt").over(within))
-    hit = cum.join(F.broadcast(rank), group).filter(
-        (F.col("cum_end") - F.col("cnt") <= F.col("k")) & (F.col("k") < F.col("cum_end")))
+    value, count); the counts are range partitioned and written with their
+    task, so a hot group spreads over many tasks whatever its values, and
+    cumulative counts are sums inside (task, group) plus the sums of the
+    tasks before."""
+    counts = df.groupBy(group, value).agg(F.count(F.lit(1)).alias("cnt"))
+    dealt = cut_lineage(counts.repartitionByRange(group, value).withColumn("task", F.spark_partition_id()), "ranked-values")
+    before = Window.partitionBy(group).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(group, "task").agg(F.sum("cnt").alias("tcnt")) \
+        .select(group, "task", F.coalesce(F.sum("tcnt").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy(group, "task").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    cum = dealt.join(starts, [group, "task"]).withColumn("cum_end", F.col("start") + F.sum("cnt").over(within))
+    hit = cum.join(rank, group).filter((F.col("cum_end") - F.col("cnt") <= F.col("k")) & (F.col("k") < F.col("cum_end")))
     return hit.select(group, F.col(value).alias("kth"))
 
 
 def latency_summary(logs: DataFrame) -> DataFrame:
     """Per node n, mean, sample stdev and p95 by nearest rank
-    ``round(0.95 * (n - 1))`` on the sorted values."""
+    ``round(0.95 * (n - 1))`` (half to even) on the sorted values."""
     base = logs.filter(F.col("latency_ms").isNotNull() & F.col("node").isNotNull())
     stats = base.groupBy("node").agg(
         F.count(F.lit(1)).alias("n"), F.avg("latency_ms").alias("mean"), F.stddev_samp("latency_ms").alias("stdev"))
-    rank = stats.select("node", F.round(0.95 * (F.col("n") - 1)).cast("long").alias("k"))
+    rank = stats.select("node", F.bround(F.lit(0.95) * (F.col("n") - 1)).cast("long").alias("k"))
     p95 = kth_values(base, "node", "latency_ms", rank)
     return stats.join(p95, "node").select(
         "node", "n", F.round("mean", 4).alias("mean"), F.round("stdev", 4).alias("stdev"), F.col("kth").alias("p95"))

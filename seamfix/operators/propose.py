@@ -17,9 +17,6 @@ from seamfix import constants as K
 from seamfix.functions import text as T
 from seamfix.plans.joins import measured_broadcast, sized_broadcast
 
-PARAMS_SCHEMA = "file_id bigint, delimiter string, encoding string, header_row bigint, engine string"
-
-
 def default_prescriptions(spark: SparkSession) -> DataFrame:
     """P3 as a small constant frame (one row per class)."""
     return spark.createDataFrame(
@@ -121,10 +118,21 @@ def validate(params: DataFrame, codecs: DataFrame) -> DataFrame:
     return df.withColumn("errors", errs).drop("_enc_key", "_known").withColumn("valid", F.size("errors") == 0)
 
 
-def prescription_hash(params: DataFrame) -> DataFrame:
-    """Hash of exactly what is reviewed; an approval names this hash."""
-    body = F.to_json(F.struct("file_id", "delimiter", "encoding", "header_row", "engine", "n_row_repairs"))
-    return params.withColumn("prescription_hash", F.sha2(body, 256))
+def prescription_hash(params: DataFrame, fixes: DataFrame | None = None) -> DataFrame:
+    """Hash of exactly what is reviewed; an approval names this hash.
+
+    ``fixes`` (file_id, row_number, repaired_text) binds it to every repaired
+    row: 128 bits of each (row, text) are summed per file, which combines
+    map-side and needs no order."""
+    if fixes is None:
+        digest = params.withColumn("_fixes", F.lit("0"))
+    else:
+        row = F.md5(F.to_json(F.struct("row_number", "repaired_text"), {"ignoreNullFields": "false"}))
+        part = lambda a: F.sum(F.conv(F.substring(row, a, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+        per = fixes.groupBy("file_id").agg(F.concat_ws("-", part(1), part(16)).alias("_fixes"))
+        digest = params.join(per, "file_id", "left").na.fill("0", ["_fixes"])
+    body = F.to_json(F.struct("file_id", "delimiter", "encoding", "header_row", "engine", "n_row_repairs", "_fixes"))
+    return digest.withColumn("prescription_hash", F.sha2(body, 256)).drop("_fixes")
 
 
 def gate(validated: DataFrame, approvals: DataFrame) -> DataFrame:

@@ -77,21 +77,35 @@ def apply_repairs(lines: DataFrame, plan: DataFrame, row_fixes: DataFrame,
     return {"out": out.unionByName(synth), "errors": errors, "files": files}
 
 
-def verify_output(out_lines: DataFrame) -> DataFrame:
-    """R8/R9 on the output alone, with plain defaults (comma, header on
-    line 1): >= 2 columns, no invisible characters in the names, every line
-    as wide as the header. One row per file."""
-    w = out_lines.withColumn("width", T.field_count(F.col("text"), ","))
+def output_delimiters(gated: DataFrame) -> DataFrame:
+    """(file_id, out_delimiter): row-level output keeps the file's delimiter,
+    whole-file output is comma-separated."""
+    return gated.select("file_id", F.when(F.col("executor") == "row_level", F.col("delimiter"))
+                        .otherwise(F.lit(",")).alias("out_delimiter"))
+
+
+def verify_output(out_lines: DataFrame, delimiters: DataFrame | None = None) -> DataFrame:
+    """R8/R9 on the output alone: >= 2 columns, no invisible characters in
+    the names, every line as wide as the header under the delimiter it was
+    written with (``delimiters``: file_id, out_delimiter; default comma),
+    all of it valid UTF-8. One row per file."""
+    if delimiters is None:
+        lines = out_lines.withColumn("out_delimiter", F.lit(","))
+    else:
+        lines = out_lines.join(delimiters, "file_id", "left").na.fill(",", ["out_delimiter"])
+    w = lines.withColumn("width", T.field_count(F.col("text"), F.col("out_delimiter")))
     per = w.groupBy("file_id").agg(
         F.min_by("width", "line_no").alias("header_width"),
         F.min_by("text", "line_no").alias("header_text"),
         F.count_if(F.lit(True)).alias("n_lines"),
         F.min("width").alias("min_w"), F.max("width").alias("max_w"),
+        F.bool_and(F.is_valid_utf8("text")).alias("utf8"),
     )
     errs = F.array_compact(F.array(
         F.when(F.col("header_width") < 2, F.lit(K.ERR_SINGLE_COLUMN)),
         F.when(T.has_invisible(F.col("header_text")), F.lit(K.ERR_INVISIBLE_IN_OUTPUT)),
         F.when(F.col("min_w") != F.col("max_w"), F.lit("row width mismatch")),
+        F.when(~F.col("utf8"), F.lit("output is not valid UTF-8")),
     ))
     return per.select("file_id", "n_lines", "header_width", errs.alias("errors"),
                       (F.size(errs) == 0).alias("verified"))
@@ -125,8 +139,8 @@ def file_status(classes: DataFrame, gated: DataFrame, files: DataFrame, verified
 
 
 def source_unchanged(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Content hashes of the sources before and after a repair run;
-    returns the differences (empty when every source is untouched)."""
+    """Content hashes of the sources before and after a repair run:
+    (file_id, before, after, unchanged), missing files included."""
     b = before.select("file_id", F.col("sha256").alias("before"))
     a = after.select("file_id", F.col("sha256").alias("after"))
-    return b.join(a, "file_id", "full_outer").filter(~F.col("before").eqNullSafe(F.col("after")))
+    return b.join(a, "file_id", "full_outer").withColumn("unchanged", F.col("before").eqNullSafe(F.col("after")))

@@ -164,7 +164,7 @@ def q_primary_class(spark, sf_dir):
 
 # ------------------------------------------------- proposal, gate, repair
 def repair_run(spark: SparkSession, sf_dir: str, with_defaults: bool = False,
-               lines: DataFrame | None = None) -> dict[str, DataFrame]:
+               lines: DataFrame | None = None, encoding: DataFrame | None = None) -> dict[str, DataFrame]:
     """Detect -> propose -> validate -> approve -> apply, over all files.
 
     Approvals are data: the reviewer approves the reviewed prescription
@@ -174,7 +174,7 @@ def repair_run(spark: SparkSession, sf_dir: str, with_defaults: bool = False,
     from seamfix.operators import repair as R
     given = lines is not None
     lines = lines if given else rendered(spark, sf_dir)
-    d = D.detect(lines, N_FILES, lines_materialized=not given)
+    d = D.detect(lines, N_FILES, encoding, encoding, lines_materialized=not given)
     repairs = D.row_repairs(d["disagree"], d["classes"])
     p10 = P.single_column_delimiter(lines, d["structure"], N_FILES)
     supplied = None
@@ -185,10 +185,10 @@ def repair_run(spark: SparkSession, sf_dir: str, with_defaults: bool = False,
     out = Lazy()
     out.update(d)
     out.update({"lines": lines, "p10": p10})
-    out.add("params", lambda: P.propose(d["classes"], d["garbled"], repairs, p10, proposals=supplied))
+    out.add("params", lambda: P.propose(d["classes"], d["garbled"], repairs, p10, encoding, supplied))
 
     def gated():
-        hashed = P.prescription_hash(P.validate(out["params"], P.known_codecs(spark)))
+        hashed = P.prescription_hash(P.validate(out["params"], P.known_codecs(spark)), out["fixes"])
         approvals = hashed.select("file_id", "prescription_hash", (F.col("file_id") % 8 != 7).alias("approved"))
         return cut_lineage(P.executor_path(P.gate(hashed, approvals)))
 
@@ -295,7 +295,7 @@ def _written_and_verified(spark, sf_dir):
     root = scratch_path(spark, "repaired")
     S.write_canonical(r["out"], root)
     back = S.read_canonical(spark, root)
-    return r, back, R.verify_output(back)
+    return r, back, R.verify_output(back, R.output_delimiters(r["gated"]))
 
 
 @query("verify_widths")
@@ -327,7 +327,7 @@ def q_write_canonical(spark, sf_dir):
 @query("source_unchanged")
 def q_source_unchanged(spark, sf_dir):
     """Render the sources to files, hash them, run the repair from the
-    files, hash again; returns the differences (expected: none)."""
+    files, hash again; whether each file is unchanged (expected: all)."""
     from seamfix.session import scratch_path
     from seamfix.sources import sinks as S
     from seamfix.sources.lines import scan_bytes
@@ -340,7 +340,8 @@ def q_source_unchanged(spark, sf_dir):
     S.write_canonical(repair_run(spark, sf_dir, lines=lines)["out"], out_root)
     after = scan_bytes(spark, src_root + "/*/*.txt")
     from seamfix.operators.repair import source_unchanged
-    return source_unchanged(before, after)
+    file_id = F.regexp_extract("file_id", r"file_id=(-?\d+)", 1).cast("long")
+    return source_unchanged(before, after).groupBy(file_id.alias("file_id")).agg(F.bool_and("unchanged").alias("unchanged"))
 
 
 # ------------------------------------------------------------- schema drift
@@ -360,6 +361,7 @@ def drift_run(spark: SparkSession, sf_dir: str, apply: bool = False) -> dict:
     out.add("current", lambda: cut_lineage(C.inspect_schema(tables)))
     out.add("base", lambda: cut_lineage(C.latest_baselines(baselines(spark))))
     out.add("diff", lambda: cut_lineage(C.column_diff(out["current"], out["base"])))
+    out.add("no_base", lambda: C.without_baseline(out["current"], out["base"]))
     out.add("sets", lambda: C.diff_sets(out["diff"], out["current"].select("table").distinct()))
     out.add("hints", lambda: cut_lineage(C.rename_hints(C.rename_candidates(out["diff"]))))
 
@@ -516,12 +518,14 @@ def q_verify_operations(spark, sf_dir):
 
 @query("drift_status")
 def q_drift_status(spark, sf_dir):
-    """Healthy (no drift), invalid, rejected, failed, succeeded."""
+    """Failed (no baseline), healthy (no drift), invalid, rejected,
+    failed, succeeded."""
     r = drift_run(spark, sf_dir, apply=True)
     v = r["verify"].groupBy("table").agg(F.count_if(F.col("error").isNotNull()).alias("n_verify_errors"))
     df = r["sets"].select("table", "has_changes").join(r["presc"], "table", "left") \
-        .join(r["applied"], "table", "left").join(v, "table", "left")
-    status = F.when(~F.col("has_changes"), "healthy").when(~F.col("valid"), "invalid") \
+        .join(r["applied"], "table", "left").join(v, "table", "left") \
+        .join(r["no_base"].withColumn("no_base", F.lit(True)), "table", "left")
+    status = F.when(F.col("no_base"), "failed").when(~F.col("has_changes"), "healthy").when(~F.col("valid"), "invalid") \
         .when(~F.col("approved"), "rejected").when(~F.coalesce("applied", F.lit(False)), "failed") \
         .when(F.coalesce("n_verify_errors", F.lit(0)) > 0, "failed").otherwise("succeeded")
     return df.select("table", status.alias("status"),
@@ -736,10 +740,12 @@ def q_publish_selection(spark, sf_dir):
 
 @query("publish_uri")
 def q_publish_uri(spark, sf_dir):
-    """Credential-free ``wasbs://container@host/name`` per https URL."""
+    """Credential-free ``wasbs://container@host/name`` per page with an
+    outcome; pages without an http(s) address get no URI."""
     from seamfix.functions.text import wasbs_uri
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return p.filter(F.col("url").startswith("https://")).select("page_id", wasbs_uri(F.col("url")).alias("uri"))
+    uri = wasbs_uri(F.col("url"))
+    return p.select("page_id", uri.alias("uri"), F.when(uri.isNotNull(), "uri").otherwise("no http address").alias("outcome"))
 
 
 @query("encoding_evidence")
@@ -754,6 +760,40 @@ def q_encoding_evidence(spark, sf_dir):
     return encoding_evidence(raw)
 
 
+def encoded_run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Files in four encodings, read as bytes, judged,
+    decoded, repaired."""
+    from seamfix.operators.encoding import decode_lines, text_encoding
+    from seamfix.session import scratch_path
+    from seamfix.sources.lines import scan_lines
+    from seamfix.sources.render import encoded_lines
+    from seamfix.streaming.streams import FILE_ID, stage_files
+    files = stage_files(encoded_lines(spark, sf_dir), scratch_path(spark, "encoded")) + "/*/*.txt"
+    enc = cut_lineage(text_encoding(spark, files, FILE_ID), "encodings")
+    lines = decode_lines(scan_lines(spark, files, file_expr=FILE_ID), enc)
+    run = repair_run(spark, sf_dir, lines=lines, encoding=enc)
+    run["encoding"] = enc
+    return run
+
+
+@query("encoding_classes")
+def q_encoding_classes(spark, sf_dir):
+    r = encoded_run(spark, sf_dir)
+    c = r["classes"].join(r["encoding"], "file_id")
+    params = r["params"].select("file_id", F.col("encoding").alias("prescribed"))
+    return c.join(params, "file_id", "left").select(
+        "file_id", "encoding", F.array_join("failure_classes", ",").alias("failure_classes"), "prescribed")
+
+
+@query("encoding_repaired")
+def q_encoding_repaired(spark, sf_dir):
+    """Repaired text of the approved files and whether its output verified."""
+    from seamfix.operators import repair as R
+    r = encoded_run(spark, sf_dir)
+    ok = R.verify_output(r["out"], R.output_delimiters(r["gated"])).select("file_id", "verified")
+    return r["out"].join(ok, "file_id").select("file_id", "line_no", "text", "verified")
+
+
 # ---------------------------------------------------------------- streaming
 def _staged(spark, sf_dir, name):
     from seamfix.session import scratch_path
@@ -764,27 +804,24 @@ def _staged(spark, sf_dir, name):
 @query("stream_detect")
 def q_stream_detect(spark, sf_dir):
     """Files arriving in an intake folder are classified per micro-batch."""
-    from seamfix.session import scratch_path
-    from seamfix.streaming.streams import for_each_file_batch
+    from seamfix.streaming.streams import FILE_ID, for_each_file_batch
 
     def classify(lines):
         c = D.detect(lines, N_FILES)["classes"]
         return c.select("file_id", F.array_join("failure_classes", ",").alias("failure_classes"),
                         F.size("failure_classes").cast("long").alias("n_classes"))
     root = _staged(spark, sf_dir, "intake-detect")
-    return for_each_file_batch(spark, root, scratch_path(spark, "sink-detect"), classify, "detect")
+    return for_each_file_batch(spark, root + "/*/", classify, "detect", FILE_ID)
 
 
 @query("stream_repair")
 def q_stream_repair(spark, sf_dir):
     """Arriving files are detected, gated and repaired per micro-batch;
     repaired lines are appended to the output table."""
-    from seamfix.session import scratch_path
-    from seamfix.streaming.streams import for_each_file_batch
+    from seamfix.streaming.streams import FILE_ID, for_each_file_batch
     root = _staged(spark, sf_dir, "intake-repair")
     return for_each_file_batch(
-        spark, root, scratch_path(spark, "sink-repair"),
-        lambda lines: repair_run(spark, sf_dir, lines=lines)["out"], "repair")
+        spark, root + "/*/", lambda lines: repair_run(spark, sf_dir, lines=lines)["out"], "repair", FILE_ID)
 
 
 def _ndjson(spark, sf_dir):
@@ -828,5 +865,5 @@ def q_stream_once(spark, sf_dir):
     """The same file delivered twice is handled once."""
     from seamfix.streaming.streams import FILE_ID, stream_once
     root = _staged(spark, sf_dir, "intake-once")
-    seen = stream_once(spark, root)
+    seen = stream_once(spark, root + "/*/")
     return seen.groupBy(FILE_ID(F.col("path")).alias("file_id")).agg(F.count(F.lit(1)).alias("n_seen"))

@@ -828,10 +828,10 @@ def observe_oracles() -> dict[str, str]:
         "{'metric': 'cost_usd', 'value': sum(CASE WHEN node = 'human_approval' THEN latency_ms / 1000 END)}], recursive := true) "
         "FROM aev2 GROUP BY episode_id) WHERE value IS NOT NULL")
     q["publish_uri"] = (
-        "SELECT page_id, 'wasbs://' || regexp_extract(regexp_extract(url, '^https?://[^/?#]+/([^?#]*)', 1), '^([^/]+)', 1) "
+        "SELECT page_id, CASE WHEN regexp_matches(url, '^https?://[^/?#]') THEN 'wasbs://' || regexp_extract(regexp_extract(url, '^https?://[^/?#]+/([^?#]*)', 1), '^([^/]+)', 1) "
         "|| '@' || regexp_extract(url, '^https?://([^/?#]+)', 1) || '/' || "
-        "regexp_extract(regexp_extract(url, '^https?://[^/?#]+/([^?#]*)', 1), '^[^/]+/?(.*)$', 1) AS uri "
-        "FROM pages WHERE starts_with(url, 'https://')")
+        "regexp_extract(regexp_extract(url, '^https?://[^/?#]+/([^?#]*)', 1), '^[^/]+/?(.*)$', 1) END AS uri, "
+        "CASE WHEN regexp_matches(url, '^https?://[^/?#]') THEN 'uri' ELSE 'no http address' END AS outcome FROM pages")
     return q
 
 
@@ -908,4 +908,21 @@ def encoding_oracles() -> dict[str, str]:
         "SELECT file_id, encoding, CASE WHEN encoding IN ('utf-8-sig', 'utf-16-le', 'utf-16-be') THEN 1.0 "
         "WHEN encoding = 'utf-8' THEN 1.0 WHEN encoding = 'cp1252' THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence, "
         "NOT valid AS wrong_encoding FROM g")
+    # Files in four encodings (file_id % 4), semicolons in the upper half.
+    files = "(SELECT DISTINCT doc_id % 8 AS file_id FROM documents)"
+    q["encoding_classes"] = (
+        "SELECT file_id, CASE file_id % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'iso-8859-1' WHEN 2 THEN 'cp1252' ELSE 'utf-8-sig' END AS encoding, "
+        "array_to_string(list_filter([CASE WHEN file_id % 4 = 3 THEN 'invisible_characters' END, CASE WHEN file_id >= 4 THEN 'wrong_delimiter' END, "
+        "CASE WHEN file_id % 4 IN (1, 2) THEN 'wrong_encoding' END], lambda x: x IS NOT NULL), ',') AS failure_classes, "
+        "CASE file_id % 4 WHEN 0 THEN CASE WHEN file_id >= 4 THEN 'utf-8' END WHEN 1 THEN 'iso-8859-1' WHEN 2 THEN 'cp1252' ELSE 'utf-8' END AS prescribed "
+        f"FROM {files}")
+    q["encoding_repaired"] = (
+        "WITH d AS (SELECT doc_id % 8 AS file_id, doc_id, n_chars, "
+        r"trim(regexp_replace(substr(coalesce(text, ''), 1, 40), '[^\p{L} ]', '', 'g')) AS t FROM documents), "
+        "n AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY doc_id) + 1 AS line_no, doc_id || ',' || CASE file_id % 4 "
+        r"WHEN 1 THEN regexp_replace(t, '[^\x{0000}-\x{00FF}]', '?', 'g') WHEN 2 THEN regexp_replace(t, '[^\x{0000}-\x{00FF}]', '?', 'g') || ' €' "
+        "ELSE t END || ',' || n_chars AS text FROM d) "
+        "SELECT file_id, line_no, text, true AS verified FROM (SELECT * FROM n UNION ALL "
+        f"SELECT file_id, 1, 'doc_id,name,n_chars' FROM {files}) WHERE file_id NOT IN (0, 7)")
+    q["source_unchanged"] = "SELECT DISTINCT o_custkey % 64 AS file_id, true AS unchanged FROM orders"
     return q

@@ -31,18 +31,18 @@ def get_session(master: str | None = None, partitions: int = 8) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (tests, local runs) a
-    private folder is created and registered.
+    Read from the session. Unset, a single-process ``local`` master (tests)
+    gets a private folder; on a cluster that is an error, as its executors
+    share no local folder.
     """
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not conf:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="seamfix-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-        spark.sparkContext.setCheckpointDir(conf)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(conf)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(conf)
     return conf.rstrip("/")
 
 

@@ -1,114 +1,136 @@
 """Structured Streaming operators.
 
 Files arrive whole, so detection and repair run per micro-batch in
-``foreachBatch`` with the batch operators; the only streaming state is the
-dedupe of seen files (T6) and the windowed log aggregates (T4), both bounded
-by a watermark. Checkpoints live in the shared folder.
+``foreachBatch`` with the batch operators. Every batch writes its own
+``run=/epoch=`` folder with overwrite, so a batch that is run again after a failure
+replaces its rows instead of adding them. Checkpoints and sinks live in the
+shared folder; a caller that passes a stable ``state`` folder resumes where the
+last run stopped.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamfix.plans.numbering import number_scanned_lines
 from seamfix.session import scratch_path
 
-BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 FILE_ID = lambda p: F.regexp_extract(p, r"file_id=(-?\d+)", 1).cast("long")
+#: The file source forgets nothing: a file that is older than the newest one by
+#: less than this is still taken.
+MAX_FILE_AGE = "36500d"
 
 
-def text_stream(spark: SparkSession, root: str, max_files: int = 32) -> DataFrame:
-    """Raw lines of newly arriving text files, with file path and split."""
-    return spark.readStream.option("maxFilesPerTrigger", max_files).text(root + "/*/").select(
-        F.col("value").alias("raw"), F.input_file_name().alias("_path"),
-        F.input_file_block_start().alias("_block_start"))
+def state_of(spark: SparkSession, name: str, state: str | None) -> tuple[str, str]:
+    """(checkpoint folder, sink folder) below ``state`` (default: a fresh one)."""
+    base = state or scratch_path(spark, f"stream-{name}")
+    return os.path.join(base, "checkpoint"), os.path.join(base, "sink")
 
 
-def number_batch(batch: DataFrame, n_files_hint: int) -> DataFrame:
-    """S1 numbering inside one micro-batch (files arrive whole)."""
+def run_batches(stream: DataFrame, checkpoint: str, sink: str, fn: Callable[[DataFrame], DataFrame]) -> None:
+    """Run ``fn`` on every micro-batch that is available now; its result is the
+    batch's own folder of the sink."""
+    def handle(batch: DataFrame, epoch: int) -> None:
+        # The query's id lives in its checkpoint: a lost checkpoint starts a new run
+        # next to the old one instead of overwriting its batches.
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "0"
+        fn(batch).write.mode("overwrite").parquet(os.path.join(sink, f"run={run}", f"epoch={epoch}"))
+
+    stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint) \
+        .trigger(availableNow=True).start().awaitTermination()
+
+
+def read_sink(spark: SparkSession, sink: str, empty: DataFrame | None = None) -> DataFrame | None:
+    """All batches of a sink without run and epoch; ``empty`` where none ran yet."""
+    try:
+        return spark.read.option("basePath", sink).parquet(sink).drop("run", "epoch")
+    except AnalysisException:
+        return empty
+
+
+def text_stream(spark: SparkSession, paths: str, max_files: int = 32) -> DataFrame:
+    """Raw lines of newly arriving text files, with file path and split; lines
+    end as in the batch scan (S1)."""
+    return spark.readStream.option("maxFilesPerTrigger", max_files).option("maxFileAge", MAX_FILE_AGE) \
+        .option("lineSep", "\n").text(paths).select(
+            F.col("value").alias("raw"), F.input_file_name().alias("_path"), F.input_file_block_start().alias("_block_start"))
+
+
+def number_batch(batch: DataFrame, file_expr: Callable[[Column], Column] | None = None) -> DataFrame:
+    """S1 numbering inside one micro-batch (files arrive whole). The file id is
+    the path unless ``file_expr`` maps it."""
     from seamfix.functions.text import is_blank
-    df = batch.select(FILE_ID(F.col("_path")).alias("file_id"), F.regexp_replace("raw", "\r$", "").alias("raw"),
-                      F.concat(F.col("_path"), F.lit("#"), F.lpad(F.col("_block_start").cast("string"), 20, "0")).alias("_block")) \
+    path = F.col("_path")
+    df = batch.select((file_expr(path) if file_expr else path).alias("file_id"), F.regexp_replace("raw", "\r$", "").alias("raw"),
+                      F.concat(path, F.lit("#"), F.lpad(F.col("_block_start").cast("string"), 20, "0")).alias("_block")) \
         .filter(~is_blank(F.col("raw")))
-    return number_scanned_lines(df, "file_id", "_block", n_files_hint * 4)
-
+    return number_scanned_lines(df, "file_id", "_block", None)
 
-def for_each_file_batch(spark: SparkSession, root: str, sink: str, fn: Callable[[DataFrame], DataFrame],
-                        name: str, n_files_hint: int = 1024) -> DataFrame:
-    """T1/T2 skeleton: stream files, number lines per batch, run ``fn``,
-    append its result to a Parquet sink; returns the sink contents."""
-    def handle(batch: DataFrame, epoch: int) -> None:
-        if batch.isEmpty():
-            return
-        out = fn(number_batch(batch, n_files_hint))
-        out.write.mode("append").parquet(sink)
 
-    q = text_stream(spark, root).writeStream.foreachBatch(handle) \
-        .option("checkpointLocation", scratch_path(spark, f"ckpt-{name}")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(sink)
+def for_each_file_batch(spark: SparkSession, paths: str, fn: Callable[[DataFrame], DataFrame], name: str,
+                        file_expr: Callable[[Column], Column] | None = None, state: str | None = None,
+                        max_files: int = 32) -> DataFrame:
+    """T1/T2 skeleton: stream files, number lines per batch, run ``fn``; returns
+    the sink's contents."""
+    checkpoint, sink = state_of(spark, name, state)
+    run_batches(text_stream(spark, paths, max_files), checkpoint, sink, lambda b: fn(number_batch(b, file_expr)))
+    return read_sink(spark, sink)
 
 
-def stream_logs(spark: SparkSession, path: str, name: str = "logs") -> DataFrame:
+def stream_logs(spark: SparkSession, path: str, name: str = "logs", state: str | None = None) -> DataFrame:
     """Continuous NDJSON log ingestion (S11 as a stream) into Parquet."""
     from seamfix.sources.logs import read_logs
-    sink = scratch_path(spark, f"sink-{name}")
-    q = read_logs(spark, path, stream=True).writeStream.format("parquet").option("path", sink) \
-        .option("checkpointLocation", scratch_path(spark, f"ckpt-{name}")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(sink)
+    checkpoint, sink = state_of(spark, name, state)
+    run_batches(read_logs(spark, path, stream=True), checkpoint, sink, lambda b: b)
+    return read_sink(spark, sink)
 
 
-def stream_volume(spark: SparkSession, path: str, name: str = "volume") -> DataFrame:
-    """T4: repairs completed per day as a stream: event-time day, watermark,
-    exact distinct traces via a watermarked dedupe, then a count."""
+def stream_volume(spark: SparkSession, path: str, name: str = "volume", state: str | None = None) -> DataFrame:
+    """T4: repairs completed per day, as distinct traces. Each batch adds its
+    distinct (day, trace) rows to the sink, and days are counted over all of
+    them, so neither late rows nor batch borders lose or double a trace."""
     from seamfix.sources.logs import read_logs
+    checkpoint, sink = state_of(spark, name, state)
     logs = read_logs(spark, path, stream=True).filter(F.col("app_event") == "repair_completed") \
-        .withColumn("day_ts", F.date_trunc("day", "ts"))
-    dedup = logs.withWatermark("day_ts", "1 hour").dropDuplicates(["trace_id", "day_ts"])
-    agg = dedup.groupBy("day_ts").agg(F.count(F.lit(1)).alias("n_traces"))
-    table = f"seamfix_{name}_{abs(hash(path)) % 10**8}"
-    q = agg.writeStream.outputMode("complete").format("memory").queryName(table) \
-        .option("checkpointLocation", scratch_path(spark, f"ckpt-{name}")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(table).select(F.date_format("day_ts", "yyyy-MM-dd").alias("day"), "n_traces")
-
-
-def stream_once(spark: SparkSession, root: str, name: str = "once") -> DataFrame:
-    """A file (same path, same modification time) is handled once even
-    when two listings deliver it."""
-    def listing():
-        return spark.readStream.format("binaryFile").schema(BINARY_SCHEMA).option("pathGlobFilter", "*.txt") \
-            .load(root + "/*/").select("path", "modificationTime")
-    both = listing().unionByName(listing())
-    once = both.withWatermark("modificationTime", "1 hour").dropDuplicates(["path", "modificationTime"])
-    sink = scratch_path(spark, f"sink-{name}")
-    q = once.writeStream.format("parquet").option("path", sink) \
-        .option("checkpointLocation", scratch_path(spark, f"ckpt-{name}")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(sink)
-
-
-def stream_drift(spark: SparkSession, root: str, baseline: DataFrame, table: str, name: str = "drift") -> DataFrame:
-    """T5: drift of each arriving Parquet extract against a static
-    baseline (stream-static), per micro-batch; distinct rows appended."""
+        .select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "trace_id")
+    run_batches(logs, checkpoint, sink, lambda b: b.distinct())
+    return read_sink(spark, sink).filter(F.col("day").isNotNull()).groupBy("day").agg(F.count_distinct("trace_id").alias("n_traces"))
+
+
+def stream_once(spark: SparkSession, paths: str, name: str = "once", state: str | None = None) -> DataFrame:
+    """A file (same path, same modification time) is handled once, whatever
+    its age and however often a listing delivers it: each batch keeps only the
+    files that no earlier batch of the sink holds."""
+    checkpoint, sink = state_of(spark, name, state)
+    listing = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", "*.txt") \
+        .option("maxFileAge", MAX_FILE_AGE).load(paths).select("path", "modificationTime")
+
+    def unseen(batch: DataFrame) -> DataFrame:
+        new = batch.dropDuplicates(["path", "modificationTime"])
+        seen = read_sink(spark, sink)
+        return new if seen is None else new.join(seen, ["path", "modificationTime"], "left_anti")
+
+    run_batches(listing, checkpoint, sink, unseen)
+    return read_sink(spark, sink)
+
+
+def stream_drift(spark: SparkSession, root: str, baseline: DataFrame, table: str, name: str = "drift",
+                 state: str | None = None) -> DataFrame:
+    """T5: drift of each arriving Parquet extract against a static baseline
+    (stream-static), per micro-batch; the distinct differences."""
     from seamfix.operators import drift as C
-    sink = scratch_path(spark, f"sink-{name}")
+    checkpoint, sink = state_of(spark, name, state)
     schema = spark.read.parquet(root).schema
-
-    def handle(batch: DataFrame, epoch: int) -> None:
-        if batch.isEmpty():
-            return
-        cur = C.inspect_schema({table: batch})
-        C.column_diff(cur, baseline.filter(F.col("table") == table)).write.mode("append").parquet(sink)
-
-    q = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(root).writeStream.foreachBatch(handle) \
-        .option("checkpointLocation", scratch_path(spark, f"ckpt-{name}")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(sink).distinct()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("maxFileAge", MAX_FILE_AGE).parquet(root)
+    run_batches(stream, checkpoint, sink,
+                lambda b: C.column_diff(C.inspect_schema({table: b}), baseline.filter(F.col("table") == table)))
+    return read_sink(spark, sink).distinct()
 
 
 def stage_files(lines: DataFrame, root: str) -> str:
