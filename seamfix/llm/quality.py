@@ -13,9 +13,9 @@ rules; both guards are minimum lengths: a document below ``MIN_CHARS`` character
 or ``MIN_WORDS`` words, or a language with fewer than ``MIN_REFERENCE`` words,
 is judged by the base rules only.
 
-All of it is row-local column expressions and sums per language; the reference
-table (a row per language) is joined on the language, which the planner
-broadcasts while it is small. No text is ever shuffled.
+All of it is row-local column expressions and sums per language; the tables of a row
+per language are joined on it, which the planner broadcasts while they are small. No
+text is ever shuffled.
 
 Defined cases: null or blank text has no words and fails the base rules; a null
 language is a language of its own; repeated rows are judged one by one; extra
@@ -24,7 +24,6 @@ columns are carried through; an empty table gives an empty result."""
 from __future__ import annotations
 
 import string
-import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import keep
 
 SPACES = r"[\x20\x09-\x0D]+"
-COMMON = 24
+COMMON = 12
 MIN_CHARS = 100
 MIN_WORDS = 50
 MIN_REFERENCE = 2000
@@ -76,12 +75,6 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) >= 4, some).otherwise(0)
 
 
-def firm(df: DataFrame) -> DataFrame:
-    """``df`` behind a metric node. Filters on computed columns stay above it; pushed
-    below, each would compute its columns again."""
-    return df.observe(f"quality-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
-
-
 def measured(docs: DataFrame) -> DataFrame:
     """``docs`` with a struct ``__m`` (base counts and the class histogram) and
     the array ``__w`` of its words."""
@@ -131,18 +124,14 @@ def with_common_histogram(df: DataFrame) -> DataFrame:
     return df.withColumn("__h", F.array(*[F.length("__s") - F.length(F.replace("__s", F.lit(c), F.lit(""))) for c in _MARKS])).drop("__s")
 
 
-def references(docs: DataFrame) -> DataFrame:
-    """(__lang, common, ref_words, ref_classes, ref_n): sums over all documents
-    of a language that pass the base rules."""
-    common = keep(common_words(docs), "quality-common")
-    own = docs.select(language().alias("__lang"), "text").join(common, "__lang")
-    df = with_common_histogram(firm(measured(own)).filter(~base_failed()))
+def references(rows: DataFrame) -> DataFrame:
+    """(__lang, ref_words, ref_classes, ref_n): sums over all measured rows of a
+    language that pass the base rules."""
     sums = [F.sum(F.get("__h", F.lit(i))).alias(f"h{i}") for i in range(len(_MARKS))]
     sums += [F.sum(F.get("__m.classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
-    per = df.groupBy("__lang").agg(F.sum("__m.n_words").alias("ref_n"), *sums)
-    return common.join(per.select("__lang", "ref_n",
-                                  F.array(*[f"h{i}" for i in range(len(_MARKS))]).alias("ref_words"),
-                                  F.array(*[f"c{i}" for i in range(len(CLASSES) + 1)]).alias("ref_classes")), "__lang")
+    per = rows.filter(~base_failed()).groupBy("__lang").agg(F.sum("__m.n_words").alias("ref_n"), *sums)
+    return per.select("__lang", "ref_n", F.array(*[f"h{i}" for i in range(len(_MARKS))]).alias("ref_words"),
+                      F.array(*[f"c{i}" for i in range(len(CLASSES) + 1)]).alias("ref_classes"))
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -159,22 +148,29 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(d, F.lit(0.0)))
 
 
-def quality(docs: DataFrame) -> DataFrame:
-    """``docs`` with a struct ``__q``: the base counts, base_failed, the two
-    distances (null where a guard holds them back) and kept."""
-    refs = keep(references(docs), "quality-references")
-    df = docs.withColumn("__lang", language()).join(refs, "__lang", "left")
-    df = with_common_histogram(measured(df))
+def quality(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (default: all) with a struct ``__q``: the base
+    counts, base_failed, the two distances (null where a guard holds them back), kept.
+
+    Texts are measured once; the measured rows are written, as both the references and
+    the verdicts read them."""
+    carry = docs.columns if carry is None else carry
+    common = keep(common_words(docs), "quality-common")
+    rows = with_common_histogram(measured(docs.withColumn("__lang", language()).join(common, "__lang", "left")))
+    rows = keep(rows.select(*carry, "__lang", "__m", "__h"), "quality-measured")
+    refs = keep(references(rows), "quality-references")
+    df = rows.join(refs, "__lang", "left")
     judged = ((F.col("__m.n_chars") >= MIN_CHARS) & (F.col("__m.n_words") >= MIN_WORDS)
               & (F.col("ref_n") >= MIN_REFERENCE))
     df = df.withColumn("__c", F.when(judged, distance(F.col("__m.classes"), F.col("ref_classes"))))
     df = df.withColumn("__d", F.when(judged, distance(F.col("__h"), F.col("ref_words"))))
     far = (F.coalesce("__c", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.coalesce("__d", F.lit(0.0)) > MAX_WORD_DISTANCE)
     m = [F.col(f"__m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return firm(df.withColumn("__q", F.struct(*m, base_failed().alias("base_failed"), F.col("__c").alias("class_distance"),
-                                          F.col("__d").alias("word_distance"), (~base_failed() & ~far).alias("kept"))).select(*[F.col(c) for c in docs.columns], "__q"))
+    return (df.withColumn("__q", F.struct(*m, base_failed().alias("base_failed"), F.col("__c").alias("class_distance"),
+                                          F.col("__d").alias("word_distance"), (~base_failed() & ~far).alias("kept")))
+            .select(*carry, "__q"))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, the base counts, base_failed, kept, distances."""
-    return quality(docs.select("doc_id", "text", "lang")).select("doc_id", "__q.*")
+    return quality(docs.select("doc_id", "text", "lang"), ["doc_id"]).select("doc_id", "__q.*")
