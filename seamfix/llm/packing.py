@@ -20,6 +20,8 @@ packed one by one; extra columns are ignored; an empty table gives an empty resu
 from __future__ import annotations
 
 import os
+import sys
+import types
 from bisect import bisect_left, insort
 from zlib import crc32
 
@@ -32,7 +34,7 @@ from .common import ids_and_texts, keep
 from .words import blocks
 
 CAPACITY = 2048
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 400_000
 CACHED_BYTES = 64
 PLAN_BROADCAST_ROWS = 500_000
 ENCODE_BLOCK = 4096
@@ -66,12 +68,20 @@ class ChunkEncoder:
         return b"".join([known.get(c) or found.get(c, b"") for c in chunks])
 
 
+def encoder(path: str) -> ChunkEncoder:
+    """The encoder of this worker process: later tasks find the chunks of earlier ones."""
+    kept = sys.modules.setdefault("seamfix_chunk_encoders", types.ModuleType("seamfix_chunk_encoders")).__dict__
+    if path not in kept:
+        kept[path] = ChunkEncoder(path)
+    return kept[path]
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """(did, piece, start, length, crc) of every document."""
     schema = "did long, piece int, start long, length int, crc long"
 
     def task(batches):
-        encode, end = ChunkEncoder(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
+        encode, end = encoder(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             dids, kinds = batch.column(0).to_pylist(), [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
             for a, b, texts in blocks(batch.column(1)):
