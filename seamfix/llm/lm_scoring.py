@@ -4,16 +4,18 @@ A target model (documents marked good) and a background model (all documents) of
 the same order, smoothing and vocabulary score every document: the mean over its
 tokens of background loss less target loss (nats; higher is closer to the target).
 
-* Tokens are lower-cased words. Both models share one vocabulary of 2**18 hashed
-  words, and bigrams of it in 2**21 hashed slots: every word of the corpus has its
-  place, none is cut off, and the tables have a fixed size.
-* Counts cover every document. Tasks send their own slots' sums, so what is gathered
-  grows with the input; Spark sums them.
+* Tokens are lower-cased words. Words and bigrams are keyed by hashes, by default in
+  2**WORD_BITS and 2**PAIR_BITS slots. ``op3_lm_scoring`` passes ``FULL`` for both:
+  64-bit keys, so the tables grow with the corpus and distinct bigrams stay apart.
+* Counts cover every document and stay in Spark tables, a row per word and per distinct
+  bigram; nothing of them is gathered but three totals.
 * The models are matched: the background's counts are scaled to the target's number
   of tokens, so both are smoothed alike.
 
 Bigram probabilities are Dirichlet-smoothed with the unigram model, which is smoothed
-with the uniform one. Scoring is one scan without a shuffle.
+with the uniform one over the slots, or with full keys over the corpus's distinct words
+and one unseen word. Both losses are taken once for each distinct bigram; the documents'
+rows (a row per document and distinct bigram) join them by key.
 
 Defined cases: null, empty or blank text has no tokens, null losses and score 0; null
 marks and null doc_ids are not target; repeated rows count and score one by one; extra
@@ -23,97 +25,164 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slot_table, slots
-from .words import NON_SPACE, Hasher, blocks
+from .common import keep, slot_table, slots
+from .words import NON_SPACE, Hasher, as_long, blocks, mix
 
 WORD_BITS = 18
 PAIR_BITS = 21
+FULL = 64
 MU = 200.0
+#: Distinct keys that a counting task holds before it sends them on.
+HELD = 1 << 20
+#: A word table of up to so many rows is broadcast to the bigrams; beyond, they shuffle.
+BROADCAST_WORDS = 500_000
 
 
-def slots_of(hasher: Hasher, texts: list):
-    """(word slots, pair slots, inside): pair i ends at word i; inside is false for
-    the first word of a text."""
+def keys_of(hasher: Hasher, texts: list, word_bits: int, pair_bits: int):
+    """(key, word, before, pair, inside, first): token i's word, the word before it, their
+    pair (0 with full keys: the two words say it) and the key of all; inside is false for
+    the first word of a text, whose key is its own."""
     h, first = hasher.words(texts, NON_SPACE, lower=True)
-    words = (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-    pairs = np.zeros(len(h), np.int64)
-    pairs[1:] = (hasher.ngrams(h, 2) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+    words = h >> np.uint64(64 - word_bits)
+    before, pairs = np.zeros(len(h), np.uint64), np.zeros(len(h), np.uint64)
+    before[1:] = words[:-1]
+    if pair_bits < FULL:
+        pairs[1:] = hasher.ngrams(h, 2) >> np.uint64(64 - pair_bits)
     inside = np.ones(len(h), bool)
     inside[first[:-1][first[:-1] < len(h)]] = False
-    return words, pairs, inside, first
+    pairs[~inside] = 0
+    key = (before << np.uint64(20) | before >> np.uint64(44)) ^ words ^ (pairs << np.uint64(40))
+    return np.where(inside, key, ~words), words, before, pairs, inside, first
 
 
-def counted(texts: DataFrame) -> DataFrame:
-    """(slot, n): counts of word slots, and of pair slots (from 2**WORD_BITS on), over
-    a column of texts."""
-    size = (1 << WORD_BITS) + (1 << PAIR_BITS)
+def key_column() -> Column:
+    """The key of ``keys_of`` from its columns."""
+    turned = F.shiftleft("before", 20).bitwiseOR(F.shiftrightunsigned("before", 44))
+    return F.coalesce(turned.bitwiseXOR(F.col("word")).bitwiseXOR(F.shiftleft("pair", 40)), F.bitwise_not("word"))
+
+
+def counted(texts: DataFrame, word_bits: int, pair_bits: int) -> DataFrame:
+    """(word, before, pair, n, t): occurrences of each bigram, and of each first word of a
+    text (before null), in all texts and in those of the target, over (text, whether it is
+    the target's); not yet summed over tasks."""
+    names = ["word", "before", "pair", "n", "t"]
 
     def task(batches):
-        hasher, sums = Hasher(), np.zeros(size, np.int64)
-        for batch in batches:
-            for _, _, texts in blocks(batch.column(0)):
-                words, pairs, inside, _ = slots_of(hasher, texts)
-                np.add.at(sums, words, 1)
-                np.add.at(sums, pairs[inside] + (1 << WORD_BITS), 1)
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["slot", "n"])
+        hasher, held, size = Hasher(), [], 0
 
-    return texts.mapInArrow(task, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+        def sums():
+            key, word, before, pair, inside, n, t = (np.concatenate(x) for x in zip(*held))
+            _, at, of = np.unique(key, return_index=True, return_inverse=True)
+            n, t = (np.bincount(of, x, len(at)).astype(np.int64) for x in (n, t))
+            return key[at], word[at], before[at], pair[at], inside[at], n, t
 
+        def batch_of(key, word, before, pair, inside, n, t):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(as_long(word)), pa.array(as_long(before), mask=~inside), pa.array(as_long(pair)),
+                 pa.array(n), pa.array(t)], names)
 
-class Bigrams:
-    """Dirichlet-smoothed bigram model over hashed slots."""
+        for batch in batches:
+            marks = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            for a, b, texts in blocks(batch.column(0)):
+                *parts, first = keys_of(hasher, texts, word_bits, pair_bits)
+                held.append((*parts, np.ones(len(parts[0]), np.int64), np.repeat(marks[a:b], np.diff(first))))
+                size += len(parts[0])
+                if size >= 2 * HELD:
+                    held = [sums()]
+                    size = len(held[0][0])
+                    if size >= HELD:
+                        yield batch_of(*held[0])
+                        held, size = [], 0
+        if held:
+            yield batch_of(*sums())
+
+    return texts.mapInArrow(task, "word long, before long, pair long, n long, t long")
+
+
+def losses_of(texts: DataFrame, word_bits: int, pair_bits: int) -> DataFrame:
+    """(key, lt, lb): target and background loss of each bigram and first word."""
+    by = ["word", "before"] if pair_bits == FULL else ["word", "before", "pair"]
+    rows = counted(texts, word_bits, pair_bits).select(*by, "n", "t")
+    grams = keep(rows.groupBy(*by).agg(F.sum("n").alias("nb"), F.sum("t").alias("nt")), "lm-bigrams")
+    words = keep(grams.groupBy("word").agg(F.sum("nb").alias("wb"), F.sum("nt").alias("wt")), "lm-words")
+    if pair_bits == FULL:
+        grams = grams.withColumn("pair", F.lit(0).cast("long"))
+    total = words.agg(F.coalesce(F.sum("wb"), F.lit(0)), F.coalesce(F.sum("wt"), F.lit(0)), F.count(F.lit(1))).first()
+    nb, nt, distinct = (float(x) for x in total)
+    size = float(2**word_bits) if word_bits < FULL else distinct + 1.0
+    if not nt:  # no target: both models are the background
+        grams, words, nt = grams.withColumn("nt", F.col("nb")), words.withColumn("wt", F.col("wb")), nb
+    scale = nt / max(nb, 1.0)
+    grams = grams.withColumn("key", key_column())
+    if pair_bits < FULL:  # in a slot several bigrams add up
+        slot = grams.filter("before is not null").groupBy("pair").agg(F.sum("nb").alias("sb"), F.sum("nt").alias("st"))
+        grams = grams.join(slot, "pair", "left").select("key", "word", "before", F.col("sb").alias("nb"), F.col("st").alias("nt"))
+    one = lambda c, f: (F.col(c) * f + 1.0) / (nt + size)
+    parts = words.select("word", one("wt", 1.0).alias("ot"), one("wb", scale).alias("ob"))
+    befores = words.select(F.col("word").alias("before"), "wt", "wb")
+    if distinct <= BROADCAST_WORDS:
+        parts, befores = F.broadcast(parts), F.broadcast(befores)
+    df = grams.join(parts, "word").drop("word").join(befores, "before", "left")
+
+    def loss(n, o, w, f):
+        two = (F.col(n) * f + MU * F.col(o)) / (F.col(w) * f + MU)
+        return -F.log(F.when(F.col("before").isNull(), F.col(o)).otherwise(two))
+
+    return df.select("key", loss("nt", "ot", "wt", 1.0).alias("lt"), loss("nb", "ob", "wb", scale).alias("lb"))
+
+
+def document_rows(rows: DataFrame, word_bits: int, pair_bits: int) -> DataFrame:
+    """(uid, did, n_tokens, key, n): a header (n null) per document, and a row for each of
+    its distinct keys with the occurrences."""
+    names = ["uid", "did", "n_tokens", "key", "n"]
 
-    def __init__(self, counts: np.ndarray) -> None:
-        self._words = counts[:1 << WORD_BITS]
-        self._pairs = counts[1 << WORD_BITS:]
-        self._total = float(self._words.sum())
+    def task(batches):
+        hasher, uid = Hasher(), TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for a, b, texts in blocks(batch.column(0)):
+                key, _, _, _, _, first = keys_of(hasher, texts, word_bits, pair_bits)
+                count = np.diff(first)
+                own = np.arange(uid, uid + b - a)
+                uid += b - a
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own), batch.column(1).slice(a, b - a), pa.array(count, pa.int64()),
+                     pa.array(as_long(mix(own.astype(np.uint64)))), pa.nulls(b - a, pa.int64())], names)
+                if not len(key):
+                    continue
+                doc = np.repeat(np.arange(b - a), count)
+                order = np.lexsort((key, doc))
+                key, doc = key[order], doc[order]
+                at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))))
+                none = pa.nulls(len(at), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own[doc[at]]), none, none, pa.array(as_long(key[at])),
+                     pa.array(np.diff(np.append(at, len(key))), pa.int64())], names)
 
-    def loss(self, words: np.ndarray, pairs: np.ndarray, inside: np.ndarray) -> np.ndarray:
-        one = (self._words[words] + 1.0) / (self._total + (1 << WORD_BITS))
-        before = np.zeros(len(words))
-        before[1:] = self._words[words[:-1]]
-        two = (self._pairs[pairs] + MU * one) / (before + MU)
-        return -np.log(np.where(inside, two, one))
+    return rows.mapInArrow(task, "uid long, did long, n_tokens long, key long, n long")
 
 
-def lm_scores(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+def lm_scores(docs: DataFrame, target_ids: DataFrame, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS) -> DataFrame:
     """One row per document: doc_id, n_tokens, target_loss, background_loss, score.
 
+    ``word_bits``, ``pair_bits``: both ``FULL``, or slots of at most 20 and 23 bits.
     ``target_ids``: column doc_id of the documents that make the target model."""
-    spark = docs.sparkSession
+    if (word_bits, pair_bits) != (FULL, FULL) and (word_bits > 20 or pair_bits > 23):
+        raise ValueError("slots have at most 20 and 23 bits")
     ids = target_ids.select(F.col("doc_id").cast("long").alias("__id")).filter("__id is not null").distinct()
     rows = docs.select(F.col("text").cast("string").cast("binary").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    # Marks come by a join on ids; only target texts travel, the background needs no mark.
-    near = rows.withColumn("__slot", slots(rows, "doc_id")).join(slot_table(ids, "__id"), "__slot", "left_semi")
-    target = near.join(ids, near.doc_id == ids["__id"]).select("text")
-    sums = np.zeros((2, (1 << WORD_BITS) + (1 << PAIR_BITS)))
-    for row, texts in zip(sums, (target, rows.select("text"))):
-        t = counted(texts).toArrow()
-        row[t["slot"].to_numpy()] = t["n"].to_numpy()
-    n = [s[:1 << WORD_BITS].sum() for s in sums]
-    if not n[0]:
-        sums[0], n[0] = sums[1], n[1]
-    sums[1] *= n[0] / max(n[1], 1.0)
-    shared = spark.sparkContext.broadcast(sums.astype(np.float32))
-
-    def task(batches):
-        hasher, models = Hasher(), [Bigrams(s) for s in shared.value]
-        for batch in batches:
-            for a, b, texts in blocks(batch.column(0)):
-                words, pairs, inside, first = slots_of(hasher, texts)
-                count = np.diff(first)
-                losses = []
-                for m in models:
-                    total = np.concatenate(([0.0], np.cumsum(m.loss(words, pairs, inside))))
-                    losses.append((total[first[1:]] - total[first[:-1]]) / np.maximum(count, 1))
-                none = count == 0
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).slice(a, b - a), pa.array(count, pa.int64()), pa.array(losses[0], mask=none),
-                     pa.array(losses[1], mask=none), pa.array(np.where(none, 0.0, losses[1] - losses[0]))],
-                    ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return rows.mapInArrow(task, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    # Marks come by a join on ids; only texts whose slot some target has travel for it.
+    slotted, table = rows.withColumn("__slot", slots(rows, "doc_id")), slot_table(ids, "__id")
+    near = slotted.join(table, "__slot", "left_semi").join(ids, F.col("doc_id") == F.col("__id"), "left")
+    texts = (near.select("text", F.col("__id").isNotNull().alias("mark"))
+             .unionByName(slotted.join(table, "__slot", "left_anti").select("text", F.lit(False).alias("mark"))))
+    losses = losses_of(texts, word_bits, pair_bits)
+    sums = [F.sum(F.when(F.col("n").isNotNull(), F.col("n") * F.col(c))) for c in ("lt", "lb")]
+    out = (document_rows(rows, word_bits, pair_bits).join(losses, "key", "left")
+           .groupBy("uid").agg(F.max("did").alias("doc_id"), F.max("n_tokens").alias("n_tokens"),
+                               *[(s / F.max("n_tokens")).alias(c) for s, c in zip(sums, ("target_loss", "background_loss"))]))
+    return out.select("doc_id", "n_tokens", "target_loss", "background_loss",
+                      F.coalesce(F.col("background_loss") - F.col("target_loss"), F.lit(0.0)).alias("score"))

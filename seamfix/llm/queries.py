@@ -10,7 +10,7 @@ from .decontaminate import contamination
 from .jaccard import jaccard_join
 from .langid import language_id
 from .licenses import scan
-from .lm_scoring import lm_scores
+from .lm_scoring import FULL, lm_scores
 from .oracles import ORACLES
 from .packing import pack
 from .pii import pii_report
@@ -39,7 +39,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
-    return lm_scores(table(spark, sf_dir, "documents"), good)
+    return lm_scores(table(spark, sf_dir, "documents"), good, FULL, FULL)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,6 +124,36 @@ def test_lm_scores_match_formula(hard_docs, hard_rows, spark):
     assert all((r.target_loss is None) == (r.n_tokens == 0) for r in got)
 
 
+def test_lm_scores_full_keys(hard_docs, hard_rows, spark):
+    """Every word and bigram counts for itself, as strings do."""
+    from seamfix.llm.lm_scoring import FULL
+    good = {d for d, _, _ in hard_rows if d is not None and d % 2 == 0}
+    got = lm_scores(hard_docs, spark.createDataFrame([(d,) for d in good], "doc_id long"), FULL, FULL).collect()
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower))
+    models = []
+    for keep in (lambda d: d in good, lambda d: True):
+        words, pairs = Counter(), Counter()
+        for d, t, _ in hard_rows:
+            if keep(d):
+                w = split(t)
+                words.update(w)
+                pairs.update(zip(w, w[1:]))
+        models.append((words, pairs))
+    n, size = sum(models[0][0].values()), len(models[1][0]) + 1
+    scale = n / sum(models[1][0].values())
+    want = Counter()
+    for d, t, _ in hard_rows:
+        w, losses = split(t), []
+        for (words, pairs), f in zip(models, (1.0, scale)):
+            one = [(words[x] * f + 1) / (n + size) for x in w]
+            probs = one[:1] + [(pairs[p] * f + 200 * one[i + 1]) / (words[p[0]] * f + 200) for i, p in enumerate(zip(w, w[1:]))]
+            losses.append(-np.log(probs).mean() if w else 0.0)
+        want[d, len(w), round(float(losses[0]), 6), round(float(losses[1]), 6)] += 1
+    assert Counter((r.doc_id, r.n_tokens, round(r.target_loss or 0.0, 6), round(r.background_loss or 0.0, 6)) for r in got) == want
+    assert all(r.target_loss is None or min(r.target_loss, r.background_loss) >= 0 for r in got)
+
+
 def test_lm_scores_empty(no_docs, spark, hard_docs):
     none = spark.createDataFrame([], "doc_id long")
     assert lm_scores(no_docs, none).count() == 0
