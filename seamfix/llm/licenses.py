@@ -3,7 +3,8 @@
 Texts are split into sentences, sentences normalised (lower case, runs of other
 characters than letters and digits are one space) and mapped to the identifiers of
 known licence sentences; the sequence of identifiers is matched against ordered
-rules. Between two sentences of a rule other known sentences may stand, unknown
+rules. A known sentence may also begin or end at a line border: a line, or a run of
+lines, inside a sentence counts when it is a known sentence by itself. Between two sentences of a rule other known sentences may stand, unknown
 ones too, but not a sentence of the same rule out of order.
 
 All of it is row-local column expressions: no shuffle, no Python. A first look
@@ -65,9 +66,13 @@ RULES = [
     ("All-Rights-Reserved", "restricted", ["reserved"]),
 ]
 HINT = "(?i)licen[sc]e|redistribut|reserved|warrant|permission|copyright"
-#: A sentence ends after its mark and white space, or at a blank line; other line
-#: breaks are spaces inside a sentence.
+#: A sentence ends after its mark and white space, or at a blank line. Other line breaks
+#: are borders too, but a known sentence may run over them.
 END = r"([.!?:;])\s+|\n\s*\n"
+#: A known sentence from border to border, the longest first, in a normalised text that
+#: has only letters, digits, spaces, line breaks and the mark of END.
+KNOWN = (r"(?<=[\u0001\n\r] ?)(?:" + "|".join(s.replace(" ", r"[ \n\r]+") for s in sorted(SENTENCES.values(), key=len, reverse=True))
+         + r")(?= ?[\u0001\n\r])")
 
 
 def rule_pattern(names: list[str]) -> str:
@@ -81,12 +86,12 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, sentence_ids (in order, ``|``-separated),
     n_known, licences (sorted, ``,``-separated), category (the strictest)."""
     text = F.col("text").cast("string")
-    marked = F.regexp_replace(text, END, "$1\u0001")
-    sentences = F.transform(F.split(marked, "\u0001"), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+    marked = F.concat(F.lit("\u0001"), F.regexp_replace(text, END, "$1\u0001"), F.lit("\u0001"))
+    plain = F.regexp_replace(F.lower(marked), r"[^a-z0-9\n\r\u0001]+", " ")
+    sentences = F.transform(F.regexp_extract_all(plain, F.lit(KNOWN), F.lit(0)), lambda s: F.regexp_replace(s, r"[ \n\r]+", " "))
     known = F.array(*[F.lit(s) for s in SENTENCES.values()])
     names = F.array(*[F.lit(n) for n in SENTENCES])
-    place = F.filter(F.transform(sentences, lambda s: F.array_position(known, s).cast("int")), lambda p: p > 0)
-    ids = F.transform(place, lambda p: F.get(names, p - 1))
+    ids = F.transform(sentences, lambda s: F.get(names, F.array_position(known, s).cast("int") - 1))
     df = docs.select("doc_id", F.when(text.rlike(HINT), ids).alias("ids"))
     df = df.select("doc_id", F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
     df = df.withColumn("seq", F.concat(F.lit("|"), F.array_join(F.array_compact("ids"), "|"), F.lit("|")))

@@ -1,5 +1,6 @@
 """Operators 2, 3, 4, 5, 9 and 10: exact round trips, brute force and held-out accuracy."""
 
+import os
 import random
 import re
 import zlib
@@ -242,6 +243,33 @@ def test_licenses(spark):
     assert scan(df.limit(0)).count() == 0
 
 
+def test_license_lines(spark):
+    own = "All rights reserved"
+    rows = [(1, "x = 1\n# " + own + "\ny = 2", "reserved"), (2, "word word word\n" + own, "reserved"), (3, "*** ~~~\n  " + own + " ***\nz", "reserved"),
+            (4, "head\r\nLicensed under the Apache License,\r\nVersion 2.0 (the License)\r\ntail", "apache_under"),
+            (5, "nearly " + own + "\n" + own + " here\nAll rights\n\nreserved", ""), (6, own + "\n" + own, "reserved|reserved"),
+            (7, "text\nAll rights reserved. More.", "reserved"), (8, "One.  " + own + "\nmore", "reserved")]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    assert {r.doc_id: r.sentence_ids for r in scan(df).collect()} == {i: w for i, _, w in rows}
+
+
+def test_license_lines_of_the_given_table(spark):
+    """Every known sentence on a line of its own is found; counted line by line here."""
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables")
+    docs = spark.read.parquet(path).select("doc_id", "text")
+    names = {s: n for n, s in licenses.SENTENCES.items()}
+    want = {}
+    for r in docs.collect():
+        lines = [" ".join(re.sub("[^a-z0-9]+", " ", x.lower()).split()) for x in (r.text or "").split("\n")]
+        known = Counter(names[x] for x in lines if x in names)
+        if known:
+            want[r.doc_id] = known
+    got = {r.doc_id: Counter(r.sentence_ids.split("|")) for r in scan(docs).collect()}
+    assert len(want) > 300 and not [d for d, known in want.items() if known - got[d]]
+
+
 def test_license_tables():
     assert all(re.search(licenses.HINT, s) for s in licenses.SENTENCES.values())
     assert all(s == " ".join(re.sub("[^a-z0-9]+", " ", s.lower()).split()) for s in licenses.SENTENCES.values())
