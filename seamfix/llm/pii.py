@@ -3,11 +3,11 @@
 * Detection: one pattern per kind, all in one alternation over the whole text
   (e-mail, IPv4, IBAN, social security and phone numbers, card-like numbers, cloud
   keys, hex secrets, password assignments, names after a title).
-* A canonical form per kind (digits of a number, lower-cased e-mail or name) keeps
+* A canonical form per kind (digits of a number, lower-cased e-mail, name or hex) keeps
   coreference: every spelling of an entity gets the same surrogate, written in the
   spelling's own format (separators, case, title).
 * The surrogate is derived from a keyed SHA-512 of kind, canonical form and attempt:
-  digits stay digits, letters stay letters, hex stays hex, card numbers stay
+  digits stay digits, letters stay letters, hex stays hex (of any length and case), card numbers stay
   Luhn-valid if they were, IPv4 parts stay in range, names follow the title's gender
   and the script of the name (Latin, Greek or Cyrillic).
 * Collision checks: a surrogate that another entity of its kind has, or that is
@@ -36,9 +36,9 @@ TITLE = rf"(?:{MALE}|{FEMALE}|{NEUTRAL})\.?"
 #: kind -> pattern; the first that matches at a place wins.
 KINDS = {
     "email": r"(?<![\w.%+\-])[\w.%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "password": r"(?i:\b(?:password|passwd|pwd|secret|api_?key))\s?[=:]\s?[\"']?[^\s\"',;]{4,128}",
+    "password": r"(?i:\b(?:password|passwd|pwd|secret|api_?key))\s?[=:]\s?[\"']?[^\s\"',;]{4,}",
     "cloud_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    "hex_secret": r"\b[0-9a-f]{32,128}\b",
+    "hex_secret": r"\b[0-9a-fA-F]{32,}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
@@ -48,7 +48,7 @@ KINDS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: What any entity has; a cheap first look.
-HINT = rf"[@\d]|(?i:password|passwd|pwd|secret|api_?key)|[0-9a-f]{{32}}|{TITLE} \p{{Lu}}"
+HINT = rf"[@\d]|(?i:password|passwd|pwd|secret|api_?key)|AKIA|ASIA|[0-9a-fA-F]{{32}}|{TITLE} \p{{Lu}}"
 NUMBERS = ("ssn", "card", "phone")
 ATTEMPTS = 60
 #: Given names by script and gender; surnames are made of syllables.
@@ -91,7 +91,7 @@ def typed(entities: DataFrame) -> DataFrame:
     rest = F.substring("match", F.length("title") + 1, F.length("match"))
     canon = (F.when(F.col("kind").isin(*NUMBERS), F.when((F.col("kind") == "phone") & (F.length(digits(rest)) > 10),
                                                          F.expr("right(regexp_replace(match, '\\\\D+', ''), 10)")).otherwise(digits(rest)))
-             .when(F.col("kind").isin("email", "name"), F.lower(rest))
+             .when(F.col("kind").isin("email", "name", "hex_secret"), F.lower(rest))
              .when(F.col("kind") == "iban", F.replace(rest, F.lit(" "), F.lit(""))).otherwise(rest))
     gender = (F.when(F.col("title").rlike(rf"^{MALE}\b"), "m").when(F.col("title").rlike(rf"^{FEMALE}\b"), "f").otherwise(""))
     script = F.when(rest.rlike(r"\p{IsGreek}"), "greek").when(rest.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
@@ -180,7 +180,10 @@ def written(mapping: DataFrame) -> DataFrame:
     cased = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(r"\p{Lu}"), F.upper(F.substring(s, i + 1, F.lit(1))))
                                      .otherwise(F.substring(s, i + 1, F.lit(1)))), "")
     name = F.when(rest == F.upper(rest), F.upper(s)).otherwise(F.initcap(s))
-    put = (F.when(kind.isin(*NUMBERS), number).when(kind == "iban", spaced).when(kind == "email", cased)
+    # Hex of one case stays of that case; in mixed hex capitals stand where they stood.
+    hexed = F.when(rest == F.lower(rest), s).when(rest == F.upper(rest), F.upper(s)).otherwise(F.array_join(
+        F.zip_with(chars, F.split(s, ""), lambda c, x: F.when(c.rlike("[A-F]"), F.upper(x)).otherwise(x)), ""))
+    put = (F.when(kind.isin(*NUMBERS), number).when(kind == "hex_secret", hexed).when(kind == "iban", spaced).when(kind == "email", cased)
            .when(kind == "name", name).otherwise(s))
     return mapping.select("match", "kind", F.concat("title", put).alias("put"))
 
