@@ -5,14 +5,14 @@ written as Parquet and read again as the next stage's docs. All stages but the l
 return the columns of documents.
 
 1. quality: documents that the quality rules reject go.
-2. near_duplicates: of each component of the Jaccard join the document with the
-   smallest doc_id stays, with all rows of that doc_id; documents without words stay.
+2. near_duplicates: of each component of the Jaccard join one row stays, one with the
+   smallest doc_id (a null id before all others); documents without words stay.
 3. decontamination: documents that hold a window of a benchmark item go.
 4. pii: personal data is replaced by surrogates; n_chars follows the new text.
 5. packing: the texts become pieces of packed sequences.
 
-Null doc_ids: such rows are judged like others; where a stage removes by doc_id, a
-null id stands for all rows with a null id."""
+Null and repeated doc_ids: every row is judged and kept or removed by itself. Stages 2
+and 3 number the rows, written once, and the number stands for the doc_id inside."""
 
 from __future__ import annotations
 
@@ -37,15 +37,28 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality(docs).filter("__q.kept").drop("__q")
 
 
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(``docs`` with a number __row for each row, the numbers as doc_id with the texts)."""
+    rows = keep(docs.withColumn("__row", F.monotonically_increasing_id()), name)
+    return rows, rows.select(F.col("__row").alias("doc_id"), "text")
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = jaccard_join(docs)
-    copies = linked.filter("n_shingles > 0 and not (doc_id <=> component_id)").select("doc_id")
-    return without(docs, copies)
+    rows, texts = numbered(docs, "rows-near")
+    linked = keep(jaccard_join(texts).filter("n_shingles > 0").select("doc_id", "component_id"), "rows-linked")
+    # Components of two rows or more: some row's number is not the component's.
+    moved = linked.filter("doc_id <> component_id")
+    members = moved.union(moved.select(F.col("component_id").alias("doc_id"), "component_id").distinct())
+    ids = rows.select(F.col("__row").alias("doc_id"), F.col("doc_id").cast("long").alias("did"))
+    stays = (members.join(ids, "doc_id").groupBy("component_id")
+             .agg(F.min(F.struct("did", "doc_id"))["doc_id"].alias("doc_id")).select("doc_id"))
+    return without(rows, members.select("doc_id").join(stays, "doc_id", "left_anti"), "__row").drop("__row")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return without(docs, contamination(docs, benchmark).filter("contaminated").select("doc_id"))
+    rows, texts = numbered(docs, "rows-clean")
+    return without(rows, contamination(texts, benchmark).filter("contaminated").select("doc_id"), "__row").drop("__row")
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,16 +61,16 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return near.drop("__slot").join(ids.select("did"), "did", "left_semi")
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids`` (column doc_id).
+def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose ``column`` is in ``ids`` (column doc_id).
 
     Rows whose slot no id has need no shuffle; the others join exactly."""
-    rows = docs.withColumn("__slot", slots(docs, "doc_id"))
+    rows = docs.withColumn("__slot", slots(docs, column))
     table = slot_table(ids, "doc_id")
     clear = rows.join(table, "__slot", "left_anti")
     near = rows.join(table, "__slot", "left_semi")
     gone = ids.select(F.col("doc_id").alias("__gone")).distinct()
-    near = near.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    near = near.join(gone, F.col(column).eqNullSafe(F.col("__gone")), "left_anti")
     return clear.unionByName(near).select(*[F.col(c) for c in docs.columns])
 
 

@@ -62,6 +62,24 @@ def test_stages(spark, tables, tmp_path):
     assert Counter((p.doc_id, p.length, p.ids_crc32) for p in pieces) == Counter((i, len(x), zlib.crc32(x.tobytes())) for i, x in ids.items())
 
 
+def test_rows_without_own_ids(spark, tables):
+    """Null and repeated doc_ids: rows go one by one."""
+    import corpus_pipeline as P
+    root, texts = tables
+    a, b, c, d, leak = texts[30], texts[31], texts[32], texts[33], texts[300]
+    rows = [(None, a), (None, a), (None, b), (None, leak), (7, c), (7, c), (7, d), (7, leak), (8, b), (9, c), (None, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "src", 1, 7, "x") for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, n int, kept string").repartition(4)
+    got = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    rest = Counter([(None, ""), (None, None), (None, None)])
+    unique = P.near_duplicate_stage(spark, docs, root)
+    assert unique.columns == docs.columns
+    assert got(unique) == rest + Counter([(None, a), (None, b), (None, leak), (7, c), (7, d)])
+    clean = P.decontamination_stage(spark, docs, root)
+    assert clean.columns == docs.columns
+    assert got(clean) == Counter((i, t) for i, t in rows if t != leak)
+
+
 def test_run(spark, tables):
     import corpus_pipeline as P
     root, _ = tables
