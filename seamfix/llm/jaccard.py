@@ -183,16 +183,24 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, thresho
     return keep(out.select(F.col("a").alias("u"), F.col("b").alias("v")), "jaccard-links")
 
 
+def packed(postings: DataFrame) -> DataFrame:
+    """(tok, c, meta, pos): n (31 bits), ell and own in one long keep the shuffle of the
+    postings narrow; pos is an int of its own, so no size of a set is cut."""
+    return postings.select("tok", "c", F.expr("(cast(n as bigint) << 4 | ell) << 8 | own").alias("meta"), F.col("pos").cast("int").alias("pos"))
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    part = lambda shift, bits: F.shiftright("meta", shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    return rows.select("tok", "c", part(12, 31).alias("n"), part(8, 4).alias("ell"), part(0, 8).alias("own"), "pos")
+
+
 def link_components(docs: DataFrame, reps: DataFrame, k: int, threshold: int) -> tuple[DataFrame | None, DataFrame | None]:
     """((node, root) of the classes that have links or None, links verified or None)."""
     lo, hi = threshold, 100
     tok = Window.partitionBy("tok")
-    # n, ell, own and pos in one long keep the shuffle of the postings narrow.
-    meta = F.expr("(((cast(n as bigint) << 4 | ell) << 8 | own) << 24) | pos")
-    rows = (reps.select("c", "n", "ell", "own", F.posexplode("toks").alias("pos", "tok")).select("tok", "c", meta.alias("meta"))
+    rows = (packed(reps.select("c", "n", "ell", "own", F.posexplode("toks").alias("pos", "tok")))
             .withColumn("cnt", F.count(F.lit(1)).over(tok)).filter("cnt > 1"))
-    part = lambda shift, bits: F.shiftright("meta", shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
-    index = rows.select("tok", "c", part(36, 24).alias("n"), part(32, 4).alias("ell"), part(24, 8).alias("own"), part(0, 24).alias("pos"))
+    index = unpacked(rows)
     live = keep(index.withColumn("comp", F.col("c")), "jaccard-index")
     def wanted(n, ell, m, ell2):  # shared prefix shingles a pair needs
         rest = lambda a, l: f"(ceil({a} * {lo} / {hi}.0) - {l})"

@@ -64,6 +64,13 @@ def test_jaccard_components(hard_docs, hard_rows, monkeypatch, rounds):
     assert Counter(got) == Counter(brute_components(hard_rows))
 
 
+def test_jaccard_postings_of_huge_sets(spark):
+    """Sets of more than 2**24 shingles keep their size and their places."""
+    rows = [(5, 6, 2**31 - 1, 8, 255, 2**31 - 2), (7, 8, 20_000_000, 1, 0, 17_000_000), (-9, 1, 1, 1, 1, 0)]
+    df = spark.createDataFrame(rows, "tok long, c long, n int, ell int, own int, pos int")
+    assert [tuple(r) for r in jaccard.unpacked(jaccard.packed(df)).collect()] == rows
+
+
 def test_jaccard_multi_match():
     import numpy as np
     assert matches_wanted(np.zeros(30), 10, 8) == 1  # nothing else in the lists: the shortest prefix
