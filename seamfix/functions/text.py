@@ -10,6 +10,9 @@ from seamfix import constants as K
 # Character class of a stray-delimiter candidate: not a letter or digit and
 # not one of the excluded value characters.
 STRAY_CLASS = r"[^\p{L}\p{N}\-_.'" + '"' + r"@ ]"
+# A complete quoted field. Possessive and unrolled: Java matches it in a loop, so a
+# field of any length needs no stack and no backtracking.
+QUOTED = '"[^"]*+(?:""[^"]*+)*+"'
 INVISIBLE_CLASS = "[\\x{FEFF}\\x{200B}\\x{200C}\\x{200D}\\x{2060}]"
 
 
@@ -17,6 +20,12 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row, also where ``body``
+    uses it inside a lambda (which would evaluate an expression per element)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def quote_regex(d) -> Column:
     """Regex matching the literal character(s) ``d`` (Java \\Q..\\E quoting)."""
     return F.concat(F.lit("\\Q"), _c(d), F.lit("\\E"))
@@ -36,7 +45,7 @@ def occurrences(raw, d) -> Column:
 
 def blank_quoted(raw, d) -> Column:
     """Replace each complete quoted field (delimited by ``d``) by ``Q``."""
-    pat = F.concat(F.lit('(^|'), quote_regex(d), F.lit(')"(?:[^"]|"")*"(?='), quote_regex(d), F.lit("|$)"))
+    pat = F.concat(F.lit('(^|'), quote_regex(d), F.lit(f'){QUOTED}(?='), quote_regex(d), F.lit("|$)"))
     return F.regexp_replace(_c(raw), pat, F.lit("$1Q"))
 
 
@@ -44,7 +53,7 @@ def blank_any_quoted(raw) -> Column:
     """Replace each complete quoted field, whatever candidate delimiter
     bounds it, by ``Q``: what is left of a delimiter stands outside quotes."""
     edge = "[,;\\t|:]"
-    return F.regexp_replace(_c(raw), f'(^|{edge})"(?:[^"]|"")*"(?={edge}|$)', "$1Q")
+    return F.regexp_replace(_c(raw), f'(^|{edge}){QUOTED}(?={edge}|$)', "$1Q")
 
 
 def field_count(raw, d) -> Column:

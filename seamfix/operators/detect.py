@@ -27,6 +27,7 @@ from seamfix.session import cut_lineage
 _PREF = {d: i for i, d in enumerate(K.DELIMITER_PREFERENCE)}
 _WORD = 63  # column positions per bitmask word (sign bit unused)
 _SENTINEL = "\ue000"  # private-use character marking split points
+_ESCAPE = "\ue001"  # escapes the sentinel in the rare line that holds it
 
 
 # ---------------------------------------------------------------- D3, D4, D6
@@ -181,18 +182,21 @@ def garbled_header(lines: DataFrame, struct_df: DataFrame, file_bound: int | Non
 # ------------------------------------------------------------- field parsing
 def quoted_split(line: Column, delim: Column) -> Column:
     """Fields of a line that may hold quoted fields: split outside quotes
-    (an even number of quotes ahead), then unquoted."""
-    outside = F.concat(T.quote_regex(delim), F.lit('(?=(?:[^"]*"[^"]*")*[^"]*$)'))
-    # Mark the delimiters outside quotes with a sentinel (regexp_replace
-    # keeps its compiled pattern while the delimiter stays the same), then
-    # split on the sentinel literally; a line already holding the sentinel
-    # is split by the pattern itself (compiled for that line).
-    marked = F.split(F.regexp_replace(line, outside, F.lit(_SENTINEL)), F.lit(_SENTINEL), -1)
-    parts = F.when(F.instr(line, _SENTINEL) > 0, F.split(line, outside, -1)).otherwise(marked)
+    (an even number of quotes behind), then unquoted.
+
+    The pieces between quote signs alternate between outside and inside,
+    counted from the line's end, so one pass marks the delimiters outside
+    with a sentinel; the line is then split on the sentinel literally. In a
+    line that already holds the sentinel, it is escaped meanwhile."""
+    held = F.instr(line, _SENTINEL) > 0
+    safe = F.when(held, F.replace(F.replace(line, F.lit(_ESCAPE), F.lit(_ESCAPE + "b")), F.lit(_SENTINEL), F.lit(_ESCAPE + "a"))).otherwise(line)
+    marked = T.let(F.split(safe, '"', -1), lambda pieces: T.let(F.size(pieces) - 1, lambda last: F.array_join(
+        F.transform(pieces, lambda p, i: F.when(F.pmod(last - i, F.lit(2)) == 0, F.replace(p, delim, F.lit(_SENTINEL))).otherwise(p)), '"')))
+    parts = F.split(marked, _SENTINEL, -1)
+    restored = F.transform(parts, lambda f: F.replace(F.replace(f, F.lit(_ESCAPE + "a"), F.lit(_SENTINEL)), F.lit(_ESCAPE + "b"), F.lit(_ESCAPE)))
     return F.transform(
-        parts,
-        lambda f: F.when(f.rlike('^"(?:[^"]|"")*"$'),
-                         F.regexp_replace(F.regexp_extract(f, '^"(.*)"$', 1), '""', '"')).otherwise(f))
+        F.when(held, restored).otherwise(parts),
+        lambda f: F.when(f.rlike(f"^{T.QUOTED}$"), F.replace(F.substr(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f))
 
 
 def with_fields(df: DataFrame, raw: str = "raw", d: str = "delimiter", out: str = "fields") -> DataFrame:
@@ -256,31 +260,34 @@ def header_checks(lines: DataFrame, struct_df: DataFrame, file_bound: int | None
 
 
 # --------------------------------------------------------- D14, D15, D16, D18
-def _resolve(raw: Column, d: Column, expected: Column, split=T.split_fields) -> tuple[Column, Column]:
-    """Tier 1 (one other delimiter splits the whole line to the expected
-    width) and tier 2 (one field holds the missing fields), under ``split``
-    (quote-aware for lines that hold a double quote)."""
-    cands = T.stray_candidates(raw, d)
-    tier1 = F.filter(cands, lambda c: F.size(split(raw, c)) == expected)
-    fields = split(raw, d)
-    deficit = expected - F.size(fields)
-    tier2 = F.flatten(F.transform(
-        fields,
-        lambda f, i: F.transform(
+def _resolve(raw: Column, d: Column, expected: Column, split=T.split_fields) -> Column:
+    """Struct (observed, repaired) of a row, null fields when unresolved. Tier 1: one
+    other delimiter splits the whole line to the expected width. Tier 2: one field holds
+    the missing fields. ``split`` is quote-aware for lines that hold a double quote.
+    The fields and both tiers' hits are bound once per row."""
+    strays = T.stray_candidates(raw, d)
+    whole = F.filter(strays, lambda c: F.size(split(raw, c)) == expected)
+
+    def inner(fields: Column, deficit: Column) -> Column:
+        return F.flatten(F.transform(fields, lambda f, i: F.transform(
             F.filter(T.stray_candidates(f, d), lambda c: F.size(split(f, c)) - 1 == deficit),
-            lambda c: F.struct(i.alias("i"), c.alias("c")),
-        ),
-    ))
-    one1 = F.size(tier1) == 1
-    c1 = F.try_element_at(tier1, F.lit(1))
-    hit2 = F.try_element_at(tier2, F.lit(1))
-    one2 = (deficit > 0) & (F.size(tier2) == 1)
-    i2 = hit2["i"]
-    sub2 = split(F.try_element_at(fields, i2 + 1), hit2["c"])
-    fields2 = F.concat(F.slice(fields, 1, i2), sub2, F.slice(fields, i2 + 2, F.greatest(F.size(fields) - i2 - 1, F.lit(0))))
-    observed = F.when(one1, c1).when(one2, hit2["c"])
-    repaired = F.when(one1, T.csv_join(split(raw, c1), d)).when(one2, T.csv_join(fields2, d))
-    return observed, repaired
+            lambda c: F.struct(i.alias("i"), c.alias("c")))))
+
+    def spliced(fields: Column, hit: Column) -> Column:
+        rest = F.slice(fields, hit["i"] + 2, F.greatest(F.size(fields) - hit["i"] - 1, F.lit(0)))
+        return F.concat(F.slice(fields, 1, hit["i"]), split(F.element_at(fields, hit["i"] + 1), hit["c"]), rest)
+
+    none = F.lit(None).cast("string")
+    row = lambda observed, fields: F.struct(observed.alias("observed"), T.csv_join(fields, d).alias("repaired"))
+    unresolved = F.struct(none.alias("observed"), none.alias("repaired"))
+
+    def second(fields: Column) -> Column:
+        hits = T.let(expected - F.size(fields), lambda deficit: F.when(deficit > 0, inner(fields, deficit)))
+        return T.let(hits, lambda h: F.when(F.size(h) == 1, T.let(F.element_at(h, 1), lambda hit: row(hit["c"], spliced(fields, hit))))
+                     .otherwise(unresolved))
+
+    return T.let(whole, lambda w: F.when(F.size(w) == 1, T.let(F.element_at(w, 1), lambda c: row(c, split(raw, c))))
+                 .otherwise(T.let(split(raw, d), second)))
 
 
 def disagreeing_rows(lines: DataFrame, struct_df: DataFrame, file_bound: int | None = None) -> DataFrame:
@@ -292,8 +299,8 @@ def disagreeing_rows(lines: DataFrame, struct_df: DataFrame, file_bound: int | N
     j = j.withColumn("actual_field_count", T.field_count(F.col("raw"), F.col("delimiter")))
     bad = j.filter(F.col("actual_field_count") != F.col("expected_field_count"))
     def resolved(part: DataFrame, split) -> DataFrame:
-        obs, rep = _resolve(F.col("raw"), F.col("delimiter"), F.col("expected_field_count"), split)
-        return part.withColumn("observed_delimiter", obs).withColumn("repaired_text", rep)
+        res = part.withColumn("_res", _resolve(F.col("raw"), F.col("delimiter"), F.col("expected_field_count"), split))
+        return res.withColumn("observed_delimiter", F.col("_res.observed")).withColumn("repaired_text", F.col("_res.repaired"))
     plain = resolved(bad.filter(F.instr("raw", '"') == 0), T.split_fields)
     quoted = resolved(bad.filter(F.instr("raw", '"') > 0), quoted_split)
     return plain.unionByName(quoted).select(

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import make_lines
+from helpers import make_lines
 from seamfix.operators import repair as R
 
 
