@@ -96,9 +96,49 @@ select w.doc_id, len(w)::bigint n_words, (len(w) - coalesce(n, 0))::bigint n_rem
 from w left join kept on kept.doc_id = w.doc_id
 """
 
+OP11 = """
+with d as (select doc_id, coalesce(text, '') t, length(t) n, sha256('1:' || coalesce(doc_id::varchar, '')) k from documents),
+h as (select *, ('0x' || k[1:8])::ubigint h1, ('0x' || k[9:16])::ubigint h2, ('0x' || k[17:24])::ubigint h3, ('0x' || k[25:32])::ubigint h4 from d),
+c as (select *, (least(h1 % (n + 1), h2 % (n + 1)))::bigint a, (greatest(h1 % (n + 1), h2 % (n + 1)))::bigint b,
+        case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain'
+             when h4 % 100 < 20 then 'spm' else 'psm' end form from h),
+p as (select *, '<P>' || substring(t, 1, a) p, '<M>' || substring(t, a + 1, b - a) m, '<S>' || substring(t, b + 1) s from c)
+select doc_id, n::bigint n, form, case when form <> 'plain' then a end prefix_chars, case when form <> 'plain' then b - a end middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then p || s || m else s || p || m end) output_sha256, sha256(t) restored_sha256
+from p
+"""
+
+_TERMS = r"'[^\x00-\x40\x5B-\x60\x7B-\x7F]+'"
+
+OP12 = f"""
+with d as (select row_number() over () r, coalesce(lang, '') lang, coalesce(source, '') source, regexp_extract_all({_LOWER}, {_TERMS}) w from documents),
+x as (select r, lang, source, unnest(w) term from d),
+k as (select lang, term from x group by all having count(distinct r) >= 30),
+n as (select lang, source, term, count(*) n from x semi join k using (lang, term) group by all),
+v as (select lang, count(*) v from k group by 1),
+g as (select distinct lang, source from d),
+gt as (select g.lang, g.source, coalesce(sum(n), 0)::hugeint total, coalesce(any_value(v), 0)::hugeint v
+       from g left join n on n.lang = g.lang and n.source = g.source left join v on v.lang = g.lang group by all),
+p as (select gt.lang, gt.source, k.term, coalesce(n, 0) n, 1 + 1000000000 * (coalesce(n, 0) + 5)::hugeint // (total + 5 * v) p
+      from gt join k on k.lang = gt.lang left join n on n.lang = gt.lang and n.source = gt.source and n.term = k.term),
+lt as (select lang, sum(total) t from gt group by 1),
+q as (select n.lang, term, 1 + 1000000000 * (sum(n) + 5)::hugeint // (any_value(t) + 5 * any_value(v)) q
+      from n join v on v.lang = n.lang join lt on lt.lang = n.lang group by n.lang, term),
+pairs as (select a.lang, a.source, b.source item, coalesce(sum(abs(x.p - y.p)), 0) f
+          from g a join g b on a.lang = b.lang and a.source <> b.source left join p x on x.lang = a.lang and x.source = a.source
+          left join p y on y.lang = b.lang and y.source = b.source and y.term = x.term group by all),
+terms as (select p.lang, source, p.term item, p - q f from p join q on p.lang = q.lang and p.term = q.term where n > 0 and p > q),
+r as (select lang, source, 'pair' part, item, f, row_number() over (partition by lang, source order by f desc, encode(item)) k from pairs
+      union all
+      select lang, source, 'term' part, item, f, row_number() over (partition by lang, source order by f desc, encode(item)) k from terms)
+select lang, source, part, item, f::bigint "value", k::int "rank" from r where part = 'pair' or k <= 50
+"""
+
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1,
     "op6_benchmark_decontamination": OP6,
     "op7_quality_rules": OP7,
     "op8_substring_dedup": OP8,
+    "op11_fill_in_middle": OP11,
+    "op12_source_divergence": OP12,
 }
