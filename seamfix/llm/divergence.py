@@ -3,13 +3,13 @@
 How the sources of a language differ in their use of terms: between each pair of sources,
 and term by term against the whole language.
 
-1. Each task indexes its documents in memory, term to postings (source, occurrences,
-   documents); when ``HELD`` postings are held, they leave as a run: sorted by language and
-   term, dealt to hash shards and cut into blocks.
-2. A shard's blocks arrive ordered by their first term. Open blocks are merged by a heap
-   up to the first term of the next block, so a task holds at most the open block of each
-   run, and each term's postings come together as its frequencies; terms in fewer than
-   ``min_docs`` documents of their language go.
+1. Each task indexes its documents in memory: (term, source) to occurrences and documents,
+   arrays of a block of texts at a time. When ``HELD`` postings are held, they leave as a
+   run: in order of their terms (63-bit hashes of them), dealt to hash shards, cut into blocks.
+2. A shard's blocks arrive by their first term and wait on a heap. Each time, the blocks
+   that begin below the next one's first term leave it and are merged up to there, so a
+   task holds about a block of each run, and each term's postings come together as its
+   frequencies; terms in fewer than ``min_docs`` documents of their language go.
 3. Shares are exact integers, ``1 + floor(scale * (n + smooth) / (N + smooth * V))``. For a
    pair of sources the divergence is V times the distance of their shares of an absent
    term, plus corrections: for the terms that one of them has, from its counts alone, and
@@ -19,16 +19,11 @@ and term by term against the whole language.
 Defined cases: null text, language and source count as empty; a group without terms, and a
 language without kept terms, still has its rows (value 0 without kept terms); repeated rows
 count one by one; doc_ids and extra columns are ignored; an empty table gives an empty
-result."""
+result. Terms of equal hash would count as one: about 1e-7 expected at 1e6 terms."""
 
 from __future__ import annotations
 
 import heapq
-import re
-from bisect import bisect_left
-from collections import Counter
-from operator import itemgetter
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -36,125 +31,188 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep
-from .words import blocks
+from .words import Hasher, blocks, word_table
 
-TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-HELD = 400_000  # postings of a run
-BLOCK_ROWS = 2048  # postings of a block
+#: Bytes of terms: all but the separators (letters are lower-cased first).
+TERMS = word_table([(0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
+HELD = 1 << 20  # postings of a run
+BLOCK_ROWS = 4096  # postings of a block
+MERGE_ROWS = 1 << 18  # postings that come in between two merges
 PAIRS_HELD = 1 << 20
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-RUN = "shard int, lang binary, term binary, langs array<binary>, terms array<binary>, sources array<binary>, n array<long>, docs array<long>"
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: A block: its distinct terms by hash, its groups, and of each posting the places of both.
+RUN = {"shard": pa.int32(), "first": pa.int64(), "hashes": pa.list_(pa.int64()), "terms": pa.list_(pa.binary()),
+       "langs": pa.list_(pa.binary()), "sources": pa.list_(pa.binary()), "t": pa.list_(pa.int32()), "g": pa.list_(pa.int32()),
+       "n": pa.list_(pa.int64()), "docs": pa.list_(pa.int64())}
+RUN_SCHEMA = ("shard int, first long, hashes array<long>, terms array<binary>, langs array<binary>, sources array<binary>, "
+              "t array<int>, g array<int>, n array<long>, docs array<long>")
+
+
+def summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list, list]:
+    """Distinct keys in order (the first counts most) with the sums of their values."""
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    at = np.flatnonzero(new)
+    return [k[at] for k in keys], [np.add.reduceat(v[order], at) if len(at) else v[:0] for v in values]
+
+
+class Index:
+    """Postings of a task: (hash of the term, group) to occurrences and documents."""
+
+    def __init__(self, shards: int) -> None:
+        self.shards, self.hasher = shards, Hasher()
+        self.clear()
+
+    def clear(self) -> None:
+        self.postings, self.names, self.groups, self.size = [], [], {}, 0
+
+    def add(self, texts: list, langs: list, sources: list) -> None:
+        h, first = self.hasher.words(texts, TERMS, lower=True)
+        buf = _LOWER[np.frombuffer(b"\n".join(texts), np.uint8)]
+        inside = np.diff(np.concatenate(([0], TERMS[buf].astype(np.int8), [0])))
+        starts, ends = np.flatnonzero(inside == 1), np.flatnonzero(inside == -1)
+        group = np.array([self.groups.setdefault(g, len(self.groups)) for g in zip(langs, sources)], np.int64)
+        terms, at, code = np.unique(h >> np.uint64(1), return_index=True, return_inverse=True)
+        many = max(1, len(terms))
+        doc_term, n = np.unique(np.repeat(np.arange(len(texts)), np.diff(first)) * many + code, return_counts=True)
+        keys, place = np.unique(group[doc_term // many] * many + doc_term % many, return_inverse=True)
+        terms, data = terms.astype(np.int64), buf.tobytes()
+        self.postings.append((terms[keys % many] if len(keys) else terms, keys // many,
+                              np.bincount(place, n, len(keys)).astype(np.int64), np.bincount(place, minlength=len(keys))))
+        self.names.append((terms, [data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]))
+        self.size += len(keys)
+
+    def compact(self) -> None:
+        h, g, n, d = (np.concatenate(x) for x in zip(*self.postings))
+        (h, g), (n, d) = summed([h, g], [n, d])
+        self.postings, self.names, self.size = [(h, g, n, d)], [named(self.names)], len(h)
+
+    def run(self) -> pa.RecordBatch:
+        """The postings in order of their terms, dealt to shards and cut into blocks."""
+        self.compact()
+        (h, g, n, d), (hashes, terms) = self.postings[0], self.names[0]
+        names, t = list(self.groups), np.searchsorted(hashes, h)
+        width = 2**63 // self.shards + 1
+        cuts = np.unique(np.concatenate((np.arange(0, len(h), BLOCK_ROWS), np.searchsorted(h, np.arange(self.shards) * width), [len(h)])))
+        columns: list[list] = [[] for _ in RUN]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            low, high = int(t[a]), int(t[b - 1]) + 1
+            own, place = np.unique(g[a:b], return_inverse=True)
+            row = (int(h[a]) // width, int(h[a]), hashes[low:high], terms[low:high], [names[i][0] for i in own], [names[i][1] for i in own],
+                   t[a:b] - low, place, n[a:b], d[a:b])
+            for c, v in zip(columns, row):
+                c.append(v)
+        self.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, RUN.values())], list(RUN))
+
+
+def named(names: list) -> tuple[np.ndarray, list]:
+    """Distinct hashes in order with a term of each."""
+    hashes, at = np.unique(np.concatenate([h for h, _ in names]), return_index=True)
+    terms = [t for _, part in names for t in part]
+    return hashes, [terms[i] for i in at.tolist()]
 
 
 def runs(docs: DataFrame, shards: int, held: int) -> DataFrame:
-    """Term-sorted runs in blocks: shard, first (lang, term), and the block's postings."""
+    """Term-sorted runs in blocks (``RUN``)."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(*[text(c).alias(c) for c in ("lang", "source", "text")])
 
-    def blocks_of(index: dict):
-        dealt: dict[int, list] = {}
-        for key, posting in index.items():
-            dealt.setdefault(crc32(key[1]) * shards >> 32, []).append((key, posting))
-        columns = [[] for _ in range(8)]
-        for shard, postings in dealt.items():
-            postings.sort(key=itemgetter(0))
-            for i in range(0, len(postings), BLOCK_ROWS):
-                part = postings[i:i + BLOCK_ROWS]
-                row = (shard, *part[0][0][:2], *[[k[j] for k, _ in part] for j in range(3)], *[[p[j] for _, p in part] for j in range(2)])
-                for c, v in zip(columns, row):
-                    c.append(v)
-        many, long = pa.list_(pa.binary()), pa.list_(pa.int64())
-        kinds = [pa.int32(), pa.binary(), pa.binary(), many, many, many, long, long]
-        names = ["shard", "lang", "term", "langs", "terms", "sources", "n", "docs"]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
-
     def task(batches):
-        index: dict[tuple[bytes, bytes, bytes], list[int]] = {}
+        index = Index(shards)
         for batch in batches:
             langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b, texts in blocks(batch.column(2)):
-                for lang, source, t in zip(langs[a:b], sources[a:b], texts):
-                    for term, n in Counter(TERM.findall(t.translate(_LOWER))).items():
-                        key = lang, term, source
-                        posting = index.get(key)
-                        if posting is None:
-                            index[key] = [n, 1]
-                        else:
-                            posting[0] += n
-                            posting[1] += 1
-                    if len(index) >= held:
-                        yield blocks_of(index)
-                        index = {}
-        if index:
-            yield blocks_of(index)
-
-    return rows.mapInArrow(task, RUN)
-
-
-def merged(open_blocks: list, before: tuple | None):
-    """Postings of the open blocks with a key below ``before``, in order (a heap merge);
-    what is left stays in ``open_blocks``."""
-    ready = []
-    for block in open_blocks:
-        keys, rows, at = block
-        end = len(keys) if before is None else bisect_left(keys, before, at)
-        if end > at:
-            ready.append(rows[at:end])
-            block[2] = end
-    open_blocks[:] = [x for x in open_blocks if x[2] < len(x[0])]
-    return heapq.merge(*ready, key=itemgetter(0, 1, 2))
+                index.add(texts, langs[a:b], sources[a:b])
+                if index.size >= held:
+                    index.compact()
+                    if index.size >= held // 2:
+                        yield index.run()
+        if index.size:
+            yield index.run()
+
+    return rows.mapInArrow(task, RUN_SCHEMA)
+
+
+class Merge:
+    """Merges the blocks of a shard; they arrive by their first hash."""
+
+    def __init__(self, min_docs: int) -> None:
+        self.min_docs, self.heap, self.new, self.serial = min_docs, [], 0, 0
+        self.langs: dict[bytes, int] = {}
+        self.groups: dict[tuple[int, bytes], int] = {}
+
+    def add(self, block: dict) -> None:
+        hashes = block["hashes"]
+        lang = np.array([self.langs.setdefault(x, len(self.langs)) for x in block["langs"]], np.int64)
+        group = np.array([self.groups.setdefault(x, len(self.groups)) for x in zip(lang.tolist(), block["sources"])], np.int64)
+        self.push((hashes[block["t"]], lang[block["g"]], group[block["g"]], block["n"], block["docs"]), hashes, block["terms"])
+        self.new += len(block["n"])
+
+    def push(self, postings: tuple, hashes: np.ndarray, terms: list) -> None:
+        self.serial += 1
+        heapq.heappush(self.heap, (int(postings[0][0]), self.serial, postings, hashes, terms))
+
+    def below(self, bound: int | None) -> pa.RecordBatch:
+        """Frequencies of the kept terms with a hash below ``bound``: blocks leave the heap
+        as long as one begins below it, what reaches beyond goes back."""
+        ready, names, back = [], [], []
+        while self.heap and (bound is None or self.heap[0][0] < bound):
+            _, _, postings, hashes, terms = heapq.heappop(self.heap)
+            end = len(postings[0]) if bound is None else int(np.searchsorted(postings[0], bound))
+            ready.append(tuple(x[:end] for x in postings))
+            names.append((hashes, terms))
+            if end < len(postings[0]):
+                cut = int(np.searchsorted(hashes, bound))
+                back.append((tuple(x[end:] for x in postings), hashes[cut:], terms[cut:]))
+        for x in back:
+            self.push(*x)
+        self.new = 0
+        kinds = [pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+        if not ready:
+            return pa.RecordBatch.from_arrays([pa.array([], k) for k in kinds], FREQUENCIES)
+        h, lang, group, n, d = (np.concatenate(x) for x in zip(*ready))
+        (h, lang, group), (n, d) = summed([h, lang, group], [n, d])
+        _, (docs,) = summed([h, lang], [d])
+        sizes = np.diff(np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (lang[1:] != lang[:-1]), [True]))))
+        keep_rows = np.repeat(docs >= self.min_docs, sizes)
+        h, lang, group, n = (x[keep_rows] for x in (h, lang, group, n))
+        hashes, terms = named(names)
+        lang_names, group_names = list(self.langs), [s for _, s in self.groups]
+        columns = [[lang_names[i] for i in lang.tolist()], [terms[i] for i in np.searchsorted(hashes, h).tolist()],
+                   [group_names[i] for i in group.tolist()], n]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], FREQUENCIES)
+
+
+FREQUENCIES = ["lang", "term", "source", "n"]
 
 
 def frequencies(docs: DataFrame, min_docs: int, shards: int, held: int = HELD) -> DataFrame:
     """(lang, term, source, n) of the kept terms."""
-    dealt = runs(docs, shards, held).repartition(shards, "shard").sortWithinPartitions("shard", "lang", "term")
-    names = ["lang", "term", "source", "n"]
+    dealt = runs(docs, shards, held).repartition(shards, "shard").sortWithinPartitions("shard", "first")
 
     def task(batches):
-        open_blocks: list = []
-        shard, out = None, []
-        last: list = []  # postings of the term at hand, summed by source
-
-        def take(postings):
-            for lang, term, source, n, d in postings:
-                if last and last[-1][:3] == [lang, term, source]:
-                    last[-1][3] += n
-                    last[-1][4] += d
-                    continue
-                if last and last[-1][:2] != [lang, term]:
-                    done()
-                last.append([lang, term, source, n, d])
-
-        def done():
-            if sum(x[4] for x in last) >= min_docs:
-                out.extend(x[:4] for x in last)
-            last.clear()
-
-        def batch_of():
-            columns = zip(*out) if out else [[]] * 4
-            table = [pa.array(c, pa.binary() if i < 3 else pa.int64()) for i, c in enumerate(columns)]
-            out.clear()
-            return pa.RecordBatch.from_arrays(table, names)
-
+        merge, shard = Merge(min_docs), None
         for batch in batches:
             for row in range(batch.num_rows):
-                part = batch.slice(row, 1).to_pylist()[0]
-                before = part["lang"], part["term"]
-                if part["shard"] != shard:
-                    take(merged(open_blocks, None))
-                    done()
-                    shard = part["shard"]
-                take(merged(open_blocks, before))
-                rows = list(zip(*[part[c] for c in ("langs", "terms", "sources", "n", "docs")]))
-                open_blocks.append([[r[:2] for r in rows], rows, 0])
-                if len(out) >= BLOCK_ROWS:
-                    yield batch_of()
-        take(merged(open_blocks, None))
-        done()
-        yield batch_of()
+                block = {}
+                for i, name in enumerate(RUN):
+                    value = batch.column(i)[row]
+                    plain = name in ("shard", "first", "terms", "langs", "sources")
+                    block[name] = value.as_py() if plain else value.values.to_numpy()
+                if block["shard"] != shard:
+                    yield merge.below(None)
+                    shard = block["shard"]
+                elif merge.new >= MERGE_ROWS:
+                    yield merge.below(block["first"])
+                merge.add(block)
+        yield merge.below(None)
 
     out = dealt.mapInArrow(task, "lang binary, term binary, source binary, n long")
-    return out.select(*[F.col(c).cast("string").alias(c) for c in names[:3]], "n")
+    return out.select(*[F.col(c).cast("string").alias(c) for c in FREQUENCIES[:3]], "n")
 
 
 def pair_corrections(present: DataFrame) -> DataFrame:

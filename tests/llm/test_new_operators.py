@@ -92,7 +92,7 @@ def plain_divergence(docs, min_docs, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize("held,block,pairs", [(400_000, 2048, 1 << 20), (40, 3, 4)])
+@pytest.mark.parametrize("held,block,pairs", [(1 << 20, 4096, 1 << 20), (40, 3, 4)])
 def test_divergence(spark, held, block, pairs, monkeypatch):
     """Also with runs of 40 postings, blocks of 3 and pair sums of 4 (functions go by value)."""
     rng = random.Random(held)
@@ -103,6 +103,7 @@ def test_divergence(spark, held, block, pairs, monkeypatch):
     docs += [(None, "en", "s1"), ("", "xx", "lonely"), ("...", "xx", "other"), ("zoo " * 5000, "en", "s0")] + [("same words here", "en", "s0")] * 80
     monkeypatch.setattr(divergence, "BLOCK_ROWS", block)
     monkeypatch.setattr(divergence, "PAIRS_HELD", pairs)
+    monkeypatch.setattr(divergence, "MERGE_ROWS", block)
     df = spark.createDataFrame([(i, *d, 1, 2, "y") for i, d in enumerate(docs)],
                                "doc_id long, text string, lang string, source string, n long, p long, item string").repartition(6)
     got = divergence.divergence(df, min_docs=12, top_terms=6, shards=5, held=held)
