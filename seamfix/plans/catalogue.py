@@ -841,11 +841,54 @@ def q_stream_logs(spark, sf_dir):
                     F.date_format("log_date", "yyyy-MM-dd").alias("log_date"), "parse_error")
 
 
+#: The rendered log files hold events of all days each, so no day may close between two
+#: of them.
+LOG_DELAY = "3650 days"
+
+
 @query("stream_volume")
 def q_stream_volume(spark, sf_dir):
-    """T4: event-time daily repair volume with a watermark (exact distinct)."""
-    from seamfix.streaming.streams import stream_volume
-    return stream_volume(spark, _ndjson(spark, sf_dir))
+    """T4/O1: event-time windows with watermark and state: distinct traces per day."""
+    from seamfix.streaming.windows import stream_windows
+    return stream_windows(spark, _ndjson(spark, sf_dir), LOG_DELAY, max_files=4)["volume"]
+
+
+@query("stream_classes")
+def q_stream_classes(spark, sf_dir):
+    """T4/O2 from the windows' counts."""
+    from seamfix.streaming.windows import class_distribution, stream_windows
+    return class_distribution(stream_windows(spark, _ndjson(spark, sf_dir), LOG_DELAY, max_files=4)["counts"])
+
+
+@query("stream_outcomes")
+def q_stream_outcomes(spark, sf_dir):
+    """T4/O3 from the windows' counts."""
+    from seamfix.streaming.windows import outcome_breakdown, stream_windows
+    return outcome_breakdown(stream_windows(spark, _ndjson(spark, sf_dir), LOG_DELAY, max_files=4)["counts"])
+
+
+@query("stream_refused")
+def q_stream_refused(spark, sf_dir):
+    """T4: lines that the windows refuse (here: the cut ones, which have no event time),
+    counted by reason."""
+    from seamfix.streaming.windows import stream_windows
+    refused = stream_windows(spark, _ndjson(spark, sf_dir), LOG_DELAY, max_files=4)["refused"]
+    return refused.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("volume_sketches")
+def q_volume_sketches(spark, sf_dir):
+    """O1, approximate: sketches per day from the stream, united over the days of a month;
+    the exact counts, and whether the estimates are within three standard errors."""
+    from seamfix.streaming.windows import SKETCH_ERROR, distinct_estimate, stream_windows
+    path = _ndjson(spark, sf_dir)
+    days = stream_windows(spark, path, LOG_DELAY, max_files=4)["sketches"]
+    from seamfix.sources.logs import read_logs
+    done = read_logs(spark, path).filter("app_event = 'repair_completed' and trace_id is not null and ts is not null")
+    exact = done.groupBy(F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count_distinct("trace_id").alias("n_traces"))
+    near = distinct_estimate(days.withColumn("month", F.substring("day", 1, 7)), ["month"])
+    within = F.abs(F.col("estimate") - F.col("n_traces")) <= 1 + 3 * SKETCH_ERROR * F.col("n_traces")
+    return exact.join(near, "month").select("month", "n_traces", within.alias("within_bound"))
 
 
 @query("stream_drift")

@@ -870,6 +870,11 @@ def stream_oracles() -> dict[str, str]:
         "stream_repair": with_repair("SELECT file_id, line_no, text FROM rout"),
         "stream_logs": obs["log_ingest"],
         "stream_volume": obs["volume_over_time"],
+        "stream_classes": obs["class_distribution"],
+        "stream_outcomes": obs["outcome_breakdown"],
+        "stream_refused": "SELECT 'no event time' AS reason, count(*) AS n FROM events WHERE event_id % 997 = 0",
+        "volume_sketches": obs["volume_over_time"].replace("date_trunc('day', ts), '%Y-%m-%d') AS day", "ts, '%Y-%m') AS month")
+        .replace("AS n_traces", "AS n_traces, true AS within_bound"),
         "stream_drift": dr["schema_diff"].replace(
             'SELECT tbl AS "table", kind, col AS "column", from_type, to_type FROM diff',
             'SELECT tbl AS "table", kind, col AS "column", from_type, to_type FROM diff WHERE tbl = \'customer\''),

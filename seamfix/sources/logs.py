@@ -23,10 +23,12 @@ def write_ndjson(logs: DataFrame, path: str) -> str:
     return path
 
 
-def read_logs(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """Keys to top level, ``event`` -> ``app_event``, ``agent`` ->
+def read_logs(spark: SparkSession, path: str, stream: bool = False, max_files: int | None = None) -> DataFrame:
+    """S11 (``max_files``: of a micro-batch): keys to top level, ``event`` -> ``app_event``, ``agent`` ->
     ``app_agent``, parse-error marker, daily partition column."""
-    reader = spark.readStream if stream else spark.read
+    reader = spark.readStream.option("maxFileAge", "36500d") if stream else spark.read
+    if stream and max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     raw = reader.schema(LOG_SCHEMA).option("mode", "PERMISSIVE") \
         .option("columnNameOfCorruptRecord", "_corrupt_record").option("timestampFormat", TS_FMT).json(path)
     return raw.withColumnsRenamed({"event": "app_event", "agent": "app_agent", "timestamp": "ts"}) \

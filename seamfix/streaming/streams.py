@@ -25,6 +25,7 @@ FILE_ID = lambda p: F.regexp_extract(p, r"file_id=(-?\d+)", 1).cast("long")  # n
 #: The file source forgets nothing: a file that is older than the newest one by
 #: less than this is still taken.
 MAX_FILE_AGE = "36500d"
+LEDGER_BUCKETS = 256
 
 
 def state_of(spark: SparkSession, name: str, state: str | None) -> tuple[str, str]:
@@ -80,19 +81,26 @@ def for_each_file_batch(spark: SparkSession, paths: str, fn: Callable[[DataFrame
     the sink's contents."""
     checkpoint, sink = state_of(spark, name, state)
     run_batches(text_stream(spark, paths, max_files), checkpoint, sink, lambda b: fn(number_batch(b, file_expr)))
-    return read_sink(spark, sink)
+    return read_sink(spark, sink, empty_result(spark, fn))
+
+
+def empty_result(spark: SparkSession, fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``fn`` gives for no lines: the shape of a sink that no batch has written yet."""
+    lines = spark.createDataFrame([], "file_id long, line_no long, raw string, n_lines long, valid_utf8 boolean")
+    return spark.createDataFrame([], fn(lines).schema)
 
 
 def stream_logs(spark: SparkSession, path: str, name: str = "logs", state: str | None = None) -> DataFrame:
     """Continuous NDJSON log ingestion (S11 as a stream) into Parquet."""
     from seamfix.sources.logs import read_logs
     checkpoint, sink = state_of(spark, name, state)
-    run_batches(read_logs(spark, path, stream=True), checkpoint, sink, lambda b: b)
-    return read_sink(spark, sink)
+    logs = read_logs(spark, path, stream=True)
+    run_batches(logs, checkpoint, sink, lambda b: b)
+    return read_sink(spark, sink, spark.createDataFrame([], logs.schema))
 
 
 def stream_volume(spark: SparkSession, path: str, name: str = "volume", state: str | None = None) -> DataFrame:
-    """T4: repairs completed per day, as distinct traces. Each batch adds its
+    """O1 over arriving logs without a watermark (for windows with one: ``windows``). Each batch adds its
     distinct (day, trace) rows to the sink, and days are counted over all of
     them, so neither late rows nor batch borders lose or double a trace."""
     from seamfix.sources.logs import read_logs
@@ -100,24 +108,51 @@ def stream_volume(spark: SparkSession, path: str, name: str = "volume", state: s
     logs = read_logs(spark, path, stream=True).filter(F.col("app_event") == "repair_completed") \
         .select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "trace_id")
     run_batches(logs, checkpoint, sink, lambda b: b.distinct())
-    return read_sink(spark, sink).filter(F.col("day").isNotNull()).groupBy("day").agg(F.count_distinct("trace_id").alias("n_traces"))
+    return read_sink(spark, sink, spark.createDataFrame([], "day string, trace_id string")).filter(F.col("day").isNotNull()).groupBy("day").agg(F.count_distinct("trace_id").alias("n_traces"))
+
 
+def stream_once(spark: SparkSession, paths: str, name: str = "once", state: str | None = None, max_files: int | None = None) -> DataFrame:
+    """A file (same path, same modification time) is handled once, whatever its age
+    and however often a listing delivers it.
 
-def stream_once(spark: SparkSession, paths: str, name: str = "once", state: str | None = None) -> DataFrame:
-    """A file (same path, same modification time) is handled once, whatever
-    its age and however often a listing delivers it: each batch keeps only the
-    files that no earlier batch of the sink holds."""
+    The files of a run are keyed state (deduplication in the state store, kept in RocksDB:
+    a batch costs by its own files). Handled files are also listed in a ledger by run, batch
+    and hash bucket of the path. A run whose checkpoint was lost starts with empty state; its
+    batches leave out what the ledger's other runs hold, and read for that only the buckets
+    of their own files."""
     checkpoint, sink = state_of(spark, name, state)
-    listing = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", "*.txt") \
-        .option("maxFileAge", MAX_FILE_AGE).load(paths).select("path", "modificationTime")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    listing = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", "*.txt").option("maxFileAge", MAX_FILE_AGE)
+    if max_files:
+        listing = listing.option("maxFilesPerTrigger", max_files)
+    new = listing.load(paths).select("path", "modificationTime").dropDuplicates(["path", "modificationTime"])
+    bucket = F.pmod(F.xxhash64("path"), F.lit(LEDGER_BUCKETS)).cast("int")
+    empty = spark.createDataFrame([], "path string, modificationTime timestamp, bucket int, run string, epoch int")
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "0"
+        files = batch.withColumn("bucket", bucket)
+        ledger = ledger_of(spark, sink, empty)
+        others = ledger.filter(F.col("run") != run)
+        if not others.limit(1).isEmpty():
+            own = [r["bucket"] for r in files.select("bucket").distinct().collect()]  # at most LEDGER_BUCKETS
+            files = files.join(others.filter(F.col("bucket").isin(own)).select("path", "modificationTime"), ["path", "modificationTime"], "left_anti")
+        files.write.mode("overwrite").partitionBy("bucket").parquet(os.path.join(sink, f"run={run}", f"epoch={epoch}"))
+
+    try:
+        spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        new.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return ledger_of(spark, sink, empty).select("path", "modificationTime")
 
-    def unseen(batch: DataFrame) -> DataFrame:
-        new = batch.dropDuplicates(["path", "modificationTime"])
-        seen = read_sink(spark, sink)
-        return new if seen is None else new.join(seen, ["path", "modificationTime"], "left_anti")
 
-    run_batches(listing, checkpoint, sink, unseen)
-    return read_sink(spark, sink)
+def ledger_of(spark: SparkSession, sink: str, empty: DataFrame) -> DataFrame:
+    try:
+        return spark.read.schema(empty.schema).option("basePath", sink).parquet(sink)
+    except AnalysisException:
+        return empty
 
 
 def stream_drift(spark: SparkSession, root: str, baseline: DataFrame, table: str, name: str = "drift",
@@ -126,11 +161,14 @@ def stream_drift(spark: SparkSession, root: str, baseline: DataFrame, table: str
     (stream-static), per micro-batch; the distinct differences."""
     from seamfix.operators import drift as C
     checkpoint, sink = state_of(spark, name, state)
-    schema = spark.read.parquet(root).schema
+    diff = lambda b: C.column_diff(C.inspect_schema({table: b}), baseline.filter(F.col("table") == table))
+    try:
+        schema = spark.read.parquet(root).schema
+    except AnalysisException:  # no extract has arrived yet
+        return spark.createDataFrame([], diff(spark.createDataFrame([], "c string")).schema)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("maxFileAge", MAX_FILE_AGE).parquet(root)
-    run_batches(stream, checkpoint, sink,
-                lambda b: C.column_diff(C.inspect_schema({table: b}), baseline.filter(F.col("table") == table)))
-    return read_sink(spark, sink).distinct()
+    run_batches(stream, checkpoint, sink, diff)
+    return read_sink(spark, sink, spark.createDataFrame([], diff(spark.createDataFrame([], "c string")).schema)).distinct()
 
 
 def stage_files(lines: DataFrame, root: str) -> str:
