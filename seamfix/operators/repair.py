@@ -139,8 +139,10 @@ def file_status(classes: DataFrame, gated: DataFrame, files: DataFrame, verified
 
 
 def source_unchanged(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Content hashes of the sources before and after a repair run:
-    (file_id, before, after, unchanged), missing files included."""
-    b = before.select("file_id", F.col("sha256").alias("before"))
-    a = after.select("file_id", F.col("sha256").alias("after"))
+    """The sources before and after a repair run by length and content hash (column
+    digest, or sha256): (file_id, before, after, unchanged), missing files included."""
+    def content(df: DataFrame):
+        return F.concat_ws("/", *[c for c in ("length", "digest", "sha256") if c in df.columns])
+    b = before.select("file_id", content(before).alias("before"))
+    a = after.select("file_id", content(after).alias("after"))
     return b.join(a, "file_id", "full_outer").withColumn("unchanged", F.col("before").eqNullSafe(F.col("after")))

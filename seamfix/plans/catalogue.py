@@ -173,10 +173,11 @@ def repair_run(spark: SparkSession, sf_dir: str, with_defaults: bool = False,
     from seamfix.operators import propose as P
     from seamfix.operators import repair as R
     given = lines is not None
+    bound = None if given else N_FILES  # other inputs: the planner and AQE judge sizes
     lines = lines if given else rendered(spark, sf_dir)
-    d = D.detect(lines, N_FILES, encoding, encoding, lines_materialized=not given)
+    d = D.detect(lines, bound, encoding, encoding, lines_materialized=not given)
     repairs = D.row_repairs(d["disagree"], d["classes"])
-    p10 = P.single_column_delimiter(lines, d["structure"], N_FILES)
+    p10 = P.single_column_delimiter(lines, d["structure"], bound)
     supplied = None
     if with_defaults:
         supplied = d["classes"].select("file_id", "primary_class").join(
@@ -197,7 +198,7 @@ def repair_run(spark: SparkSession, sf_dir: str, with_defaults: bool = False,
     # the lines by broadcast (no shuffle of the lines), a large one by a
     # merge join on (file_id, line_no), which no hot file can skew.
     out.add("fixes", lambda: cut_lineage(P.row_repair_table(repairs, d["garbled"]), "fixes"))
-    out.add("applied", lambda: R.apply_repairs(lines, out["gated"], out["fixes"], N_FILES))
+    out.add("applied", lambda: R.apply_repairs(lines, out["gated"], out["fixes"], bound))
     for key in ("out", "errors", "files"):
         out.add(key, lambda key=key: out["applied"][key])
     return out
@@ -330,15 +331,15 @@ def q_source_unchanged(spark, sf_dir):
     files, hash again; whether each file is unchanged (expected: all)."""
     from seamfix.session import scratch_path
     from seamfix.sources import sinks as S
-    from seamfix.sources.lines import scan_bytes
+    from seamfix.sources.lines import file_digests
     src_root = scratch_path(spark, "sources")
     S.write_canonical(rendered(spark, sf_dir).select("file_id", "line_no", F.col("raw").alias("text")), src_root)
-    before = cut_lineage(scan_bytes(spark, src_root + "/*/*.txt"))
+    before = cut_lineage(file_digests(spark, src_root + "/*/*.txt"))
     lines = S.read_canonical(spark, src_root).select("file_id", "line_no", F.col("text").alias("raw"), "n_lines")
     out_root = scratch_path(spark, "repaired")
     S.refuse_collision(out_root, [src_root])
     S.write_canonical(repair_run(spark, sf_dir, lines=lines)["out"], out_root)
-    after = scan_bytes(spark, src_root + "/*/*.txt")
+    after = file_digests(spark, src_root + "/*/*.txt")
     from seamfix.operators.repair import source_unchanged
     file_id = F.regexp_extract("file_id", r"file_id=(-?\d+)", 1).cast("long")
     return source_unchanged(before, after).groupBy(file_id.alias("file_id")).agg(F.bool_and("unchanged").alias("unchanged"))
@@ -761,16 +762,18 @@ def q_encoding_evidence(spark, sf_dir):
 
 
 def encoded_run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Files in four encodings, read as bytes, judged,
+    """Whole texts in files of six encodings, read as bytes, judged,
     decoded, repaired."""
-    from seamfix.operators.encoding import decode_lines, text_encoding
+    from seamfix.operators.encoding import scan_decoded
     from seamfix.session import scratch_path
-    from seamfix.sources.lines import scan_lines
     from seamfix.sources.render import encoded_lines
     from seamfix.streaming.streams import FILE_ID, stage_files
-    files = stage_files(encoded_lines(spark, sf_dir), scratch_path(spark, "encoded")) + "/*/*.txt"
-    enc = cut_lineage(text_encoding(spark, files, FILE_ID), "encodings")
-    lines = decode_lines(scan_lines(spark, files, file_expr=FILE_ID), enc)
+    rendered_lines, root = cut_lineage(encoded_lines(spark, sf_dir), "encoded-lines"), scratch_path(spark, "encoded")
+    stage_files(rendered_lines.filter("charset is null"), root)
+    for charset in ("UTF-16LE", "UTF-16BE"):
+        stage_files(rendered_lines.filter(F.col("charset") == charset), root, charset)
+    lines, enc = scan_decoded(spark, root + "/*/*.txt", FILE_ID)
+    enc = cut_lineage(enc, "encodings")
     run = repair_run(spark, sf_dir, lines=lines, encoding=enc)
     run["encoding"] = enc
     return run

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from seamfix.plans.joins import sized_broadcast
 
 
-def _offsets(stats: DataFrame, group: str, split: str) -> DataFrame:
+def block_offsets(stats: DataFrame, group: str, split: str) -> DataFrame:
     """Prefix sums of ``_cnt`` per group in ``split`` order, plus totals."""
     before = Window.partitionBy(group).orderBy(split).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(group)
@@ -52,7 +52,7 @@ def number_rows(
     width = max(1, -(-(int(hi) - int(lo) + 1) // n_chunks))
     x = df.withColumn("_chunk", F.floor((F.col(key) - F.lit(int(lo))) / F.lit(width)).cast("long"))
     stats = x.groupBy(group, "_chunk").agg(F.count(F.lit(1)).alias("_cnt"), F.lit(0).alias("_mid0"))
-    offs = _offsets(stats, group, "_chunk")
+    offs = block_offsets(stats, group, "_chunk")
     bound = None if group_bound is None else group_bound * n_chunks
     pos = F.row_number().over(Window.partitionBy(group, "_chunk").orderBy(key))
     joined = x.withColumn("_pos", pos).join(sized_broadcast(offs, bound), [group, "_chunk"])
@@ -74,7 +74,7 @@ def number_scanned_lines(lines: DataFrame, file_col: str, block_col: str, split_
     """
     tagged = lines.withColumn("_mid", F.monotonically_increasing_id())
     stats = tagged.groupBy(file_col, block_col).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_mid0"))
-    offs = _offsets(stats, file_col, block_col)
+    offs = block_offsets(stats, file_col, block_col)
     joined = tagged.join(sized_broadcast(offs, split_bound), [file_col, block_col])
     return joined.select(
         *[c for c in lines.columns if c != block_col],

@@ -913,21 +913,25 @@ def encoding_oracles() -> dict[str, str]:
         "SELECT file_id, encoding, CASE WHEN encoding IN ('utf-8-sig', 'utf-16-le', 'utf-16-be') THEN 1.0 "
         "WHEN encoding = 'utf-8' THEN 1.0 WHEN encoding = 'cp1252' THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence, "
         "NOT valid AS wrong_encoding FROM g")
-    # Files in four encodings (file_id % 4), semicolons in the upper half.
-    files = "(SELECT DISTINCT doc_id % 8 AS file_id FROM documents)"
+    # Files in six encodings (file_id % 6), semicolons in every second half dozen.
+    files = "(SELECT DISTINCT doc_id // 128 AS file_id, (doc_id // 128) % 6 AS kind, (doc_id // 128) // 6 % 2 = 1 AS semicolon FROM documents)"
+    name = "(['utf-8', 'iso-8859-1', 'cp1252', 'utf-8-sig', 'utf-16-le', 'utf-16-be'])[kind + 1]"
+    wide = r"(SELECT doc_id // 128 AS file_id, bool_or(regexp_matches(text, '[\x{00A0}-\x{00FF}]')) AS latin FROM documents GROUP BY 1)"
+    encoded = (f"WITH f AS (SELECT f.file_id, kind, semicolon, CASE WHEN kind = 1 AND NOT latin THEN 'utf-8' ELSE {name} END AS encoding "
+               f"FROM {files} f JOIN {wide} w ON w.file_id = f.file_id), "
+               "c AS (SELECT *, array_to_string(list_filter([CASE WHEN kind = 3 THEN 'invisible_characters' END, CASE WHEN semicolon THEN 'wrong_delimiter' END, "
+               "CASE WHEN encoding NOT IN ('utf-8', 'utf-8-sig') THEN 'wrong_encoding' END], lambda x: x IS NOT NULL), ',') AS failure_classes FROM f) ")
     q["encoding_classes"] = (
-        "SELECT file_id, CASE file_id % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'iso-8859-1' WHEN 2 THEN 'cp1252' ELSE 'utf-8-sig' END AS encoding, "
-        "array_to_string(list_filter([CASE WHEN file_id % 4 = 3 THEN 'invisible_characters' END, CASE WHEN file_id >= 4 THEN 'wrong_delimiter' END, "
-        "CASE WHEN file_id % 4 IN (1, 2) THEN 'wrong_encoding' END], lambda x: x IS NOT NULL), ',') AS failure_classes, "
-        "CASE file_id % 4 WHEN 0 THEN CASE WHEN file_id >= 4 THEN 'utf-8' END WHEN 1 THEN 'iso-8859-1' WHEN 2 THEN 'cp1252' ELSE 'utf-8' END AS prescribed "
-        f"FROM {files}")
+        encoded + "SELECT file_id, encoding, failure_classes, CASE WHEN failure_classes = '' THEN NULL WHEN encoding = 'utf-8-sig' THEN 'utf-8' ELSE encoding END "
+        "AS prescribed FROM c")
     q["encoding_repaired"] = (
-        "WITH d AS (SELECT doc_id % 8 AS file_id, doc_id, n_chars, "
-        r"trim(regexp_replace(substr(coalesce(text, ''), 1, 40), '[^\p{L} ]', '', 'g')) AS t FROM documents), "
-        "n AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY doc_id) + 1 AS line_no, doc_id || ',' || CASE file_id % 4 "
-        r"WHEN 1 THEN regexp_replace(t, '[^\x{0000}-\x{00FF}]', '?', 'g') WHEN 2 THEN regexp_replace(t, '[^\x{0000}-\x{00FF}]', '?', 'g') || ' €' "
-        "ELSE t END || ',' || n_chars AS text FROM d) "
-        "SELECT file_id, line_no, text, true AS verified FROM (SELECT * FROM n UNION ALL "
-        f"SELECT file_id, 1, 'doc_id,name,n_chars' FROM {files}) WHERE file_id NOT IN (0, 7)")
+        encoded + r", t AS (SELECT doc_id, n_chars, doc_id // 128 AS file_id, replace(replace(coalesce(text, ''), chr(10), '\n'), chr(13), '\r') AS t FROM documents), "
+        r"l AS (SELECT *, regexp_replace(t, '[^\x{0000}-\x{00FF}]', '?', 'g') AS latin FROM t), "
+        r"v AS (SELECT l.file_id, doc_id, n_chars, CASE kind WHEN 1 THEN regexp_replace(latin, '[\x{0080}-\x{009F}]', '?', 'g') WHEN 2 THEN latin || ' €' ELSE t END AS t "
+        "FROM l JOIN f USING (file_id)), "
+        "n AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY doc_id) + 1 AS line_no, doc_id || ',' || "
+        "CASE WHEN contains(t, ',') OR contains(t, '\"') THEN '\"' || replace(t, '\"', '\"\"') || '\"' ELSE t END || ',' || n_chars AS text FROM v) "
+        "SELECT file_id, line_no, text, true AS verified FROM (SELECT * FROM n UNION ALL SELECT file_id, 1, 'doc_id,name,n_chars' FROM f) "
+        "WHERE file_id % 8 <> 7 AND file_id IN (SELECT file_id FROM c WHERE failure_classes <> '')")
     q["source_unchanged"] = "SELECT DISTINCT o_custkey % 64 AS file_id, true AS unchanged FROM orders"
     return q

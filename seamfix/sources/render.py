@@ -102,28 +102,31 @@ def render_order_lines(spark: SparkSession, sf_dir: str, n_files: int = 64) -> D
     return top.unionByName(data)
 
 
-ENCODINGS = ["utf-8", "iso-8859-1", "cp1252", "utf-8-sig"]  # by file_id % 4
-N_ENCODED = 8
+ENCODINGS = ["utf-8", "iso-8859-1", "cp1252", "utf-8-sig", "utf-16-le", "utf-16-be"]  # by file_id % 6
+DOCS_PER_FILE = 128
 
 
 def encoded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` as N_ENCODED delimited files (file_id = doc_id modulo it) in
-    four encodings: (file_id, line_no, raw) with ``raw`` holding the bytes.
-    Files from N_ENCODED / 2 on are separated by semicolons."""
+    """``documents`` as delimited files (file_id = doc_id div DOCS_PER_FILE) in six
+    encodings: (file_id, line_no, raw, charset) with ``raw`` holding the bytes of a line.
+    Whole texts, quoted, with their line ends written as \\n and \\r; every second half
+    dozen of files is separated by semicolons."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "n_chars")
-    d = d.withColumn("file_id", F.col("doc_id") % N_ENCODED)
+    d = d.withColumn("file_id", F.floor(F.col("doc_id") / DOCS_PER_FILE))
     rows = number_rows(d, "file_id", "doc_id", out="k", total=None)
-    kind = F.col("file_id") % 4
-    name = F.trim(F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 40), r"[^\p{L} ]", ""))
-    name = F.when(kind == 1, F.regexp_replace(name, r"[^\x{0000}-\x{00FF}]", "?")) \
-        .when(kind == 2, F.concat(F.regexp_replace(name, r"[^\x{0000}-\x{00FF}]", "?"), F.lit(" \u0080"))).otherwise(name)
-    sep = F.when(F.col("file_id") < N_ENCODED // 2, ",").otherwise(";")
-    body = rows.select("file_id", (F.col("k") + 1).alias("line_no"),
-                       F.concat(F.col("doc_id").cast("string"), sep, name, sep, F.col("n_chars").cast("string")).alias("text"))
+    kind = F.col("file_id") % 6
+    text = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit('"'), F.lit('""'))
+    latin = F.regexp_replace(text, r"[^\x{0000}-\x{00FF}]", "?")
+    text = F.when(kind == 1, F.regexp_replace(latin, r"[\x{0080}-\x{009F}]", "?")).when(kind == 2, F.concat(latin, F.lit(" \u0080"))).otherwise(text)
+    sep = F.when(F.floor(F.col("file_id") / 6) % 2 == 0, ",").otherwise(";")
+    body = rows.select("file_id", (F.col("k") + 1).alias("line_no"), F.concat(
+        F.col("doc_id").cast("string"), sep, F.lit('"'), text, F.lit('"'), sep, F.col("n_chars").cast("string")).alias("text"))
     head = rows.select("file_id").distinct().select("file_id", F.lit(1).cast("long").alias("line_no"), F.concat(
-        F.when(kind == 3, "\ufeff").otherwise(""), F.lit("doc_id"), sep, F.lit("name"), sep, F.lit("n_chars")).alias("text"))
-    raw = F.when(kind.isin(1, 2), F.encode("text", "ISO-8859-1").cast("string")).otherwise(F.col("text"))
-    return head.unionByName(body).select("file_id", "line_no", raw.alias("raw"))
+        F.when(kind >= 3, "\ufeff").otherwise(""), F.lit("doc_id"), sep, F.lit("name"), sep, F.lit("n_chars")).alias("text"))
+    raw = F.when(kind.isin(1, 2), F.encode("text", "ISO-8859-1")).when(kind == 4, F.encode("text", "UTF-16LE")) \
+        .when(kind == 5, F.encode("text", "UTF-16BE")).otherwise(F.col("text").cast("binary"))
+    charset = F.when(kind == 4, "UTF-16LE").when(kind == 5, "UTF-16BE")
+    return head.unionByName(body).select("file_id", "line_no", raw.cast("string").alias("raw"), charset.alias("charset"))
 
 
 # --- drift inputs --------------------------------------------------------
