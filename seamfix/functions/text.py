@@ -132,6 +132,13 @@ def has_invisible(x) -> Column:
     return _c(x).rlike(INVISIBLE_CLASS)
 
 
+def strip_cr(raw) -> Column:
+    """``raw`` without a carriage return at its end; the bytes stay as they are, also where
+    they are not UTF-8."""
+    raw = _c(raw)
+    return F.when(raw.endswith("\r"), F.substr(raw.cast("binary"), F.lit(1), F.octet_length(raw) - 1).cast("string")).otherwise(raw)
+
+
 def is_blank(x) -> Column:
     """True when the line holds only blanks (F11). A line starting with a
     printable ASCII character is not blank; only the others (empty, or

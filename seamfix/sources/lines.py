@@ -37,8 +37,7 @@ def scan_lines(spark: SparkSession, paths: list[str] | str, file_col: str = "fil
     df = df.select(
         fid.alias(file_col),
         # strip a trailing CR of CR LF files; keep the rest verbatim
-        F.when(F.col("raw").endswith("\r"), F.expr("substring(raw, 1, length(raw) - 1)"))
-        .otherwise(F.col("raw")).alias("raw"),
+        T.strip_cr(F.col("raw")).alias("raw"),
         F.concat(F.col("_path"), F.lit("#"), F.lpad(F.col("_block_start").cast("string"), 20, "0")).alias("_block"),
     ).filter(~T.is_blank(F.col("raw")))
     # One statistics row per file split. A split is a whole small file or a

@@ -66,9 +66,9 @@ def text_stream(spark: SparkSession, paths: str, max_files: int = 32) -> DataFra
 def number_batch(batch: DataFrame, file_expr: Callable[[Column], Column] | None = None) -> DataFrame:
     """S1 numbering inside one micro-batch (files arrive whole). The file id is
     the path unless ``file_expr`` maps it."""
-    from seamfix.functions.text import is_blank
+    from seamfix.functions.text import is_blank, strip_cr
     path = F.col("_path")
-    df = batch.select((file_expr(path) if file_expr else path).alias("file_id"), F.regexp_replace("raw", "\r$", "").alias("raw"),
+    df = batch.select((file_expr(path) if file_expr else path).alias("file_id"), strip_cr(F.col("raw")).alias("raw"),
                       F.concat(path, F.lit("#"), F.lpad(F.col("_block_start").cast("string"), 20, "0")).alias("_block")) \
         .filter(~is_blank(F.col("raw")))
     return number_scanned_lines(df, "file_id", "_block", None)
