@@ -3,7 +3,7 @@ quality rules' definitions, with exact strings where the operators hash."""
 
 from __future__ import annotations
 
-from .quality import COMMON, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_REFERENCE, MIN_WORDS
+from .quality import BANDS, MAX_CHAR_DISTANCE, MAX_WORD_SHARE, MIN_CHARS, MIN_REFERENCE, MIN_WORDS
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -63,11 +63,14 @@ b as (select m.*, len(w) n_words, length(t) - (length(r1) - length(r2)) word_cha
         coalesce(rep.n, 0) n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed
       from m left join rep on rep.doc_id = m.doc_id),
 one as (select doc_id, lang, base_failed, lower(unnest(w)) x from b),
-top as (select lang, x, row_number() over (partition by lang order by count(*) desc, x) r from one group by lang, x qualify r <= {COMMON}),
+top as (select lang, x, case {' '.join(f'when k <= {b} then {i}' for i, b in enumerate(BANDS, 1))} end r
+        from (select lang, x, row_number() over (partition by lang order by count(*) desc, x) k from one group by lang, x) where k <= {BANDS[-1]}),
 wc as (select one.doc_id, one.lang, base_failed, coalesce(r, 0) r, count(*) n from one left join top on top.lang = one.lang and top.x = one.x group by all),
 wr as (select lang, r, sum(n) n from wc where not base_failed group by all),
 wt as (select lang, sum(n) n from wr group by all),
-slots as (select distinct lang, unnest(range(0, {COMMON + 1})) r from d),
+slots as (select distinct lang, unnest(range(0, {len(BANDS) + 1})) r from d),
+none as (select s.lang, sqrt(greatest(sum({_js("p", "q")}), 0)) dist from (select s.lang, case when s.r = 0 then 1.0::double else 0 end p, coalesce(wr.n, 0) / wt.n q
+         from slots s join wt on wt.lang = s.lang left join wr on wr.lang = s.lang and wr.r = s.r) s group by all),
 wd as (select b.doc_id, sqrt(greatest(sum({_js('p', 'q')}), 0)) dist from (
          select b.doc_id, coalesce(wc.n, 0) / b.n_words p, coalesce(wr.n, 0) / wt.n q
          from b join slots s on s.lang = b.lang join wt on wt.lang = b.lang left join wc on wc.doc_id = b.doc_id and wc.r = s.r
@@ -81,8 +84,8 @@ cd as (select doc_id, sqrt(greatest(sum({_js('p', 'q')}), 0)) dist from (
 select b.doc_id, n_words::bigint n_words, word_chars::bigint word_chars, n_symbols::bigint n_symbols, n_dup_lines::bigint n_dup_lines,
        n_repeat_words::bigint n_repeat_words, base_failed,
        not base_failed and not (length(t) >= {MIN_CHARS} and n_words >= {MIN_WORDS} and coalesce(wt.n, 0) >= {MIN_REFERENCE}
-         and (coalesce(cd.dist, 0) > {MAX_CHAR_DISTANCE} or coalesce(wd.dist, 0) > {MAX_WORD_DISTANCE})) kept
-from b left join wt on wt.lang = b.lang left join cd on cd.doc_id = b.doc_id left join wd on wd.doc_id = b.doc_id
+         and (coalesce(cd.dist, 0) > {MAX_CHAR_DISTANCE} or coalesce(wd.dist > {MAX_WORD_SHARE} * none.dist, false))) kept
+from b left join wt on wt.lang = b.lang left join none on none.lang = b.lang left join cd on cd.doc_id = b.doc_id left join wd on wd.doc_id = b.doc_id
 """
 
 OP8 = f"""

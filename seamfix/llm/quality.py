@@ -6,42 +6,46 @@ language by Jensen-Shannon distance (base 2, 0 to 1):
 
 * character classes: lower case, white space, beyond ASCII, upper case,
   punctuation, digits, other signs;
-* common words: the language's most frequent words, and all others as one bin.
+* common words: the language's ``BANDS[-1]`` most frequent words, in bands of rank, and
+  all others as one bin. The limit is a share of the distance that a text without any
+  common word has, so such a text is rejected, in whatever letters it is.
 
 References are sums over every document of the language that passes the base
 rules; both guards are minimum lengths: a document below ``MIN_CHARS`` characters
 or ``MIN_WORDS`` words, or a language with fewer than ``MIN_REFERENCE`` words,
 is judged by the base rules only.
 
-All of it is row-local column expressions and sums per language; the tables of a row
-per language are joined on it, which the planner broadcasts while they are small. No
-text is ever shuffled.
+All of it is row-local column expressions and sums per language; the sums of a row per
+language are joined on it, which the planner broadcasts while they are small. The common
+words of languages with ``MIN_REFERENCE`` words or more become sets in the expressions
+(``BANDS[-1]`` words a language pass through the driver). No text is ever shuffled.
 
 Defined cases: null or blank text has no words and fails the base rules; a null
 language is a language of its own; repeated rows are judged one by one; extra
-columns are carried through; an empty table gives an empty result."""
+columns are carried through (names that begin with __ are the operator's own); an empty
+table gives an empty result."""
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, release
 
 SPACES = r"[\x20\x09-\x0D]+"
-COMMON = 12
+#: Last rank of each band of common words.
+BANDS = (8, 64, 512)
 MIN_CHARS = 100
 MIN_WORDS = 50
 MIN_REFERENCE = 2000
 MAX_CHAR_DISTANCE = 0.27
-MAX_WORD_DISTANCE = 0.45
+#: Of the distance that a text without common words has.
+MAX_WORD_SHARE = 5 / 6
 #: Removed one after the other; what is left are other signs.
 CLASSES = {"lower": "[a-z]+", "space": SPACES, "wide": r"[^\x00-\x7F]+", "upper": "[A-Z]+",
            "punct": r"[.,;:'\"()?\-]+", "digit": "[0-9]+"}
 SIGNS = "[#*$%&|<>]+"
-_MARKS = "." + string.ascii_uppercase[:COMMON]
+_MARKS = ".ABCDEFGH"[:len(BANDS) + 1]
 
 
 def let(value: Column, body) -> Column:
@@ -106,32 +110,44 @@ def language() -> Column:
     return F.coalesce(F.col("lang").cast("string"), F.lit(""))
 
 
-def common_words(docs: DataFrame) -> DataFrame:
-    """(__lang, common): each language's most frequent lower-cased words."""
+def common_words(docs: DataFrame) -> list[list[str]]:
+    """The common words of each band, each behind its language (``key_of``)."""
     counts = (docs.select(language().alias("__lang"), F.explode(words_of(F.col("text"))).alias("w"))
               .groupBy("__lang", F.lower("w").alias("w")).agg(F.count(F.lit(1)).alias("n")))
     rank = F.row_number().over(Window.partitionBy("__lang").orderBy(F.desc("n"), "w"))
-    return (counts.withColumn("r", rank).filter(F.col("r") <= COMMON).groupBy("__lang")
-            .agg(F.sort_array(F.collect_list(F.struct("r", "w"))).alias("c"))
-            .select("__lang", F.col("c.w").alias("common")))
+    counts = keep(counts, "quality-words")
+    large = counts.groupBy("__lang").agg(F.sum("n").alias("all")).filter(F.col("all") >= MIN_REFERENCE)
+    top = counts.withColumn("r", rank).filter(F.col("r") <= BANDS[-1]).join(large, "__lang", "left_semi")
+    rows = top.select(key_of(F.col("__lang"), F.col("w")).alias("key"), "r").collect()
+    release(counts)
+    edges = (0, *BANDS)
+    return [sorted(x["key"] for x in rows if low < x["r"] <= high) for low, high in zip(edges, edges[1:])]
+
+
+def key_of(lang: Column, word: Column) -> Column:
+    return F.concat(lang, F.lit("\u0001"), word)
+
 
+def with_common_histogram(df: DataFrame, bands: list[list[str]]) -> DataFrame:
+    """Adds ``__h``: occurrences of common words of each band, the others first."""
+    def mark(key: Column) -> Column:
+        out = F.lit(_MARKS[0])
+        for sign, words in reversed(list(zip(_MARKS[1:], bands))):
+            out = F.when(key.isin(words), sign).otherwise(out) if words else out
+        return out
 
-def with_common_histogram(df: DataFrame) -> DataFrame:
-    """Adds ``__h``: occurrences of each common word, the others first."""
-    marks = F.transform("__w", lambda w: F.substring(F.lit(_MARKS), F.array_position(F.col("common"), F.lower(w)).cast("int") + 1,
-                                                     F.lit(1)))
+    marks = F.transform(F.transform("__w", lambda w: key_of(F.col("__lang"), F.lower(w))), mark)
     df = df.withColumn("__s", F.array_join(marks, ""))
     return df.withColumn("__h", F.array(*[F.length("__s") - F.length(F.replace("__s", F.lit(c), F.lit(""))) for c in _MARKS])).drop("__s")
 
 
 def references(rows: DataFrame) -> DataFrame:
-    """(__lang, ref_words, ref_classes, ref_n): sums over all measured rows of a
+    """(__lang, __ref_words, __ref_classes, __ref_n): sums over all measured rows of a
     language that pass the base rules."""
-    sums = [F.sum(F.get("__h", F.lit(i))).alias(f"h{i}") for i in range(len(_MARKS))]
-    sums += [F.sum(F.get("__m.classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
-    per = rows.filter(~base_failed()).groupBy("__lang").agg(F.sum("__m.n_words").alias("ref_n"), *sums)
-    return per.select("__lang", "ref_n", F.array(*[f"h{i}" for i in range(len(_MARKS))]).alias("ref_words"),
-                      F.array(*[f"c{i}" for i in range(len(CLASSES) + 1)]).alias("ref_classes"))
+    words, classes = range(len(_MARKS)), range(len(CLASSES) + 1)
+    sums = [F.sum(F.get("__h", F.lit(i))).alias(f"h{i}") for i in words] + [F.sum(F.get("__m.classes", F.lit(i))).alias(f"c{i}") for i in classes]
+    per = rows.filter(~base_failed()).groupBy("__lang").agg(F.sum("__m.n_words").alias("__ref_n"), *sums)
+    return per.select("__lang", "__ref_n", F.array(*[f"h{i}" for i in words]).alias("__ref_words"), F.array(*[f"c{i}" for i in classes]).alias("__ref_classes"))
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -155,16 +171,16 @@ def quality(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     Texts are measured once; the measured rows are written, as both the references and
     the verdicts read them."""
     carry = docs.columns if carry is None else carry
-    common = keep(common_words(docs), "quality-common")
-    rows = with_common_histogram(measured(docs.withColumn("__lang", language()).join(common, "__lang", "left")))
+    rows = with_common_histogram(measured(docs.withColumn("__lang", language())), common_words(docs))
     rows = keep(rows.select(*carry, "__lang", "__m", "__h"), "quality-measured")
     refs = keep(references(rows), "quality-references")
     df = rows.join(refs, "__lang", "left")
     judged = ((F.col("__m.n_chars") >= MIN_CHARS) & (F.col("__m.n_words") >= MIN_WORDS)
-              & (F.col("ref_n") >= MIN_REFERENCE))
-    df = df.withColumn("__c", F.when(judged, distance(F.col("__m.classes"), F.col("ref_classes"))))
-    df = df.withColumn("__d", F.when(judged, distance(F.col("__h"), F.col("ref_words"))))
-    far = (F.coalesce("__c", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.coalesce("__d", F.lit(0.0)) > MAX_WORD_DISTANCE)
+              & (F.col("__ref_n") >= MIN_REFERENCE))
+    df = df.withColumn("__c", F.when(judged, distance(F.col("__m.classes"), F.col("__ref_classes"))))
+    df = df.withColumn("__d", F.when(judged, distance(F.col("__h"), F.col("__ref_words"))))
+    nothing = F.when(judged, distance(F.array(F.lit(1), *[F.lit(0)] * len(BANDS)), F.col("__ref_words")))
+    far = (F.coalesce("__c", F.lit(0.0)) > MAX_CHAR_DISTANCE) | F.coalesce(F.col("__d") > MAX_WORD_SHARE * nothing, F.lit(False))
     m = [F.col(f"__m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return (df.withColumn("__q", F.struct(*m, base_failed().alias("base_failed"), F.col("__c").alias("class_distance"),
                                           F.col("__d").alias("word_distance"), (~base_failed() & ~far).alias("kept")))

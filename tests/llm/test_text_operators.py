@@ -2,6 +2,7 @@
 copies, ties, clashing columns and empty tables."""
 
 import hashlib
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -132,18 +133,43 @@ def test_quality_base(hard_docs, hard_rows):
 
 
 def test_quality_verdict(spark):
+    """Few texts hold a rare word more than once, as in prose; common words make up half."""
     import random
     rng = random.Random(1)
-    words = ["the", "of", "and", "to"] + ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
-    clean = [" ".join(rng.choice(words[:4]) if rng.random() < 0.4 else rng.choice(words) for _ in range(120)) + "." for _ in range(80)]
-    junk = [clean[0].upper(), " | ".join(rng.choice(words[4:]) for _ in range(120)), " ".join(w + "$$$###" for w in clean[1].split())]
-    df = spark.createDataFrame([(i, t, "en", 1) for i, t in enumerate(clean + junk)], "doc_id long, text string, lang string, classes int")
+    rare = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    common = ["the", "of", "and", "to"] + [rare() for _ in range(40)]
+    clean = [" ".join(rng.choice(common[:4]) if rng.random() < 0.3 else rng.choice(common) if rng.random() < 0.5 else rare() for _ in range(120)) + "."
+             for _ in range(200)]
+    junk = [clean[0].upper(), " ".join(rare() for _ in range(120)), " ".join(w + "$$$###" for w in clean[1].split()),
+            " ".join(rng.choice(common[:4]) + " " + rng.choice(common[:4]) for _ in range(60))]
+    df = spark.createDataFrame([(i, t, "en", 1, 2, ["x"]) for i, t in enumerate(clean + junk)],
+                               "doc_id long, text string, lang string, classes int, ref_n int, common array<string>")
     kept = {r.doc_id: r.kept for r in quality_report(df).collect()}
-    assert all(kept[i] for i in range(80))
-    assert not any(kept[i] for i in range(80, 83))
+    assert all(kept[i] for i in range(200))
+    assert not any(kept[i] for i in range(200, 204))
     assert quality(df).drop("__q").columns == df.columns
 
 
+def test_quality_of_planted_texts_in_the_given_table(spark):
+    """Letters at random, and texts under another language, go; nearly all others stay."""
+    import random
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables")
+    rng = random.Random(3)
+    docs = spark.read.parquet(path).select("doc_id", "text", "lang")
+    langs = ["en", "de", "fr", "es"]
+    planted = [(10_000 + i, " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(1, 9))) for _ in range(300)), x) for i, x in enumerate(langs)]
+    other = {"en": "de", "de": "fr", "fr": "en", "es": "de"}
+    own = [docs.filter(f"lang = '{x}' and length(text) between 900 and 1500 and text not like '%|%'").orderBy("doc_id").first() for x in langs]
+    wrong = [(20_000 + r["doc_id"], r["text"], other[r["lang"]]) for r in own]
+    got = {r["doc_id"]: r for r in quality_report(docs.unionByName(spark.createDataFrame(planted + wrong, "doc_id long, text string, lang string"))).collect()}
+    assert not any(got[d]["kept"] for d, _, _ in planted)
+    assert all(got[r["doc_id"]]["kept"] for r in own) and not any(got[d]["kept"] for d, _, _ in wrong)
+    sound = [r for d, r in got.items() if d < 10_000 and not r["base_failed"] and (r["class_distance"] or 0) <= 0.27]
+    assert sum(r["kept"] for r in sound) >= 0.99 * len(sound)
+
+
 def test_quality_empty(no_docs):
     assert quality_report(no_docs).count() == 0
 
