@@ -40,7 +40,7 @@ MIN_WORDS = 50
 MIN_REFERENCE = 2000
 MAX_CHAR_DISTANCE = 0.27
 #: Of the distance that a text without common words has.
-MAX_WORD_SHARE = 0.75
+MAX_WORD_SHARE = 0.8
 #: Removed one after the other; what is left are other signs.
 CLASSES = {"lower": "[a-z]+", "space": SPACES, "wide": r"[^\x00-\x7F]+", "upper": "[A-Z]+",
            "punct": r"[.,;:'\"()?\-]+", "digit": "[0-9]+"}
