@@ -45,6 +45,22 @@ SENTENCES = {
     "cc_by_short": "licensed under cc by 4 0",
     "cc_by_sa_short": "licensed under cc by sa 4 0",
     "mpl_short": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "bsd_disclaimer": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "lgpl21_free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3_free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl_warranty": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl_received": "you should have received a copy of the gnu lesser general public license along with this library",
+    "agpl_free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl_received": "you should have received a copy of the gnu affero general public license along with this program",
+    "isc_grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc_asis": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "epl_short": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "mpl_copy": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "unlicense_free": "this is free and unencumbered software released into the public domain",
+    "unlicense_anyone": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "boost_short": "distributed under the boost software license version 1 0",
+    "boost_grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "cc0_short": "licensed under cc0 1 0",
     "reserved": "all rights reserved",
 }
 # Licence, category and the ordered sentences of each rule.
@@ -63,22 +79,39 @@ RULES = [
     ("CC-BY-4.0", "permissive", ["cc_by_short"]),
     ("CC-BY-SA-4.0", "copyleft", ["cc_by_sa_short"]),
     ("MPL-2.0", "copyleft", ["mpl_short"]),
+    ("LGPL-2.1-or-later", "copyleft", ["lgpl21_free", "lgpl_warranty", "lgpl_received"]),
+    ("LGPL-3.0-or-later", "copyleft", ["lgpl3_free", "lgpl_warranty", "lgpl_received"]),
+    ("AGPL-3.0-or-later", "copyleft", ["agpl_free", "gpl_warranty", "agpl_received"]),
+    ("ISC", "permissive", ["isc_grant", "isc_asis"]),
+    ("EPL-2.0", "copyleft", ["epl_short"]),
+    ("Unlicense", "permissive", ["unlicense_free", "unlicense_anyone"]),
+    ("BSL-1.0", "permissive", ["boost_short"]),
+    ("BSL-1.0", "permissive", ["boost_grant"]),
+    ("CC0-1.0", "permissive", ["cc0_short"]),
     ("All-Rights-Reserved", "restricted", ["reserved"]),
 ]
-HINT = "(?i)licen[sc]e|redistribut|reserved|warrant|permission|copyright"
-#: A sentence ends after its mark and white space, or at a blank line. Other line breaks
-#: are borders too, but a known sentence may run over them.
-END = r"([.!?:;])\s+|\n\s*\n"
+RESERVED = "All-Rights-Reserved"
+# Each licence by its identifier line, too.
+for _licence, _kind in sorted({(x, c) for x, c, _ in RULES if x != RESERVED} | {("GPL-2.0-only", "copyleft"), ("GPL-3.0-only", "copyleft")}):
+    _name = _licence.lower().replace("-", " ").replace(".", " ")
+    SENTENCES["spdx_" + _name.replace(" ", "_")] = "spdx license identifier " + _name
+    RULES.append((_licence, _kind, ["spdx_" + _name.replace(" ", "_")]))
+HINT = "(?i)licen[sc]e|distribut|reserved|warrant|permission|copyright|public domain"
+#: A sentence ends after its mark and white space, or at a blank line. Other line breaks,
+#: colons and semicolons are borders too, but a known sentence may run over them.
+END, PAUSE = r"([.!?])\s+|\n\s*\n", r"([:;])\s+"
+_GAP = r"[ \n\r\u0002]+"
 #: A known sentence from border to border, the longest first, in a normalised text that
-#: has only letters, digits, spaces, line breaks and the mark of END.
-KNOWN = (r"(?<=[\u0001\n\r] ?)(?:" + "|".join(s.replace(" ", r"[ \n\r]+") for s in sorted(SENTENCES.values(), key=len, reverse=True))
-         + r")(?= ?[\u0001\n\r])")
+#: has only letters, digits, spaces, line breaks and the marks of END and PAUSE.
+KNOWN = (r"(?<=[\u0001\u0002\n\r] ?)(?:" + "|".join(s.replace(" ", _GAP) for s in sorted(SENTENCES.values(), key=len, reverse=True))
+         + r")(?= ?[\u0001\u0002\n\r])")
 
 
 def rule_pattern(names: list[str]) -> str:
-    """Regular expression of a rule over ``|id|id|`` sequences."""
+    """Regular expression of a rule over ``|id|id|`` sequences. The gap is possessive (it
+    never holds a sentence of the rule), so it takes no stack however long it is."""
     own = "|".join(names)
-    gap = rf"(?:\|(?!(?:{own})\|)[a-z0-9_]+(?=\|))*"
+    gap = rf"(?:\|(?!(?:{own})\|)[a-z0-9_]+(?=\|))*+"
     return gap.join(rf"\|{n}(?=\|)" for n in names)
 
 
@@ -86,9 +119,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, sentence_ids (in order, ``|``-separated),
     n_known, licences (sorted, ``,``-separated), category (the strictest)."""
     text = F.col("text").cast("string")
-    marked = F.concat(F.lit("\u0001"), F.regexp_replace(text, END, "$1\u0001"), F.lit("\u0001"))
-    plain = F.regexp_replace(F.lower(marked), r"[^a-z0-9\n\r\u0001]+", " ")
-    sentences = F.transform(F.regexp_extract_all(plain, F.lit(KNOWN), F.lit(0)), lambda s: F.regexp_replace(s, r"[ \n\r]+", " "))
+    marked = F.concat(F.lit("\u0001"), F.regexp_replace(F.regexp_replace(text, END, "$1\u0001"), PAUSE, "$1\u0002"), F.lit("\u0001"))
+    plain = F.regexp_replace(F.lower(marked), r"[^a-z0-9\n\r\u0001\u0002]+", " ")
+    sentences = F.transform(F.regexp_extract_all(plain, F.lit(KNOWN), F.lit(0)), lambda s: F.regexp_replace(s, _GAP, " "))
     known = F.array(*[F.lit(s) for s in SENTENCES.values()])
     names = F.array(*[F.lit(n) for n in SENTENCES])
     ids = F.transform(sentences, lambda s: F.get(names, F.array_position(known, s).cast("int") - 1))
@@ -99,8 +132,12 @@ def scan(docs: DataFrame) -> DataFrame:
     full = F.array_compact(F.array(*found))
     # A three-clause text also matches the two-clause rule; the longer rule holds.
     full = F.when(F.array_contains(full, "BSD-3-Clause"), F.array_remove(full, "BSD-2-Clause")).otherwise(full)
+    # Next to a whole licence the reservation of rights is part of its copyright line.
+    whole = F.array_compact(F.array(*[hit for hit, (_, _, n) in zip(found, RULES) if len(n) > 1]))
+    full = F.when(F.size(whole) > 0, F.array_remove(full, RESERVED)).otherwise(full)
     kinds = {k: F.array(*[F.lit(x) for x in sorted({lic for lic, c, _ in RULES if c == k})]) for k in ("restricted", "copyleft", "permissive")}
     df = df.withColumn("found", F.sort_array(F.array_distinct(full)))
-    category = F.coalesce(*[F.when(F.arrays_overlap("found", v), F.lit(k)) for k, v in kinds.items()], F.lit("none"))
+    granted = F.when(F.size("found") > 1, F.array_remove("found", RESERVED)).otherwise(F.col("found"))
+    category = F.coalesce(*[F.when(F.arrays_overlap(granted, v), F.lit(k)) for k, v in kinds.items()], F.lit("none"))
     return df.select("doc_id", F.array_join("ids", "|").alias("sentence_ids"), F.size("ids").cast("long").alias("n_known"),
                      F.array_join("found", ",").alias("licences"), category.alias("category"))

@@ -270,6 +270,34 @@ def test_license_lines_of_the_given_table(spark):
     assert len(want) > 300 and not [d for d, known in want.items() if known - got[d]]
 
 
+def test_licenses_of_genuine_notices(spark):
+    """Notices as they are written, with their own marks and line breaks; and long gaps."""
+    gpl = ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n"
+           "the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\n"
+           "This program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\n"
+           "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.\n\n"
+           "You should have received a copy of the GNU General Public License\nalong with this program.  If not, see <https://www.gnu.org/licenses/>.\n")
+    lgpl = gpl.replace("program", "library").replace("General", "Lesser General").replace("version 3", "version 2.1")
+    agpl = gpl.replace("GNU General", "GNU Affero General")
+    bsd = ("Copyright (c) 2020, A Name\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted "
+           "provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions "
+           "and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following "
+           "disclaimer in the documentation\n   and/or other materials provided with the distribution.\n")
+    isc = ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\n"
+           "copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES\n"
+           "WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF\nMERCHANTABILITY AND FITNESS.")
+    parts = MIT.split("\n\n")
+    rows = [(gpl, "GPL-3.0-or-later", "copyleft"), (lgpl, "LGPL-2.1-or-later", "copyleft"), (agpl, "AGPL-3.0-or-later", "copyleft"),
+            (bsd, "BSD-2-Clause", "permissive"), (isc, "ISC", "permissive"), ("// SPDX-License-Identifier: Apache-2.0\ncode();", "Apache-2.0", "permissive"),
+            ("/* SPDX-License-Identifier: GPL-2.0-only */\n", "GPL-2.0-only", "copyleft"),
+            ("This is free and unencumbered software released into the public domain.", "", "none"),
+            (parts[0] + "\n\n" + "All rights reserved. " * 20000 + "\n\n".join(parts[1:]), "MIT", "permissive"),
+            ("All rights reserved.\nReleased under the MIT License.", "All-Rights-Reserved,MIT", "permissive"), ("All rights reserved.", "All-Rights-Reserved", "restricted")]
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: (r.licences, r.category) for r in scan(df).collect()}
+    assert got == {i: (w, c) for i, (_, w, c) in enumerate(rows)}
+
+
 def test_license_tables():
     assert all(re.search(licenses.HINT, s) for s in licenses.SENTENCES.values())
     assert all(s == " ".join(re.sub("[^a-z0-9]+", " ", s.lower()).split()) for s in licenses.SENTENCES.values())
