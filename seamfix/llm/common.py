@@ -93,7 +93,8 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
         joined = large.join(low, "u")
         small = (joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        now = keep(small, name)
+        before, now = now, keep(small, name)
+        release(before)
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             break

@@ -115,11 +115,11 @@ def matches_wanted(others: np.ndarray, p1: int, most: int) -> int:
     return int(np.argmin(p1 + ls + read + VERIFY_COST * read / ls)) + 1
 
 
-def prefixes(docs: DataFrame, k: int, threshold: int, load: np.ndarray) -> DataFrame:
+def prefixes(docs: DataFrame, k: int, threshold: int, shared) -> DataFrame:
     """One row per class: hi, lo, did (smallest id), n, ell, toks (prefix), end (where
     the prefix ends in the order of all shingles), own (share, of 255, of the prefix that
-    the sketch takes for the set's own), c (number of the class)."""
-    shared = docs.sparkSession.sparkContext.broadcast(load)
+    the sketch takes for the set's own), c (number of the class). ``shared``: the summed
+    sketch, sent to the tasks."""
 
     def task(batches):
         hasher, load = Hasher(), shared.value
@@ -194,8 +194,8 @@ def unpacked(rows: DataFrame) -> DataFrame:
     return rows.select("tok", "c", part(12, 31).alias("n"), part(8, 4).alias("ell"), part(0, 8).alias("own"), "pos")
 
 
-def link_components(docs: DataFrame, reps: DataFrame, k: int, threshold: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """((node, root) of the classes that have links or None, links verified or None)."""
+def link_components(docs: DataFrame, reps: DataFrame, k: int, threshold: int) -> DataFrame | None:
+    """(node, root) of the classes that have links, or None."""
     lo, hi = threshold, 100
     tok = Window.partitionBy("tok")
     rows = (packed(reps.select("c", "n", "ell", "own", F.posexplode("toks").alias("pos", "tok")))
@@ -208,7 +208,7 @@ def link_components(docs: DataFrame, reps: DataFrame, k: int, threshold: int) ->
                 f"- greatest({rest(n, ell)}, {rest(m, ell2)}))")
 
     close = lambda n, m: f"{lo} * greatest({n}, {m}) <= {hi} * least({n}, {m})"
-    links, roots = None, None
+    roots = None
     for turn in range(LEADER_ROUNDS + 1):
         if roots is not None:
             joined = (live.drop("comp").join(roots.withColumnRenamed("node", "c"), "c", "left")
@@ -264,12 +264,12 @@ def link_components(docs: DataFrame, reps: DataFrame, k: int, threshold: int) ->
         if pairs.isEmpty():
             continue
         found = verified(docs, pairs, reps, k, threshold)
-        links = found if links is None else links.unionByName(found)
+        release(pairs)
         if roots is not None:
             found = found.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
         roots = components(found, "jaccard-edges")
     release(live)
-    return roots, links
+    return roots
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
@@ -278,8 +278,10 @@ def jaccard_join(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     class_id identifies equal sets; component_id is the smallest doc_id
     reachable over links (a document without shingles: its own id)."""
     described = describe(docs, k)
-    reps = keep(prefixes(docs, k, threshold, load_of(described)), "jaccard-prefixes")
-    roots, _ = link_components(docs, reps, k, threshold)
+    shared = docs.sparkSession.sparkContext.broadcast(load_of(described))
+    reps = keep(prefixes(docs, k, threshold, shared), "jaccard-prefixes")
+    shared.destroy()
+    roots = link_components(docs, reps, k, threshold)
     classes = reps.select("hi", "did", "c").withColumn("root", F.col("c"))
     if roots is not None:
         classes = (reps.select("hi", "did", "c").join(roots.withColumnRenamed("node", "c"), "c", "left")
