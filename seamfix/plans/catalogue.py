@@ -739,6 +739,18 @@ def q_publish_selection(spark, sf_dir):
     return st.filter(path.isNotNull()).select("file_id", path.alias("publish_path"), "status")
 
 
+@query("baselines_at_run")
+def q_baselines_at_run(spark, sf_dir):
+    """Baselines written as JSON files, read back, and for each run the columns of the
+    version that was valid at its time."""
+    from seamfix.session import scratch_path
+    from seamfix.sources import baselines as B
+    from seamfix.sources.render import part_baselines, part_runs
+    path = B.write_baselines(part_baselines(spark, sf_dir), scratch_path(spark, "baselines"))
+    out = B.baselines_at(B.read_baselines(spark, path + "/*/*.txt"), part_runs(spark, sf_dir))
+    return out.select("table", F.date_format("run_at", "yyyy-MM-dd").alias("run_at"), "version", "ordinal", "name", "type", "nullable")
+
+
 @query("publish_uri")
 def q_publish_uri(spark, sf_dir):
     """Credential-free ``wasbs://container@host/name`` per page with an

@@ -933,5 +933,13 @@ def encoding_oracles() -> dict[str, str]:
         "CASE WHEN contains(t, ',') OR contains(t, '\"') THEN '\"' || replace(t, '\"', '\"\"') || '\"' ELSE t END || ',' || n_chars AS text FROM v) "
         "SELECT file_id, line_no, text, true AS verified FROM (SELECT * FROM n UNION ALL SELECT file_id, 1, 'doc_id,name,n_chars' FROM f) "
         "WHERE file_id % 8 <> 7 AND file_id IN (SELECT file_id FROM c WHERE failure_classes <> '')")
+    q["baselines_at_run"] = (
+        "WITH c AS (SELECT p_brand, p_size, p_type AS name, (['int64', 'float64', 'string'])[count(*) % 3 + 1] AS type, count(*) > 1 AS nullable "
+        "FROM part GROUP BY ALL), r AS (SELECT DISTINCT p_brand, p_partkey % 60 AS d FROM part), "
+        "v AS (SELECT r.p_brand, d, max(p_size) AS p_size FROM r JOIN (SELECT DISTINCT p_brand, p_size FROM part) s "
+        "ON s.p_brand = r.p_brand AND s.p_size <= d GROUP BY ALL) "
+        "SELECT v.p_brand AS \"table\", strftime(DATE '2020-01-01' + d::INT, '%Y-%m-%d') AS run_at, v.p_size::INT AS version, "
+        "row_number() OVER (PARTITION BY v.p_brand, d ORDER BY name)::INT AS ordinal, name, type, nullable "
+        "FROM v JOIN c ON c.p_brand = v.p_brand AND c.p_size = v.p_size")
     q["source_unchanged"] = "SELECT DISTINCT o_custkey % 64 AS file_id, true AS unchanged FROM orders"
     return q

@@ -157,6 +157,25 @@ def baselines(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(BASELINE_ROWS, BASELINE_SCHEMA)
 
 
+def part_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baseline documents that derive from ``part``: a table per brand, a version per size
+    (valid from that day of 2020 on), its columns the types of those parts, their types
+    by the number of parts."""
+    per = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_brand", "p_size", "p_type").agg(F.count(F.lit(1)).alias("n"))
+    kind = F.element_at(F.array(*[F.lit(t) for t in ("int64", "float64", "string")]), (F.col("n") % 3 + 1).cast("int"))
+    column = F.struct(F.col("p_type").alias("name"), kind.alias("type"), (F.col("n") > 1).alias("nullable"))
+    docs = per.groupBy("p_brand", "p_size").agg(F.sort_array(F.collect_list(column)).alias("columns"))
+    return docs.select(F.col("p_brand").alias("table"), F.col("p_size").cast("int").alias("version"),
+                       F.date_add(F.lit("2020-01-01").cast("date"), F.col("p_size").cast("int")).alias("valid_from"), "columns")
+
+
+def part_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs that derive from ``part``: a table (brand) is checked on days of 2020."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.select(F.col("p_brand").alias("table"),
+                    F.date_add(F.lit("2020-01-01").cast("date"), (F.col("p_partkey") % 60).cast("int")).alias("run_at")).distinct()
+
+
 def drifted_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """"Current" customer extract: ``c_name`` renamed to ``c_full_name``,
     ``c_mktsegment`` dropped, ``c_extra`` added, ``c_nationkey`` as text
