@@ -1,9 +1,11 @@
 """Operator 10 [native]: PII replaced by keyed, type-consistent surrogates.
 
 * Detection: one pattern per kind, all in one alternation over the whole text
-  (e-mail, IPv4, IBAN, social security and phone numbers, card-like numbers, cloud
-  keys, hex secrets, password assignments, names after a title).
-* A canonical form per kind (digits of a number, lower-cased e-mail, name or hex) keeps
+  (e-mail, IPv4 and IPv6, IBAN, social security and phone numbers, card-like numbers, cloud
+  and service keys, hex secrets, password assignments, names after a title). A quoted
+  secret goes to its own quote.
+* A canonical form per kind (digits of a number, lower-cased e-mail, name or hex; of a name
+  the gender of its title, too) keeps
   coreference: every spelling of an entity gets the same surrogate, written in the
   spelling's own format (separators, case, title).
 * The surrogate is derived from a keyed SHA-512 of kind, canonical form and attempt:
@@ -28,27 +30,31 @@ from pyspark.sql import functions as F
 
 from .common import keep
 
-NAME = r"\p{Lu}\p{Ll}{1,40}(?:-\p{Lu}\p{Ll}{1,40})?"
+NAME = r"\p{Lu}\p{Ll}++(?:-\p{Lu}\p{Ll}++)*+"
 MALE = r"(?:Mr|Mister|Sir|Herr|Monsieur|Señor|Signor|Κύριος|Господин)"
 FEMALE = r"(?:Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mademoiselle|Señora|Señorita|Signora|Κυρία|Госпожа)"
 NEUTRAL = r"(?:Dr|Prof|Professor)"
 TITLE = rf"(?:{MALE}|{FEMALE}|{NEUTRAL})\.?"
+KEYWORD = r"(?i:\b(?:password|passwd|pwd|secret|api_?key))[\"']?\s?[=:]\s?"
+KEY_PREFIX = "^(?:AKIA|ASIA|[spr]k_(?:live|test)_|gh[pousr]_|xox[abprs]-)"
+HEX4 = "[0-9A-Fa-f]{1,4}"
 #: kind -> pattern; the first that matches at a place wins.
 KINDS = {
-    "email": r"(?<![\w.%+\-])[\w.%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "password": r"(?i:\b(?:password|passwd|pwd|secret|api_?key))\s?[=:]\s?[\"']?[^\s\"',;]{4,}",
-    "cloud_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
+    "email": r"(?<![\p{L}\p{N}_.%+\-])[\p{L}\p{N}_.%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)++(?<=[.\-]\p{L}{2,24})",
+    "password": KEYWORD + r"(?:\"[^\"\r\n]{4,}\"|'[^'\r\n]{4,}'|[^\s\"',;]{4,})",
+    "cloud_key": r"\b(?:(?:AKIA|ASIA)[0-9A-Z]{16}|[spr]k_(?:live|test)_[0-9A-Za-z]{16,}+|gh[pousr]_[0-9A-Za-z]{30,}+|xox[abprs]-[0-9A-Za-z\-]{10,}+)\b",
     "hex_secret": r"\b[0-9a-fA-F]{32,}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
+    "ipv6": rf"(?<![\w:.])(?=[0-9A-Fa-f:]*+(?<=[0-9A-Fa-f:]))(?=[A-Fa-f:]*+\d)(?:(?:{HEX4}:){{7}}{HEX4}|(?:{HEX4}:){{1,6}}(?::{HEX4}){{1,6}}|::(?:{HEX4}:){{0,6}}{HEX4}|(?:{HEX4}:){{1,7}}:)(?![\w:])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "card": r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d\-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .\-]?\d{3,4}[ .\-]\d{3,4}(?:[ .\-]\d{2,4})?(?!\w)|(?<!\w)\+\d{8,15}(?!\d)",
-    "name": rf"(?<!\p{{L}}){TITLE} {NAME}(?: {NAME}){{0,2}}",
+    "card": r"(?<![\d\-])\d(?:[ \-]?\d){12,}+(?![\d\-])",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .\-]?\d{3,4}[ .\-]\d{3,4}(?:[ .\-]\d{2,4})?(?!\w)|(?<!\w)\+\d{8,15}(?!\d)|(?<=(?i:phone|tel|call|mobile|cell|fax|dial)[:.=# ]{1,3})\d{10,11}(?![\w.])",
+    "name": rf"(?<!\p{{L}}){TITLE} {NAME}(?: {NAME})*+",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: What any entity has; a cheap first look.
-HINT = rf"[@\d]|(?i:password|passwd|pwd|secret|api_?key)|AKIA|ASIA|[0-9a-fA-F]{{32}}|{TITLE} \p{{Lu}}"
+HINT = rf"[@\d]|(?i:password|passwd|pwd|secret|api_?key)|AKIA|ASIA|[spr]k_(?:live|test)_|gh[pousr]_|xox[abprs]-|[0-9a-fA-F]{{32}}|{TITLE} \p{{Lu}}"
 NUMBERS = ("ssn", "card", "phone")
 ATTEMPTS = 60
 #: Given names by script and gender; surnames are made of syllables.
@@ -86,17 +92,24 @@ def typed(entities: DataFrame) -> DataFrame:
     kind = F.coalesce(*[F.when(F.col("match").rlike(rf"^(?:{p})$"), k) for k, p in KINDS.items()], F.lit("phone"))
     df = entities.withColumn("kind", kind)
     parts = F.regexp_extract("match", r"^(\S+ )(.*)$", 1), F.regexp_extract("match", r"^(\S+ )(.*)$", 2)
-    lead = F.regexp_extract("match", r"^(?i:password|passwd|pwd|secret|api_?key)\s?[=:]\s?[\"']?", 0)
+    lead = F.regexp_extract("match", f"^{KEYWORD}[\"']?", 0)
     df = df.withColumn("title", F.when(F.col("kind") == "name", parts[0]).when(F.col("kind") == "password", lead).otherwise(""))
-    rest = F.substring("match", F.length("title") + 1, F.length("match"))
+    # A quoted secret ends at its own quote, which stays.
+    df = df.withColumn("tail", F.when((F.col("kind") == "password") & F.col("title").rlike("[\"']$"), F.substring("match", -1, 1)).otherwise(""))
+    rest = F.substring("match", F.length("title") + 1, F.length("match") - F.length("title") - F.length("tail"))
     canon = (F.when(F.col("kind").isin(*NUMBERS), F.when((F.col("kind") == "phone") & (F.length(digits(rest)) > 10),
                                                          F.expr("right(regexp_replace(match, '\\\\D+', ''), 10)")).otherwise(digits(rest)))
-             .when(F.col("kind").isin("email", "name", "hex_secret"), F.lower(rest))
+             .when(F.col("kind").isin("email", "name", "hex_secret", "ipv6"), F.lower(rest))
              .when(F.col("kind") == "iban", F.replace(rest, F.lit(" "), F.lit(""))).otherwise(rest))
     gender = (F.when(F.col("title").rlike(rf"^{MALE}\b"), "m").when(F.col("title").rlike(rf"^{FEMALE}\b"), "f").otherwise(""))
     script = F.when(rest.rlike(r"\p{IsGreek}"), "greek").when(rest.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    return (df.withColumn("rest", rest).withColumn("canon", canon)
-            .withColumn("gender", F.when(F.col("kind") == "name", gender)).withColumn("script", F.when(F.col("kind") == "name", script)))
+    is_name = F.col("kind") == "name"
+    df = (df.withColumn("rest", rest).withColumn("canon", canon).withColumn("gender", F.when(is_name, gender).otherwise(""))
+          .withColumn("script", F.when(is_name, script)))
+    # Two genders of a name are two persons; a neutral title joins the only gender there is.
+    known = df.filter("gender <> ''").groupBy("canon").agg(F.min("gender").alias("g1"), F.max("gender").alias("g2"))
+    only = is_name & (F.col("gender") == "") & (F.col("g1") == F.col("g2"))
+    return df.join(known, "canon", "left").withColumn("gender", F.when(only, F.col("g1")).otherwise(F.col("gender"))).drop("g1", "g2")
 
 
 def luhn(number: Column) -> Column:
@@ -112,15 +125,15 @@ def pick(words: list[str], n: Column) -> Column:
 
 def derive(df: DataFrame, key: str) -> DataFrame:
     """Sets ``surrogate`` (canonical form) from kind, canon and attempt."""
-    df = df.withColumn("__b", blob(key, F.col("kind"), F.col("canon"), F.col("attempt").cast("string")))
+    df = df.withColumn("__b", blob(key, F.col("kind"), F.col("canon"), F.col("gender"), F.col("attempt").cast("string")))
     b, canon, kind = F.col("__b"), F.col("canon"), F.col("kind")
 
-    def letters(keep_from: int = 0) -> Column:
+    def letters(keep_from: Column | int = 0) -> Column:
         def one(c, i):
             n = byte(b, i)
             put = lambda alphabet: F.substring(F.lit(alphabet), n % len(alphabet) + 1, F.lit(1))
-            fixed = (i < keep_from) | ((kind == "email") & (i > F.length(canon) - 1 - F.length(F.regexp_extract(canon, r"\.[a-z]+$", 0))))
-            return (F.when(fixed, c).when(kind == "hex_secret", put("0123456789abcdef"))
+            fixed = (i < keep_from) | ((kind == "email") & (i > F.length(canon) - 1 - F.length(F.regexp_extract(canon, r"\.\p{L}+$", 0))))
+            return (F.when(fixed, c).when(kind.isin("hex_secret", "ipv6") & c.rlike("[0-9a-f]"), put("0123456789abcdef"))
                     .when(c.rlike("[0-9]"), put("0123456789")).when(c.rlike("[A-Z]"), put("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
                     .when(c.rlike(r"\p{L}"), put("abcdefghijklmnopqrstuvwxyz")).otherwise(c))
         return F.array_join(F.transform(F.split(canon, ""), one), "")
@@ -141,23 +154,22 @@ def derive(df: DataFrame, key: str) -> DataFrame:
 
     name = F.when(F.col("script") == "greek", person("greek")).when(F.col("script") == "cyrillic", person("cyrillic")).otherwise(person("latin"))
     made = (F.when(kind == "card", card).when(kind.isin(*NUMBERS), numbers).when(kind == "ip", ip).when(kind == "name", name)
-            .when(kind == "cloud_key", letters(4)).when(kind == "iban", letters(2)).otherwise(letters()))
+            .when(kind == "cloud_key", letters(F.length(F.regexp_extract(canon, KEY_PREFIX, 0)))).when(kind == "iban", letters(2)).otherwise(letters()))
     return df.withColumn("surrogate", made).drop("__b")
 
 
 def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canon, gender, script, surrogate): one row per entity, all distinct within a kind."""
-    # An entity named with titles of two genders keeps one: the smallest.
-    todo = entities.groupBy("kind", "canon").agg(F.max("gender").alias("gender"), F.min("script").alias("script"))
+    todo = entities.groupBy("kind", "canon", "gender").agg(F.min("script").alias("script"))
     todo = keep(todo, "pii-entities")
-    real = todo.select("kind", F.col("canon").alias("surrogate"), F.lit(True).alias("real"))
+    real = todo.select("kind", F.col("canon").alias("surrogate"), F.lit(True).alias("real")).distinct()
     done = None
     for attempt in range(ATTEMPTS):
         tried = derive(todo.withColumn("attempt", F.lit(attempt)), key).drop("attempt").withColumn("new", F.lit(1))
         both = tried if done is None else tried.unionByName(done.withColumn("new", F.lit(0)))
-        first = both.groupBy("kind", "surrogate").agg(F.min(F.struct("new", "canon")).alias("first"))
+        first = both.groupBy("kind", "surrogate").agg(F.min(F.struct("new", "canon", "gender")).alias("first"))
         both = (keep(both, "pii-tried").join(first, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
-                .withColumn("ok", (F.col("first.canon") == F.col("canon")) & F.col("real").isNull()))
+                .withColumn("ok", (F.col("first.canon") == F.col("canon")) & (F.col("first.gender") == F.col("gender")) & F.col("real").isNull()))
         both = keep(both.select("kind", "canon", "gender", "script", "surrogate", "ok"), "pii-checked")
         done = both.filter("ok").drop("ok")
         todo = both.filter("not ok").drop("ok", "surrogate")
@@ -183,9 +195,9 @@ def written(mapping: DataFrame) -> DataFrame:
     # Hex of one case stays of that case; in mixed hex capitals stand where they stood.
     hexed = F.when(rest == F.lower(rest), s).when(rest == F.upper(rest), F.upper(s)).otherwise(F.array_join(
         F.zip_with(chars, F.split(s, ""), lambda c, x: F.when(c.rlike("[A-F]"), F.upper(x)).otherwise(x)), ""))
-    put = (F.when(kind.isin(*NUMBERS), number).when(kind == "hex_secret", hexed).when(kind == "iban", spaced).when(kind == "email", cased)
+    put = (F.when(kind.isin(*NUMBERS), number).when(kind.isin("hex_secret", "ipv6"), hexed).when(kind == "iban", spaced).when(kind == "email", cased)
            .when(kind == "name", name).otherwise(s))
-    return mapping.select("match", "kind", F.concat("title", put).alias("put"))
+    return mapping.select("match", "kind", F.concat("title", put, "tail").alias("put"))
 
 
 def replace_pii(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
@@ -198,8 +210,8 @@ def replace_pii(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
     places = hit.select("__uid", F.posexplode("__found").alias("pos", "match"))
     entities = typed(places.select("match").distinct())
     entities = keep(entities, "pii-matches")
-    mapping = keep(written(entities.drop("gender", "script").join(
-        distinct_surrogates(entities, key).select("kind", "canon", "surrogate"), ["kind", "canon"])), "pii-map")
+    mapping = keep(written(entities.drop("script").join(
+        distinct_surrogates(entities, key).select("kind", "canon", "gender", "surrogate"), ["kind", "canon", "gender"])), "pii-map")
     lists = (places.join(mapping, "match").groupBy("__uid")
              .agg(F.sort_array(F.collect_list(F.struct("pos", "put", "kind"))).alias("__puts")))
     joined = hit.join(lists, "__uid")
