@@ -49,7 +49,7 @@ def test_encoding_evidence_and_decoding(spark, byte_files):
         got = {r.file_id: (r.encoding, r.wrong_encoding, r.bom_utf8) for r in enc.collect()}
         assert got == {"utf8.csv": ("utf-8", False, False), "latin.csv": ("iso-8859-1", True, False), "cp.csv": ("cp1252", True, False),
                        "bom.csv": ("utf-8-sig", False, True), "bom_crlf.csv": ("utf-8-sig", False, True),
-                       "ascii.csv": ("utf-8", False, False), "wide.csv": ("utf-16", True, False)}
+                       "ascii.csv": ("utf-8", False, False), "wide.csv": ("utf-16-le", True, False)}
         lines = decode_lines(scan_lines(spark, byte_files, file_expr=name_of), enc)
         text = {(r.file_id, r.line_no): r.raw for r in lines.filter("file_id <> 'wide.csv'").collect()}
     finally:
