@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seamfix.functions.codecs import codec_class
 from seamfix.session import cut_lineage
 from seamfix.sources.lines import scan_lines, scan_utf16
 
@@ -117,7 +118,8 @@ def decode_lines(lines: DataFrame, encodings: DataFrame) -> DataFrame:
     """Lines with ``raw`` decoded where the file's encoding is a single-byte one
     (``encodings``: file_id, encoding, one row per file; UTF-16 is decoded by the scan)."""
     latin = F.decode(F.col("raw").cast("binary"), "ISO-8859-1")
-    text = F.when(F.col("_enc") == "iso-8859-1", latin) \
+    text = F.when(F.col("_enc") == "iso8859-1", latin) \
         .when(F.col("_enc") == "cp1252", F.translate(latin, *_cp1252_signs())).otherwise(F.col("raw"))
-    joined = lines.join(encodings.select("file_id", F.col("encoding").alias("_enc")), "file_id", "left")
+    # Supplied encodings come under any alias (latin-1, L1, windows-1252, ...).
+    joined = lines.join(encodings.select("file_id", codec_class(F.col("encoding")).alias("_enc")), "file_id", "left")
     return joined.withColumn("raw", text).drop("_enc")
