@@ -28,9 +28,9 @@ od AS (
 nd AS (SELECT file_id, count(*) AS n_data FROM o GROUP BY file_id),
 fl AS (SELECT DISTINCT od.file_id, fault, d, npre, hdr, n_data FROM od JOIN nd USING (file_id)),
 pre(fault, pos, raw) AS (VALUES
-  (3, 1, 'Weekly Report'), (3, 2, 'Prepared by Data Team'), (3, 3, 'Region EU'),
-  (11, 1, 'Weekly Report'), (11, 2, 'Region EU'),
-  (12, 1, 'SALES EXPORT'), (12, 2, 'Source SAP BW')
+  (3, 1, 'Orders taken at the counter'), (3, 2, 'copied out by the evening shift'), (3, 3, 'northern branch'),
+  (11, 1, 'Orders taken at the counter'), (11, 2, 'northern branch'),
+  (12, 1, 'ledger pages of the quarter'), (12, 2, 'second copy')
 ),
 lines AS (
   SELECT od.file_id, CAST(k + npre + hdr AS BIGINT) AS line_no,

@@ -22,9 +22,9 @@ ZWSP = "\u200b"
 FAULT_DELIMITER = {1: ";", 2: "|", 8: " ", 9: "\t", 10: ":", 12: ";"}
 # Preamble lines per fault.
 FAULT_PREAMBLE = {
-    3: ["Weekly Report", "Prepared by Data Team", "Region EU"],
-    11: ["Weekly Report", "Region EU"],
-    12: ["SALES EXPORT", "Source SAP BW"],
+    3: ["Orders taken at the counter", "copied out by the evening shift", "northern branch"],
+    11: ["Orders taken at the counter", "northern branch"],
+    12: ["ledger pages of the quarter", "second copy"],
 }
 GARBLED_HEADER = "o_orderstatus;o_orderkey|o_custkey,o_orderpriority"
 HEADERLESS_FAULTS = [4, 13]
