@@ -16,9 +16,11 @@ filtering, AdaptJoin, 2012):
 * leader rounds first link each set to the leaders of its posting lists and merge
   components, so groups of near copies cost rows in proportion to their members. The
   last round takes every remaining pair of different components, with length and
-  position filters, so no link between components is lost.
+  position filters, so no link between components is lost. There each set also shows
+  the parities of its shingles in 512 cells: two sets differ in no more cells than in
+  shingles, which keeps large groups of not quite similar sets from becoming pairs.
 
-Sketch, bits and rounds change the work only, never the result.
+Sketch, bits, parities and rounds change the work only, never the result.
 
 Defined cases: null, empty or blank text has no shingles, links with nothing
 and is its own component; fewer than ``k`` words make one shingle of the whole
@@ -45,6 +47,8 @@ VERIFY_COST = 32.0
 LEADER_ROUNDS = 2
 LEADERS = 2
 NO_ID = -(2**63)
+#: Longs with the parities of a set's shingles.
+PARITY_LONGS = 8
 
 
 def shingle_sets(hasher: Hasher, texts: list, k: int):
@@ -88,6 +92,13 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
     return keep(ids_and_texts(docs).mapInArrow(task, "did long, n long, hi long, lo long, part binary"), "jaccard-sets")
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """The parity of the number of shingles in each of 64 * PARITY_LONGS cells."""
+    cells = (s >> np.uint64(20)) & np.uint64(64 * PARITY_LONGS - 1)
+    odd = np.bincount(cells.astype(np.int64), minlength=64 * PARITY_LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def load_of(described: DataFrame) -> np.ndarray:
     """The summed sketch: 2**20 counters, whatever the input."""
 
@@ -118,8 +129,8 @@ def matches_wanted(others: np.ndarray, p1: int, most: int) -> int:
 def prefixes(docs: DataFrame, k: int, threshold: int, shared) -> DataFrame:
     """One row per class: hi, lo, did (smallest id), n, ell, toks (prefix), end (where
     the prefix ends in the order of all shingles), own (share, of 255, of the prefix that
-    the sketch takes for the set's own), c (number of the class). ``shared``: the summed
-    sketch, sent to the tasks."""
+    the sketch takes for the set's own), odd (parities), c (number of the class).
+    ``shared``: the summed sketch, sent to the tasks."""
 
     def task(batches):
         hasher, load = Hasher(), shared.value
@@ -127,7 +138,7 @@ def prefixes(docs: DataFrame, k: int, threshold: int, shared) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for a, b, texts in blocks(batch.column(1)):
-                rows, toks = [], []
+                rows, toks, odd = [], [], []
                 for did, s in zip(ids[a:b], shingle_sets(hasher, texts, k)):
                     n = len(s)
                     if not n:
@@ -140,19 +151,21 @@ def prefixes(docs: DataFrame, k: int, threshold: int, shared) -> DataFrame:
                     ell = matches_wanted(np.maximum(heavy[order] - base, 0.0), p1, most)
                     order = order[:p1 - 1 + ell]
                     toks.append(s[order])
+                    odd.append(parities(s))
                     end = min(int(heavy[order[-1]]), 2**31 - 1) << 32 | int(s[order[-1]]) >> 32
                     own = 255 * int(np.count_nonzero(heavy[order] <= base)) // len(order)
                     rows.append((did, n, *digest(s), ell, end, own))
                 if rows:
                     cols = [pa.array(c, pa.int64()) for c in zip(*rows)]
                     yield pa.RecordBatch.from_arrays(
-                        [*cols, list_column(as_long(np.concatenate(toks)), [len(x) for x in toks])],
-                        ["did", "n", "hi", "lo", "ell", "end", "own", "toks"])
+                        [*cols, list_column(as_long(np.concatenate(toks)), [len(x) for x in toks]),
+                         list_column(np.concatenate(odd), [PARITY_LONGS] * len(odd))],
+                        ["did", "n", "hi", "lo", "ell", "end", "own", "toks", "odd"])
 
-    each = ids_and_texts(docs).mapInArrow(task, "did long, n long, hi long, lo long, ell long, end long, own long, toks array<long>")
+    each = ids_and_texts(docs).mapInArrow(task, "did long, n long, hi long, lo long, ell long, end long, own long, toks array<long>, odd array<long>")
     return (each.groupBy("hi", "lo").agg(F.min("did").alias("did"), F.first("n").cast("int").alias("n"),
                                          F.first("ell").cast("int").alias("ell"), F.first("end").alias("end"), F.first("own").alias("own"),
-                                         F.first("toks").alias("toks"))
+                                         F.first("toks").alias("toks"), F.first("odd").alias("odd"))
             .withColumn("c", F.monotonically_increasing_id()))
 
 
@@ -236,12 +249,13 @@ def link_components(docs: DataFrame, reps: DataFrame, k: int, threshold: int) ->
             # the postings of a set before this one, ``alone`` its prefix shingles without
             # one. Of two sets the one whose prefix ends first shares none of the latter.
             own = Window.partitionBy("c")
-            each = (live.join(reps.select("c", "end"), "c").withColumn("rank", F.row_number().over(own.orderBy("pos")) - 1)
+            odd = [F.col("odd")[i].alias(f"odd{i}") for i in range(PARITY_LONGS)]
+            each = (live.join(reps.select("c", "end", *odd), "c").withColumn("rank", F.row_number().over(own.orderBy("pos")) - 1)
                     .withColumn("cnt", F.count(F.lit(1)).over(own))
                     .withColumn("alone", F.expr(f"n - ceil(n * {lo} / {hi}.0) + ell - cnt")))
             each = each.withColumn("in_comp", F.count(F.lit(1)).over(Window.partitionBy("tok", "comp")))
             each = each.withColumn("major", F.max(F.struct("in_comp", "comp")).over(tok)["comp"])
-            cols = ["c", "n", "ell", "comp", "pos", "rank", "cnt", "end", "alone"]
+            cols = ["c", "n", "ell", "comp", "pos", "rank", "cnt", "end", "alone", *[f"odd{i}" for i in range(PARITY_LONGS)]]
             x = each.filter("comp <> major").select("tok", *[F.col(c).alias("x" + c) for c in cols])
             y = each.select("tok", "major", *[F.col(c).alias("y" + c) for c in cols])
             room = "1 + least(xn - xpos - 1, yn - ypos - 1) + least(xrank, yrank)"
@@ -250,11 +264,13 @@ def link_components(docs: DataFrame, reps: DataFrame, k: int, threshold: int) ->
                 f"{side}rest", F.expr(f"ceil({side}n * {lo} / {hi}.0) - {side}ell")) for side, df in (("x", x), ("y", y)))
             # A pair with ``need`` shared postings has one with need - 1 postings of both
             # sets after it: such rows find the pairs, the postings' arrays count for them.
+            differ = " + ".join(f"bit_count(xodd{i} ^ yodd{i})" for i in range(PARITY_LONGS))
             need = f"greatest(least(xell, yell), ceil((xn + yn) * {lo} / {hi + lo}.0) - ({of_first('rest')}))"
             pairs = (x.join(y, "tok").filter("xcomp <> ycomp and (ycomp = major or xc < yc)").filter(close("xn", "yn"))
                      .filter(f"{hi + lo} * ({of_first('most')}) >= {lo} * (xn + yn)")
                      .filter(f"{hi + lo} * ({room}) >= {lo} * (xn + yn)")
                      .filter(f"xrank <= xcnt - ({need}) and yrank <= ycnt - ({need})")
+                     .filter(f"{hi + lo} * ({differ}) <= {hi - lo} * (xn + yn)")
                      .groupBy(F.least("xc", "yc").alias("a"), F.greatest("xc", "yc").alias("b"))
                      .agg(F.first(F.expr(need)).alias("need")))
             lists = live.groupBy("c").agg(F.collect_list("tok").alias("toks"))

@@ -78,6 +78,34 @@ def test_jaccard_multi_match():
     assert matches_wanted(np.full(30, 50.0), 10, 8) > 1  # costly lists: a longer one
 
 
+def test_jaccard_parities():
+    """Two sets differ in no more cells than in shingles, whatever their sizes."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    for n in (1, 7, 200, 5000):
+        s = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        gone = max(1, n // 9)
+        other = np.unique(np.concatenate((s[gone:], rng.integers(0, 2**63, gone).astype(np.uint64))))
+        cells = sum(int(x).bit_count() for x in (jaccard.parities(s) ^ jaccard.parities(other)).view(np.uint64))
+        assert cells <= len(np.setxor1d(s, other))
+        assert not (jaccard.parities(s) ^ jaccard.parities(s)).any()
+    assert len(jaccard.parities(s)) == jaccard.PARITY_LONGS
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_jaccard_group_around_the_threshold(spark, monkeypatch, rounds):
+    """Sets of one shared passage with own tails, so that pairs lie on both sides of 0.8 and on it."""
+    monkeypatch.setattr(jaccard, "LEADER_ROUNDS", rounds)
+    base = [f"w{i}" for i in range(84)]  # 80 shingles
+    rows = [(i, " ".join(base + [f"t{i}x{j}" for j in range(9 + i % 4)]), None) for i in range(40)]
+    rows += [(100 + i, " ".join(base[:84 - i] + [f"u{i}x{j}" for j in range(12)]), None) for i in range(12)]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join(docs).collect()]
+    want = brute_components(rows)
+    assert Counter(got) == Counter(want)
+    assert 1 < len({c for _, _, c in want}) < len(rows)
+
+
 def test_jaccard_empty(no_docs):
     assert jaccard_join(no_docs).count() == 0
 
