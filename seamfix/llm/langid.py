@@ -6,22 +6,23 @@ characters of the lower-cased text), trained with follow-the-regularised-leader
 
 * Document frequencies are counted over all rows that may be learned from.
 * The classifier is fitted on a bounded sample: at most ``MAX_PER_LANGUAGE``
-  documents of each language by hash order, dealt to ``SHARDS`` tasks that train on
+  documents of each language by hash order, taken in one pass over all rows, dealt to ``SHARDS`` tasks that train on
   their share; Spark averages their sparse weights. A fifth of the sample is kept out
   and fits the temperature.
 * Every whole text is scored in one scan without a shuffle; the weights (features x
   languages, a fixed size) are broadcast.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; null
-languages and null doc_ids are not learned from; repeated rows score alike; extra
-columns are ignored; with nothing to learn from everything is ``und``."""
+languages and null doc_ids are not learned from; repeated rows score alike, and of the
+rows of one doc_id and language only the smallest text is in the sample; extra columns
+are ignored; with nothing to learn from everything is ``und``."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep
@@ -120,6 +121,29 @@ def temperature(scores: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
+def lowest(rows: DataFrame, most: int) -> DataFrame:
+    """``rows`` (doc_id, lang, place) with at most ``most`` documents of a language from
+    each task, those that come first by place: one pass for all languages."""
+
+    def best(frames):
+        out = pd.concat(frames).drop_duplicates(["doc_id", "lang"]).sort_values(["place", "doc_id"])
+        return out.groupby("lang").head(most)
+
+    def task(frames):
+        held, size, limit = [], 0, 0
+        for frame in frames:
+            held.append(frame)
+            size += len(frame)
+            if size > limit:
+                held = [best(held)]
+                size = len(held[0])
+                limit = 2 * size + 50_000
+        if held:
+            yield best(held)
+
+    return rows.mapInPandas(task, rows.schema)
+
+
 def language_id(docs: DataFrame, most: int = MAX_PER_LANGUAGE) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
     spark = docs.sparkSession
@@ -134,12 +158,15 @@ def language_id(docs: DataFrame, most: int = MAX_PER_LANGUAGE) -> DataFrame:
     df, n = document_frequencies(learn)
     idf = spark.sparkContext.broadcast(np.log((n + 1) / (df + 1)) + 1)
     order = F.xxhash64("doc_id", F.lit(13))
-    ids = learn.select("doc_id", "lang")
-    picked = [ids.filter(F.col("lang") == v).orderBy(order, "doc_id").limit(most).withColumn("y", F.lit(i)) for i, v in enumerate(langs)]
-    while len(picked) > 1:
-        picked = [a.unionByName(b) for a, b in zip(picked[::2], picked[1::2])] + picked[len(picked) // 2 * 2:]
-    picked = keep(picked[0].dropDuplicates(["doc_id", "lang"]), "langid-sample")
-    rows = keep(learn.join(picked, ["doc_id", "lang"]).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(5 * SHARDS)))
+    place = Window.partitionBy("lang").orderBy("place", "doc_id")
+    picked = (lowest(learn.select("doc_id", "lang", order.alias("place")), most).dropDuplicates(["doc_id", "lang"])
+              .withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= most)
+              .withColumn("y", F.array_position(F.array(*[F.lit(v) for v in langs]), F.col("lang")).cast("int") - 1)
+              .select("doc_id", "lang", "y"))
+    picked = keep(picked, "langid-sample")
+    # One text of each picked document, also where its id is in many rows.
+    rows = keep(learn.join(picked, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+                .withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(5 * SHARDS)))
                 .select("text", "y", "doc_id", (F.col("part") % SHARDS).alias("shard"), (F.col("part") >= 4 * SHARDS).alias("held")),
                 "langid-texts")
     classes = len(langs)

@@ -215,6 +215,27 @@ def test_language_id(labelled):
     assert {r.lang_pred for r in out if r.doc_id in (901, 902, 903)} == {"und"}
 
 
+def test_language_sample(spark):
+    """The first documents of each language by place, as sorting all rows gives them, in one pass."""
+    from seamfix.llm.langid import lowest
+    rows = [(i % 700, "de" if i % 3 else "fr", (i % 700) * 7919 % 1013) for i in range(2100)] + [(9, "xx", 1)] * 50
+    df = spark.createDataFrame(rows, "doc_id long, lang string, place long").repartition(3)
+    got = {tuple(r) for r in lowest(df, 20).collect()}
+    for lang in ("de", "fr", "xx"):
+        want = sorted({(p, d) for d, v, p in rows if v == lang})[:20]
+        assert sorted((p, d) for d, v, p in got if v == lang)[:20] == want
+    assert len(got) <= 3 * 3 * 20
+
+
+def test_language_id_of_one_hot_id(spark, labelled):
+    """A third of all rows under one id are one document of the sample; all rows are predicted."""
+    some = labelled[0].filter("doc_id < 300").select("doc_id", "text", "lang")
+    hot = some.filter("doc_id % 2 = 0").selectExpr("1L as doc_id", "text", "lang")
+    out = language_id(some.unionByName(hot)).collect()
+    assert len(out) == some.count() + hot.count()
+    assert sum(r.doc_id == 1 for r in out) == hot.count() + 1
+
+
 def test_language_id_empty(no_docs, spark):
     assert language_id(no_docs).count() == 0
     odd = spark.createDataFrame([(1, "abc", None), (2, None, "en")], "doc_id long, text string, lang string")
