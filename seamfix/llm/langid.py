@@ -31,6 +31,8 @@ from .toxicity import held_out
 BITS = 16
 MAX_PER_LANGUAGE = 2000
 SHARDS = 6
+#: Tasks that bring the tasks' shares of the sample together.
+DEALT = 64
 EPOCHS = 2
 DOUBT = 0.01
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-4
@@ -159,7 +161,9 @@ def language_id(docs: DataFrame, most: int = MAX_PER_LANGUAGE) -> DataFrame:
     idf = spark.sparkContext.broadcast(np.log((n + 1) / (df + 1)) + 1)
     order = F.xxhash64("doc_id", F.lit(13))
     place = Window.partitionBy("lang").orderBy("place", "doc_id")
-    picked = (lowest(learn.select("doc_id", "lang", order.alias("place")), most).dropDuplicates(["doc_id", "lang"])
+    # Taken again over DEALT tasks, so that a language has DEALT * most rows at last, whatever the input.
+    first = lowest(learn.select("doc_id", "lang", order.alias("place")), most)
+    picked = (lowest(first.repartition(DEALT, "doc_id"), most).dropDuplicates(["doc_id", "lang"])
               .withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= most)
               .withColumn("y", F.array_position(F.array(*[F.lit(v) for v in langs]), F.col("lang")).cast("int") - 1)
               .select("doc_id", "lang", "y"))
