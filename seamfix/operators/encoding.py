@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamfix.functions.codecs import codec_class
+from seamfix.plans.joins import sized_broadcast
 from seamfix.session import cut_lineage
 from seamfix.sources.lines import scan_lines, scan_utf16
 
@@ -94,14 +95,15 @@ def scan_decoded(spark: SparkSession, paths: list[str] | str,
     decoded, and the encoding of each file. Evidence is written once; no file is one row."""
     by_path = cut_lineage(path_encodings(spark, paths, file_expr), "path-encodings")
     encodings = text_encoding(spark, paths, by_path=by_path)
+    bound = by_path.count()  # paths, not less than files
     # The paths of UTF-16 files, no more than the scan's own file listing holds.
     wide = {r["path"]: r["utf16"] for r in by_path.filter("utf16 is not null and not bom").select("path", "utf16").collect()}
     if not wide:
-        return decode_lines(scan_lines(spark, paths, file_expr=file_expr), encodings), encodings
+        return decode_lines(scan_lines(spark, paths, file_expr=file_expr), encodings, bound), encodings
     narrow = [r["path"] for r in by_path.filter("utf16 is null or bom").select("path").collect()]
     parts = [scan_utf16(spark, [p for p, e in wide.items() if e == end], end, file_expr=file_expr) for end in sorted(set(wide.values()))]
     if narrow:
-        parts.append(decode_lines(scan_lines(spark, narrow, file_expr=file_expr), encodings))
+        parts.append(decode_lines(scan_lines(spark, narrow, file_expr=file_expr), encodings, bound))
     lines = parts[0]
     for part in parts[1:]:
         lines = lines.unionByName(part)
@@ -114,12 +116,14 @@ def _cp1252_signs() -> tuple[str, str]:
     return "".join(c for c, s in pairs if s), "".join(s for _, s in pairs if s)
 
 
-def decode_lines(lines: DataFrame, encodings: DataFrame) -> DataFrame:
+def decode_lines(lines: DataFrame, encodings: DataFrame, file_bound: int | None = None) -> DataFrame:
     """Lines with ``raw`` decoded where the file's encoding is a single-byte one
-    (``encodings``: file_id, encoding, one row per file; UTF-16 is decoded by the scan)."""
+    (``encodings``: file_id, encoding, one row per file, at most ``file_bound``; UTF-16 is
+    decoded by the scan)."""
     latin = F.decode(F.col("raw").cast("binary"), "ISO-8859-1")
     text = F.when(F.col("_enc") == "iso8859-1", latin) \
         .when(F.col("_enc") == "cp1252", F.translate(latin, *_cp1252_signs())).otherwise(F.col("raw"))
     # Supplied encodings come under any alias (latin-1, L1, windows-1252, ...).
-    joined = lines.join(encodings.select("file_id", codec_class(F.col("encoding")).alias("_enc")), "file_id", "left")
+    classes = encodings.select("file_id", codec_class(F.col("encoding")).alias("_enc"))
+    joined = lines.join(sized_broadcast(classes, file_bound), "file_id", "left")
     return joined.withColumn("raw", text).drop("_enc")

@@ -42,7 +42,7 @@ def apply_repairs(lines: DataFrame, plan: DataFrame, row_fixes: DataFrame,
         F.min("line_no").alias("first_line"),
         F.count(F.lit(1)).alias("n_kept"),
     )
-    attempted = go.join(per, "file_id", "left")
+    attempted = go.join(sized_broadcast(per, file_bound), "file_id", "left")
     k2 = kept.join(sized_broadcast(per, file_bound), "file_id")
     data_line = F.col("header_row").isNull() | (F.col("line_no") > F.col("first_line"))
     errors = k2.filter(data_line & (F.col("width") != F.col("expected"))).select(
@@ -50,7 +50,7 @@ def apply_repairs(lines: DataFrame, plan: DataFrame, row_fixes: DataFrame,
         F.format_string("row %d: expected %d fields, found %d", "line_no", "expected", "width").alias("error"))
     n_err = errors.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_errors"), F.min("row_number").alias("first_bad_row"))
 
-    files = attempted.join(n_err, "file_id", "left").select(
+    files = attempted.join(sized_broadcast(n_err, file_bound), "file_id", "left").select(
         "file_id", "executor", "header_row",
         F.coalesce("n_kept", F.lit(0)).alias("n_kept"), "expected",
         F.coalesce("n_errors", F.lit(0)).alias("n_errors"), "first_bad_row",
@@ -84,7 +84,7 @@ def output_delimiters(gated: DataFrame) -> DataFrame:
                         .otherwise(F.lit(",")).alias("out_delimiter"))
 
 
-def verify_output(out_lines: DataFrame, delimiters: DataFrame | None = None) -> DataFrame:
+def verify_output(out_lines: DataFrame, delimiters: DataFrame | None = None, file_bound: int | None = None) -> DataFrame:
     """R8/R9 on the output alone: >= 2 columns, no invisible characters in
     the names, every line as wide as the header under the delimiter it was
     written with (``delimiters``: file_id, out_delimiter; default comma),
@@ -92,7 +92,7 @@ def verify_output(out_lines: DataFrame, delimiters: DataFrame | None = None) ->
     if delimiters is None:
         lines = out_lines.withColumn("out_delimiter", F.lit(","))
     else:
-        lines = out_lines.join(delimiters, "file_id", "left").na.fill(",", ["out_delimiter"])
+        lines = out_lines.join(sized_broadcast(delimiters, file_bound), "file_id", "left").na.fill(",", ["out_delimiter"])
     w = lines.withColumn("width", T.field_count(F.col("text"), F.col("out_delimiter")))
     per = w.groupBy("file_id").agg(
         F.min_by("width", "line_no").alias("header_width"),

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamfix.operators import detect as D
+from seamfix.plans.joins import sized_broadcast
 from seamfix.session import cut_lineage
 from seamfix.sources.render import render_order_lines
 
@@ -173,9 +174,11 @@ def repair_run(spark: SparkSession, sf_dir: str, with_defaults: bool = False,
     from seamfix.operators import propose as P
     from seamfix.operators import repair as R
     given = lines is not None
-    bound = None if given else N_FILES  # other inputs: the planner and AQE judge sizes
-    lines = lines if given else rendered(spark, sf_dir)
-    d = D.detect(lines, bound, encoding, encoding, lines_materialized=not given)
+    # Other inputs: their encodings have a row per file; else the planner and AQE judge sizes.
+    bound = N_FILES if not given else encoding.count() if encoding is not None else None
+    # Written once, as detection, proposal and repair all read them.
+    lines = cut_lineage(lines.sortWithinPartitions("file_id", "line_no"), "lines") if given else rendered(spark, sf_dir)
+    d = D.detect(lines, bound, encoding, encoding, lines_materialized=True)
     repairs = D.row_repairs(d["disagree"], d["classes"])
     p10 = P.single_column_delimiter(lines, d["structure"], bound)
     supplied = None
@@ -185,7 +188,7 @@ def repair_run(spark: SparkSession, sf_dir: str, with_defaults: bool = False,
             .select("file_id", "delimiter", "encoding", "header_row", "engine")
     out = Lazy()
     out.update(d)
-    out.update({"lines": lines, "p10": p10})
+    out.update({"lines": lines, "p10": p10, "bound": bound})
     out.add("params", lambda: P.propose(d["classes"], d["garbled"], repairs, p10, encoding, supplied))
 
     def gated():
@@ -780,10 +783,11 @@ def encoded_run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     from seamfix.session import scratch_path
     from seamfix.sources.render import encoded_lines
     from seamfix.streaming.streams import FILE_ID, stage_files
-    rendered_lines, root = cut_lineage(encoded_lines(spark, sf_dir), "encoded-lines"), scratch_path(spark, "encoded")
-    stage_files(rendered_lines.filter("charset is null"), root)
+    # A run per line feed: the filter reaches the documents, so each text moves once.
+    rendered_lines, root = encoded_lines(spark, sf_dir), scratch_path(spark, "encoded")
+    stage_files(rendered_lines.filter("charset is null"), root, dealt=True)
     for charset in ("UTF-16LE", "UTF-16BE"):
-        stage_files(rendered_lines.filter(F.col("charset") == charset), root, charset)
+        stage_files(rendered_lines.filter(F.col("charset") == charset), root, charset, dealt=True)
     lines, enc = scan_decoded(spark, root + "/*/*.txt", FILE_ID)
     enc = cut_lineage(enc, "encodings")
     run = repair_run(spark, sf_dir, lines=lines, encoding=enc)
@@ -805,8 +809,8 @@ def q_encoding_repaired(spark, sf_dir):
     """Repaired text of the approved files and whether its output verified."""
     from seamfix.operators import repair as R
     r = encoded_run(spark, sf_dir)
-    ok = R.verify_output(r["out"], R.output_delimiters(r["gated"])).select("file_id", "verified")
-    return r["out"].join(ok, "file_id").select("file_id", "line_no", "text", "verified")
+    ok = R.verify_output(r["out"], R.output_delimiters(r["gated"]), r["bound"]).select("file_id", "verified")
+    return r["out"].join(sized_broadcast(ok, r["bound"]), "file_id").select("file_id", "line_no", "text", "verified")
 
 
 # ---------------------------------------------------------------- streaming

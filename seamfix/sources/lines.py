@@ -75,7 +75,8 @@ def scan_utf16(spark: SparkSession, paths: list[str], endian: str, file_col: str
         file_col, "_block", F.last("_k", ignorenulls=True).over(splits.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
     rows = cut_lineage(rows.join(lasts, [file_col, "_block"]).withColumn("_key", F.coalesce("_key", "_carried"))
                        .select(file_col, "_block", "_mid", "_bytes", "_starts", "_key"), "utf16-pieces")
-    several = rows.filter("not _starts").select(file_col, "_key").distinct()
+    # Written, as they are few: the planner sees their size and leaves the other lines in place.
+    several = cut_lineage(rows.filter("not _starts").select(file_col, "_key").distinct(), "utf16-several")
     feed = F.encode(F.lit("\n"), charset)
     pieces = rows.join(several, [file_col, "_key"], "left_semi").groupBy(file_col, "_key").agg(
         F.array_sort(F.collect_list(F.struct("_block", "_mid", "_bytes"))).alias("_parts"))

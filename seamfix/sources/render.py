@@ -9,7 +9,7 @@ whole table; nothing is sampled or capped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seamfix.plans.numbering import number_rows
@@ -110,23 +110,26 @@ def encoded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as delimited files (file_id = doc_id div DOCS_PER_FILE) in six
     encodings: (file_id, line_no, raw, charset) with ``raw`` holding the bytes of a line.
     Whole texts, quoted, with their line ends written as \\n and \\r; every second half
-    dozen of files is separated by semicolons."""
+    dozen of files is separated by semicolons. A file's lines lie together in their order
+    (a file is written by one task), so ``stage_files(dealt=True)`` moves them no more."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "n_chars")
     d = d.withColumn("file_id", F.floor(F.col("doc_id") / DOCS_PER_FILE))
-    rows = number_rows(d, "file_id", "doc_id", out="k", total=None)
+    own = Window.partitionBy("file_id").orderBy("doc_id")
+    rows = d.filter("file_id is not null").repartition("file_id").withColumn("k", F.row_number().over(own).cast("long"))
     kind = F.col("file_id") % 6
     text = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit('"'), F.lit('""'))
     latin = F.regexp_replace(text, r"[^\x{0000}-\x{00FF}]", "?")
     text = F.when(kind == 1, F.regexp_replace(latin, r"[\x{0080}-\x{009F}]", "?")).when(kind == 2, F.concat(latin, F.lit(" \u0080"))).otherwise(text)
     sep = F.when(F.floor(F.col("file_id") / 6) % 2 == 0, ",").otherwise(";")
-    body = rows.select("file_id", (F.col("k") + 1).alias("line_no"), F.concat(
-        F.col("doc_id").cast("string"), sep, F.lit('"'), text, F.lit('"'), sep, F.col("n_chars").cast("string")).alias("text"))
-    head = rows.select("file_id").distinct().select("file_id", F.lit(1).cast("long").alias("line_no"), F.concat(
-        F.when(kind >= 3, "\ufeff").otherwise(""), F.lit("doc_id"), sep, F.lit("name"), sep, F.lit("n_chars")).alias("text"))
+    body = F.concat(F.col("doc_id").cast("string"), sep, F.lit('"'), text, F.lit('"'), sep, F.col("n_chars").cast("string"))
+    head = F.concat(F.when(kind >= 3, "\ufeff").otherwise(""), F.lit("doc_id"), sep, F.lit("name"), sep, F.lit("n_chars"))
+    line = lambda no, x: F.struct(no.cast("long").alias("line_no"), x.alias("text"))
+    body, head = line(F.col("k") + 1, body), line(F.lit(1), head)
+    rows = rows.select("file_id", F.inline(F.when(F.col("k") == 1, F.array(head, body)).otherwise(F.array(body))))
     raw = F.when(kind.isin(1, 2), F.encode("text", "ISO-8859-1")).when(kind == 4, F.encode("text", "UTF-16LE")) \
         .when(kind == 5, F.encode("text", "UTF-16BE")).otherwise(F.col("text").cast("binary"))
     charset = F.when(kind == 4, "UTF-16LE").when(kind == 5, "UTF-16BE")
-    return head.unionByName(body).select("file_id", "line_no", raw.cast("string").alias("raw"), charset.alias("charset"))
+    return rows.select("file_id", "line_no", raw.cast("string").alias("raw"), charset.alias("charset"))
 
 
 # --- drift inputs --------------------------------------------------------

@@ -171,10 +171,11 @@ def stream_drift(spark: SparkSession, root: str, baseline: DataFrame, table: str
     return read_sink(spark, sink, spark.createDataFrame([], diff(spark.createDataFrame([], "c string")).schema)).distinct()
 
 
-def stage_files(lines: DataFrame, root: str, charset: str | None = None) -> str:
+def stage_files(lines: DataFrame, root: str, charset: str | None = None, dealt: bool = False) -> str:
     """Land rendered lines as one physical text file per file id (how files
-    arrive in an intake folder); ``charset``: of the line feeds, next to earlier files."""
-    dealt = lines.repartition("file_id").sortWithinPartitions("file_id", "line_no").select(F.col("raw").alias("value"), "file_id")
-    writer = dealt.write.mode("append" if charset else "overwrite").partitionBy("file_id")
+    arrive in an intake folder); ``charset``: of the line feeds, next to earlier files;
+    ``dealt``: a file's lines already lie in one partition."""
+    placed = (lines if dealt else lines.repartition("file_id")).sortWithinPartitions("file_id", "line_no").select(F.col("raw").alias("value"), "file_id")
+    writer = placed.write.mode("append" if charset else "overwrite").partitionBy("file_id")
     (writer.option("encoding", charset).option("lineSep", "\n") if charset else writer).text(root)
     return root
