@@ -74,29 +74,30 @@ def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFram
     return clear.unionByName(near).select(*[F.col(c) for c in docs.columns])
 
 
+def stars(edges: DataFrame) -> bool:
+    """Whether ``edges`` (u, v) form stars: no u has two v or is a v itself."""
+    ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("low")).unionByName(
+        edges.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("low")))
+    return ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("low").alias("low")).filter("up + low > 1 and up > 0").isEmpty()
+
+
 def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     """(node, root): smallest node reachable over ``edges`` (u, v).
 
-    Alternating large-star and small-star rounds (Kiveris et al. 2014); each
-    round is a min per node and a join, so a hub's edges are never gathered."""
-    spark = edges.sparkSession
+    Alternating large-star and small-star rounds (Kiveris et al. 2014) until the edges are
+    stars; each round is a min per node and a join, so a hub's edges are never gathered.
+    The joins are hinted to merge: as broadcasts they would be jobs of their own, with
+    their tables on the driver."""
     now = keep(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                .distinct(), name)
-    seen = None
-    while True:
+    while not stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = (both.filter("v > u").join(low, "u")
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
-        large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        large = both.filter("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
+        joined = large.join(low.hint("merge"), "u")
         small = (joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         before, now = now, keep(small, name)
         release(before)
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            break
-        seen = mark
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -247,3 +247,17 @@ def test_substrings_branching(spark):
 
 def test_substrings_empty(no_docs):
     assert substring_dedup(no_docs).count() == 0
+
+
+def test_components_end_with_stars(spark, monkeypatch):
+    """Edges that are stars need no round, others as many as it takes; no join sends a table through the driver."""
+    from seamfix.llm import common
+    written = []
+    monkeypatch.setattr(common, "keep", lambda df, name, keep=common.keep: (written.append(df._jdf.queryExecution().executedPlan().toString()), keep(df, name))[1])
+    rows = [(5, 1), (7, 1), (9, 2), (1, 7)]
+    got = common.components(spark.createDataFrame(rows, "u long, v long")).collect()
+    assert sorted((r.node, r.root) for r in got) == [(5, 1), (7, 1), (9, 2)] and len(written) == 1
+    rows = [(i, i + 1) for i in range(40)] + [(60, 50), (60, 51), (61, 51), (61, 70), (80, 80)]
+    got = common.components(spark.createDataFrame(rows, "u long, v long")).collect()
+    assert sorted((r.node, r.root) for r in got) == [(i, 0) for i in range(1, 41)] + [(i, 50) for i in (51, 60, 61, 70)]
+    assert len(written) > 2 and not any("BroadcastExchange" in plan for plan in written)
