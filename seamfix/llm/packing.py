@@ -12,14 +12,19 @@
 
 Tokens of a text are those of its white-space separated chunks: the tokenizer drops
 white space and none of its steps looks across it, so each task looks chunks up in a
-bounded cache and asks the tokenizer for new ones only.
+bounded cache. New chunks of plain characters (``ODD``) are lower-cased and cut into
+runs as the tokenizer's steps do (``STEPS``); runs have a cache of their own, and the
+tokenizer is asked for new runs only, many in one text. Other chunks, and all of them
+under a tokenizer of other steps, go to it whole.
 
 Defined cases: null or empty text is the end id alone; rows that repeat a doc_id are
 packed one by one; extra columns are ignored; an empty table gives an empty result."""
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import sys
 import types
 from bisect import bisect_left, insort
@@ -35,37 +40,105 @@ from .words import blocks
 
 CAPACITY = 2048
 CACHE_ENTRIES = 400_000
+RUN_ENTRIES = 600_000
 CACHED_BYTES = 64
 PLAN_BROADCAST_ROWS = 500_000
 ENCODE_BLOCK = 4096
+# --- fixed values: steps of the tokenizer before its merges, as its file has them ----
+STEPS = [
+    {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}]
+# --------------------------------------------------------------------------------------
+#: Plain characters are printable ASCII (but ' and <, which contractions and added tokens have)
+#: and Latin-1 letters: NFC leaves them as they are, and each lower-cases to one of them.
+#: Of lines, those with other characters.
+ODD = re.compile(r"^[!-&(-;=-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*[^\n!-&(-;=-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF].*", re.M).findall
+#: What the split leaves of plain lower-case lines: letters, a digit or other signs; and line ends.
+RUNS = re.compile(r"[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|\n|[^a-z0-9\n\u00DF-\u00F6\u00F8-\u00FF]+").findall
+NO_ID = 2**32 - 1
+BORDER = NO_ID.to_bytes(4, "little")
 
 
 class ChunkEncoder:
-    """Ids of a text as little-endian unsigned 32-bit bytes."""
+    """Ids of texts as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
         self._known: dict[bytes, bytes] = {}
-
-    def __call__(self, text: bytes) -> bytes:
-        chunks, known = text.split(), self._known
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            pass
-        new = list({c for c in chunks if c not in known})
-        if len(known) + len(new) > CACHE_ENTRIES:
-            known.clear()
-            new = list(set(chunks))
-        found: dict[bytes, bytes] = {}
+        self._runs: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f)
+        suffix, vocab = data["model"].get("end_of_word_suffix"), data["model"]["vocab"]
+        self._plain = bool(suffix and [data["normalizer"], data["pre_tokenizer"]] == STEPS
+                           and all("<" in t["content"] for t in data["added_tokens"]))
+        self._last = np.zeros(1 + max([*vocab.values(), *(t["id"] for t in data["added_tokens"])]), bool)
+        self._last[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+
+    def _encode(self, texts: list) -> list:
+        return self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
+    def _learn_runs(self, new: list) -> None:
+        """Ids of runs: the last token of each says that it ends a run."""
         for i in range(0, len(new), ENCODE_BLOCK):
             part = new[i:i + ENCODE_BLOCK]
-            done = self._tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
-            found.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(part, done))
-        known.update((c, v) for c, v in found.items() if len(c) <= CACHED_BYTES)
-        return b"".join([known.get(c) or found.get(c, b"") for c in chunks])
+            ids = np.array(self._encode([" ".join(part)])[0].ids, dtype="<u4")
+            ends = (4 * np.flatnonzero(self._last[ids]) + 4).tolist()
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer does not give each run its own end")
+            raw = ids.tobytes()
+            self._runs.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends], ends))))
+
+    def _plain_ids(self, chunks: list) -> dict[bytes, bytes]:
+        """Ids of chunks of plain characters, all of them cut at once."""
+        runs = RUNS("\n".join(chunks).lower())
+        wanted = set(runs)
+        wanted.discard("\n")
+        new = wanted.difference(self._runs)
+        if len(self._runs) + len(new) > RUN_ENTRIES:
+            self._runs.clear()
+            new = wanted
+        self._learn_runs(list(new))
+        self._runs["\n"] = BORDER
+        raw = b"".join(map(self._runs.__getitem__, runs))
+        for r in [r for r in new if len(r) > CACHED_BYTES]:
+            del self._runs[r]
+        at = 4 * np.flatnonzero(np.frombuffer(raw, "<u4") == NO_ID)
+        spans = map(slice, [0, *(at + 4).tolist()], [*at.tolist(), len(raw)])
+        return dict(zip(map(str.encode, chunks), map(raw.__getitem__, spans)))
+
+    def _ids(self, chunks: list) -> dict[bytes, bytes]:
+        lines = b"\n".join(chunks).decode()
+        whole = ODD(lines) if self._plain else lines.split("\n")
+        plain = list(set(lines.split("\n")).difference(whole))
+        found = self._plain_ids(plain) if plain else {}
+        for i in range(0, len(whole), ENCODE_BLOCK):
+            part = whole[i:i + ENCODE_BLOCK]
+            found.update((s.encode(), np.array(e.ids, dtype="<u4").tobytes()) for s, e in zip(part, self._encode(part)))
+        return found
+
+    def all(self, texts: list) -> list[bytes]:
+        """Ids of each text; what is new in all of them is asked for at once."""
+        known, split = self._known, [(t or b"").split() for t in texts]
+        here = set().union(*split)
+        new = here.difference(known)
+        if len(known) + len(new) > CACHE_ENTRIES:
+            known.clear()
+            new = here
+        if new:
+            known.update(self._ids(list(new)))
+        out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        for c in [c for c in new if len(c) > CACHED_BYTES]:
+            del known[c]
+        return out
+
+    def __call__(self, text: bytes) -> bytes:
+        return self.all([text])[0]
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -86,8 +159,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
             dids, kinds = batch.column(0).to_pylist(), [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
             for a, b, texts in blocks(batch.column(1)):
                 rows = []
-                for did, text in zip(dids[a:b], texts):
-                    ids = encode(text or b"") + end
+                for did, ids in zip(dids[a:b], encode.all(texts)):
+                    ids += end
                     for start in range(0, len(ids) // 4, capacity):
                         part = ids[4 * start:4 * (start + capacity)]
                         rows.append((did, start // capacity, start, len(part) // 4, crc32(part)))

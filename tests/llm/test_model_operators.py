@@ -86,6 +86,38 @@ def test_chunks_tokenise_like_whole_texts():
         assert np.frombuffer(enc(t.encode()), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_chunks_of_odd_characters_and_small_caches(monkeypatch):
+    from tokenizers import Tokenizer
+    from seamfix.llm import packing
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, enc, rng = Tokenizer.from_file(path), packing.ChunkEncoder(path), random.Random(7)
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", 40)
+    monkeypatch.setattr(packing, "RUN_ENTRIES", 30)
+    signs = "aBcZéÀÖÿßØ×÷ªµ'<|>09½²,.$-~\x7f\x01\x1f\u0107ſKΣςİı\u00a0\u3000🙂  \n"
+    for _ in range(300):
+        texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 90))) for _ in range(3)] + ["x" * rng.randint(60, 70)]
+        assert [np.frombuffer(i, "<u4").tolist() for i in enc.all([t.encode() for t in texts] + [None])] == [
+            tok.encode(t, add_special_tokens=False).ids for t in texts] + [[]]
+
+
+def test_tokenizer_is_asked_once_for_a_run():
+    """Case and signs around a word make new chunks, but no new work for the tokenizer."""
+    from seamfix.llm.packing import ChunkEncoder
+
+    class Asked:
+        def __init__(self, inner):
+            self.inner, self.letters = inner, 0
+
+        def encode_batch_fast(self, texts, **more):
+            self.letters += sum(c.isalpha() for t in texts for c in t)
+            return self.inner.encode_batch_fast(texts, **more)
+
+    enc = ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    enc._tokenizer = asked = Asked(enc._tokenizer)
+    enc("lichkeit Lichkeit LICHKEIT lichkeit, Lichkeit. lichkeit$$$ (lichkeit) lichkeit-élan Élan".encode())
+    assert asked.letters == len("lichkeit" + "élan")
+
+
 def test_packing_empty(no_docs):
     assert pack(no_docs, public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
