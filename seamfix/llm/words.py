@@ -49,6 +49,11 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """``Hasher.ngrams`` of two words, from the hashes of both."""
+    return mix(first + second * np.uint64(_WORD_BASE) + np.uint64(2))
+
+
 class Hasher:
     """Holds the power tables of one task; they grow to the longest block."""
 

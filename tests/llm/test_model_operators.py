@@ -187,6 +187,43 @@ def test_lm_scores_full_keys(hard_docs, hard_rows, spark):
     assert all(r.target_loss is None or min(r.target_loss, r.background_loss) >= 0 for r in got)
 
 
+def test_lm_scores_full_keys_over_runs(hard_docs, hard_rows, spark, monkeypatch):
+    """Many runs and shards add up to what one of each gives."""
+    from seamfix.llm import lm_scoring
+    good = spark.createDataFrame([(d,) for d, _, _ in hard_rows if d is not None and d % 3], "doc_id long")
+
+    def scored():
+        rows = lm_scores(hard_docs, good, lm_scoring.FULL, lm_scoring.FULL).collect()
+        return Counter((r.doc_id, r.n_tokens, *[None if x is None else round(x, 6) for x in r[2:]]) for r in rows)
+
+    want = scored()
+    monkeypatch.setattr(lm_scoring, "RUN", 500)
+    monkeypatch.setattr(lm_scoring, "SHARD", 5000)
+    assert len({d for d, *_ in want}) > 100 and scored() == want
+
+
+def test_lm_scores_disk(spark, tmp_path):
+    """What op3 writes and shuffles: a few bytes for each token, not a row or two."""
+    from seamfix.llm.lm_scoring import FULL
+    from seamfix.session import shared_dir
+    rng = np.random.default_rng(3)
+    docs = [(i, " ".join(f"w{x}" for x in rng.zipf(1.3, 400) % 20000)) for i in range(1500)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs, good = spark.read.parquet(str(tmp_path / "docs")), spark.range(0, 1500, 3).withColumnRenamed("id", "doc_id")
+    shuffled = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def files():
+        kept = [os.path.join(d, f) for d, _, names in os.walk(shared_dir(spark)) for f in names]
+        found = kept + shuffled.getAllFiles().mkString("\n").split("\n")
+        return {f: os.path.getsize(f) for f in found if os.path.exists(f)}
+
+    before = files()
+    lm_scores(docs, good, FULL, FULL).write.parquet(str(tmp_path / "out"))
+    added = sum(n for f, n in files().items() if f not in before)
+    assert 1500 * 400 < added < 12 * 1500 * 400
+
+
 def test_lm_scores_empty(no_docs, spark, hard_docs):
     none = spark.createDataFrame([], "doc_id long")
     assert lm_scores(no_docs, none).count() == 0
